@@ -22,12 +22,15 @@ from pyspark.sql import functions as F
 from statera.llm.common import new_dir, on_files, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Settings of the keyed state. Memory of all stores of an executor together is bounded.
+#: Settings of the keyed state. Memory of all stores of an executor together is bounded; files are not
+#: preallocated, and a store is closed when its task has committed, so disk follows what the keys hold.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "400",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
@@ -72,7 +75,7 @@ def exact_duplicates(
 ) -> DataFrame:
     """(id, place, keep_id, keep_place, group_size, kept, sha256) for every row of ``docs``."""
     spark = docs.sparkSession
-    docs = on_files(docs.select(id_col, text_col), "dedup-docs") if not _has_places(docs) else docs
+    docs = on_files(docs, "dedup-docs")
     seen = written(arrivals(docs, id_col, text_col, digest), "dedup-arrivals")
     stream = spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", files_per_batch).parquet(seen.inputFiles()[0].rsplit("/", 1)[0])
     state_dir, out_dir = new_dir(spark, "dedup-state"), new_dir(spark, "dedup-groups")
@@ -95,20 +98,13 @@ def exact_duplicates(
     )
 
 
-def _has_places(docs: DataFrame) -> bool:
-    try:
-        docs.select(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
-        return True
-    except Exception:
-        return False
-
-
 def _strays(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
     """Rows that share a digest with the row that stays but differ from it in a byte (none for a sound digest)."""
     content = F.coalesce(F.col(text_col), F.lit(""))
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     hits = groups.filter("group_size > 1").select("digest", F.col("keeper.place").alias("keep_place"))
-    held = docs.select(F.col(id_col).alias("id"), content.alias("text"), digest(content).alias("digest"), place.alias("place")).join(hits.hint("shuffle_hash"), "digest")
+    rows = docs.select(F.col(id_col).alias("id"), content.alias("text"), digest(content).alias("digest"), place.alias("place"))
+    held = written(rows.join(hits.hint("shuffle_hash"), "digest"), "dedup-held")  # once: both sides below read it
     first = held.filter(F.col("place") == F.col("keep_place")).select("digest", F.col("text").alias("first_text"))
     rest = held.filter(F.col("place") != F.col("keep_place"))
     return written(rest.join(first, "digest").filter("text <> first_text").select("id", "place", "digest", "text"), "dedup-strays")
