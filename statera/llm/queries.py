@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statera.llm import bpe, ngram_join, quality_rules, token_orc
+from statera.llm import bpe, ngram_join, quality_rules, repeats, token_orc
 from statera.llm.common import table
 from statera.llm.exact_dedup import exact_duplicates
 
@@ -21,6 +21,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha256").alias("text_sha256"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op8_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.tokenized(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_token_orc": op8_token_orc,
     "op9_bpe": op9_bpe,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
