@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statera.llm import bpe, ngram_join, quality_rules, repeats, token_orc, warc
+from statera.llm import bpe, lang_crf, ngram_join, quality_rules, repeats, token_orc, warc
 from statera.llm.common import table
 from statera.llm.exact_dedup import exact_duplicates
 
@@ -16,6 +16,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    field = lang_crf.learned(docs, ~lang_crf.held_out("doc_id"))
+    found = lang_crf.identified(docs, field, ["doc_id"])
+    return found.select("doc_id", lang_crf.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.archived(spark, table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -44,6 +51,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_language_id": op2_language_id,
     "op3_warc": op3_warc,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
