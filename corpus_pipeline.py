@@ -1,8 +1,59 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: five stages over ``documents``, each an operator of statera.llm.
 
-STAGES = []
+Every stage gets what the one before kept, written as Parquet and read again, and decides on all of it:
+language ID drops texts without a recognised language, exact and near deduplication keep one document of
+each group, the repeat remover cuts long strings that an earlier document holds, packing deals what is
+left to length buckets and batches. All but the last return the columns of ``documents``.
+
+Defined results: stages keep rows whose other columns are null; a text that the repeat remover empties
+stays as an empty text; empty input gives empty output at every stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from statera.llm import exact_dedup, lang_crf, ngram_join, packing, repeats
+from statera.llm.common import table, written
+
+#: The language stage isn't expressible in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.select(COLUMNS)
+    return lang_crf.accepted(docs, lang_crf.learned(docs, ~lang_crf.held_out("doc_id")))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicated(docs.select(COLUMNS))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.one_per_group(docs.select(COLUMNS))
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    marked = docs.withColumn("no_text", F.col("text").isNull())
+    cut = repeats.without_repeats(marked, with_text=True, keep=["doc_id", "lang", "source", "n_chars", "no_text"])
+    length = F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)
+    return cut.select(
+        "doc_id", F.when(~F.col("no_text"), F.col("kept_text")).alias("text"), "lang", "source",
+        F.when(F.col("n_removed") > 0, length).otherwise(F.col("n_chars")).alias("n_chars"),
+    )
+
+
+def packs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed(docs, packing.words(F.col("text"))).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [("language_id", language_id), ("exact_dedup", exact), ("ngram_jaccard_join", near), ("suffix_array_dedup", repeated_strings), ("packing", packs)]
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

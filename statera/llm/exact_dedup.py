@@ -98,6 +98,15 @@ def exact_duplicates(
     )
 
 
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, unchanged, that stay."""
+    docs = on_files(docs, "dedup-docs")
+    gone = exact_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("place.file").alias("file"), F.col("place.row").alias("row"))
+    rows = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    left = rows.join(gone, (F.col("__file") == F.col("file")) & (F.col("__row") == F.col("row")), "left_anti")
+    return left.drop("__file", "__row")
+
+
 def _strays(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
     """Rows that share a digest with the row that stays but differ from it in a byte (none for a sound digest)."""
     content = F.coalesce(F.col(text_col), F.lit(""))

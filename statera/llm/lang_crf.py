@@ -229,8 +229,18 @@ def _slices(column: pa.Array) -> Iterator[list[list[str]]]:
         yield held
 
 
+_LAST: list = []
+
+
+def _labeller(field: Field) -> Labeller:
+    """The worker's table of words serves all batches and tasks of one field."""
+    if not _LAST or _LAST[0].field is not field:
+        _LAST[:] = [Labeller(field)]
+    return _LAST[0]
+
+
 def _predicted(batches: Iterable[pa.RecordBatch], field, with_words: bool) -> Iterator[pa.RecordBatch]:
-    labeller = Labeller(field.value) if field.value else None
+    labeller = _labeller(field.value) if field.value else None
     names = field.value.languages if field.value else []
     for batch in batches:
         at = 0
@@ -275,3 +285,17 @@ def identified(docs: DataFrame, field: Field | None, keep: list[str], text_col:
     rows = docs.select(*keep, F.col(text_col))
     schema = [f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in keep]
     return rows.mapInArrow(lambda b: _predicted(b, shared, with_words), ", ".join([*schema, "lang_pred string, score double"] + ["word_langs array<string>"] * with_words))
+
+
+def _accepted(batches: Iterable[pa.RecordBatch], field, text: int, least: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        alone = pa.RecordBatch.from_arrays([batch.column(text)], names=["text"])
+        found = pa.Table.from_batches(_predicted([alone], field, False))
+        keep = [lang != UND and score >= least for lang, score in zip(found.column("lang_pred").to_pylist(), found.column("score").to_pylist(), strict=True)]
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
+def accepted(docs: DataFrame, field: Field | None, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows, unchanged, whose text has a language with a score of at least ``least``."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(field), docs.columns.index(text_col)
+    return docs.mapInArrow(lambda b: _accepted(b, shared, at, least), docs.schema)
