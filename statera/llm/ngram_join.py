@@ -9,10 +9,11 @@ order meet too, and is then verified on the whole sets. The counters decide the
 count costs time, never a link.
 
 Equal sets are one class with the smallest id as its representative, so copies meet no one but their
-class. A token shared by many representatives (near copies by the thousand) isn't turned into all pairs:
-its members are first held against two pivots drawn by hash, links join components, and after a few such
-rounds only pairs between different components are left to enumerate, each of them exactly once. That
-loses no link between different components, so components and memberships are exact.
+class. The places of a shared token in both orders bound the overlap and prune most pairs. A token shared
+by many representatives (near copies by the thousand) isn't turned into all pairs: its members are first
+held against two pivots, links join components, and after such rounds only pairs between different
+components are left to enumerate. That loses no link between different components, so components and
+memberships are exact.
 
 Defined results: a null or blank text has an empty set and links with nothing; of rows that share an id
 each keeps its own set size and they count as one document; a null id is its own component (null);
@@ -27,7 +28,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statera.llm.common import written
@@ -39,7 +40,7 @@ ORDERS = 3
 WIDTH_BITS = (16, 23)
 COUNTER_SLICES = 16
 #: Members of an index token above which pivots are tried before pairs are enumerated, and how often.
-MANY, PIVOT_ROUNDS = 128, 4
+MANY, PIVOT_ROUNDS = 128, 2
 _FLUSH = 1 << 21
 
 
@@ -154,55 +155,76 @@ class JaccardJoin:
         profile = written(self.docs.mapInArrow(lambda b: _profiled(b, k, percent, counts), PROFILE), "jaccard-profile")
         firsts = profile.filter("n > 0 and id is not null").groupBy("class").agg(F.min("id").alias("rep"))
         self.rows = profile.select("id", "n", "class").join(firsts, "class", "left").select("id", "n", "rep")
-        self.classes = written(
-            profile.join(firsts, (profile["class"] == firsts["class"]) & (profile["id"] == firsts["rep"])).select("rep", "n", "p1", "p2", "p3").distinct(), "jaccard-classes"
-        )
-        index = self.classes.select("rep", "n", F.explode("p1").alias("token"))
+        # a row that occurs twice is its class's first row twice, which the joins below don't mind
+        self.classes = written(profile.join(firsts, (profile["class"] == firsts["class"]) & (profile["id"] == firsts["rep"])).select("rep", "n", "p1", "p2", "p3"), "jaccard-classes")
+        index = self.classes.select("rep", "n", F.posexplode("p1").alias("place", "token"))
         shared = index.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi")
         self.members = written(index.join(shared.select("token", "c"), "token"), "jaccard-members")
 
-    def _verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link: prefixes meet under every further order, then the whole sets decide."""
-        a = self.classes.select(F.col("rep").alias("a"), F.col("p2").alias("a2"), F.col("p3").alias("a3"))
-        b = self.classes.select(F.col("rep").alias("b"), F.col("p2").alias("b2"), F.col("p3").alias("b3"))
-        near = pairs.join(a, "a").join(b, "b").filter(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b").distinct()
-        near = written(near, "jaccard-pairs")
-        needed = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-        k, percent = self.k, self.percent
-        sets = written(self.docs.join(needed, "id", "left_semi").mapInArrow(lambda x: _sets(x, k), "id long, tokens binary"), "jaccard-sets")
+    def _may_link(self, m: str, i: str, n: str, j: str) -> Column:
+        """Whether sets of m and n tokens can reach the threshold if their first common token is at places i and j.
+
+        The overlap is at most m - i and at most n - j, and must be t (m + n) / (1 + t). The first common
+        token of a linked pair passes, so asking it of any shared token loses no link.
+        """
+        least = self.percent * (F.col(m) + F.col(n))
+        return ((F.col(m) - F.col(i)) * (100 + self.percent) >= least) & ((F.col(n) - F.col(j)) * (100 + self.percent) >= least)
+
+    def _orders_of(self, reps: DataFrame) -> DataFrame:
+        """The prefixes under the further orders of the representatives in column id, once for many filters."""
+        return written(self.classes.join(reps.select(F.col("id").alias("rep")).distinct(), "rep", "left_semi").select("rep", "p2", "p3"), "jaccard-orders")
+
+    def _filtered(self, pairs: DataFrame, orders: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b) whose prefixes meet under every further order too."""
+        a = orders.select(F.col("rep").alias("a"), F.col("p2").alias("a2"), F.col("p3").alias("a3"))
+        b = orders.select(F.col("rep").alias("b"), F.col("p2").alias("b2"), F.col("p3").alias("b3"))
+        near = pairs.join(a, "a").join(b, "b").filter(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3"))
+        return written(near.select("a", "b").distinct(), name)
+
+    def _verified(self, near: DataFrame, sets: DataFrame) -> DataFrame:
+        percent = self.percent
         both = near.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("left")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("right")), "b")
         return written(both.select("a", "b", "left", "right").mapInArrow(lambda x: _linked(x, percent), "a long, b long").distinct(), "jaccard-links")
 
-    def _similar_size(self, m: str, n: str):
-        return 100 * F.least(m, n) >= self.percent * F.greatest(m, n)
-
     def links_between_components(self) -> DataFrame:
-        """Verified links that connect every component: pivots first where a token has many members, then the rest."""
-        links, crowded = None, self.members.filter(F.col("c") > self.many)
-        if crowded.limit(1).count():
-            for r in range(PIVOT_ROUNDS):
-                here = self._with_component(crowded, links)
-                drawn = F.struct(F.xxhash64("rep", F.lit(r)).alias("h"), "rep", "n", "component")
-                open_ = here.groupBy("token").agg(F.min(drawn).alias("x"), F.max(drawn).alias("y"), F.min("component").alias("one"), F.max("component").alias("other")).filter("one < other")
-                met = here.join(open_.select("token", F.explode(F.array("x", "y")).alias("pivot")), "token").filter(
-                    (F.col("component") != F.col("pivot.component")) & self._similar_size("n", "pivot.n")
-                )
-                pairs = met.select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b")).distinct()
-                found = self._verified(pairs)
-                links = found if links is None else links.union(found)
-        here = written(self._with_component(self.members, links), "jaccard-open")
+        """Verified links that connect every component: all of the index's few, and of a crowded token's what joins components."""
+        few, crowded = self.members.filter(F.col("c") <= self.many), self.members.filter(F.col("c") > self.many)
+        left = few.select("token", F.col("rep").alias("a"), F.col("n").alias("m"), F.col("place").alias("i"))
+        right = few.select("token", F.col("rep").alias("b"), "n", F.col("place").alias("j"))
+        pairs = written(left.join(right, "token").filter((F.col("a") < F.col("b")) & self._may_link("m", "i", "n", "j")).select("a", "b").distinct(), "jaccard-candidates")
+        ends = lambda x: x.select(F.col("a").alias("id")).union(x.select(F.col("b").alias("id")))
+        in_crowd = crowded.select(F.col("rep").alias("id"))
+        orders = self._orders_of(ends(pairs).union(in_crowd))
+        near = self._filtered(pairs, orders, "jaccard-pairs")
+        needed = ends(near).union(in_crowd).distinct()
+        k = self.k
+        sets = written(self.docs.join(needed.hint("shuffle_hash"), "id", "left_semi").mapInArrow(lambda x: _sets(x, k), "id long, tokens binary"), "jaccard-sets")
+        links = self._verified(near, sets)
+        if not crowded.limit(1).count():
+            return links
+        orders, sets = self._orders_of(in_crowd), written(sets.join(in_crowd.distinct(), "id", "left_semi"), "jaccard-crowd")
+        for r in range(PIVOT_ROUNDS):
+            here = self._with_component(crowded, links)
+            # a member with the token early in its order has few tokens of its own, so it is central
+            drawn = F.struct("place", F.xxhash64("rep", F.lit(r)).alias("h"), "rep", "n", "component")
+            chance = F.struct(F.xxhash64("rep", F.lit(r)).alias("h"), "place", "rep", "n", "component")
+            open_ = here.groupBy("token").agg(F.min(drawn).alias("x"), F.min(chance).alias("y"), F.min("component").alias("one"), F.max("component").alias("other"))
+            pivots = open_.filter("one < other").select("token", F.explode(F.array("x", F.struct("y.place", "y.h", "y.rep", "y.n", "y.component"))).alias("p"))
+            pivots = pivots.select("token", F.col("p.rep").alias("pivot"), F.col("p.n").alias("m"), F.col("p.place").alias("i"), F.col("p.component").alias("of_pivot"))
+            met = here.join(pivots, "token").filter((F.col("component") != F.col("of_pivot")) & self._may_link("m", "i", "n", "place"))
+            near = self._filtered(met.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct(), orders, "jaccard-pivots")
+            links = links.union(self._verified(near, sets))
+        here = written(self._with_component(crowded, links), "jaccard-open")
         groups = here.select("token", "component").distinct()
         one, other = groups.withColumnRenamed("component", "one"), groups.withColumnRenamed("component", "other")
         meet = one.join(other, "token").filter("one < other")
-        left = here.select("token", F.col("component").alias("one"), F.col("rep").alias("p"), F.col("n").alias("m"))
-        right = here.select("token", F.col("component").alias("other"), F.col("rep").alias("q"), "n")
-        pairs = meet.join(left, ["token", "one"]).join(right, ["token", "other"]).filter(self._similar_size("m", "n"))
-        found = self._verified(pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct())
-        return found if links is None else links.union(found)
-
-    def _with_component(self, members: DataFrame, links: DataFrame | None) -> DataFrame:
-        if links is None:
-            return members.withColumn("component", F.col("rep"))
+        left = here.select("token", F.col("component").alias("one"), F.col("rep").alias("p"), F.col("n").alias("m"), F.col("place").alias("i"))
+        right = here.select("token", F.col("component").alias("other"), F.col("rep").alias("q"), "n", F.col("place").alias("j"))
+        rest = meet.join(left, ["token", "one"]).join(right, ["token", "other"]).filter(self._may_link("m", "i", "n", "j"))
+        near = self._filtered(rest.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), orders, "jaccard-rest")
+        return links.union(self._verified(near, sets))
+
+    def _with_component(self, members: DataFrame, links: DataFrame) -> DataFrame:
         found = components(links).withColumnRenamed("node", "rep")
         return members.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
@@ -215,3 +237,10 @@ class JaccardJoin:
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     return JaccardJoin(docs, id_col, text_col, k, percent).result()
+
+
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows, unchanged, whose id is the smallest of its component; a row without an id stays."""
+    found = grouped(docs, id_col, text_col, k, percent)
+    gone = written(found.filter(F.col("id") != F.col("component_id")).select(F.col("id").alias("__gone")).distinct(), "jaccard-gone")
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
