@@ -26,7 +26,7 @@ result; columns other than those named are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +42,7 @@ DEPTH = 50
 #: Distinct contexts of one anchor above which its stretches are grouped instead of sorted together.
 MANY = 4096
 #: Anchors that a task holds before it packs and sends them, and contexts sorted together.
-BLOCK_ANCHORS = 2_000_000
+BLOCK_ANCHORS = 700_000
 SHARD_CONTEXTS = 20_000
 _PLACE = U64((1 << 24) - 1)
 LAST = (1 << 63) - 1
@@ -245,7 +245,7 @@ def _cut(batches: Iterable[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBat
 
 
 def _kept(batches: Iterable[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
-    names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * with_text
+    names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * with_text + ["more"]
     for batch in batches:
         out: list[tuple] = []
         texts = batch.column(1).cast(pa.binary())
@@ -268,20 +268,22 @@ def _kept(batches: Iterable[pa.RecordBatch], with_text: bool) -> Iterator[pa.Rec
             out.append((len(raw), len(raw) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if with_text else None))
         columns = list(zip(*out, strict=True)) or [()] * 5
         arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *arrays[: 5 if with_text else 4]], names=names)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *arrays[: 5 if with_text else 4], batch.column(4)], names=names)
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text]) for every row.
+def without_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, gram: int = GRAM, with_text: bool = False, keep: Sequence[str] = ()
+) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text][, keep...]) for every row.
 
-    kept_text drops bytes that a cut left of a divided character.
+    kept_text drops bytes that a cut left of a divided character; ``keep`` names columns to carry along.
     """
     if not 8 <= gram <= depth:
         raise ValueError("the gram must have 8 to depth bytes")
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("mark"), F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("mark"), F.col(id_col).cast("long").alias("id"), text.alias("text"), F.struct(*keep).alias("more") if keep else F.lit(None).cast("string").alias("more"))
 
     digests = rows.select("doc", "mark", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.octet_length("text").alias("size"))
     digests = written(digests, "repeats-digests")
@@ -312,6 +314,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     intervals = judged.mapInArrow(lambda b: _cut(b, depth), "doc long, mark long, first long, last long").groupBy("doc", "mark").agg(F.collect_list(F.struct("first", "last")).alias("intervals"))
     intervals = written(intervals, "repeats-intervals")
     verdict = intervals.select("doc", "mark", F.lit(False).alias("copy"), "intervals").union(copies.select("doc", "mark", F.lit(True).alias("copy"), F.lit(None).cast(intervals.schema["intervals"].dataType).alias("intervals")))
-    whole = rows.join(verdict.hint("shuffle_hash"), ["doc", "mark"], "left").select("id", "text", "copy", "intervals")
-    schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    return whole.mapInArrow(lambda b: _kept(b, with_text), schema)
+    whole = rows.join(verdict.hint("shuffle_hash"), ["doc", "mark"], "left").select("id", "text", "copy", "intervals", "more")
+    schema = f"id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{', kept_text string' * with_text}, more {whole.schema['more'].dataType.simpleString()}"
+    found = whole.mapInArrow(lambda b: _kept(b, with_text), schema)
+    return found.select(*(c for c in found.columns if c != "more"), *(F.col("more")[c].alias(c) for c in keep))
