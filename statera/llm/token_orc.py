@@ -7,7 +7,7 @@ the task that writes the file, so ids never cross the network.
 
 A text is looked up stretch by stretch between spaces: the tokenizer drops white space and never joins
 across it, so the ids of a text are the ids of its stretches. New stretches are encoded by the library;
-the table of known ones is bounded and starts anew when full.
+the table of known ones is bounded and forgets those not used of late.
 
 Defined results: a null text counts as empty and holds the end id alone; null ids sort first; repeated
 ids keep one row each (order among them undefined); an empty table gives empty files and no rows; other
@@ -16,6 +16,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -26,15 +27,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from statera.llm.bpe import vocabulary
-from statera.llm.common import new_dir
+from statera.llm.common import new_dir, written
 
 END_ID = 2
+#: Stretches that a worker keeps at most; half of them are the ones that were used last.
 TABLE_ENTRIES = 600_000
 SCHEMA = "part int, row long, doc_id long, tokens array<int>"
 #: Options of the ORC writer. Compression is by zstd over run-length encoded integers.
 LAYOUT = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "2000", "orc.stripe.size": str(32 << 20)}
 
 
+#: A full stop or comma that ends a word: the pre-tokenizer always parts it from a digit or a letter before
+#: it that stays one (some letters outside this range become a letter and a mark when normalised).
+_CLOSING = re.compile(r"[.,](?<=[0-9A-Za-zÀ-ÖØ-öø-ÿ][.,])(?=[ \n]|\Z)")
+
+
 class StretchTable:
     """Ids of stretches between spaces, by the tokenizers library."""
 
@@ -44,23 +51,62 @@ class StretchTable:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.entries, self.known = entries, {"": b""}
-
-    def learn(self, texts: list[list[str]]) -> None:
-        new = list({s for t in texts for s in t if s not in self.known})
-        if len(self.known) + len(new) > self.entries:
-            self.known = {"": b""}
-            new = list({s for t in texts for s in t if s})
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for s, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[s] = np.array(e.ids, "<u4").tobytes()
+        vocabulary = self.tokenizer.get_vocab()
+        self._ends_word = np.zeros(1 + max(vocabulary.values()), bool)
+        self._ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.entries, self.known, self.older = entries, {"": b""}, {}
+
+    @staticmethod
+    def stretches(text: str) -> list[str]:
+        """``text`` cut where the tokenizer cuts in any case; ASCII is lower-cased, as the tokenizer will."""
+        text = _CLOSING.sub(r" \g<0>", text)
+        return (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")
+
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of letters alone, encoded together and parted after the tokens that end a word."""
+        found = {}
+        for at in range(0, len(words), 1000):
+            part = words[at : at + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self._ends_word[ids]) + 1
+            if len(cuts) == len(part):  # else a letter became more than letters
+                raw, cuts = ids.tobytes(), (4 * cuts).tolist()
+                found.update(zip(part, (raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
+            else:
+                found.update(self._others(part))
+        return found
+
+    def _others(self, stretches: list[str]) -> dict[str, bytes]:
+        encoded = self.tokenizer.encode_batch_fast(stretches, add_special_tokens=False)
+        return {s: np.array(e.ids, "<u4").tobytes() for s, e in zip(stretches, encoded, strict=True)}
+
+    def learn(self, missing: set[str]) -> None:
+        get = self.older.get
+        again = {s: found for s in missing if (found := get(s)) is not None}
+        new = [s for s in missing if s not in again]
+        self.known.update(again)
+        self.known.update(self._words([s for s in new if s.isalpha()]))
+        others = [s for s in new if not s.isalpha()]
+        for at in range(0, len(others), 10_000):
+            self.known.update(self._others(others[at : at + 10_000]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        stretches = [t.split(" ") for t in texts]
-        self.learn(stretches)
+        if len(self.known) > self.entries // 2:
+            self.known, self.older = {"": b""}, self.known
+        get, out, open_ = self.known.get, [], []
+        for text in texts:
+            stretches = self.stretches(text)
+            ids = list(map(get, stretches))
+            if None in ids:
+                open_.append((len(out), stretches, ids))
+                out.append(b"")
+            else:
+                out.append(b"".join(ids))
+        self.learn({s for _, stretches, ids in open_ for s, i in zip(stretches, ids, strict=True) if i is None})
         get = self.known.__getitem__
-        return [b"".join(map(get, s)) for s in stretches]
+        for place, stretches, _ in open_:
+            out[place] = b"".join(map(get, stretches))
+        return out
 
 
 _LOADED: dict[str, StretchTable] = {}
@@ -126,7 +172,7 @@ def located(spark: SparkSession, folder: str) -> DataFrame:
 
     Offsets of the files come from their totals, one row per file; inside a file they are a running sum.
     """
-    rows = read_tokens(spark, folder).mapInArrow(_summed, "part int, row long, doc_id long, n_tokens long, ids_crc32 long")
+    rows = written(read_tokens(spark, folder).mapInArrow(_summed, "part int, row long, doc_id long, n_tokens long, ids_crc32 long"), "tokens-read")
     per_part = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     ahead = per_part.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
     inside = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
