@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,6 @@ from pyspark.sql.utils import AnalysisException
 #: White space between words in every contract of this subpackage: space and U+0009 to U+000D.
 SPACE = r"[ \t\n\x0B\f\r]"
 WORD = r"[^ \t\n\x0B\f\r]+"
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,23 +29,22 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/statera/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors.
+#: While a table is written: shuffle files go when the job has ended, and grouped lists stay in hash tables longer.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "20000"}
+
 
-    The shuffle files of the finished job are released at once where this Spark version can do so.
-    """
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_dir(spark, name)
-    before = spark.conf.get(_CLEANUP, None)
-    try:
-        spark.conf.set(_CLEANUP, "true")
-    except Exception:  # a version that doesn't know the setting, or holds it fixed
-        before = None
+    before = {k: spark.conf.get(k, None) for k in _WHILE_WRITING}
+    for k, v in _WHILE_WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.options(**options).parquet(path)
     finally:
-        if before is not None:
-            spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -67,3 +67,18 @@ def on_files(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def filesystem(uri: str) -> tuple[Any, str]:
+    """The file system of an address that the executors read, and the path in it."""
+    from pyarrow import fs
+
+    if ":" not in uri:
+        return fs.LocalFileSystem(), uri
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
+
+
+def opened(uri: str) -> Any:
+    """A file opened for random reads, as it is."""
+    files, path = filesystem(uri)
+    return files.open_input_file(path)

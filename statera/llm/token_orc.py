@@ -22,12 +22,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.orc import ORCFile
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from statera.llm.bpe import vocabulary
-from statera.llm.common import new_dir, written
+from statera.llm.common import new_dir, opened, written
 
 END_ID = 2
 #: Stretches that a worker keeps at most; half of them are the ones that were used last.
@@ -37,9 +38,11 @@ SCHEMA = "part int, row long, doc_id long, tokens array<int>"
 LAYOUT = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "2000", "orc.stripe.size": str(32 << 20)}
 
 
-#: A full stop or comma that ends a word: the pre-tokenizer always parts it from a digit or a letter before
-#: it that stays one (some letters outside this range become a letter and a mark when normalised).
-_CLOSING = re.compile(r"[.,](?<=[0-9A-Za-zÀ-ÖØ-öø-ÿ][.,])(?=[ \n]|\Z)")
+#: Marks (no apostrophe, no angle bracket) that end a stretch: the pre-tokenizer always parts them from a digit
+#: or a letter before them that stays one (some letters outside this range become a letter and a mark when
+#: normalised), and they hold no part of a special token.
+_MARKS = r"""[!"#$%&()*+,\-./:;=?@\[\\\]^_`{|}~]"""
+_CLOSING = re.compile(rf"{_MARKS}(?<=[0-9A-Za-zÀ-ÖØ-öø-ÿ]{_MARKS}){_MARKS}*(?=[ \n]|\Z)")
 
 
 class StretchTable:
@@ -93,19 +96,22 @@ class StretchTable:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.entries // 2:
             self.known, self.older = {"": b""}, self.known
-        get, out, open_ = self.known.get, [], []
+        get, join, out, open_ = self.known.get, b"".join, [], []
         for text in texts:
             stretches = self.stretches(text)
             ids = list(map(get, stretches))
-            if None in ids:
-                open_.append((len(out), stretches, ids))
+            try:
+                out.append(join(ids))
+            except TypeError:  # some are unknown
+                gaps = [k for k, i in enumerate(ids) if i is None]
+                open_.append((len(out), stretches, ids, gaps))
                 out.append(b"")
-            else:
-                out.append(b"".join(ids))
-        self.learn({s for _, stretches, ids in open_ for s, i in zip(stretches, ids, strict=True) if i is None})
-        get = self.known.__getitem__
-        for place, stretches, _ in open_:
-            out[place] = b"".join(map(get, stretches))
+        self.learn({stretches[k] for _, stretches, _, gaps in open_ for k in gaps})
+        known = self.known
+        for place, stretches, ids, gaps in open_:
+            for k in gaps:
+                ids[k] = known[stretches[k]]
+            out[place] = join(ids)
         return out
 
 
@@ -155,24 +161,46 @@ def written_tokens(docs: DataFrame, folder: str, path: str | None = None, id_col
     ordered.mapInArrow(lambda batches: _encoded(batches, path, end_id), SCHEMA).write.options(**LAYOUT).orc(folder)
 
 
-def _summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lists = batch.column(3)
-        offsets, values = np.asarray(lists.offsets), np.asarray(lists.values).astype("<u4", copy=False)
-        crc = [zlib.crc32(values[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], names=["part", "row", "doc_id", "n_tokens", "ids_crc32"])
-
-
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(SCHEMA).orc(folder)
 
 
+def stripes(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, stripe) of every stripe, from the files' footers."""
+
+    def listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                with opened(file) as stream:
+                    n = ORCFile(stream).nstripes
+                yield pa.RecordBatch.from_pydict({"file": [file] * n, "stripe": pa.array(range(n), pa.int32())})
+
+    files = [(f,) for f in spark.read.schema(SCHEMA).orc(folder).inputFiles()]
+    if not files:
+        return spark.createDataFrame([], "file string, stripe int")
+    return spark.createDataFrame(files, "file string").repartition(len(files)).mapInArrow(listed, "file string, stripe int")
+
+
+def _summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for file, stripe in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            with opened(file) as stream:
+                rows = ORCFile(stream).read_stripe(stripe)
+            lists = rows.column("tokens")
+            offsets, values = np.asarray(lists.offsets), np.asarray(lists.values).astype("<u4", copy=False)
+            crc = [zlib.crc32(values[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            columns = [rows.column("part"), rows.column("row"), rows.column("doc_id"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "row", "doc_id", "n_tokens", "ids_crc32"])
+
+
 def located(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files.
+    """(doc_id, start, n_tokens, ids_crc32) of every document, read from the files stripe by stripe.
 
     Offsets of the files come from their totals, one row per file; inside a file they are a running sum.
     """
-    rows = written(read_tokens(spark, folder).mapInArrow(_summed, "part int, row long, doc_id long, n_tokens long, ids_crc32 long"), "tokens-read")
+    found = written(stripes(spark, folder), "tokens-stripes")
+    read = found.repartition(max(1, found.count())).mapInArrow(_summed, "part int, row long, doc_id long, n_tokens long, ids_crc32 long")
+    rows = written(read, "tokens-read")
     per_part = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     ahead = per_part.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
     inside = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statera.llm.common import new_dir, written
+from statera.llm.common import filesystem, new_dir, written
 
 #: Fixed values of the formats.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -191,16 +191,8 @@ def _has_size(frame: bytes) -> bool:
     return frame[4] >> 6 != 0 or frame[4] >> 5 & 1 == 1
 
 
-def _filesystem(uri: str) -> tuple[Any, str]:
-    from pyarrow import fs
-
-    if "://" not in uri and not uri.startswith("file:"):
-        return fs.LocalFileSystem(), uri
-    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
-
-
 def _written(batches: Iterable[pa.RecordBatch], folder: str, dictionary: bytes) -> Iterator[pa.RecordBatch]:
-    files, root = _filesystem(folder)
+    files, root = filesystem(folder)
     files.create_dir(root, recursive=True)
     packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary), write_checksum=True, write_content_size=True)
     out, name, size, records = None, "", 0, 0
@@ -244,7 +236,7 @@ def _read(batches: Iterable[pa.RecordBatch], with_payload: bool) -> Iterator[pa.
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())] + [("payload", pa.binary())] * with_payload)
     for batch in batches:
         for archive in batch.column(0):
-            files, path = _filesystem(archive.as_py())
+            files, path = filesystem(archive.as_py())
             held: list[dict[str, Any]] = []
             with files.open_input_stream(path, compression=None) as stream:
                 for found in read_archive(stream):
