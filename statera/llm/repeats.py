@@ -137,29 +137,28 @@ def _packed(batches: Iterable[pa.RecordBatch], depth: int, gram: int, buckets: i
 
 
 def _shared(group: pa.Table) -> pa.Table:
-    """(doc, mark, hash) of every anchor of the bucket that two documents share."""
-    hashes, owners, done = [], [], []
+    """(doc, mark, anchor) of every anchor of the bucket that two documents share."""
+    hashes, owners, ids, done, n_ids = [], [], [], [], 0
     for h, p, i in zip(group.column("hashes"), group.column("places"), group.column("ids"), strict=True):
         h, p = np.frombuffer(h.as_buffer(), U64), np.frombuffer(p.as_buffer(), "<i4")
-        ids = np.frombuffer(i.as_buffer(), np.int64).reshape(-1, 2)
+        own = np.frombuffer(i.as_buffer(), np.int64).reshape(-1, 2)
         if p[0] <= -2:
-            done.append((h, ids[-2 - p]))
+            done.append((h, own[-2 - p]))
         else:
-            own = np.full((len(h), 3), -1, np.int64)
-            own[p >= 0, :2], own[p >= 0, 2] = ids[p[p >= 0]], 0
             hashes.append(h)
-            owners.append(own)
+            owners.append(np.where(p >= 0, p + np.int32(n_ids), np.int32(-1)))
+            ids.append(own)
+            n_ids += len(own)
     if hashes:
-        h, own = np.concatenate(hashes), np.concatenate(owners)
-        by = np.argsort(h, kind="stable")
-        h, own = h[by], own[by]
-        opens = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        sizes = np.diff(np.append(opens, len(h)))
+        h, of = np.concatenate(hashes), np.concatenate(owners)
+        by = np.argsort(h)
+        h, of = h[by], of[by]
+        twice = h[1:] == h[:-1]
         # two entries of one anchor come from two documents, or from one id in two blocks, which costs only time
-        hit = np.repeat(sizes > 1, sizes) & (own[:, 2] == 0)
-        done.append((h[hit], own[hit, :2]))
-    h, ids = (np.concatenate(x) for x in zip(*done, strict=True))
-    return pa.table({"doc": pa.array(ids[:, 0]), "mark": pa.array(ids[:, 1]), "anchor": pa.array(h.view(np.int64))})
+        hit = (np.append(twice, False) | np.append(False, twice)) & (of >= 0)
+        done.append((h[hit], np.concatenate(ids)[of[hit]] if n_ids else np.zeros((0, 2), np.int64)))
+    h, own = (np.concatenate(x) for x in zip(*done, strict=True))
+    return pa.table({"doc": pa.array(own[:, 0]), "mark": pa.array(own[:, 1]), "anchor": pa.array(h.view(np.int64))})
 
 
 OCCURRENCE = "anchor long, context binary, doc long, mark long, start long, stretches int"
@@ -200,29 +199,39 @@ def _sorted(group: pa.Table, depth: int) -> pa.Table:
     context = context.chunk(0) if isinstance(context, pa.ChunkedArray) else context
     offsets = np.asarray(pa.Array.from_buffers(pa.int64(), len(context) + 1, [None, context.buffers()[1]], offset=context.offset))
     data = np.frombuffer(context.buffers()[2], np.uint8)
-    doc = group.column("doc").to_numpy()
-    stretches = np.diff(offsets) - depth + 1
+    doc, anchor = group.column("doc").to_numpy(), group.column("anchor").to_numpy()
+    _, which, times = np.unique(anchor, return_inverse=True, return_counts=True)
+    # the only context of an anchor needs no sorting: all its stretches are where it is
+    sought = times[which] > 1
+    every = np.diff(offsets) - depth + 1
+    stretches = np.where(sought, every, 0)
     of = np.repeat(np.arange(len(doc)), stretches)
     bounds = np.zeros(len(doc) + 1, np.int64)
     np.cumsum(stretches, out=bounds[1:])
     starts = offsets[of] + np.arange(bounds[-1]) - bounds[of]
     order, same = sorted_suffixes(data, starts, depth)
-    index = np.zeros(int(offsets[-1]) + 1, np.int64)
-    index[starts] = np.arange(len(starts))
-    rank = index[order]
-    opens = np.flatnonzero(~same)
     least = np.empty(len(starts), np.int64)
-    least[rank] = np.repeat(np.minimum.reduceat(doc[of[rank]], opens), np.diff(np.append(opens, len(order))))
-    flat = np.minimum.reduceat(least, bounds[:-1]) == np.maximum.reduceat(least, bounds[:-1])
+    flat = np.ones(len(doc), bool)
+    if len(starts):
+        index = np.zeros(int(offsets[-1]) + 1, np.int64)
+        index[starts] = np.arange(len(starts))
+        rank = index[order]
+        opens = np.flatnonzero(~same)
+        least[rank] = np.repeat(np.minimum.reduceat(doc[of[rank]], opens), np.diff(np.append(opens, len(order))))
+        at = np.flatnonzero(sought)
+        flat[at] = np.minimum.reduceat(least, bounds[at]) == np.maximum.reduceat(least, bounds[at])
     sizes = np.where(flat, 1, stretches)
     cut = np.zeros(len(doc) + 1, np.int32)
     np.cumsum(sizes, out=cut[1:])
-    take = np.repeat(bounds[:-1] - cut[:-1], sizes) + np.arange(cut[-1])
-    return pa.table({"anchor": group.column("anchor"), "context_id": group.column("context_id"), "least": pa.ListArray.from_arrays(pa.array(cut), pa.array(least[take]))})
+    values = np.repeat(doc, sizes)
+    inner = np.repeat(sought, sizes)
+    take = (np.repeat(bounds[:-1] - cut[:-1], sizes) + np.arange(cut[-1]))[inner]
+    values[inner] = least[take]
+    return pa.table({"anchor": group.column("anchor"), "context_id": group.column("context_id"), "least": pa.ListArray.from_arrays(pa.array(cut), pa.array(values))})
 
 
 def _cut(batches: Iterable[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    """(doc, mark, first, last) byte intervals that go, from occurrences with the verdicts of their contexts."""
+    """(doc, mark, span) byte intervals that go, first << 31 | last, from occurrences with the verdicts of their contexts."""
     for batch in batches:
         doc, mark, start, stretches = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
         lists = batch.column(4)
@@ -240,7 +249,7 @@ def _cut(batches: Iterable[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBat
         b = np.append(a[1:], len(of)) - 1
         last = np.where(flat[b], stretches[of[b]] - 1, inside[b])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(doc[of[a]]), pa.array(mark[of[a]]), pa.array(start[of[a]] + inside[a]), pa.array(start[of[a]] + last + depth)], names=["doc", "mark", "first", "last"]
+            [pa.array(doc[of[a]]), pa.array(mark[of[a]]), pa.array((start[of[a]] + inside[a]) << 31 | (start[of[a]] + last + depth))], names=["doc", "mark", "span"]
         )
 
 
@@ -255,7 +264,7 @@ def _kept(batches: Iterable[pa.RecordBatch], with_text: bool) -> Iterator[pa.Rec
                 spans = [(0, len(raw))]
             else:
                 spans = []
-                for a, b in sorted((x["first"], x["last"]) for x in intervals.as_py() or ()):
+                for a, b in ((x >> 31, x & (1 << 31) - 1) for x in sorted(intervals.as_py() or ())):
                     if spans and a <= spans[-1][1]:
                         spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
                     else:
@@ -281,7 +290,7 @@ def without_repeats(
     if not 8 <= gram <= depth:
         raise ValueError("the gram must have 8 to depth bytes")
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("mark"), F.col(id_col).cast("long").alias("id"), text.alias("text"), F.struct(*keep).alias("more") if keep else F.lit(None).cast("string").alias("more"))
 
@@ -292,18 +301,17 @@ def without_repeats(
 
     packed = rows.select("doc", "mark", "text").mapInArrow(lambda b: _packed(b, depth, gram, buckets), "bucket int, hashes binary, places binary, ids binary")
     shared = written(packed.groupBy("bucket").applyInArrow(_shared, "doc long, mark long, anchor long"), "repeats-shared")
-    wanted = shared.join(copies, ["doc", "mark"], "left_anti").groupBy("doc", "mark").agg(F.collect_set("anchor").alias("wanted"))
+    wanted = shared.groupBy("doc", "mark").agg(F.collect_list("anchor").alias("wanted")).join(copies, ["doc", "mark"], "left_anti")
     found = rows.select("doc", "mark", "text").join(wanted.hint("shuffle_hash"), ["doc", "mark"]).select("doc", "mark", "text", "wanted")
     occurrences = written(found.mapInArrow(lambda b: _contexts(b, depth, gram), OCCURRENCE).withColumn("context_id", F.xxhash64("context")), "repeats-occurrences", compression="zstd")
     removed(shared)
 
     distinct = written(occurrences.groupBy("anchor", "context_id", "context").agg(F.min("doc").alias("doc")), "repeats-contexts", compression="zstd")
-    per_anchor = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    crowded = written(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MANY).select("anchor"), "repeats-crowded")
     shards = max(1, distinct.count() // SHARD_CONTEXTS)
-    counted = distinct.join(per_anchor, "anchor")
-    few = counted.filter(F.col("n") <= MANY).select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "anchor", "context_id", "context", "doc")
+    few = distinct.join(crowded, "anchor", "left_anti").select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "anchor", "context_id", "context", "doc")
     verdicts = few.groupBy("shard").applyInArrow(lambda g: _sorted(g, depth), VERDICT)
-    many = counted.filter(F.col("n") > MANY)
+    many = distinct.join(crowded, "anchor", "left_semi")
     place = F.explode(F.sequence(F.lit(1), F.octet_length("context") - depth + 1)).alias("j")
     stretches = many.select("anchor", "context_id", "doc", "context", place).withColumn("stretch", F.expr(f"substring(context, j, {depth})")).drop("context")
     least = stretches.groupBy("stretch").agg(F.min("doc").alias("least"))
@@ -311,7 +319,7 @@ def without_repeats(
     verdicts = written(verdicts.union(grouped), "repeats-verdicts")
 
     judged = occurrences.select("anchor", "context_id", "doc", "mark", "start", "stretches").join(verdicts, ["anchor", "context_id"]).select("doc", "mark", "start", "stretches", "least")
-    intervals = judged.mapInArrow(lambda b: _cut(b, depth), "doc long, mark long, first long, last long").groupBy("doc", "mark").agg(F.collect_list(F.struct("first", "last")).alias("intervals"))
+    intervals = judged.mapInArrow(lambda b: _cut(b, depth), "doc long, mark long, span long").groupBy("doc", "mark").agg(F.collect_list("span").alias("intervals"))
     intervals = written(intervals, "repeats-intervals")
     verdict = intervals.select("doc", "mark", F.lit(False).alias("copy"), "intervals").union(copies.select("doc", "mark", F.lit(True).alias("copy"), F.lit(None).cast(intervals.schema["intervals"].dataType).alias("intervals")))
     whole = rows.join(verdict.hint("shuffle_hash"), ["doc", "mark"], "left").select("id", "text", "copy", "intervals", "more")

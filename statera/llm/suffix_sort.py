@@ -116,7 +116,7 @@ def sorted_suffixes(data: np.ndarray, starts: np.ndarray, depth: int) -> tuple[n
     if len(order) > 1:
         same[1:] = hashes.of(order[1:], order[1:] + depth) == hashes.of(order[:-1], order[:-1] + depth)
     at = np.flatnonzero(same)
-    for part in np.array_split(at, max(1, len(at) * depth // (1 << 24))):
+    for part in np.array_split(at, max(1, len(at) * depth // (1 << 20))):
         x, y = order[part, None] + np.arange(depth), order[part - 1, None] + np.arange(depth)
         if (data[x] != data[y]).any():
             return _sorted_on_bytes(data, starts, depth)
