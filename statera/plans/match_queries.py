@@ -100,7 +100,7 @@ def q_priority_lookup(t):
 
 
 _PART_TOKENS = "list_distinct(list_filter(string_split(regexp_replace(upper(p_type), '[^A-Z0-9]+', ' ', 'g'), ' '), lambda x: length(x) >= 4))"
-_HITS = f"""q AS (SELECT p_partkey AS query, list_distinct(list_filter(string_split(upper(p_type || ' ' || p_name), ' '), lambda x: length(x) >= 4)) AS tokens FROM part WHERE p_partkey % 20 = 0),
+_HITS = f"""q AS (SELECT p_partkey AS query, list_distinct(list_filter(string_split(upper(p_type || ' ' || p_name), ' '), lambda x: length(x) >= 4)) AS tokens FROM part),
     e AS (SELECT p_type AS entry, any_value({_PART_TOKENS}) AS tokens FROM part GROUP BY p_type),
     qx AS (SELECT query, len(tokens) AS n, unnest(tokens) AS token FROM q), ex AS (SELECT entry, unnest(tokens) AS token FROM e),
     h AS (SELECT query, entry, n, count(*) AS hits FROM qx JOIN ex USING (token) GROUP BY ALL),
@@ -109,7 +109,7 @@ _HITS = f"""q AS (SELECT p_partkey AS query, list_distinct(list_filter(string_sp
 
 def _scored(t):
     tokens = lambda c: F.filter(F.split(F.upper(c), r"[^A-Z0-9]+"), lambda x: F.length(x) >= 4)
-    q = t.part.filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query"), F.filter(F.split(F.upper(F.concat_ws(" ", "p_type", "p_name")), " "), lambda x: F.length(x) >= 4).alias("tokens"))
+    q = t.part.select(F.col("p_partkey").alias("query"), F.filter(F.split(F.upper(F.concat_ws(" ", "p_type", "p_name")), " "), lambda x: F.length(x) >= 4).alias("tokens"))
     e = t.part.select(F.col("p_type").alias("entry")).distinct().withColumn("tokens", tokens(F.col("entry")))
     hits = match.token_hits(q, e)
     return hits.select("query", "entry", F.least(F.lit(0.86), 0.38 + 0.5 * F.col("hits") / F.col("of")).cast("decimal(8,6)").alias("score"))
@@ -197,11 +197,11 @@ def q_upsert_latest(t):
 
 @query(
     "q_backup_merge",
-    "SELECT o_orderkey AS id, o_totalprice AS value, 'kept' AS origin FROM orders WHERE o_orderkey % 3 < 2 UNION ALL SELECT o_orderkey, o_totalprice + 1, 'backup' FROM orders WHERE o_orderkey % 3 = 2 AND o_orderkey % 2 = 0",
+    "SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN o_totalprice + 1 ELSE o_totalprice END AS value, CASE WHEN o_orderstatus = 'P' THEN 'backup' ELSE 'kept' END AS origin FROM orders",
 )
 def q_backup_merge(t):
-    kept = t.orders.filter("o_orderkey % 3 < 2").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("value"), F.lit("kept").alias("origin"))
-    backup = t.orders.filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") + 1).alias("value"), F.lit("backup").alias("origin"))
+    kept = t.orders.filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("value"), F.lit("kept").alias("origin"))
+    backup = t.orders.select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") + 1).alias("value"), F.lit("backup").alias("origin"))
     return match.merged(kept, backup, ["id"])
 
 
@@ -239,10 +239,10 @@ def q_prev_next(t):
 
 @query(
     "q_union_new",
-    "SELECT DISTINCT c_nationkey AS code FROM customer WHERE c_custkey % 2 = 0 UNION SELECT DISTINCT s_nationkey FROM supplier",
+    "SELECT DISTINCT c_nationkey AS code FROM customer WHERE c_acctbal > 0 UNION SELECT DISTINCT s_nationkey FROM supplier",
 )
 def q_union_new(t):
-    a = t.customer.filter("c_custkey % 2 = 0").select(F.col("c_nationkey").alias("code")).distinct()
+    a = t.customer.filter("c_acctbal > 0").select(F.col("c_nationkey").alias("code")).distinct()
     b = t.supplier.select(F.col("s_nationkey").alias("code")).distinct()
     return match.merged(a, b, ["code"])
 

@@ -62,21 +62,22 @@ STATEMENTS = (
 
 
 def tokens(t: Tables) -> DataFrame:
-    """Words of the documents' first lines laid out on a page: x from the place in the line, y from the line's number."""
-    rows = t.documents.filter("doc_id < 200").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    words = rows.select("doc_id", "line_no", F.posexplode(F.slice(F.split("line", " "), 1, 40)).alias("seq", "str"), F.split("line", " ").alias("words"))
-    ahead = F.aggregate(F.slice("words", F.lit(1), F.col("seq")), F.lit(0), lambda n, w: n + F.length(w) + 1)
-    placed = words.filter("str <> ''").select("doc_id", "line_no", "seq", "str", (4.5 * ahead).alias("x"), (800.0 - 12 * F.col("line_no")).alias("y"))
+    """Words of the documents laid out on a page: x from the place in the line, y from the line's number."""
+    rows = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    start = F.struct(F.lit(0).alias("x"), F.array().cast("array<struct<str:string,x:int>>").alias("out"))
+    step = lambda s, w: F.struct((s["x"] + F.length(w) + 1).alias("x"), F.concat(s["out"], F.array(F.struct(w.alias("str"), s["x"].alias("x")))).alias("out"))
+    words = rows.select("doc_id", "line_no", F.posexplode(F.aggregate(F.split("line", " "), start, step, lambda s: s["out"])).alias("seq", "t"))
+    placed = words.filter("t.str <> ''").select("doc_id", "line_no", "seq", "t.str", (4.5 * F.col("t.x")).alias("x"), (800.0 - 12 * F.col("line_no")).alias("y"))
     return placed.withColumn("w", F.greatest(F.lit(8.0), 4.5 * F.length("str"))).withColumn("h", F.lit(10.0))
 
 
 TOKENS = """split_lines AS (
-    SELECT doc_id, CAST(unnest(range(len(ls))) AS INTEGER) AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE doc_id < 200)),
-    split_words AS (SELECT doc_id, line_no, ws, unnest(range(least(40, len(ws)))) AS seq FROM (SELECT doc_id, line_no, string_split(line, ' ') AS ws FROM split_lines)),
+    SELECT doc_id, CAST(unnest(range(len(ls))) AS INTEGER) AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+    split_words AS (SELECT doc_id, line_no, unnest(range(len(ws))) AS seq, unnest(ws) AS str FROM (SELECT doc_id, line_no, string_split(line, ' ') AS ws FROM split_lines)),
+    placed AS (SELECT *, coalesce(sum(length(str) + 1) OVER (PARTITION BY doc_id, line_no ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM split_words),
     tokens AS (
-    SELECT doc_id, line_no, CAST(seq AS INTEGER) AS seq, ws[seq + 1] AS str, 4.5::DOUBLE * (length(array_to_string(ws[1:seq], ' ')) + CASE WHEN seq > 0 THEN 1 ELSE 0 END) AS x,
-           800.0::DOUBLE - 12 * line_no AS y, greatest(8.0::DOUBLE, 4.5::DOUBLE * length(ws[seq + 1])) AS w, 10.0::DOUBLE AS h
-    FROM split_words WHERE ws[seq + 1] <> '')"""
+    SELECT doc_id, line_no, CAST(seq AS INTEGER) AS seq, str, 4.5::DOUBLE * CAST(ahead AS DOUBLE) AS x, 800.0::DOUBLE - 12 * line_no AS y, greatest(8.0::DOUBLE, 4.5::DOUBLE * length(str)) AS w, 10.0::DOUBLE AS h
+    FROM placed WHERE str <> '')"""
 
 
 def readings(t: Tables) -> DataFrame:
