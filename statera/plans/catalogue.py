@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from statera.plans import check_queries, layout_queries, match_queries, reconcile_queries, scalar_queries  # noqa: F401  they register themselves
+from statera.plans import check_queries, extract_queries, layout_queries, match_queries, reconcile_queries, scalar_queries  # noqa: F401  they register themselves
 from statera.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
