@@ -1,9 +1,9 @@
 """Jaccard join on word n-gram sets with prefix filters under several global token orders.
 
 Two sets whose Jaccard similarity reaches the threshold share a token among the first n - ceil(t n) + 1
-of each, whatever total order sorts the tokens. Three orders are used, each ascending by a document
-count (a fixed-size hashed counter table over all documents, one table per order) with the token's hash
-under that order breaking ties, so tokens of few documents come first. The prefix under the first order
+of each, whatever total order sorts the tokens. Three orders are used, ascending by the document count
+(from a hashed counter table of bounded size over all documents), by its magnitude and by its coarse
+magnitude, and among equals by the token's hash under that order, so tokens of few documents come first. The prefix under the first order
 is the index that proposes pairs; a pair goes on only if the prefixes under the second and the third
 order meet too, and is then verified on the whole sets. The counters decide the order alone: a wrong
 count costs time, never a link.
@@ -31,34 +31,39 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statera.llm.common import written
+from statera.llm.common import small_batches, written
 from statera.llm.graph import components
 from statera.llm.shingles import U64, mixed, shingle_sets, text_slices
 
-ORDERS = 3
-#: Counters of one order: at least four per document, between these bounds.
-WIDTH_BITS = (16, 23)
+#: Bits of a counter's place: at least two counters per document, between these bounds.
+WIDTH_BITS = (16, 21)
 COUNTER_SLICES = 16
+#: How fine an order tells counts apart: exactly, or in steps per doubling.
+FINENESS = (None, 8, 3)
+ORDERS = len(FINENESS)
 #: Members of an index token above which pivots are tried before pairs are enumerated, and how often.
-MANY, PIVOT_ROUNDS = 128, 2
+MANY, PIVOT_ROUNDS = 64, 2
 _FLUSH = 1 << 21
 
 
+def _counter(tokens: np.ndarray, bits: int) -> np.ndarray:
+    return (mixed(tokens + U64(0xE7037ED1A0B428DB)) >> U64(64 - bits)).astype(np.int64)
+
+
 def _order_hash(tokens: np.ndarray, order: int) -> np.ndarray:
     return mixed(tokens + U64(0xA0761D6478BD642F * (order + 1) % (1 << 64)))
 
 
 def _counted(batches: Iterable[pa.RecordBatch], k: int, bits: int) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros((ORDERS, 1 << bits), np.int64)
+    counts = np.zeros(1 << bits, np.int64)
     held: list[np.ndarray] = []
+    size = 0
 
     def flush() -> None:
-        tokens = np.concatenate(held)
+        places = _counter(np.concatenate(held), bits)
         held.clear()
-        for r in range(ORDERS):
-            counts[r] += np.bincount((_order_hash(tokens, r) >> U64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        counts[:] += np.bincount(places, minlength=1 << bits)
 
-    size = 0
     for batch in batches:
         for _, values, offsets in text_slices(batch.column(0)):
             for s in shingle_sets(values, offsets, k):
@@ -70,9 +75,8 @@ def _counted(batches: Iterable[pa.RecordBatch], k: int, bits: int) -> Iterator[p
     if held:
         flush()
     task = TaskContext.get().partitionId() % 256
-    for r in range(ORDERS):
-        for c, part in enumerate(np.split(np.minimum(counts[r], 65535).astype("<u2"), COUNTER_SLICES)):
-            yield pa.RecordBatch.from_pydict({"slot": pa.array([r * COUNTER_SLICES + c], pa.int32()), "task": pa.array([task], pa.int32()), "counts": pa.array([part.tobytes()], pa.binary())})
+    for c, part in enumerate(np.split(np.minimum(counts, 65535).astype("<u2"), COUNTER_SLICES)):
+        yield pa.RecordBatch.from_pydict({"slot": pa.array([c], pa.int32()), "task": pa.array([task], pa.int32()), "counts": pa.array([part.tobytes()], pa.binary())})
 
 
 def _added(group: pa.Table) -> pa.Table:
@@ -81,28 +85,30 @@ def _added(group: pa.Table) -> pa.Table:
 
 
 def document_counts(docs: DataFrame, k: int, text_col: str) -> np.ndarray:
-    """One table of saturating document counts per order, over all documents; its size is bounded by WIDTH_BITS."""
-    bits = min(WIDTH_BITS[1], max(WIDTH_BITS[0], (4 * docs.count()).bit_length()))
+    """Saturating document counts by hashed token, over all documents; the table's size is bounded by WIDTH_BITS."""
+    bits = min(WIDTH_BITS[1], max(WIDTH_BITS[0], (2 * docs.count()).bit_length()))
     schema = "slot int, task int, counts binary"
     per_task = docs.select(text_col).mapInArrow(lambda b: _counted(b, k, bits), schema)
     # tasks are added up in up to 256 groups first, so that no group grows with their number
     rows = per_task.groupBy("slot", "task").applyInArrow(_added, schema).groupBy("slot").applyInArrow(_added, schema).collect()
-    out = np.zeros((ORDERS, 1 << bits), np.uint16)
+    counts = np.zeros(1 << bits, np.uint16)
     step = (1 << bits) // COUNTER_SLICES
     for row in rows:
-        r, c = divmod(row["slot"], COUNTER_SLICES)
-        out[r, c * step : (c + 1) * step] = np.frombuffer(row["counts"], "<u2")
+        counts[row["slot"] * step : (row["slot"] + 1) * step] = np.frombuffer(row["counts"], "<u2")
+    return counts
+
+
+def _prefixes(tokens: np.ndarray, table: np.ndarray, length: int) -> list[np.ndarray]:
+    """The first ``length`` tokens under every order."""
+    counts, out = table[_counter(tokens, len(table).bit_length() - 1)], []
+    for r, steps in enumerate(FINENESS):
+        top = counts if steps is None else (steps * np.log2(1.0 + counts)).astype(np.uint16)
+        # tokens come sorted and the sort is stable, so an order is total even if two keys agree
+        key = (top.astype(U64) << U64(48)) | (_order_hash(tokens, r) >> U64(16))
+        out.append(tokens[np.argsort(key, kind="stable")[:length]])
     return out
 
 
-def _prefix(tokens: np.ndarray, counts: np.ndarray, order: int, length: int) -> np.ndarray:
-    h = _order_hash(tokens, order)
-    at = counts[order][(h >> U64(64 - int(counts.shape[1]).bit_length() + 1)).astype(np.int64)].astype(U64)
-    key = (at << U64(48)) | (h & U64((1 << 48) - 1))
-    # tokens come sorted and the sort is stable, so the order is total even if two keys agree
-    return tokens[np.argsort(key, kind="stable")[:length]]
-
-
 PROFILE = "id long, n long, class binary, p1 array<bigint>, p2 array<int>, p3 array<int>"
 
 
@@ -116,8 +122,8 @@ def _profiled(batches: Iterable[pa.RecordBatch], k: int, percent: int, counts) -
                 sizes.append(n)
                 classes.append(hashlib.md5(s.tobytes()).digest() if n else None)
                 length = n - -(-percent * n // 100) + 1 if n else 0
-                for r in range(ORDERS):
-                    prefixes[r].append(_prefix(s, table, r, length))
+                for r, prefix in enumerate(_prefixes(s, table, length)):
+                    prefixes[r].append(prefix)
             lists = []
             for r in range(ORDERS):
                 offs = np.zeros(len(sizes) + 1, np.int32)
@@ -151,6 +157,7 @@ class JaccardJoin:
         self.k, self.percent, self.many = k, percent, many
         self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
         spark = docs.sparkSession
+        small_batches(spark)
         counts = spark.sparkContext.broadcast(document_counts(self.docs, k, "text"))
         profile = written(self.docs.mapInArrow(lambda b: _profiled(b, k, percent, counts), PROFILE), "jaccard-profile")
         firsts = profile.filter("n > 0 and id is not null").groupBy("class").agg(F.min("id").alias("rep"))
@@ -215,9 +222,10 @@ class JaccardJoin:
             near = self._filtered(met.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct(), orders, "jaccard-pivots")
             links = links.union(self._verified(near, sets))
         here = written(self._with_component(crowded, links), "jaccard-open")
-        groups = here.select("token", "component").distinct()
-        one, other = groups.withColumnRenamed("component", "one"), groups.withColumnRenamed("component", "other")
-        meet = one.join(other, "token").filter("one < other")
+        groups = here.groupBy("token", "component").agg(F.max(F.col("n") - F.col("place")).alias("reach"), F.min("n").alias("least"))
+        one, other = (groups.select("token", F.col("component").alias(x), F.col("reach").alias(f"reach_{x}"), F.col("least").alias(f"least_{x}")) for x in ("one", "other"))
+        reach = F.least("reach_one", "reach_other") * (100 + self.percent) >= self.percent * (F.col("least_one") + F.col("least_other"))
+        meet = one.join(other, "token").filter((F.col("one") < F.col("other")) & reach).select("token", "one", "other")
         left = here.select("token", F.col("component").alias("one"), F.col("rep").alias("p"), F.col("n").alias("m"), F.col("place").alias("i"))
         right = here.select("token", F.col("component").alias("other"), F.col("rep").alias("q"), "n", F.col("place").alias("j"))
         rest = meet.join(left, ["token", "one"]).join(right, ["token", "other"]).filter(self._may_link("m", "i", "n", "j"))
