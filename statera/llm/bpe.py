@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from statera.llm.common import small_batches
+
 #: The pre-tokenizer's pattern and white space (Unicode White_Space) of the byte-level vocabulary.
 _WS = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
@@ -57,12 +59,13 @@ class ForcedBoundaryBPE:
         self._space_after_space = re.compile(f"[{_WS}] ").search
         self._stretches = regex.compile(f"(?<=[^{_WS}])(?= )").split
         self._single = [ids[bytes([b])] for b in range(256)]
-        #: (left id, right id) -> (rank, joined id)
-        self._join = {}
+        #: left id << 32 | right id -> rank; joined id by rank
+        self._rank, self._joined = {}, []
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             a, b = spelled[left], spelled[right]
-            self._join.setdefault((ids[a], ids[b]), (rank, ids[a + b]))
+            self._rank.setdefault(ids[a] << 32 | ids[b], rank)
+            self._joined.append(ids[a + b])
         self.together = np.zeros((256, 256), bool)
         for token in ids:
             whole = np.frombuffer(token, np.uint8)
@@ -82,20 +85,18 @@ class ForcedBoundaryBPE:
         return out
 
     def _merged(self, fragment: bytes) -> list[int]:
-        ids, join = [self._single[b] for b in fragment], self._join
-        while len(ids) > 1:
-            best = min((found for pair in zip(ids, ids[1:], strict=False) if (found := join.get(pair))), default=None)
-            if best is None:
-                break
-            joined, i, n = [], 0, len(ids)
-            while i < n:
-                if i + 1 < n and join.get((ids[i], ids[i + 1])) == best:
-                    joined.append(best[1])
-                    i += 2
-                else:
-                    joined.append(ids[i])
-                    i += 1
-            ids = joined
+        """Join the pair of least rank, leftmost first, until none is left."""
+        ids, get, joined = [self._single[b] for b in fragment], self._rank.get, self._joined
+        none = len(joined)
+        ranks = [get(a << 32 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks and (best := min(ranks)) < none:
+            i = ranks.index(best)
+            ids[i] = joined[best]
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << 32 | ids[i], none)
+            if i < len(ranks):
+                ranks[i] = get(ids[i] << 32 | ids[i + 1], none)
         return ids
 
     def _fragment(self, fragment: bytes) -> bytes:
@@ -109,17 +110,18 @@ class ForcedBoundaryBPE:
         return b"".join(self._fragment(f) for piece in self._pieces(stretch) for f in self.fragments(piece.encode()))
 
     def _looked_up(self, table: dict[str, bytes], keys: list[str], before: str) -> bytes:
+        found = list(map(table.get, keys))
         try:
-            return b"".join(map(table.__getitem__, keys))
-        except KeyError:
+            return b"".join(found)
+        except TypeError:  # some are unknown
             if len(table) >= self._entries:
                 table.clear()
-            out = []
-            for key in keys:
-                if (found := table.get(key)) is None:
-                    found = table[key] = self._taken_apart(before + key)
-                out.append(found)
-            return b"".join(out)
+            for i in [i for i, ids in enumerate(found) if ids is None]:
+                key = keys[i]
+                if (ids := table.get(key)) is None:
+                    ids = table[key] = self._taken_apart(before + key)
+                found[i] = ids
+            return b"".join(found)
 
     def _ordinary(self, text: str) -> bytes:
         if not text:
@@ -175,6 +177,7 @@ def _rows(batches: Iterable[pa.RecordBatch], path: str, with_ids: bool) -> Itera
 def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256[, ids]) of every text; no shuffle."""
     path = path or vocabulary("byte_bpe_50k.json")
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<bigint>" * with_ids
     return rows.mapInArrow(lambda batches: _rows(batches, path, with_ids), schema)
