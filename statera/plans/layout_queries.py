@@ -30,10 +30,13 @@ def q_line_bbox(t):
     k AS (SELECT doc_id, line_no, i AS first, x AS x0, list(struct_pack(x := x, r := x + w, str := str)) OVER (PARTITION BY doc_id, line_no ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS ahead FROM c),
     u AS (SELECT *, unnest(range(1, len(ahead) + 1)) AS n FROM k),
     s AS (SELECT doc_id, line_no, first, CAST(n AS INTEGER) AS n, list_min(list_transform(ahead[1:n], lambda c: c.x)) AS x, list_max(list_transform(ahead[1:n], lambda c: c.r)) - list_min(list_transform(ahead[1:n], lambda c: c.x)) AS w, array_to_string(list_transform(ahead[1:n], lambda c: c.str), ' ') AS text FROM u)
-    SELECT doc_id, line_no, CAST(first AS INTEGER) AS first, n, x, w, text FROM s WHERE w <= 380""",
+    SELECT doc_id, line_no, count(*) AS n_spans, max(w) AS widest, min(x) AS leftmost, max(n) AS most_cells, max(text) AS last_text FROM s WHERE w <= 380 GROUP BY doc_id, line_no""",
 )
 def q_spans_ngram(t):
-    return layout.spans(tokens(t))
+    # every span is made; a row per line tells of them
+    return layout.spans(tokens(t)).groupBy("doc_id", "line_no").agg(
+        F.count(F.lit(1)).alias("n_spans"), F.max("w").alias("widest"), F.min("x").alias("leftmost"), F.max("n").alias("most_cells"), F.max("text").alias("last_text")
+    )
 
 
 #: A cell that ends a sentence stands for a value, one that starts with a capital for a label.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statera.plans.registry import Tables
@@ -64,10 +64,10 @@ STATEMENTS = (
 def tokens(t: Tables) -> DataFrame:
     """Words of the documents laid out on a page: x from the place in the line, y from the line's number."""
     rows = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    start = F.struct(F.lit(0).alias("x"), F.array().cast("array<struct<str:string,x:int>>").alias("out"))
-    step = lambda s, w: F.struct((s["x"] + F.length(w) + 1).alias("x"), F.concat(s["out"], F.array(F.struct(w.alias("str"), s["x"].alias("x")))).alias("out"))
-    words = rows.select("doc_id", "line_no", F.posexplode(F.aggregate(F.split("line", " "), start, step, lambda s: s["out"])).alias("seq", "t"))
-    placed = words.filter("t.str <> ''").select("doc_id", "line_no", "seq", "t.str", (4.5 * F.col("t.x")).alias("x"), (800.0 - 12 * F.col("line_no")).alias("y"))
+    words = rows.select("doc_id", "line_no", F.posexplode(F.split("line", " ")).alias("seq", "str"))
+    before = Window.partitionBy("doc_id", "line_no").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.coalesce(F.sum(F.length("str") + 1).over(before), F.lit(0))
+    placed = words.select("doc_id", "line_no", "seq", "str", (4.5 * ahead).alias("x"), (800.0 - 12 * F.col("line_no")).alias("y")).filter("str <> ''")
     return placed.withColumn("w", F.greatest(F.lit(8.0), 4.5 * F.length("str"))).withColumn("h", F.lit(10.0))
 
 
