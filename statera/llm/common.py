@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +28,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/statera/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/statera/{name}-{uuid.uuid4().hex}"
+    for made in _COLLECTING:
+        made.append(folder)
+    return folder
 
 
 #: While a table is written: shuffle files go when the job has ended, and grouped lists stay in hash tables longer.
@@ -48,12 +53,30 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def removed(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`written` that no later plan reads."""
-    spark = df.sparkSession
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def removed(*tables: DataFrame) -> None:
+    """Delete the files of tables made by :func:`written` that no later plan reads."""
+    for df in tables:
+        for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            delete(df.sparkSession, parent)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_COLLECTING: list[list[str]] = []
+
+
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The folders that :func:`new_dir` names inside the block, for one who knows when nothing reads them any more."""
+    made: list[str] = []
+    _COLLECTING.append(made)
+    try:
+        yield made
+    finally:
+        _COLLECTING.remove(made)
 
 
 def on_files(df: DataFrame, name: str) -> DataFrame:
@@ -65,6 +88,18 @@ def on_files(df: DataFrame, name: str) -> DataFrame:
         return written(df, name)
 
 
+#: Most rows and bytes of a batch that goes to a Python worker: a task's memory shouldn't follow the length of texts.
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound this session's batches to Python workers; smaller bounds that are set stay."""
+    for name, most in _BATCHES.items():
+        now = re.fullmatch(r"(\d+)b?", spark.conf.get(name))
+        if not now or not 0 < int(now[1]) <= most:
+            spark.conf.set(name, most)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

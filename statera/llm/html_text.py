@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from statera.llm.common import small_batches
+
 NEITHER, MAIN, AROUND = 0, 1, 2
 
 _HIDDEN = "script|style|noscript|template|head|svg|math|iframe|object|select|textarea|button|video|audio|canvas"
@@ -285,5 +287,6 @@ def _extracted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extracted(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFrame:
     """``keep`` columns with text and n_chars; no shuffle."""
+    small_batches(pages.sparkSession)
     schema = [f"`{n}` {pages.schema[n].dataType.simpleString()}" for n in keep]
     return pages.select(*keep, F.col(html_col)).mapInArrow(_extracted, ", ".join([*schema, "text string, n_chars long"]))

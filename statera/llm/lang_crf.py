@@ -25,14 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from statera.llm.common import small_batches
 from statera.llm.shingles import U64, mixed, powers
 
 UND = "und"
 SAMPLE_ROWS = 120
 CHAIN = 128
 FEATURE_BITS = 18
-TABLE_ENTRIES = 300_000
-SLICE_WORDS = 200_000
+TABLE_ENTRIES = 120_000
+SLICE_WORDS = 60_000
 _TAGS = {name: U64((0x51_7C_C1_B7_27_22_0A_95 * (i + 3)) % (1 << 64)) for i, name in enumerate(["two", "three", "prefix1", "prefix2", "prefix3", "suffix1", "suffix2", "suffix3", "word"])}
 _TRIM = "".join(map(chr, [*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F), 0xA1, 0xAB, 0xBB, 0xBF, *range(0x2010, 0x2027)]))
 
@@ -281,6 +282,7 @@ def learned(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_co
 
 def identified(docs: DataFrame, field: Field | None, keep: list[str], text_col: str = "text", with_words: bool = False) -> DataFrame:
     """``keep`` columns with lang_pred, score and, if asked for, the language of every white-space word."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(field)
     rows = docs.select(*keep, F.col(text_col))
     schema = [f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in keep]
@@ -297,5 +299,6 @@ def _accepted(batches: Iterable[pa.RecordBatch], field, text: int, least: float)
 
 def accepted(docs: DataFrame, field: Field | None, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows, unchanged, whose text has a language with a score of at least ``least``."""
+    small_batches(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(field), docs.columns.index(text_col)
     return docs.mapInArrow(lambda b: _accepted(b, shared, at, least), docs.schema)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from statera.llm.bpe import vocabulary
-from statera.llm.common import new_dir, opened, written
+from statera.llm.common import new_dir, opened, small_batches, written
 
 END_ID = 2
 #: Stretches that a worker keeps at most; half of them are the ones that were used last.
@@ -155,6 +155,7 @@ def _encoded(batches: Iterable[pa.RecordBatch], path: str, end_id: int) -> Itera
 def written_tokens(docs: DataFrame, folder: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, partitions: int | None = None) -> None:
     """Encode every text and write its ids, in ascending order of the document ids."""
     path = path or vocabulary("word_bpe_49k.json")
+    small_batches(docs.sparkSession)
     partitions = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id")

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statera.llm.common import filesystem, new_dir, written
+from statera.llm.common import filesystem, new_dir, small_batches, written
 
 #: Fixed values of the formats.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -220,6 +220,7 @@ def _written(batches: Iterable[pa.RecordBatch], folder: str, dictionary: bytes)
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Write a record for every row; returns the table of archives (archive, records, n_bytes)."""
+    small_batches(pages.sparkSession)
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha2(payload.cast("binary"), 256).alias("same"))
     sample = [r[0].encode() for r in rows.select("payload").limit(SAMPLE_PAGES).collect()]
