@@ -94,4 +94,32 @@ ORACLE_SQL: dict[str, str] = {
         SELECT node AS doc_id, coalesce(any_value(z.n), 0)::BIGINT AS n_shingles, min(seen) AS component_id
         FROM reach LEFT JOIN z ON z.doc_id = node GROUP BY node
     """,
+    "op3_warc": """
+        WITH d AS (
+            SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS digest FROM pages),
+        b AS (
+            SELECT page_id, t, array_to_string(list_transform(range(1, 41), lambda i: (['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'])[strpos('0123456789abcdef', substring(digest, CAST(i AS INTEGER), 1))]), '') AS bits FROM d),
+        e AS (
+            SELECT page_id, t, array_to_string(list_transform(range(0, 160, 5), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
+                + 16 * CAST(substring(bits, CAST(i + 1 AS INTEGER), 1) AS INTEGER) + 8 * CAST(substring(bits, CAST(i + 2 AS INTEGER), 1) AS INTEGER) + 4 * CAST(substring(bits, CAST(i + 3 AS INTEGER), 1) AS INTEGER)
+                + 2 * CAST(substring(bits, CAST(i + 4 AS INTEGER), 1) AS INTEGER) + CAST(substring(bits, CAST(i + 5 AS INTEGER), 1) AS INTEGER), 1)), '') AS digest FROM b),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY t) AS first FROM e)
+        SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to FROM f
+    """,
+    "op7_suffix_array_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        w AS (SELECT doc_id, p, substring(h, CAST(2 * p + 1 AS INTEGER), 100) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS p FROM d)),
+        g AS (SELECT doc_id, p FROM w QUALIFY min(doc_id) OVER (PARTITION BY s) < doc_id),
+        o AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS opens FROM g),
+        n AS (SELECT doc_id, p, sum(opens) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM o),
+        x AS (SELECT doc_id, span, min(p) AS a, max(p) + 50 AS b FROM n GROUP BY doc_id, span),
+        y AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM x),
+        z AS (
+            SELECT doc_id, sum(b - a) AS gone, count(*) AS spans, max(b) AS last, string_agg(substring(h, CAST(2 * before + 1 AS INTEGER), CAST(2 * (a - before) AS INTEGER)), '' ORDER BY a) AS kept
+            FROM y JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+               sha256(unhex(CASE WHEN gone IS NULL THEN h ELSE kept || substring(h, CAST(2 * last + 1 AS INTEGER)) END)) AS kept_sha256
+        FROM d LEFT JOIN z USING (doc_id)
+    """,
 }
