@@ -47,10 +47,11 @@ def line_boxes(tokens: DataFrame) -> DataFrame:
 def spans(tokens: DataFrame, most: int = MAX_CELLS, width: float = MAX_WIDTH) -> DataFrame:
     """Every run of up to ``most`` neighbouring cells of a line no wider than ``width``."""
     cells = tokens.groupBy("doc_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("x", "seq", "w", "str"))).alias("cells"))
-    starts = cells.select("doc_id", "line_no", "cells", F.explode(F.sequence(F.lit(1), F.size("cells"))).alias("first"))
-    runs = starts.select("doc_id", "line_no", "first", "cells", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), F.size("cells") - F.col("first") + 1))).alias("n"))
-    part = F.slice("cells", F.col("first"), F.col("n"))
-    made = runs.select("doc_id", "line_no", F.col("first").cast("int").alias("first"), F.col("n").cast("int").alias("n"), part.alias("part"))
+    # each start carries the cells of its own runs only, not the whole line
+    ahead = F.transform(F.sequence(F.lit(1), F.size("cells")), lambda i: F.slice("cells", i, F.lit(most)))
+    starts = cells.select("doc_id", "line_no", F.posexplode(ahead).alias("at", "ahead"))
+    runs = starts.select("doc_id", "line_no", (F.col("at") + 1).cast("int").alias("first"), "ahead", F.explode(F.sequence(F.lit(1), F.size("ahead"))).alias("n"))
+    made = runs.select("doc_id", "line_no", "first", F.col("n").cast("int").alias("n"), F.slice("ahead", F.lit(1), F.col("n")).alias("part"))
     left = F.array_min(F.transform("part", lambda c: c["x"]))
     right = F.array_max(F.transform("part", lambda c: c["x"] + c["w"]))
     return made.select("doc_id", "line_no", "first", "n", left.alias("x"), (right - left).alias("w"), F.array_join(F.transform("part", lambda c: c["str"]), " ").alias("text")).filter(F.col("w") <= width)
@@ -204,8 +205,9 @@ def ctc_decoded(steps: Column, alphabet: Column) -> Column:
 
 def word_boxes(lines: DataFrame) -> DataFrame:
     """(doc_id, word, x0, x1) of each word of a line (doc_id, text, x0, x1), in proportion to its characters."""
-    words = lines.select("doc_id", "x0", "x1", F.length("text").alias("n"), F.posexplode(F.split("text", " ")).alias("i", "word"), F.split("text", " ").alias("all"))
-    before = F.length(F.array_join(F.slice("all", F.lit(1), F.col("i")), " ")) + F.when(F.col("i") > 0, 1).otherwise(0)
+    split = lines.select("doc_id", "x0", "x1", F.length("text").alias("n"), F.split("text", " ").alias("words"))
+    placed = F.transform("words", lambda w, i: F.struct(w.alias("word"), (F.length(F.array_join(F.slice("words", F.lit(1), i), " ")) + F.when(i > 0, 1).otherwise(0)).alias("at")))
+    words = split.select("doc_id", "x0", "x1", "n", F.posexplode(placed).alias("i", "p"))
     wide = F.greatest(F.lit(1.0), F.col("x1") - F.col("x0"))
-    at = words.withColumn("at", before)
+    at = words.select("doc_id", "x0", "x1", "n", "i", "p.word", "p.at")
     return at.select("doc_id", F.col("i").alias("seq"), "word", (F.col("x0") + F.col("at") / F.col("n") * wide).alias("x0"), (F.col("x0") + (F.col("at") + F.length("word")) / F.col("n") * wide).alias("x1"))
