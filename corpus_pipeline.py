@@ -5,36 +5,64 @@ language ID drops texts without a recognised language, exact and near deduplicat
 each group, the repeat remover cuts long strings that an earlier document holds, packing deals what is
 left to length buckets and batches. All but the last return the columns of ``documents``.
 
+When a stage begins, what the stage before returned has been written; the tables that its operator made on
+the way are then deleted, so disk doesn't add up over the stages.
+
 Defined results: stages keep rows whose other columns are null; a text that the repeat remover empties
 stays as an empty text; empty input gives empty output at every stage.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statera.llm import exact_dedup, lang_crf, ngram_join, packing, repeats
-from statera.llm.common import table, written
+from statera.llm.common import collected, delete, table, written
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: The language stage isn't expressible in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+_MADE_BEFORE: list[str] = []
+
+
+def stage(f: Stage) -> Stage:
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _MADE_BEFORE:
+            delete(spark, _MADE_BEFORE.pop())
+        with collected() as made:
+            out = f(spark, docs, sf_dir)
+        _MADE_BEFORE.extend(made)
+        return out
+
+    return run_stage
+
+
+@stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(COLUMNS)
     return lang_crf.accepted(docs, lang_crf.learned(docs, ~lang_crf.held_out("doc_id")))
 
 
+@stage
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicated(docs.select(COLUMNS))
 
 
+@stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return ngram_join.one_per_group(docs.select(COLUMNS))
 
 
+@stage
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     marked = docs.withColumn("no_text", F.col("text").isNull())
     cut = repeats.without_repeats(marked, with_text=True, keep=["doc_id", "lang", "source", "n_chars", "no_text"])
@@ -45,6 +73,7 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     )
 
 
+@stage
 def packs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(docs, packing.words(F.col("text"))).withColumnRenamed("id", "doc_id")
 
@@ -54,6 +83,6 @@ STAGES = [("language_id", language_id), ("exact_dedup", exact), ("ngram_jaccard_
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for name, f in STAGES:
+        docs = written(f(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statera.llm.common import new_dir, on_files, written
+from statera.llm.common import delete, new_dir, on_files, removed, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Settings of the keyed state. Memory of all stores of an executor together is bounded; files are not
@@ -84,6 +84,8 @@ def exact_duplicates(
     # the newest version of a key is its state; counts only grow
     groups = spark.read.parquet(out_dir).groupBy("digest").agg(F.max_by("keeper", "batch").alias("keeper"), F.max("group_size").alias("group_size"))
     groups = written(groups, "dedup-keys")
+    for folder in (state_dir, out_dir):  # of this one run over a table that is whole
+        delete(spark, folder)
 
     strays = _strays(docs, groups, id_col, text_col, digest)
     per_digest = strays.groupBy("digest").agg(F.count(F.lit(1)).alias("n_strays"))
@@ -116,4 +118,6 @@ def _strays(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, dige
     held = written(rows.join(hits.hint("shuffle_hash"), "digest"), "dedup-held")  # once: both sides below read it
     first = held.filter(F.col("place") == F.col("keep_place")).select("digest", F.col("text").alias("first_text"))
     rest = held.filter(F.col("place") != F.col("keep_place"))
-    return written(rest.join(first, "digest").filter("text <> first_text").select("id", "place", "digest", "text"), "dedup-strays")
+    strays = written(rest.join(first, "digest").filter("text <> first_text").select("id", "place", "digest", "text"), "dedup-strays")
+    removed(held)
+    return strays

@@ -51,7 +51,9 @@ def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(node, component) for every node of the undirected ``edges`` (a, b); component is the smallest node reachable."""
     now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
     if now.count() <= one_task:
-        return written(now.coalesce(1).mapInArrow(_labelled, "node long, component long"), "components-labels")
+        labels = written(now.coalesce(1).mapInArrow(_labelled, "node long, component long"), "components-labels")
+        removed(now)
+        return labels
     return _contracted(now)
 
 

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statera.llm.common import small_batches, written
+from statera.llm.common import removed, small_batches, written
 from statera.llm.graph import components
 from statera.llm.shingles import U64, mixed, shingle_sets, text_slices
 
@@ -161,12 +161,19 @@ class JaccardJoin:
         counts = spark.sparkContext.broadcast(document_counts(self.docs, k, "text"))
         profile = written(self.docs.mapInArrow(lambda b: _profiled(b, k, percent, counts), PROFILE), "jaccard-profile")
         firsts = profile.filter("n > 0 and id is not null").groupBy("class").agg(F.min("id").alias("rep"))
-        self.rows = profile.select("id", "n", "class").join(firsts, "class", "left").select("id", "n", "rep")
+        self.rows = written(profile.select("id", "n", "class").join(firsts, "class", "left").select("id", "n", "rep"), "jaccard-rows")
+        self._tables: list[DataFrame] = []
         # a row that occurs twice is its class's first row twice, which the joins below don't mind
-        self.classes = written(profile.join(firsts, (profile["class"] == firsts["class"]) & (profile["id"] == firsts["rep"])).select("rep", "n", "p1", "p2", "p3"), "jaccard-classes")
+        self.classes = self._kept(profile.join(firsts, (profile["class"] == firsts["class"]) & (profile["id"] == firsts["rep"])).select("rep", "n", "p1", "p2", "p3"), "jaccard-classes")
+        removed(profile)
         index = self.classes.select("rep", "n", F.posexplode("p1").alias("place", "token"))
         shared = index.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi")
-        self.members = written(index.join(shared.select("token", "c"), "token"), "jaccard-members")
+        self.members = self._kept(index.join(shared.select("token", "c"), "token"), "jaccard-members")
+
+    def _kept(self, df: DataFrame, name: str) -> DataFrame:
+        """Written until the components are known."""
+        self._tables.append(written(df, name))
+        return self._tables[-1]
 
     def _may_link(self, m: str, i: str, n: str, j: str) -> Column:
         """Whether sets of m and n tokens can reach the threshold if their first common token is at places i and j.
@@ -179,37 +186,37 @@ class JaccardJoin:
 
     def _orders_of(self, reps: DataFrame) -> DataFrame:
         """The prefixes under the further orders of the representatives in column id, once for many filters."""
-        return written(self.classes.join(reps.select(F.col("id").alias("rep")).distinct(), "rep", "left_semi").select("rep", "p2", "p3"), "jaccard-orders")
+        return self._kept(self.classes.join(reps.select(F.col("id").alias("rep")).distinct(), "rep", "left_semi").select("rep", "p2", "p3"), "jaccard-orders")
 
     def _filtered(self, pairs: DataFrame, orders: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) whose prefixes meet under every further order too."""
         a = orders.select(F.col("rep").alias("a"), F.col("p2").alias("a2"), F.col("p3").alias("a3"))
         b = orders.select(F.col("rep").alias("b"), F.col("p2").alias("b2"), F.col("p3").alias("b3"))
         near = pairs.join(a, "a").join(b, "b").filter(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3"))
-        return written(near.select("a", "b").distinct(), name)
+        return self._kept(near.select("a", "b").distinct(), name)
 
     def _verified(self, near: DataFrame, sets: DataFrame) -> DataFrame:
         percent = self.percent
         both = near.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("left")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("right")), "b")
-        return written(both.select("a", "b", "left", "right").mapInArrow(lambda x: _linked(x, percent), "a long, b long").distinct(), "jaccard-links")
+        return self._kept(both.select("a", "b", "left", "right").mapInArrow(lambda x: _linked(x, percent), "a long, b long").distinct(), "jaccard-links")
 
     def links_between_components(self) -> DataFrame:
         """Verified links that connect every component: all of the index's few, and of a crowded token's what joins components."""
         few, crowded = self.members.filter(F.col("c") <= self.many), self.members.filter(F.col("c") > self.many)
         left = few.select("token", F.col("rep").alias("a"), F.col("n").alias("m"), F.col("place").alias("i"))
         right = few.select("token", F.col("rep").alias("b"), "n", F.col("place").alias("j"))
-        pairs = written(left.join(right, "token").filter((F.col("a") < F.col("b")) & self._may_link("m", "i", "n", "j")).select("a", "b").distinct(), "jaccard-candidates")
+        pairs = self._kept(left.join(right, "token").filter((F.col("a") < F.col("b")) & self._may_link("m", "i", "n", "j")).select("a", "b").distinct(), "jaccard-candidates")
         ends = lambda x: x.select(F.col("a").alias("id")).union(x.select(F.col("b").alias("id")))
         in_crowd = crowded.select(F.col("rep").alias("id"))
         orders = self._orders_of(ends(pairs).union(in_crowd))
         near = self._filtered(pairs, orders, "jaccard-pairs")
         needed = ends(near).union(in_crowd).distinct()
         k = self.k
-        sets = written(self.docs.join(needed.hint("shuffle_hash"), "id", "left_semi").mapInArrow(lambda x: _sets(x, k), "id long, tokens binary"), "jaccard-sets")
+        sets = self._kept(self.docs.join(needed.hint("shuffle_hash"), "id", "left_semi").mapInArrow(lambda x: _sets(x, k), "id long, tokens binary"), "jaccard-sets")
         links = self._verified(near, sets)
         if not crowded.limit(1).count():
             return links
-        orders, sets = self._orders_of(in_crowd), written(sets.join(in_crowd.distinct(), "id", "left_semi"), "jaccard-crowd")
+        orders, sets = self._orders_of(in_crowd), self._kept(sets.join(in_crowd.distinct(), "id", "left_semi"), "jaccard-crowd")
         for r in range(PIVOT_ROUNDS):
             here = self._with_component(crowded, links)
             # a member with the token early in its order has few tokens of its own, so it is central
@@ -221,7 +228,7 @@ class JaccardJoin:
             met = here.join(pivots, "token").filter((F.col("component") != F.col("of_pivot")) & self._may_link("m", "i", "n", "place"))
             near = self._filtered(met.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct(), orders, "jaccard-pivots")
             links = links.union(self._verified(near, sets))
-        here = written(self._with_component(crowded, links), "jaccard-open")
+        here = self._kept(self._with_component(crowded, links), "jaccard-open")
         groups = here.groupBy("token", "component").agg(F.max(F.col("n") - F.col("place")).alias("reach"), F.min("n").alias("least"))
         one, other = (groups.select("token", F.col("component").alias(x), F.col("reach").alias(f"reach_{x}"), F.col("least").alias(f"least_{x}")) for x in ("one", "other"))
         reach = F.least("reach_one", "reach_other") * (100 + self.percent) >= self.percent * (F.col("least_one") + F.col("least_other"))
@@ -239,6 +246,8 @@ class JaccardJoin:
     def result(self) -> DataFrame:
         """(id, n_shingles, component_id) for every row; component_id is the smallest id reachable by links."""
         found = components(self.links_between_components()).withColumnRenamed("node", "rep")
+        removed(*self._tables)
+        self._tables.clear()
         rows = self.rows.join(found, "rep", "left")
         return rows.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statera.llm.common import removed, written
+from statera.llm.common import removed, small_batches, written
 from statera.llm.shingles import U64, mixed, powers, text_slices
 from statera.llm.suffix_sort import sorted_suffixes
 
@@ -290,6 +290,7 @@ def without_repeats(
     if not 8 <= gram <= depth:
         raise ValueError("the gram must have 8 to depth bytes")
     spark = docs.sparkSession
+    small_batches(spark)
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("mark"), F.col(id_col).cast("long").alias("id"), text.alias("text"), F.struct(*keep).alias("more") if keep else F.lit(None).cast("string").alias("more"))
@@ -299,6 +300,8 @@ def without_repeats(
     firsts = digests.groupBy("digest").agg(F.min("doc").alias("least"))
     copies = written(digests.join(firsts, "digest").filter((F.col("doc") > F.col("least")) & (F.col("size") >= depth)).select("doc", "mark").distinct(), "repeats-copies")
 
+    removed(digests)
+
     packed = rows.select("doc", "mark", "text").mapInArrow(lambda b: _packed(b, depth, gram, buckets), "bucket int, hashes binary, places binary, ids binary")
     shared = written(packed.groupBy("bucket").applyInArrow(_shared, "doc long, mark long, anchor long"), "repeats-shared")
     wanted = shared.groupBy("doc", "mark").agg(F.collect_list("anchor").alias("wanted")).join(copies, ["doc", "mark"], "left_anti")
@@ -314,13 +317,15 @@ def without_repeats(
     many = distinct.join(crowded, "anchor", "left_semi")
     place = F.explode(F.sequence(F.lit(1), F.octet_length("context") - depth + 1)).alias("j")
     stretches = many.select("anchor", "context_id", "doc", "context", place).withColumn("stretch", F.expr(f"substring(context, j, {depth})")).drop("context")
-    least = stretches.groupBy("stretch").agg(F.min("doc").alias("least"))
+    # written, so that both sides of the join are dealt anew and Spark can split a stretch that all contexts hold
+    least = written(stretches.groupBy("stretch").agg(F.min("doc").alias("least")), "repeats-stretches")
     grouped = stretches.join(least, "stretch").groupBy("anchor", "context_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "least"))), lambda x: x["least"]).alias("least"))
     verdicts = written(verdicts.union(grouped), "repeats-verdicts")
 
     judged = occurrences.select("anchor", "context_id", "doc", "mark", "start", "stretches").join(verdicts, ["anchor", "context_id"]).select("doc", "mark", "start", "stretches", "least")
     intervals = judged.mapInArrow(lambda b: _cut(b, depth), "doc long, mark long, span long").groupBy("doc", "mark").agg(F.collect_list("span").alias("intervals"))
     intervals = written(intervals, "repeats-intervals")
+    removed(occurrences, distinct, crowded, least, verdicts)
     verdict = intervals.select("doc", "mark", F.lit(False).alias("copy"), "intervals").union(copies.select("doc", "mark", F.lit(True).alias("copy"), F.lit(None).cast(intervals.schema["intervals"].dataType).alias("intervals")))
     whole = rows.join(verdict.hint("shuffle_hash"), ["doc", "mark"], "left").select("id", "text", "copy", "intervals", "more")
     schema = f"id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{', kept_text string' * with_text}, more {whole.schema['more'].dataType.simpleString()}"
