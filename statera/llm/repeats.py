@@ -41,7 +41,7 @@ GRAM = 24
 DEPTH = 50
 #: Distinct contexts of one anchor above which its stretches are grouped instead of sorted together.
 MANY = 4096
-#: Anchors that a task holds before it packs and sends them, and contexts sorted together.
+#: Anchors that a task holds before it packs and sends them, and most contexts sorted together on average.
 BLOCK_ANCHORS = 700_000
 SHARD_CONTEXTS = 20_000
 _PLACE = U64((1 << 24) - 1)
@@ -311,7 +311,7 @@ def without_repeats(
 
     distinct = written(occurrences.groupBy("anchor", "context_id", "context").agg(F.min("doc").alias("doc")), "repeats-contexts", compression="zstd")
     crowded = written(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MANY).select("anchor"), "repeats-crowded")
-    shards = max(1, distinct.count() // SHARD_CONTEXTS)
+    shards = max(buckets, distinct.count() // SHARD_CONTEXTS)
     few = distinct.join(crowded, "anchor", "left_anti").select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "anchor", "context_id", "context", "doc")
     verdicts = few.groupBy("shard").applyInArrow(lambda g: _sorted(g, depth), VERDICT)
     many = distinct.join(crowded, "anchor", "left_semi")
