@@ -1,9 +1,11 @@
 """Packing by optimal length buckets.
 
-A global histogram of lengths, one row per distinct length up to BINS of them (longer ranges are counted
-in wider steps), is all the driver sees. Dynamic programming over it chooses the bucket boundaries with
-the least total padding when every text is padded to its bucket's length. Inside a bucket texts follow
-one another in the order of their ids, and batches hold as many padded texts as the token budget allows.
+A global histogram of lengths, one row per distinct length, is all the driver sees. Texts with m distinct
+lengths have at least m(m-1)/2 words together, so it has at most about the square root of twice the words.
+Dynamic programming over it chooses the bucket boundaries with the least total padding when every text is
+padded to its bucket's length; cuts move up with the length, so a level divides and conquers in m log m
+steps. Inside a bucket texts follow one another in the order of their ids, and batches hold as many padded
+texts as the token budget allows.
 
 Positions inside a bucket are numbered without a global sort in one task: rows are dealt by ranges of
 (bucket, id), numbered inside each range, and shifted by the counts of the ranges before, of which there
@@ -25,7 +27,7 @@ from statera.llm.common import WORD, written
 
 BUCKETS = 8
 TOKEN_BUDGET = 65_536
-#: Most steps of the histogram; beyond as many distinct lengths a step covers several.
+#: Steps of the SQL's histogram, which is coarser than the lengths where the longest text exceeds it; packed() isn't.
 BINS = 4096
 
 
@@ -33,11 +35,34 @@ def words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+def _level(best: np.ndarray, lengths: np.ndarray, c: np.ndarray, s: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least padding of the lengths up to each j with one bucket more than in ``best``, and the earliest last cut."""
+    m = len(lengths)
+    now, cut = np.zeros(m, np.int64), np.zeros(m, np.int64)
+    # open stretches of j (first, end) and the cuts that can be theirs (low to high)
+    first, end, low, high = (np.array([v]) for v in (level, m, level - 1, m - 2))
+    while len(first):
+        mid = (first + end) // 2
+        sizes = np.minimum(high, mid - 1) - low + 1
+        starts = np.cumsum(sizes) - sizes
+        i = np.arange(sizes.sum()) + np.repeat(low - starts, sizes)
+        j = np.repeat(mid, sizes)
+        cost = best[i] + lengths[j] * (c[j + 1] - c[i + 1]) - (s[j + 1] - s[i + 1])
+        least = np.minimum.reduceat(cost, starts)
+        hits = np.flatnonzero(cost == np.repeat(least, sizes))
+        at = i[hits[np.searchsorted(hits, starts)]]
+        now[mid], cut[mid] = least, at
+        first, end, low, high = (np.concatenate(v) for v in ((first, mid + 1), (mid, end), (low, at), (at, high)))
+        left = first < end
+        first, end, low, high = first[left], end[left], low[left], high[left]
+    return now, cut
+
+
 def boundaries(lengths: np.ndarray, counts: np.ndarray, totals: np.ndarray, buckets: int) -> list[int]:
     """Upper ends of at most ``buckets`` buckets with the least padding.
 
-    lengths: ascending upper ends of the histogram's steps; counts: texts of each; totals: their true
-    lengths together. Of equally good cuts the earliest is taken.
+    lengths: the distinct lengths, ascending; counts: texts of each; totals: their lengths together. Of
+    equally good cuts the earliest is taken.
     """
     m, k = len(lengths), min(buckets, len(lengths))
     if not m:
@@ -46,13 +71,7 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, totals: np.ndarray, buck
     best = lengths * c[1:] - s[1:]
     cuts = []
     for level in range(1, k):
-        now, cut = np.zeros(m, np.int64), np.zeros(m, np.int64)
-        for j in range(level, m):
-            i = np.arange(level - 1, j)
-            cost = best[i] + lengths[j] * (c[j + 1] - c[i + 1]) - (s[j + 1] - s[i + 1])
-            at = int(cost.argmin())
-            now[j], cut[j] = cost[at], i[at]
-        best = now
+        best, cut = _level(best, lengths, c, s, level)
         cuts.append(cut)
     ends, j = [m - 1], m - 1
     for cut in reversed(cuts):
@@ -61,13 +80,10 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, totals: np.ndarray, buck
     return [int(lengths[j]) for j in reversed(ends)]
 
 
-def histogram(lengths: DataFrame, bins: int = BINS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(upper ends, counts, total lengths) over column n; at most ``bins`` steps and one for zero."""
-    longest = lengths.agg(F.max("n")).first()[0] or 0
-    step = max(1, -(-longest // bins))
-    end = F.ceil(F.col("n") / step).cast("long") * step
-    rows = lengths.groupBy(end.alias("end")).agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s")).orderBy("end").collect()
-    return tuple(np.array([r[i] for r in rows], np.int64) for i in range(3))
+def histogram(lengths: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct lengths, counts, total lengths) over column n."""
+    rows = lengths.groupBy("n").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s")).orderBy("n").toArrow()
+    return tuple(rows.column(i).to_numpy().astype(np.int64) for i in range(3))
 
 
 def packed(docs: DataFrame, length: Column, id_col: str = "doc_id", buckets: int = BUCKETS, budget: int = TOKEN_BUDGET) -> DataFrame:

@@ -23,6 +23,44 @@ def test_boundaries_are_optimal():
             assert padding(lengths, found) == best and len(found) <= k
 
 
+def quadratic(lengths, counts, buckets):
+    """Every cut of every level compared; of equals the earliest."""
+    c, s = [0, *np.cumsum(counts).tolist()], [0, *np.cumsum(lengths * counts).tolist()]
+    m, best, cuts = len(lengths), [int(e) * c[j + 1] - s[j + 1] for j, e in enumerate(lengths)], []
+    for level in range(1, min(buckets, m)):
+        found = {j: min((best[i] + int(lengths[j]) * (c[j + 1] - c[i + 1]) - s[j + 1] + s[i + 1], i) for i in range(level - 1, j)) for j in range(level, m)}
+        best = [found[j][0] if j in found else 0 for j in range(m)]
+        cuts.append(found)
+    ends = [m - 1]
+    for found in reversed(cuts):
+        ends.append(found[ends[-1]][1])
+    return [int(lengths[j]) for j in reversed(ends)]
+
+
+def test_divided_levels_equal_the_quadratic_ones():
+    draw = np.random.default_rng(9)
+    for _ in range(150):
+        lengths = np.unique(draw.integers(0, int(draw.choice([12, 90, 100_000])), int(draw.integers(1, 70))))
+        counts = draw.integers(1, int(draw.choice([2, 50])), len(lengths))
+        buckets = int(draw.integers(1, 9))
+        assert packing.boundaries(lengths, counts, lengths * counts, buckets) == quadratic(lengths, counts, buckets)
+
+
+def test_many_distinct_lengths():
+    lengths = np.arange(200_000, dtype=np.int64)
+    ends = packing.boundaries(lengths, np.ones_like(lengths), lengths, 8)
+    assert ends == list(range(24_999, 200_000, 25_000))
+
+
+def test_one_huge_text_leaves_the_other_boundaries_alone(spark):
+    draw = random.Random(8)
+    lengths = [*(min(int(draw.lognormvariate(5, 1)), 4000) for _ in range(2000)), 2_000_000]
+    rows = packing.packed(spark.createDataFrame(list(enumerate(lengths)), "doc_id long, size long"), F.col("size")).collect()
+    distinct, counts = np.unique(lengths, return_counts=True)
+    assert sorted({r["bucket_len"] for r in rows}) == quadratic(distinct, counts, packing.BUCKETS)
+    assert all(r["bucket_len"] in lengths for r in rows)
+
+
 def test_batches_hold_the_budget(spark):
     draw = random.Random(6)
     rows = [(i, draw.choice([0, 1, 5, 30, 31, 200])) for i in range(500)]
