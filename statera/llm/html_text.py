@@ -214,6 +214,91 @@ LABELLED = """
 22 .7   3 1     4 1    0 0  0
 30 .6   4 1    22 .7   0 0  0
 40 0    0 0     0 0    0 0  1
+12 .5  20 0    30 0    1 0  1
+12 1   20 0    30 0    1 0  1
+10 .8   8 0    12 0    1 0  1
+ 6 1   12 0    40 0    1 0  1
+ 5 1   30 0     9 0    1 0  1
+ 2 1   25 0    60 0    1 0  1
+35 .6  40 0    50 0    1 0  1
+25 .9   6 0    20 .5   1 0  1
+12 .6  60 0    14 .7   1 0  1
+14 .7  12 .6    0 0    1 0  1
+ 8 .5   5 0     0 0    1 0  1
+12 1    2 0    14 1    1 0  1
+14 1   12 1    11 1    1 0  1
+11 1   14 1     0 0    1 0  1
+ 5 1   60 0    40 0    1 1  1
+ 4 1   20 0    35 0    1 1  1
+ 1 0    3 1     0 0    1 0  1
+ 4 0   30 0     0 0    1 0  1
+ 5 .2   5 1     0 0    1 0  1
+ 6 0    6 1     0 0    1 0  1
+ 3 .3   3 1     0 0    1 0  1
+ 6 1   40 0     0 0    1 0  1
+ 3 1   12 0     0 0    1 0  1
+12 1    3 0    30 0    1 0  1
+ 5 1    6 0    20 0    1 0  1
+60 1    4 0    12 0    1 0  1
+ 9 1    8 0     0 0    1 0  1
+ 4 1    2 0     9 0    1 0  1
+ 3 1    1 0    40 0    1 0  1
+ 6 1   95 0    55 0    1 0  1
+ 3 1  120 0    40 0    1 0  1
+20 1    3 1    45 0    1 0  1
+30 1   12 0    30 .6   1 0  1
+12 .8   0 0    25 .9   1 0  1
+ 4 1    5 1    40 0    1 0  1
+ 8 1    0 0    60 0    1 0  1
+ 1 .1  60 .2    3 1    1 0  1
+ 3 0    3 1    12 0    1 0  1
+ 3 .2   5 1     5 1    1 0  1
+ 5 0    4 1     4 1    1 0  1
+ 6 .1   3 1     3 1    1 0  1
+ 8 .2   4 1     5 1    1 0  1
+20 0   60 .2    3 1    1 0  1
+20 0    5 1     4 1    1 0  1
+60 .1  12 1    14 1    1 0  1
+ 3 0   12 1    30 0    1 1  1
+ 6 .3   4 1    60 0    1 1  1
+ 7 .4  14 1    60 0    1 0  1
+ 9 .6   4 1    40 0    1 0  1
+20 .7   6 1     5 1    1 0  1
+30 .6   5 1     4 1    1 0  1
+80 .4   3 1     3 1    1 0  1
+40 .4   4 1     4 1    1 0  1
+30 .6   3 1     3 1    1 0  1
+25 1   24 1    26 1    1 0  1
+30 .9  60 0    28 1    1 0  1
+28 1   30 .9    4 1    1 0  1
+40 .8  60 0     5 1    1 0  1
+ 8 1    5 1     6 1    1 0  1
+ 2 1   60 0     3 1    2 0  0
+ 3 1   60 0     0 0    2 0  0
+ 2 1   90 0    30 0    2 0  0
+12 1   70 0    11 1    2 0  0
+12 .6  20 0    30 0    2 0  0
+40 .6  60 0    50 0    2 0  0
+ 5 .5  48 0     9 0    2 0  0
+ 4 1   60 0     2 1    2 1  0
+ 2 1   60 0     3 1    0 0  0
+ 3 1   95 0     0 0    0 0  0
+ 4 1   50 0     5 1    0 0  0
+ 5 .8  70 0     4 1    0 0  0
+30 .6  60 0    50 0    0 0  1
+12 .7  60 0    44 0    0 0  1
+ 6 1   70 0    55 0    0 0  1
+ 3 .2  14 0     3 1    0 0  0
+ 7 .2  30 0     4 1    0 0  0
+ 2 0    5 1    12 0    0 0  1
+ 1 0    3 1     3 0    0 0  1
+ 3 .1   9 0     7 0    0 0  1
+12 0   60 0     3 1    0 0  1
+15 .1   9 0     4 1    0 0  1
+ 9 0   40 0     5 1    0 0  1
+20 0    3 1     4 1    0 0  1
+10 .2   5 1     6 1    0 0  1
+ 6 0    4 1     5 1    0 0  0
 """
 FEATURES = 8
 MAX_DEPTH, MIN_ROWS = 6, 1

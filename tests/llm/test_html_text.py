@@ -36,6 +36,37 @@ def test_tree_fits_its_table():
     assert right.mean() > 0.95
 
 
+def judged(words, density, before, after, zone, heading=0):
+    import numpy as np
+
+    return bool(html_text.said_by(html_text.tree(), np.array([[words, density, *before, *after, zone, heading]], float))[0])
+
+
+def test_links_are_judged_by_their_zone():
+    for words in (1, 2, 5, 12, 40):
+        for density in (0.5, 0.8, 1):
+            for before in ((0, 0), (3, 0), (20, 0), (60, 0), (120, 0), (4, 1)):
+                for after in ((0, 0), (12, 0), (60, 0), (3, 1), (30, 0.6)):
+                    assert not judged(words, density, before, after, html_text.AROUND)
+    for words in (5, 12, 30, 60):
+        for density in (0.5, 0.8, 1):
+            for before in ((3, 0), (12, 0), (20, 0), (42, 0), (60, 0), (120, 0)):
+                for after in ((0, 0), (12, 0), (60, 0)):
+                    assert judged(words, density, before, after, html_text.MAIN), (words, density, before, after)
+    for words in (1, 5, 20, 80):
+        for density in (0, 0.2, 0.4):
+            for near in ((0, 0), (3, 1), (12, 1), (60, 0), (30, 0.6)):
+                assert judged(words, density, near, near, html_text.MAIN)
+
+
+def test_links_in_and_after_an_article():
+    long = "word " * 60
+    sources = "".join(f"<li><a href=x>Title of the source number {i} and its year</a>" for i in range(5))
+    page = f"<article><p>A short start.</p><p><a href=x>see this page and that one</a> for more of it all</p><p>{long}</p><ul>{sources}</ul></article><footer><a href=/>Home page</a></footer>"
+    titles = " ".join(f"Title of the source number {i} and its year" for i in range(5))
+    assert html_text.main_text(page) == f"A short start. see this page and that one for more of it all {long}{titles}"
+
+
 def test_edge_cases(spark):
     rows = [(1, "u", None, "t", 5), (2, None, "", "t", 5), (2, None, "", "t", 5), (None, "u", "<p>" + "long words here " * 20000, "t", 5)]
     docs = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
