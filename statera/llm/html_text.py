@@ -94,6 +94,17 @@ def blocks(page: str) -> list[Block]:
     zone, heading, links = (NEITHER, False), False, 0
     pieces: list[str] = []
     linked, at = 0, 0
+    # open inline elements on the stack by tag: those that open a zone, and those of the same tag inside them
+    inline: dict[str, int] = {}
+
+    def back(i: int) -> None:
+        """The elements from place i of the stack end."""
+        nonlocal zone
+        zone = stack[i][1]
+        for name, _ in stack[i:]:
+            if inline.get(name):
+                inline[name] -= 1
+        del stack[i:]
 
     def close() -> None:
         nonlocal linked
@@ -126,22 +137,40 @@ def blocks(page: str) -> list[Block]:
             pieces.append(" ")
             continue
         if tag not in _BLOCKS:
-            if tag in _VOID or closing or not found[4]:
+            if tag in _VOID or found[4].rstrip().endswith("/"):
                 continue
-            # an inline element counts where its names say so
-            if _zone(tag, found[4], zone) == zone or found[4].rstrip().endswith("/"):
+            if closing:
+                if inline.get(tag):
+                    i = len(stack) - 1
+                    # not past a container that stands inside it
+                    while stack[i][0] != tag and (stack[i][0] not in _BLOCKS or stack[i][0] in _ENDS_ITSELF):
+                        i -= 1
+                    if stack[i][0] == tag:
+                        if stack[i][1] != zone:
+                            close()
+                        back(i)
                 continue
+            # an inline element counts where its names say so
+            inner = _zone(tag, found[4], zone)
+            if inner != zone or inline.get(tag):
+                if inner != zone:
+                    close()
+                stack.append((tag, zone))
+                zone, inline[tag] = inner, inline.get(tag, 0) + 1
+            continue
         close()
         heading = tag in _HEADINGS and not closing
         if closing:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    zone = stack[i][1]
-                    del stack[i:]
+                    back(i)
                     break
             continue
-        if stack and stack[-1][0] in _ENDS_ITSELF and (tag == stack[-1][0] or stack[-1][0] == "p" or stack[-1][0] in _HEADINGS):
-            zone = stack.pop()[1]
+        top = len(stack) - 1
+        while top >= 0 and stack[top][0] not in _BLOCKS:
+            top -= 1
+        if top >= 0 and (outer := stack[top][0]) in _ENDS_ITSELF and (tag == outer or outer == "p" or outer in _HEADINGS):
+            back(top)
         if tag not in _VOID:
             stack.append((tag, zone))
             zone = _zone(tag, found[4], zone)

@@ -67,6 +67,23 @@ def test_links_in_and_after_an_article():
     assert html_text.main_text(page) == f"A short start. see this page and that one for more of it all {long}{titles}"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><p>A long sentence <span class="notice">x</span> and the rest of it.</p><p>Next.</p></article>', "A long sentence and the rest of it. Next."),
+        ("<article><p>A long <b class=ad>x</b> sentence<p>goes on <sup class=share>y</sup> here<p>to its end</article>", "A long sentence goes on here to its end"),
+        ("<article><p>Never <span class=promo>closed<p>The next one<p>and one more</article>", "Never The next one and one more"),
+        ("<article><p>One <span class=notice>a <span>b <span>c</span></span> d</span> two</p></article>", "One two"),
+        ("<article><p>One <label class=menu>a <b>b</label> two</b> three</p></article>", "One two three"),
+        ("<article><h2>Head <small class=share>x</small> line</h2><p>Text of it.</p></article>", "Head line Text of it."),
+        ("<article><p>One</span> two</p></article>", "One two"),
+        ("<article><span class=sidebar><div>a</span> b</div></span><p>Text</p></article>", "Text"),
+    ],
+)
+def test_a_named_inline_element_ends_where_it_is_closed(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_edge_cases(spark):
     rows = [(1, "u", None, "t", 5), (2, None, "", "t", 5), (2, None, "", "t", 5), (None, "u", "<p>" + "long words here " * 20000, "t", 5)]
     docs = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
