@@ -8,7 +8,8 @@ says which blocks are main text. Character references are decoded, white space i
 space, and the blocks that stay are joined by one space in page order; nothing else is dropped or cut.
 
 Defined results: a null page is empty and has empty text; unclosed, crossing and cut-off tags are
-tolerated; scripts, styles, templates, the head and comments never count; repeated rows give equal
+tolerated, and a hidden element (a button, drawing, player) that isn't closed hides nothing; scripts, styles,
+templates, the head and comments never count; repeated rows give equal
 results; an empty table gives an empty result; columns other than those named are ignored.
 """
 
@@ -29,12 +30,18 @@ from statera.llm.common import small_batches
 
 NEITHER, MAIN, AROUND = 0, 1, 2
 
-_HIDDEN = "script|style|noscript|template|head|svg|math|iframe|object|select|textarea|button|video|audio|canvas"
+#: Text that is no markup up to the closing tag, or to the end of the page.
+_RAW = frozenset("script style template textarea iframe".split())
+_NESTED = frozenset("svg math object".split())
+_HIDDEN = _RAW | _NESTED | frozenset("head noscript select button video audio canvas".split())
 _MARKUP = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({_HIDDEN})(?![\w-])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</\1\s*>|(?=.*?<body)|.*\Z)"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)",
-    re.S | re.I,
+    re.S,
 )
+#: Where a hidden element's next tag is; a raw or nested one's closing tag.
+_NEXT = {tag: re.compile(rf"</{tag}\s*>" if tag in _RAW | _NESTED else rf"<(?:/{tag}\s*>|{tag}(?![\w-]))", re.I) for tag in (*_HIDDEN, "title")}
+_BODY = re.compile("<body", re.I)
 _ATTRIBUTES = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAMES = re.compile(r"[a-z]+")
 _BLOCKS = frozenset(
@@ -122,14 +129,35 @@ def blocks(page: str) -> list[Block]:
         if links:
             linked += len(text.split())
 
-    for found in _MARKUP.finditer(page):
+    # hidden tags that don't come again, and whether a head is open that has no end
+    gone: set[str] = set()
+    open_head = False
+
+    def hidden(tag: str, start: int) -> int:
+        """Where the hidden element ends whose tag ends at start: there if it isn't closed."""
+        nonlocal open_head
+        end = None if tag in gone else _NEXT[tag].search(page, start)
+        if end is None:
+            gone.add(tag)
+        elif end[0].startswith("</"):
+            return end.end()
+        if tag in _RAW:
+            return start if _BODY.search(page, start) else len(page)
+        open_head = open_head or tag == "head"
+        return start
+
+    while found := _MARKUP.search(page, at):
         if found.start() > at:
             said(page[at : found.start()])
         at = found.end()
-        tag = found[3]
+        tag = found[2]
         if tag is None:
             continue
-        tag, closing = tag.lower(), bool(found[2])
+        tag, closing = tag.lower(), bool(found[1])
+        if (tag in _HIDDEN or (open_head and tag == "title")) and not closing:
+            if not (tag in _NESTED and found[3].endswith("/")):
+                at = hidden(tag, at)
+            continue
         if tag == "a":
             links = 0 if closing else 1
             continue
@@ -137,7 +165,7 @@ def blocks(page: str) -> list[Block]:
             pieces.append(" ")
             continue
         if tag not in _BLOCKS:
-            if tag in _VOID or found[4].rstrip().endswith("/"):
+            if tag in _VOID or found[3].rstrip().endswith("/"):
                 continue
             if closing:
                 if inline.get(tag):
@@ -151,7 +179,7 @@ def blocks(page: str) -> list[Block]:
                         back(i)
                 continue
             # an inline element counts where its names say so
-            inner = _zone(tag, found[4], zone)
+            inner = _zone(tag, found[3], zone)
             if inner != zone or inline.get(tag):
                 if inner != zone:
                     close()
@@ -173,7 +201,7 @@ def blocks(page: str) -> list[Block]:
             back(top)
         if tag not in _VOID:
             stack.append((tag, zone))
-            zone = _zone(tag, found[4], zone)
+            zone = _zone(tag, found[3], zone)
             links = 0 if tag in ("div", "section", "article", "main") else links
     if at < len(page):
         said(page[at:])

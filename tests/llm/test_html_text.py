@@ -84,6 +84,30 @@ def test_a_named_inline_element_ends_where_it_is_closed(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p>one <svg class=i/> two</p><p>three</p></article>", "one two three"),
+        ("<article><p>one <svg/> keep me</p><p>keep too <svg><text>no</text></svg> end</p></article>", "one keep me keep too end"),
+        ("<article><p>one <math/> two <MATH><mi>x</mi></MATH> three</p></article>", "one two three"),
+        ("<article><p>one <svg class=i> two</p><p>three</p></article>", "one two three"),
+        *((f"<article><p>one <{tag} class=x> two</p><p>three</p></article>", "one two three") for tag in ("button", "object", "noscript", "video", "audio", "canvas", "select")),
+        ("<article><p>one <button>two</p><p>three <button>no</button> four</p></article>", "one two three four"),
+        ("<article><p>one <script>no</p><p>no</article>", "one"),
+        ("<html><head><title>no</title><article><p>one</p></article>", "one"),
+        ("<html><head><title>no</title></head><article><p>one <video>no</video>two</p></article>", "one two"),
+        ("<article><p>one <object><object>no</object> two</p></article>", "one two"),
+        ("<article><header><p>one</p></header></article>", "one"),
+    ],
+)
+def test_hidden_elements_hide_themselves_alone(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_many_unclosed_hidden_elements_take_linear_time():
+    assert html_text.main_text("<article>" + "<p>word <svg> and <button> more" * 30_000).count("word") == 30_000
+
+
 def test_edge_cases(spark):
     rows = [(1, "u", None, "t", 5), (2, None, "", "t", 5), (2, None, "", "t", 5), (None, "u", "<p>" + "long words here " * 20000, "t", 5)]
     docs = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
