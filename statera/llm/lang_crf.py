@@ -3,7 +3,8 @@
 Each word scores its affixes (one to three letters at either end), character bigrams and trigrams and
 the word itself as hashed features; learned transitions couple neighbouring words, and forward-backward
 gives every word's language distribution. A text's language is the one with the largest summed
-probability over its words with a letter; its score is that sum's share.
+probability over its words with a letter; its score is that sum's share. How sure the field is of a text's
+words, in whatever languages, is the mean of their largest probabilities; a text is accepted by that.
 
 The field is trained on a bounded sample of labelled rows (SAMPLE_ROWS per language, those with the
 least hash of their id), partly cut into stretches and mixed, so that switches between languages occur
@@ -240,14 +241,14 @@ def _labeller(field: Field) -> Labeller:
     return _LAST[0]
 
 
-def _predicted(batches: Iterable[pa.RecordBatch], field, with_words: bool) -> Iterator[pa.RecordBatch]:
+def _predicted(batches: Iterable[pa.RecordBatch], field, with_words: bool, with_sure: bool = False) -> Iterator[pa.RecordBatch]:
     labeller = _labeller(field.value) if field.value else None
     names = field.value.languages if field.value else []
     for batch in batches:
         at = 0
         for texts in _slices(batch.column(batch.num_columns - 1)):
             n = len(texts)
-            langs, scores, words = [UND] * n, [0.0] * n, [[] for _ in range(n)]
+            langs, scores, words, sure = [UND] * n, [0.0] * n, [[] for _ in range(n)], np.zeros(n)
             if labeller:
                 marginals, lettered, begins = labeller.marginals(texts)
                 sums = np.zeros((n, len(names)))
@@ -257,13 +258,16 @@ def _predicted(batches: Iterable[pa.RecordBatch], field, with_words: bool) -> It
                 best, total = sums.argmax(axis=1), sums.sum(axis=1)
                 for i in np.flatnonzero(total > 0):
                     langs[i], scores[i] = names[best[i]], min(1.0, float(sums[i, best[i]] / total[i]))
+                if with_sure and len(filled):
+                    tallest = np.add.reduceat(marginals.max(axis=1) * lettered, begins[filled], dtype=np.float64)
+                    sure[filled] = tallest / np.maximum(total[filled], 1)
                 if with_words:
                     tops = marginals.argmax(axis=1)
                     words = [[names[j] if y else UND for j, y in zip(tops[a:b], lettered[a:b], strict=True)] for a, b in zip(begins[:-1], begins[1:], strict=True)]
             columns = [*(c.slice(at, n) for c in batch.columns[:-1]), pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
-            columns += [pa.array(words, pa.list_(pa.string()))] * with_words
+            columns += [pa.array(words, pa.list_(pa.string()))] * with_words + [pa.array(sure)] * with_sure
             at += n
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "lang_pred", "score"] + ["word_langs"] * with_words)
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "lang_pred", "score"] + ["word_langs"] * with_words + ["sure"] * with_sure)
 
 
 def held_out(id_col: str) -> Column:
@@ -292,13 +296,16 @@ def identified(docs: DataFrame, field: Field | None, keep: list[str], text_col:
 def _accepted(batches: Iterable[pa.RecordBatch], field, text: int, least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         alone = pa.RecordBatch.from_arrays([batch.column(text)], names=["text"])
-        found = pa.Table.from_batches(_predicted([alone], field, False))
-        keep = [lang != UND and score >= least for lang, score in zip(found.column("lang_pred").to_pylist(), found.column("score").to_pylist(), strict=True)]
+        found = pa.Table.from_batches(_predicted([alone], field, False, with_sure=True))
+        keep = [lang != UND and sure >= least for lang, sure in zip(found.column("lang_pred").to_pylist(), found.column("sure").to_pylist(), strict=True)]
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
 def accepted(docs: DataFrame, field: Field | None, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows, unchanged, whose text has a language with a score of at least ``least``."""
+    """The rows, unchanged, whose words with a letter have a largest probability of at least ``least`` on average.
+
+    That is never under the score, and stays high where a clean text is in several languages.
+    """
     small_batches(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(field), docs.columns.index(text_col)
     return docs.mapInArrow(lambda b: _accepted(b, shared, at, least), docs.schema)

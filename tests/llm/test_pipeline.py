@@ -37,6 +37,26 @@ def test_every_stage_against_brute_force(spark):
     assert {r["doc_id"]: r["n_tokens"] for r in packed.collect()} == lengths
 
 
+def test_documents_in_several_languages_are_kept(spark):
+    start = spark.read.parquet(f"{SF}/documents.parquet")
+    words = {}
+    for r in sorted(start.collect(), key=lambda r: r["doc_id"]):
+        words.setdefault(r["lang"], []).extend(w for w in (r["text"] or "").split() if any(map(str.isalpha, w)))
+    shares = [{"en": 200, "fr": 200}, {"de": 49, "es": 48, "fr": 3}, {"en": 160, "fr": 120, "de": 120}, {"es": 100, "de": 100, "fr": 100}, {"en": 100, "fr": 100, "de": 100, "es": 100}]
+    mixed = [(10_000 + i, " ".join(w for lang, n in s.items() for w in words[lang][50 * i : 50 * i + n])) for i, s in enumerate(shares)]
+    none = [(20_000, "12 34 -- 56"), (20_001, ""), (20_002, None)]
+    added = spark.createDataFrame([(i, t, None, "mixed", len(t or "")) for i, t in mixed + none], start.select(corpus_pipeline.COLUMNS).schema)
+    docs = start.select(corpus_pipeline.COLUMNS).union(added)
+    field = lang_crf.learned(docs, ~lang_crf.held_out("doc_id"))
+    scores = {r["doc_id"]: r["score"] for r in lang_crf.identified(added, field, ["doc_id"]).collect()}
+    assert sum(0 < s < 0.5 for s in scores.values()) >= 3
+    kept = lang_crf.accepted(added, field)
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, added.filter("doc_id < 20000").collect()))
+    assert {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, SF).filter("doc_id >= 10000").collect()} == {i for i, _ in mixed}
+    knows_nothing = lang_crf.Field(field.languages, 0 * field.weights, 0 * field.transitions)
+    assert lang_crf.accepted(docs, knows_nothing).count() == 0
+
+
 def test_edge_cases(spark, tmp_path):
     for name, docs in (("few", documents(spark)), ("none", documents(spark, []))):
         folder = tmp_path / name
