@@ -27,8 +27,6 @@ from statera.llm.common import WORD, written
 
 BUCKETS = 8
 TOKEN_BUDGET = 65_536
-#: Steps of the SQL's histogram, which is coarser than the lengths where the longest text exceeds it; packed() isn't.
-BINS = 4096
 
 
 def words(text: Column) -> Column:
@@ -107,8 +105,8 @@ def packed(docs: DataFrame, length: Column, id_col: str = "doc_id", buckets: int
     return numbered.select("id", F.col("n").alias("n_tokens"), "bucket", "bucket_len", F.floor(F.col("at") / F.col("held")).cast("long").alias("batch"), (F.col("at") % F.col("held")).alias("slot"))
 
 
-def _sql(buckets: int, budget: int, bins: int) -> str:
-    """The same in SQL, one step of the dynamic programme after the other."""
+def _sql(buckets: int, budget: int) -> str:
+    """The same in SQL: every cut of the distinct lengths is tried, one level of the dynamic programme after the other."""
     levels = [
         f"""d{k} AS (SELECT b.j, min(struct_pack(cost := a.cost + b.e * (b.c - x.c) - (b.s - x.s), i := a.j)) AS m FROM h b JOIN l{k - 1} a ON a.j < b.j JOIN h x ON x.j = a.j GROUP BY b.j),
     l{k} AS (SELECT j, m.cost AS cost, m.i AS i FROM d{k})"""
@@ -119,8 +117,7 @@ def _sql(buckets: int, budget: int, bins: int) -> str:
     union = " UNION ALL ".join(f"SELECT {k - 1} AS bucket, e AS bucket_len FROM h JOIN c{k} USING (j)" for k in range(1, buckets + 1))
     return rf"""
     WITH w AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n FROM documents),
-    g AS (SELECT greatest(1, ceil(max(n) / {bins})::BIGINT) AS step FROM w),
-    f AS (SELECT ceil(n / step)::BIGINT * step AS e, count(*) AS c, sum(n)::BIGINT AS s FROM w, g GROUP BY ALL),
+    f AS (SELECT n AS e, count(*) AS c, sum(n)::BIGINT AS s FROM w GROUP BY n),
     h AS (SELECT row_number() OVER (ORDER BY e) AS j, e, (sum(c) OVER (ORDER BY e))::BIGINT AS c, (sum(s) OVER (ORDER BY e))::BIGINT AS s FROM f),
     l1 AS (SELECT j, e * c - s AS cost, 0::BIGINT AS i FROM h),
     {", ".join(levels)}, {", ".join(ends)},
@@ -132,4 +129,4 @@ def _sql(buckets: int, budget: int, bins: int) -> str:
     """
 
 
-SQL = _sql(BUCKETS, TOKEN_BUDGET, BINS)
+SQL = _sql(BUCKETS, TOKEN_BUDGET)

@@ -82,3 +82,14 @@ def test_edge_cases(spark):
     rows = packing.packed(documents(spark), packing.words(F.col("text"))).collect()
     assert len(rows) == 11 and all(r["n_tokens"] == 0 for r in rows if r["id"] in (3, 4, 6))
     assert packing.packed(documents(spark, []), packing.words(F.col("text"))).collect() == []
+
+
+def test_boundaries_of_whole_tables_by_brute_force(spark):
+    draw = random.Random(12)
+    for lengths in ([3, 3, 10_000], [3, 3, 4_097, 10_000, 10_001, 250_000], [draw.choice([1, 7, 90, 5_000, 5_001, 9_000, 70_000, 70_011, 1_000_000]) for _ in range(60)]):
+        for k in (2, 3):
+            got = packing.packed(spark.createDataFrame(list(enumerate(lengths)), "doc_id long, size long"), F.col("size"), buckets=k).collect()
+            distinct = sorted(set(lengths))
+            best = min(padding(lengths, c) for n in range(1, k + 1) for c in itertools.combinations(distinct, min(n, len(distinct))) if distinct[-1] in c)
+            assert sum(r["bucket_len"] - r["n_tokens"] for r in got) == best
+            assert {r["bucket_len"] for r in got} <= set(lengths)
