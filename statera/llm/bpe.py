@@ -9,7 +9,8 @@ looked up first and only new ones are taken apart.
 
 Defined results: a null text counts as empty and gives no ids; special tokens spelled out in a text are
 their ids; identifiers may be null or repeat (one result row per input row); other columns are ignored.
-Tables of fragments are bounded and start anew when full, so memory doesn't grow with the corpus.
+Tables of fragments are bounded in entries and in bytes and start anew when full, so memory doesn't grow with
+the corpus. A fragment of n bytes is merged in n log n steps, so long runs without a cut are no special case.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,9 @@ from statera.llm.common import small_batches
 #: The pre-tokenizer's pattern and white space (Unicode White_Space) of the byte-level vocabulary.
 _WS = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
-TABLE_ENTRIES = 400_000
+TABLE_ENTRIES, TABLE_BYTES = 400_000, 48 << 20
+#: Symbols up to which a fragment's least rank is found by looking at all of them.
+SHORT = 48
 
 
 def byte_letters() -> list[str]:
@@ -40,6 +44,22 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+class Table(dict):
+    """Ids by stretch or fragment; starts anew when it holds too many entries or bytes."""
+
+    def __init__(self, entries: int, most: int = TABLE_BYTES):
+        self.entries, self.most, self.size = entries, most, 0
+
+    def put(self, key, ids: bytes) -> None:
+        size = len(key) + len(ids)
+        if len(self) >= self.entries or self.size + size > self.most:
+            self.clear()
+            self.size = 0
+        if size <= self.most:
+            self[key] = ids
+            self.size += size
+
+
 class ForcedBoundaryBPE:
     def __init__(self, path: str, entries: int = TABLE_ENTRIES):
         with open(path, encoding="utf-8") as f:
@@ -72,7 +92,7 @@ class ForcedBoundaryBPE:
             self.together[whole[:-1], whole[1:]] = True
         apart = ~self.together
         self._apart = [frozenset(np.flatnonzero(apart[b]).tolist()) for b in range(256)]
-        self._entries, self._fragment_ids, self._plain, self._spaced = entries, {}, {}, {}
+        self._fragment_ids, self._plain, self._spaced = Table(entries), Table(entries), Table(entries)
 
     def fragments(self, piece: bytes) -> list[bytes]:
         """``piece`` cut between all neighbouring bytes that no token holds side by side."""
@@ -89,6 +109,8 @@ class ForcedBoundaryBPE:
         ids, get, joined = [self._single[b] for b in fragment], self._rank.get, self._joined
         none = len(joined)
         ranks = [get(a << 32 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        if len(ids) > SHORT:
+            return self._merged_by_heap(ids, ranks)
         while ranks and (best := min(ranks)) < none:
             i = ranks.index(best)
             ids[i] = joined[best]
@@ -99,27 +121,51 @@ class ForcedBoundaryBPE:
                 ranks[i] = get(ids[i] << 32 | ids[i + 1], none)
         return ids
 
+    def _merged_by_heap(self, ids: list[int], ranks: list[int]) -> list[int]:
+        """The same over a linked list: a heap of (rank, place) names the next pair; entries of pairs that are gone are skipped."""
+        get, joined, n = self._rank.get, self._joined, len(ids)
+        none = len(joined)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        ranks.append(none)
+        heap = [r * n + i for i, r in enumerate(ranks) if r < none]
+        heapify(heap)
+        while heap:
+            best, i = divmod(heappop(heap), n)
+            if ranks[i] != best:
+                continue
+            gone = after[i]
+            ids[i], ids[gone], ranks[gone] = joined[best], -1, none
+            right = after[i] = after[gone]
+            if right < n:
+                before[right] = i
+            ranks[i] = get(ids[i] << 32 | ids[right], none) if right < n else none
+            if ranks[i] < none:
+                heappush(heap, ranks[i] * n + i)
+            if (left := before[i]) >= 0:
+                ranks[left] = get(ids[left] << 32 | ids[i], none)
+                if ranks[left] < none:
+                    heappush(heap, ranks[left] * n + left)
+        return [i for i in ids if i >= 0]
+
     def _fragment(self, fragment: bytes) -> bytes:
         if (found := self._fragment_ids.get(fragment)) is None:
-            if len(self._fragment_ids) >= self._entries:
-                self._fragment_ids.clear()
-            found = self._fragment_ids[fragment] = np.array(self._merged(fragment), "<u4").tobytes()
+            found = np.array(self._merged(fragment), "<u4").tobytes()
+            self._fragment_ids.put(fragment, found)
         return found
 
     def _taken_apart(self, stretch: str) -> bytes:
         return b"".join(self._fragment(f) for piece in self._pieces(stretch) for f in self.fragments(piece.encode()))
 
-    def _looked_up(self, table: dict[str, bytes], keys: list[str], before: str) -> bytes:
+    def _looked_up(self, table: Table, keys: list[str], before: str) -> bytes:
         found = list(map(table.get, keys))
         try:
             return b"".join(found)
         except TypeError:  # some are unknown
-            if len(table) >= self._entries:
-                table.clear()
             for i in [i for i, ids in enumerate(found) if ids is None]:
                 key = keys[i]
                 if (ids := table.get(key)) is None:
-                    ids = table[key] = self._taken_apart(before + key)
+                    ids = self._taken_apart(before + key)
+                    table.put(key, ids)
                 found[i] = ids
             return b"".join(found)
 

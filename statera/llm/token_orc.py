@@ -10,7 +10,7 @@ across it, so the ids of a text are the ids of its stretches. New stretches are
 the table of known ones is bounded and forgets those not used of late.
 
 Defined results: a null text counts as empty and holds the end id alone; null ids sort first; repeated
-ids keep one row each (order among them undefined); an empty table gives empty files and no rows; other
+ids keep one row each, in the order of their texts; an empty table gives empty files and no rows; other
 columns are ignored.
 """
 
@@ -31,8 +31,8 @@ from statera.llm.bpe import vocabulary
 from statera.llm.common import new_dir, opened, small_batches, written
 
 END_ID = 2
-#: Stretches that a worker keeps at most; half of them are the ones that were used last.
-TABLE_ENTRIES = 600_000
+#: Stretches that a worker keeps at most, and their bytes with their ids; half of them are the ones that were used last.
+TABLE_ENTRIES, TABLE_BYTES = 600_000, 128 << 20
 SCHEMA = "part int, row long, doc_id long, tokens array<int>"
 #: Options of the ORC writer. Compression is by zstd over run-length encoded integers.
 LAYOUT = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "2000", "orc.stripe.size": str(32 << 20)}
@@ -57,13 +57,14 @@ class StretchTable:
         vocabulary = self.tokenizer.get_vocab()
         self._ends_word = np.zeros(1 + max(vocabulary.values()), bool)
         self._ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.entries, self.known, self.older = entries, {"": b""}, {}
+        self.entries, self.known, self.older, self.size = entries, {"": b""}, {}, 0
 
     @staticmethod
     def stretches(text: str) -> list[str]:
-        """``text`` cut where the tokenizer cuts in any case; ASCII is lower-cased, as the tokenizer will."""
+        """``text`` cut where the tokenizer cuts in any case; ASCII is lower-cased, as the tokenizer will, unless it
+        may spell a special token, which is one in its own letters alone."""
         text = _CLOSING.sub(r" \g<0>", text)
-        return (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")
+        return (text.lower() if text.isascii() and "<|" not in text else text).replace("\n", " ").split(" ")
 
     def _words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words of letters alone, encoded together and parted after the tokens that end a word."""
@@ -92,10 +93,11 @@ class StretchTable:
         others = [s for s in new if not s.isalpha()]
         for at in range(0, len(others), 10_000):
             self.known.update(self._others(others[at : at + 10_000]))
+        self.size += sum(len(s) + len(self.known[s]) for s in missing)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.entries // 2:
-            self.known, self.older = {"": b""}, self.known
+        if len(self.known) > self.entries // 2 or self.size > TABLE_BYTES // 2:
+            self.known, self.older, self.size = {"": b""}, self.known, 0
         get, join, out, open_ = self.known.get, b"".join, [], []
         for text in texts:
             stretches = self.stretches(text)
@@ -158,7 +160,7 @@ def written_tokens(docs: DataFrame, folder: str, path: str | None = None, id_col
     small_batches(docs.sparkSession)
     partitions = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id")
+    ordered = rows.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(lambda batches: _encoded(batches, path, end_id), SCHEMA).write.options(**LAYOUT).orc(folder)
 
 

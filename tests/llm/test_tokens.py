@@ -10,7 +10,7 @@ from tests.llm.cases import documents
 
 pytest.importorskip("public_tokenizers")
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
-PIECES = list(" \n\t\r\x0b\x1c\x85\xa0　'abcdstrevlm0129.,!?<|>_éßÉİΣς中한ᄀ́²ⅷ🙂‍") + ["<|endoftext|>", "<|startoftext|>", "  ", "'s", "'ll", ". ", ", "]
+PIECES = list(" \n\t\r\x0b\x1c\x85\xa0　'abcdstrevlm0129.,!?<|>_éßÉİΣς中한ᄀ́²ⅷ🙂‍") + ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|", "  ", "'s", "'ll", ". ", ", "]
 
 
 def samples(n=1500):
@@ -75,3 +75,38 @@ def test_orc_round_trip(spark, tmp_path):
     plan = token_orc.read_tokens(spark, folder).filter("doc_id = 7")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(doc_id,7)" in plan
     assert token_orc.tokenized(documents(spark, [])).collect() == []
+
+
+def test_long_runs_without_a_cut():
+    own, other = bpe.ForcedBoundaryBPE(bpe.vocabulary("byte_bpe_50k.json")), library("byte_bpe_50k.json")
+    draw = random.Random(5)
+    runs = ["a" * 1_000_000, "ate" * 100_000, "=" * 200_000, "é" * 50_000, " " * 50_000 + "x", "".join(draw.choice("aeiotn") for _ in range(100_000)), "a" * bpe.SHORT, "a" * (bpe.SHORT + 1)]
+    for text in runs:
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == other.encode(text, add_special_tokens=False).ids
+        assert own.decode(own.encode(text)) == text
+
+
+def test_tables_are_bounded_in_bytes():
+    table = bpe.Table(10, most=100)
+    for i in range(50):
+        table.put(str(i) * 8, b"x" * 16)
+        assert table.size <= 100 and table.size == sum(len(k) + len(v) for k, v in table.items())
+    table.put("long" * 40, b"x")
+    assert "long" * 40 not in table
+
+
+def scanned(df):
+    """Rows that the scan of ``df`` handed on."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value()
+
+
+def test_row_groups_are_skipped_by_index_and_bloom_filter(spark, tmp_path):
+    folder = f"file://{tmp_path}/orc"
+    docs = spark.range(0, 12_000, 2).selectExpr("id AS doc_id", "concat('text number ', id) AS text")
+    token_orc.written_tokens(docs, folder, partitions=1)
+    rows = token_orc.read_tokens(spark, folder)
+    assert scanned(rows.select("doc_id")) == 6000
+    assert scanned(rows.filter("doc_id = 6000").select("doc_id")) <= 2000  # one row group by its index
+    assert scanned(rows.filter("doc_id = 6001").select("doc_id")) <= 2000  # inside a group's range, but not in its filter
+    assert scanned(rows.filter("doc_id in (6001)").select("doc_id")) + scanned(rows.filter("doc_id = 777").select("doc_id")) == 0
