@@ -103,10 +103,11 @@ def exact_duplicates(
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, unchanged, that stay."""
     docs = on_files(docs, "dedup-docs")
-    gone = exact_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("place.file").alias("file"), F.col("place.row").alias("row"))
-    rows = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    left = rows.join(gone, (F.col("__file") == F.col("file")) & (F.col("__row") == F.col("row")), "left_anti")
-    return left.drop("__file", "__row")
+    taken = {c.lower() for c in docs.columns}
+    file, row, gone_file, gone_row = (next(n for n in (f"__{x}{i}" for i in range(len(taken) + 1)) if n not in taken) for x in ("file", "row", "gone_file", "gone_row"))
+    gone = exact_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("place.file").alias(gone_file), F.col("place.row").alias(gone_row))
+    rows = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
+    return rows.join(gone, (F.col(file) == F.col(gone_file)) & (F.col(row) == F.col(gone_row)), "left_anti").drop(file, row)
 
 
 def _strays(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:

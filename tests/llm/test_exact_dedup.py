@@ -49,3 +49,11 @@ def test_query_against_brute_force(spark):
         groups.setdefault(r["text"] or "", []).append(r["doc_id"])
     expected = {r["doc_id"]: (max(groups[r["text"] or ""]), len(groups[r["text"] or ""])) for r in rows}
     assert {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in QUERIES["op5_exact_dedup"](spark, SF).collect()} == expected
+
+
+def test_clashing_columns(spark):
+    rows = [(1, "a", "f", 5, "x", "y", 1), (2, "a", "f", 5, "x", "y", 1), (3, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, file string, row long, __file string, __gone_file string, __ROW0 int")
+    got = exact_dedup.deduplicated(docs)
+    assert got.columns == docs.columns
+    assert sorted(r["doc_id"] for r in got.collect()) == [2, 3]
