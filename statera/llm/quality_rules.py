@@ -2,7 +2,7 @@
 
 Each text is measured once (words, symbols, repeated lines, words in repeated five-word windows). Rule
 failures are counted by host, each host's failure rate is shrunk towards the rate of all hosts with a
-beta prior fitted to the host rates (method of moments), and the host's verdict is joined back to its
+beta prior fitted to the host rates (method of moments, less the noise that small hosts show by chance), and the host's verdict is joined back to its
 documents. The measures are written once; hosts are summed with partial aggregation, so a host with a
 third of all rows costs one row per task, and the verdict join moves only the small measure rows.
 
@@ -24,8 +24,9 @@ MAX_REPEAT_PERCENT = 20
 SYMBOLS = r"[#*$%&|<>]"
 #: A host is rejected when its shrunk failure rate is above this.
 MAX_HOST_RATE = 0.5
-#: Strength of the prior, in documents, where the host rates don't vary or vary too much to fit one.
-PLAIN_STRENGTH = 10.0
+#: Strength of the prior, in documents: the most that is fitted, taken where the rates vary no more than by chance,
+#: and the one where none can be fitted (hosts of one document each, or rates of 0 and 1 alone).
+MOST_STRENGTH, PLAIN_STRENGTH = 10_000.0, 10.0
 
 
 def _windows(words: Column, n: Column, make) -> Column:
@@ -73,15 +74,20 @@ def base_failed() -> Column:
 def host_rates(measures: DataFrame, host_col: str, failed: Column | None = None) -> DataFrame:
     """(host, n_docs, n_failed, shrunk_rate): posterior mean of each host's failure rate.
 
-    The prior's mean m and strength s follow from mean and variance of the host rates, s = m(1-m)/v - 1.
+    The prior's mean m is the mean of the rates. Their variance v holds the hosts' own t and the binomial noise of
+    n documents each, v = t + (m(1-m) - t) a with a the mean of 1/n, so t = (v - m(1-m) a) / (1 - a), and the
+    strength is s = m(1-m)/t - 1.
     """
     failed = base_failed() if failed is None else failed
     hosts = measures.groupBy(F.col(host_col).alias("host")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(failed.cast("long")).alias("n_failed"))
     rate = F.col("n_failed") / F.col("n_docs")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v")).first()
-    m, v = prior["m"] or 0.0, prior["v"] or 0.0
-    fitted = m * (1 - m) / v - 1 if v > 1e-12 else 0.0
-    s = fitted if fitted > 0 else PLAIN_STRENGTH
+    found = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"), F.avg(1 / F.col("n_docs")).alias("a")).first()
+    m, v, a = found["m"] or 0.0, found["v"] or 0.0, found["a"] or 1.0
+    s = PLAIN_STRENGTH
+    if a < 1 - 1e-9:
+        own = (v - m * (1 - m) * a) / (1 - a)
+        fitted = m * (1 - m) / own - 1 if own > 1e-9 else MOST_STRENGTH
+        s = min(fitted, MOST_STRENGTH) if fitted > 0 else PLAIN_STRENGTH
     return hosts.withColumn("shrunk_rate", (F.col("n_failed") + m * s) / (F.col("n_docs") + s))
 
 
@@ -117,8 +123,9 @@ SQL = r"""
         FROM w LEFT JOIN lined USING (doc_id) LEFT JOIN covered USING (doc_id)),
     f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
     h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS k FROM f GROUP BY source),
-    p AS (SELECT avg(k / n) AS m, var_pop(k / n) AS v FROM h),
-    s AS (SELECT m, CASE WHEN v > 1e-12 AND m * (1 - m) / v - 1 > 0 THEN m * (1 - m) / v - 1 ELSE 10.0 END AS s FROM p),
+    p AS (SELECT avg(k / n) AS m, var_pop(k / n) AS v, avg(1 / n) AS a FROM h),
+    t AS (SELECT m, a, CASE WHEN a < 1 - 1e-9 THEN (v - m * (1 - m) * a) / (1 - a) END AS t FROM p),
+    s AS (SELECT m, CASE WHEN t IS NULL THEN 10.0 WHEN t <= 1e-9 THEN 10000.0 WHEN m * (1 - m) / t - 1 > 0 THEN least(m * (1 - m) / t - 1, 10000.0) ELSE 10.0 END AS s FROM t),
     r AS (SELECT source, (k + m * s) / (n + s) > 0.5 AS host_failed FROM h, s)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT host_failed AS kept, host_failed
     FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source

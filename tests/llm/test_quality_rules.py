@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from statera.llm import quality_rules
 from tests.llm.cases import documents
 
@@ -37,3 +39,16 @@ def test_small_hosts_are_shrunk_and_bad_hosts_rejected(spark):
 def test_no_python_in_the_plan(spark):
     plan = quality_rules.measured(documents(spark), ["doc_id"])._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_the_prior_leaves_out_the_noise_of_small_hosts(spark):
+    # 200 hosts of 4 documents, each failing by chance alone at one half: no host is worse than another
+    rows = [(4 * h + i, h, (h * 2654435761 >> (5 + i)) & 1 == 1) for h in range(200) for i in range(4)]
+    frame = spark.createDataFrame(rows, "id long, host int, failed boolean")
+    rates = [r["shrunk_rate"] for r in quality_rules.host_rates(frame, "host", F.col("failed")).collect()]
+    assert max(rates) - min(rates) < 0.2
+    # hosts that differ keep their own rates
+    rows = [(100 * h + i, h, h < 10) for h in range(20) for i in range(100)]
+    frame = spark.createDataFrame(rows, "id long, host int, failed boolean")
+    rates = {r["host"]: r["shrunk_rate"] for r in quality_rules.host_rates(frame, "host", F.col("failed")).collect()}
+    assert all(rates[h] > 0.9 for h in range(10)) and all(rates[h] < 0.1 for h in range(10, 20))
