@@ -91,12 +91,20 @@ def _headers(raw: bytes) -> dict[str, str]:
         name, colon, value = line.partition(b":")
         if not colon or not name:
             raise ArchiveError(f"not a header line: {line[:80]!r}")
-        out[name.decode().lower()] = value.strip().decode()
+        try:
+            out[name.decode().lower()] = value.strip().decode()
+        except UnicodeDecodeError as e:
+            raise ArchiveError(f"a header line that isn't UTF-8: {line[:80]!r}") from e
     return out
 
 
+def _length(value: str) -> int:
+    """A length in ASCII digits; -1 if it is none."""
+    return int(value) if re.fullmatch(r"[0-9]{1,18}", value) else -1
+
+
 def _page(value: str) -> int | None:
-    found = re.fullmatch(r"<urn:page:(-?\d*)>", value)
+    found = re.fullmatch(r"<urn:page:(-?[0-9]+|)>", value)
     if not found:
         raise ArchiveError(f"not a record id of a page: {value[:80]}")
     return int(found[1]) if found[1] else None
@@ -112,21 +120,21 @@ def parsed(raw: bytes) -> dict[str, Any]:
     for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if name not in headers:
             raise ArchiveError(f"no header {name}")
-    if not headers["content-length"].isdigit() or len(rest) != int(headers["content-length"]) + 4 or not rest.endswith(b"\r\n\r\n"):
+    if len(rest) != _length(headers["content-length"]) + 4 or not rest.endswith(b"\r\n\r\n"):
         raise ArchiveError("the content length differs from the block's length")
     head, blank, payload = rest[:-4].partition(b"\r\n\r\n")
     inner = _headers(head.partition(b"\r\n")[2])
     kind, stated = headers["warc-type"], headers.get("warc-payload-digest", "").removeprefix("sha1:")
-    if not blank or kind not in ("response", "revisit") or not inner.get("content-length", "").isdigit():
+    if not blank or kind not in ("response", "revisit") or _length(inner.get("content-length", "")) < 0:
         raise ArchiveError("neither a response nor a revisit with its header")
-    size = int(inner["content-length"])
+    size = _length(inner["content-length"])
     if kind == "response" and (len(payload) != size or digest(payload) != stated):
         raise ArchiveError("the payload differs from its length or digest")
     if kind == "revisit" and (payload or not stated):
         raise ArchiveError("a revisit with a payload or without a digest")
     return {
         "page_id": _page(headers["warc-record-id"]), "url": headers.get("warc-target-uri"), "record_type": kind,
-        "refers_to": _page(headers["warc-refers-to"]) if kind == "revisit" else None,
+        "refers_to": _page(headers.get("warc-refers-to", "")) if kind == "revisit" else None,
         "payload": payload if kind == "response" else None, "payload_bytes": size, "payload_digest": stated,
     }
 
@@ -223,7 +231,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     small_batches(pages.sparkSession)
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha2(payload.cast("binary"), 256).alias("same"))
-    sample = [r[0].encode() for r in rows.select("payload").limit(SAMPLE_PAGES).collect()]
+    sample = [r[0].encode() for r in rows.select(F.substring("payload", 1, SAMPLE_BYTES)).limit(SAMPLE_PAGES).collect()]
     dictionary = made_dictionary(sample)
     groups = rows.groupBy("same").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("same", "first")
     joined = rows.join(groups, "same", "left").select("id", "url", "payload", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))

@@ -71,8 +71,19 @@ GOOD = warc.record(1, "u", b"payload")
         archive(GOOD.replace(b"WARC-Date", b"WARC Date no colon\r\nX")),
         archive(GOOD.replace(b"response", b"request!", 1)),
         archive(GOOD) + b"trailing bytes",
+        archive(GOOD.replace(b"WARC-Date: 2", b"WARC-Date: \xff")),
+        archive(GOOD.replace(b"Content-Length: 7", "Content-Length: ²".encode())),
+        archive(GOOD.replace(b"urn:page:1", b"urn:page:-")),
+        archive(warc.record(2, "u", b"abc", refers_to=1).replace(b"WARC-Refers-To", b"WARC-Refers-X!")),
     ],
 )
 def test_broken_archives_are_refused(bad):
     with pytest.raises(warc.ArchiveError):
         list(warc.read_archive(io.BytesIO(bad)))
+
+
+def test_clashing_columns(spark):
+    rows = [(1, "u", "same", "p", "s", 9, "i"), (2, "u", "same", "p", "s", 9, "i")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, payload string, same string, first int, id string")
+    got = sorted((r["page_id"], r["record_type"]) for r in warc.archived(spark, frame).collect())
+    assert got == [(1, "response"), (2, "revisit")]
