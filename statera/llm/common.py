@@ -19,9 +19,12 @@ WORD = r"[^ \t\n\x0B\f\r]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
+    """The folder that driver and executors share. Where the session names none, a local one serves a local master
+    alone (tests); on a cluster that is an error, for executors couldn't see it."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='statera-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
