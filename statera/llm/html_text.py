@@ -1,16 +1,20 @@
 """Main text of web pages from flat text blocks.
 
-Markup is read in one pass into blocks: runs of text between block-level tags. A block has its number of
-words and its link density (share of words inside links), those of the block before and after it, the
-zone it stands in (an article; a menu, footer, sidebar, form, notice, advert or comment section; neither)
-and whether it is a heading. A decision tree, grown from the small labelled table below by Gini impurity,
-says which blocks are main text. Character references are decoded, white space inside a block becomes one
-space, and the blocks that stay are joined by one space in page order; nothing else is dropped or cut.
+Markup is read in one pass into flat blocks: runs of text between block-level tags. A block has its number
+of words and its link density (share of words inside links) and those of the block before and after it;
+beside them stand the structure it is in (an article or main element, an article inside an article, a
+navigation, aside, footer or form element, none of them), whether it is a heading or a paragraph, whether
+something around it or its own words name it as page furniture, and whether the page has an article at all.
+A decision tree, grown by Gini impurity from the labelled blocks of the small pages below, says which
+blocks are main text. Names are one column among the others: what they are worth is learned. Character
+references are decoded, white space inside a block becomes one space, and the blocks that stay are joined
+by one space in page order; nothing else is dropped or cut.
 
 Defined results: a null page is empty and has empty text; unclosed, crossing and cut-off tags are
 tolerated, and a hidden element (a button, drawing, player) that isn't closed hides nothing; scripts, styles,
-templates, the head and comments never count; repeated rows give equal
-results; an empty table gives an empty result; columns other than those named are ignored.
+templates, the head and comments never count; repeated rows give equal results; an empty table gives an empty
+result; columns other than those named are ignored, and inner names don't clash with those to keep. A page is
+read in time in proportion to its length, whatever is unclosed in it.
 """
 
 from __future__ import annotations
@@ -28,38 +32,42 @@ from pyspark.sql import functions as F
 
 from statera.llm.common import small_batches
 
-NEITHER, MAIN, AROUND = 0, 1, 2
+#: What a block stands in, in the order of the tree's thresholds.
+NEITHER, MAIN, NESTED, AROUND = 0, 1, 2, 3
 
 #: Text that is no markup up to the closing tag, or to the end of the page.
 _RAW = frozenset("script style template textarea iframe".split())
 _NESTED = frozenset("svg math object".split())
 _HIDDEN = _RAW | _NESTED | frozenset("head noscript select button video audio canvas".split())
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)",
-    re.S,
-)
+_LOOSE = r"|<[!?/][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)"
+_COMMENTS = r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
+#: Tags with their attributes, quoted ones whole; and where quotes have turned out not to close, up to the next >.
+_MARKUP = re.compile(_COMMENTS + r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>" + _LOOSE, re.S)
+_UNQUOTED = re.compile(_COMMENTS + r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>" + _LOOSE, re.S)
+#: Unclosed quotes of a page, each sought to its end, after which quotes aren't regarded any more.
+_LOST_QUOTES = 16
 #: Where a hidden element's next tag is; a raw or nested one's closing tag.
 _NEXT = {tag: re.compile(rf"</{tag}\s*>" if tag in _RAW | _NESTED else rf"<(?:/{tag}\s*>|{tag}(?![\w-]))", re.I) for tag in (*_HIDDEN, "title")}
 _BODY = re.compile("<body", re.I)
 _ATTRIBUTES = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_NAMES = re.compile(r"[a-z]+")
+_NAMES = re.compile(r"(?:(?<![a-z])(?:has|with|no|without)[-_]*[a-z]+)|[a-z]+")
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li"
     " main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_PARAGRAPHS = frozenset("p pre blockquote li dd".split())
 _ENDS_ITSELF = frozenset("p li dt dd td th tr h1 h2 h3 h4 h5 h6".split())
 _VOID = frozenset("hr br img input meta link area base col embed source track wbr".split())
 _AROUND_TAGS = frozenset("nav aside footer form dialog menu".split())
-#: Names in class, id or role that tell what a container is for.
-_AROUND_NAMES = frozenset(
+#: Names in class, id or role that speak of page furniture; those of comments hold for articles inside them too.
+_FURNITURE = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay"
     " newsletter subscribe subscription signup share sharing social related recommended sidebar sidebars widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs"
     " footer masthead toolbar comment comments commentlist disqus reply replies respond pagination pager login search contentinfo complementary dialog disclaimer copyright".split()
 )
 _COMMENT_NAMES = frozenset("comment comments commentlist disqus reply replies respond".split())
-_MAIN_NAMES = frozenset("article articlebody main content body entry story wrapper container layout page text".split())
+_LEGAL = re.compile(r"\W*(?:©|\(c\)\s|copyright\b|all rights reserved)|.{0,200}\ball rights reserved\b", re.I)
 
 
 @dataclass(slots=True)
@@ -69,56 +77,86 @@ class Block:
     linked: int
     zone: int
     heading: bool
+    paragraph: bool
+    named: bool
+
+
+#: (zone, named as furniture, inside comments, inside an article)
+Place = tuple[int, bool, bool, bool]
 
 
-def _zone(tag: str, attributes: str, outer: tuple[int, bool]) -> tuple[int, bool]:
-    """(zone, inside comments) of an element, given those of the element around it."""
-    zone, in_comments = outer
+def _place(tag: str, attributes: str, outer: Place) -> Place:
+    """The place of what an element holds, given that of the element around it."""
+    zone, named, in_comments, in_article = outer
     if tag in ("html", "body"):
         return outer
-    named = set()
+    names: set[str] = set()
+    main = tag in ("article", "main")
     if attributes:
         for found in _ATTRIBUTES.finditer(attributes):
-            named.update(_NAMES.findall((found[2] or found[3] or found[4] or "").lower()))
-    if named & _COMMENT_NAMES and not named & {"content", "main", "page", "wrapper"}:
-        return AROUND, True
-    if in_comments:
-        return outer
-    if tag in ("article", "main") or named & {"articlebody"} or (named == {"main"}):
-        return MAIN, False
-    if tag in _AROUND_TAGS or (tag == "header" and zone != MAIN):
-        return AROUND, False
-    if named & _AROUND_NAMES and not named & _MAIN_NAMES:
-        return AROUND, False
-    if "header" in named and zone != MAIN and not named & _MAIN_NAMES:
-        return AROUND, False
-    return outer
+            value = (found[2] or found[3] or found[4] or "").lower()
+            main = main or (value in ("main", "article") and found[1].lower() == "role") or value == "articlebody"
+            names.update(_NAMES.findall(value))
+    if in_comments or names & _COMMENT_NAMES:
+        return zone, True, True, in_article
+    if main:
+        if tag == "article" and in_article:
+            return NESTED, named or bool(names & _FURNITURE), False, True
+        return MAIN, bool(names & _FURNITURE), False, in_article or tag == "article"
+    if tag in _AROUND_TAGS or (tag == "header" and zone == NEITHER):
+        return AROUND, named, False, in_article
+    return zone, named or bool(names & _FURNITURE) or ("header" in names and zone == NEITHER), False, in_article
+
+
+class _Open:
+    """The open elements: each with the place outside it, and where the last of every kind stands."""
+
+    def __init__(self) -> None:
+        self.place: Place = (NEITHER, False, False, False)
+        self.elements: list[tuple[str, Place]] = []
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.containers: list[int] = []
+
+    def push(self, tag: str, inner: Place) -> None:
+        n = len(self.elements)
+        self.elements.append((tag, self.place))
+        self.at.setdefault(tag, []).append(n)
+        if tag in _BLOCKS:
+            self.blocks.append(n)
+            if tag not in _ENDS_ITSELF:
+                self.containers.append(n)
+        self.place = inner
+
+    def back(self, i: int) -> None:
+        """The elements from the i-th on end."""
+        self.place = self.elements[i][1]
+        while len(self.elements) > i:
+            tag, _ = self.elements.pop()
+            self.at[tag].pop()
+            for held in (self.blocks, self.containers):
+                if held and held[-1] >= len(self.elements):
+                    held.pop()
+
+    def last(self, tag: str) -> int:
+        return self.at[tag][-1] if self.at.get(tag) else -1
 
 
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, tuple[int, bool]]] = []
-    zone, heading, links = (NEITHER, False), False, 0
+    open_ = _Open()
+    heading, paragraph, links = False, False, 0
     pieces: list[str] = []
     linked, at = 0, 0
-    # open inline elements on the stack by tag: those that open a zone, and those of the same tag inside them
-    inline: dict[str, int] = {}
-
-    def back(i: int) -> None:
-        """The elements from place i of the stack end."""
-        nonlocal zone
-        zone = stack[i][1]
-        for name, _ in stack[i:]:
-            if inline.get(name):
-                inline[name] -= 1
-        del stack[i:]
 
     def close() -> None:
         nonlocal linked
         if pieces:
             words = "".join(pieces).split()
             if words:
-                out.append(Block(" ".join(words), len(words), min(linked, len(words)), zone[0], heading))
+                text = " ".join(words)
+                zone, named, _, _ = open_.place
+                out.append(Block(text, len(words), min(linked, len(words)), zone, heading, paragraph, named or (zone == NEITHER and len(words) <= 30 and bool(_LEGAL.match(text)))))
             pieces.clear()
         linked = 0
 
@@ -129,30 +167,39 @@ def blocks(page: str) -> list[Block]:
         if links:
             linked += len(text.split())
 
-    # hidden tags that don't come again, and whether a head is open that has no end
+    # hidden tags that don't come again, whether a head is open that has no end, and where the last body begins
     gone: set[str] = set()
     open_head = False
+    last_body: int | None = None
 
     def hidden(tag: str, start: int) -> int:
         """Where the hidden element ends whose tag ends at start: there if it isn't closed."""
-        nonlocal open_head
+        nonlocal open_head, last_body
         end = None if tag in gone else _NEXT[tag].search(page, start)
         if end is None:
             gone.add(tag)
         elif end[0].startswith("</"):
             return end.end()
         if tag in _RAW:
-            return start if _BODY.search(page, start) else len(page)
+            if last_body is None:
+                last_body = max((m.start() for m in _BODY.finditer(page)), default=-1)
+            return start if last_body >= start else len(page)
         open_head = open_head or tag == "head"
         return start
 
-    while found := _MARKUP.search(page, at):
+    markup, lost = _MARKUP, 0
+    while found := markup.search(page, at):
         if found.start() > at:
             said(page[at : found.start()])
         at = found.end()
         tag = found[2]
         if tag is None:
-            continue
+            # a tag whose quotes don't close ends at the next >
+            found = _UNQUOTED.match(page, found.start())
+            if found is None or found[2] is None:
+                continue
+            tag, lost = found[2], lost + 1
+            markup = markup if lost < _LOST_QUOTES else _UNQUOTED
         tag, closing = tag.lower(), bool(found[1])
         if (tag in _HIDDEN or (open_head and tag == "title")) and not closing:
             if not (tag in _NESTED and found[3].endswith("/")):
@@ -165,200 +212,109 @@ def blocks(page: str) -> list[Block]:
             pieces.append(" ")
             continue
         if tag not in _BLOCKS:
-            if tag in _VOID or found[3].rstrip().endswith("/"):
+            if tag in _VOID or found[3].endswith("/"):
                 continue
             if closing:
-                if inline.get(tag):
-                    i = len(stack) - 1
-                    # not past a container that stands inside it
-                    while stack[i][0] != tag and (stack[i][0] not in _BLOCKS or stack[i][0] in _ENDS_ITSELF):
-                        i -= 1
-                    if stack[i][0] == tag:
-                        if stack[i][1] != zone:
-                            close()
-                        back(i)
+                i = open_.last(tag)
+                # not past a container that stands inside it
+                if i >= 0 and not (open_.containers and open_.containers[-1] > i):
+                    if open_.elements[i][1] != open_.place:
+                        close()
+                    open_.back(i)
                 continue
             # an inline element counts where its names say so
-            inner = _zone(tag, found[3], zone)
-            if inner != zone or inline.get(tag):
-                if inner != zone:
+            inner = _place(tag, found[3], open_.place)
+            if inner != open_.place or open_.at.get(tag):
+                if inner != open_.place:
                     close()
-                stack.append((tag, zone))
-                zone, inline[tag] = inner, inline.get(tag, 0) + 1
+                open_.push(tag, inner)
             continue
         close()
         heading = tag in _HEADINGS and not closing
+        paragraph = tag in _PARAGRAPHS and not closing
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    back(i)
-                    break
+            if (i := open_.last(tag)) >= 0:
+                open_.back(i)
             continue
-        top = len(stack) - 1
-        while top >= 0 and stack[top][0] not in _BLOCKS:
-            top -= 1
-        if top >= 0 and (outer := stack[top][0]) in _ENDS_ITSELF and (tag == outer or outer == "p" or outer in _HEADINGS):
-            back(top)
-        if tag not in _VOID:
-            stack.append((tag, zone))
-            zone = _zone(tag, found[3], zone)
-            links = 0 if tag in ("div", "section", "article", "main") else links
+        if tag in _VOID:
+            continue
+        if open_.blocks:
+            top = open_.blocks[-1]
+            outer = open_.elements[top][0]
+            if outer in _ENDS_ITSELF and (tag == outer or outer == "p" or outer in _HEADINGS):
+                open_.back(top)
+        open_.push(tag, _place(tag, found[3], open_.place))
+        links = 0 if tag in ("div", "section", "article", "main") else links
     if at < len(page):
         said(page[at:])
     close()
     return out
 
 
-#: Labelled blocks: words, link density; the same of the block before; of the block after; zone; heading; main text or not.
-LABELLED = """
- 9 0    0 0    48 0    1 1  1
- 7 0    0 0     6 0    1 1  1
-48 0    9 0    61 0    1 0  1
-61 0   48 0     3 0    1 0  1
- 3 0   61 0    37 0    1 0  1
- 2 0    3 0     1 0    1 0  1
- 1 0    2 0     0 0    1 0  1
- 1 0    0 0     0 0    1 0  1
- 6 0    6 1    40 0    1 1  1
-80 .05 37 0    95 0    1 0  1
-95 .2  80 .05  12 .1   1 0  1
-12 .1  95 .2   70 0    1 0  1
-20 .4  70 0    55 0    1 0  1
- 6 1   70 0    55 0    1 0  1
- 9 0   14 0    11 0    1 0  1
-14 0    9 0     4 1    1 0  1
- 4 1   14 0     5 1    1 0  0
- 5 1    4 1     6 1    1 0  0
- 6 1    5 1     4 1    1 0  0
- 4 1    6 1     0 0    1 0  0
- 3 0   40 0     2 1    1 0  1
- 1 0    7 0     3 1    1 0  1
- 6 0    2 0     1 1    1 0  1
- 9 0   33 0     5 .9   1 0  1
- 3 0   40 0     4 1    1 1  0
- 2 0   18 0     3 1    1 1  0
- 2 1    1 1     3 1    2 0  0
- 3 1    2 1     9 0    2 0  0
- 1 1    0 0     2 1    2 0  0
- 9 0    3 1     9 0    2 0  0
-11 0    9 0     8 0    2 0  0
-35 0   11 0    48 0    2 0  0
-60 0   35 0    70 0    2 0  0
- 8 0   61 0     0 0    2 1  0
-24 .1  60 0     8 0    2 0  0
- 7 .3  48 0     0 0    2 0  0
-120 0  80 0    90 0    2 0  0
- 1 1    0 0     1 1    0 0  0
- 2 1    1 1     2 1    0 0  0
- 3 1    2 1    45 0    0 0  0
- 4 .8   3 1     5 .9   0 0  0
- 5 0    3 1     4 1    0 0  0
- 3 0    2 1     2 1    0 1  0
- 7 .5   0 0     3 1    0 0  0
- 6 0   50 0     2 1    0 0  0
- 4 0    0 0     0 0    0 0  1
- 9 0    2 1    50 0    0 1  1
- 6 0   42 0    44 0    0 1  1
-42 0    9 0     6 0    0 0  1
-44 0    6 0    30 0    0 0  1
-30 .1  44 0    28 0    0 0  1
-28 0   30 .1    6 0    0 0  1
- 5 0   44 0    52 0    0 0  1
- 2 0   44 0    52 0    0 0  1
-52 0    5 0    71 .1   0 0  1
-71 .1  52 0     3 1    0 0  1
-25 0    3 1     2 1    0 0  1
-22 .7   3 1     4 1    0 0  0
-30 .6   4 1    22 .7   0 0  0
-40 0    0 0     0 0    0 0  1
-12 .5  20 0    30 0    1 0  1
-12 1   20 0    30 0    1 0  1
-10 .8   8 0    12 0    1 0  1
- 6 1   12 0    40 0    1 0  1
- 5 1   30 0     9 0    1 0  1
- 2 1   25 0    60 0    1 0  1
-35 .6  40 0    50 0    1 0  1
-25 .9   6 0    20 .5   1 0  1
-12 .6  60 0    14 .7   1 0  1
-14 .7  12 .6    0 0    1 0  1
- 8 .5   5 0     0 0    1 0  1
-12 1    2 0    14 1    1 0  1
-14 1   12 1    11 1    1 0  1
-11 1   14 1     0 0    1 0  1
- 5 1   60 0    40 0    1 1  1
- 4 1   20 0    35 0    1 1  1
- 1 0    3 1     0 0    1 0  1
- 4 0   30 0     0 0    1 0  1
- 5 .2   5 1     0 0    1 0  1
- 6 0    6 1     0 0    1 0  1
- 3 .3   3 1     0 0    1 0  1
- 6 1   40 0     0 0    1 0  1
- 3 1   12 0     0 0    1 0  1
-12 1    3 0    30 0    1 0  1
- 5 1    6 0    20 0    1 0  1
-60 1    4 0    12 0    1 0  1
- 9 1    8 0     0 0    1 0  1
- 4 1    2 0     9 0    1 0  1
- 3 1    1 0    40 0    1 0  1
- 6 1   95 0    55 0    1 0  1
- 3 1  120 0    40 0    1 0  1
-20 1    3 1    45 0    1 0  1
-30 1   12 0    30 .6   1 0  1
-12 .8   0 0    25 .9   1 0  1
- 4 1    5 1    40 0    1 0  1
- 8 1    0 0    60 0    1 0  1
- 1 .1  60 .2    3 1    1 0  1
- 3 0    3 1    12 0    1 0  1
- 3 .2   5 1     5 1    1 0  1
- 5 0    4 1     4 1    1 0  1
- 6 .1   3 1     3 1    1 0  1
- 8 .2   4 1     5 1    1 0  1
-20 0   60 .2    3 1    1 0  1
-20 0    5 1     4 1    1 0  1
-60 .1  12 1    14 1    1 0  1
- 3 0   12 1    30 0    1 1  1
- 6 .3   4 1    60 0    1 1  1
- 7 .4  14 1    60 0    1 0  1
- 9 .6   4 1    40 0    1 0  1
-20 .7   6 1     5 1    1 0  1
-30 .6   5 1     4 1    1 0  1
-80 .4   3 1     3 1    1 0  1
-40 .4   4 1     4 1    1 0  1
-30 .6   3 1     3 1    1 0  1
-25 1   24 1    26 1    1 0  1
-30 .9  60 0    28 1    1 0  1
-28 1   30 .9    4 1    1 0  1
-40 .8  60 0     5 1    1 0  1
- 8 1    5 1     6 1    1 0  1
- 2 1   60 0     3 1    2 0  0
- 3 1   60 0     0 0    2 0  0
- 2 1   90 0    30 0    2 0  0
-12 1   70 0    11 1    2 0  0
-12 .6  20 0    30 0    2 0  0
-40 .6  60 0    50 0    2 0  0
- 5 .5  48 0     9 0    2 0  0
- 4 1   60 0     2 1    2 1  0
- 2 1   60 0     3 1    0 0  0
- 3 1   95 0     0 0    0 0  0
- 4 1   50 0     5 1    0 0  0
- 5 .8  70 0     4 1    0 0  0
-30 .6  60 0    50 0    0 0  1
-12 .7  60 0    44 0    0 0  1
- 6 1   70 0    55 0    0 0  1
- 3 .2  14 0     3 1    0 0  0
- 7 .2  30 0     4 1    0 0  0
- 2 0    5 1    12 0    0 0  1
- 1 0    3 1     3 0    0 0  1
- 3 .1   9 0     7 0    0 0  1
-12 0   60 0     3 1    0 0  1
-15 .1   9 0     4 1    0 0  1
- 9 0   40 0     5 1    0 0  1
-20 0    3 1     4 1    0 0  1
-10 .2   5 1     6 1    0 0  1
- 6 0    4 1     5 1    0 0  0
-"""
-FEATURES = 8
-MAX_DEPTH, MIN_ROWS = 6, 1
+#: The labelled table: blocks of small pages of many shapes. {n} stands for n words, {+n} for n words of main text.
+PAGES = [
+    # an article with its page furniture in elements of their own
+    "<header><div>{2}</div><nav><ul><li><a>{1}</a><li><a>{2}</a><li><a>{1}</a></ul></nav></header><main><article><h1>{+7}</h1><p>{+48}<p>{+61}<h2>{+3}</h2><p>{+9}<p>{+2}</article></main>"
+    "<aside><h3>{2}</h3><ul><li><a>{5}</a><li><a>{6}</a></ul><p>{24}</p></aside><footer><p>{9}</p><a>{2}</a></footer>",
+    "<nav><ul><li><a>{1}</a><li><a>{1}</a><li><a>{1}</a></ul></nav><div class=ad>{9}</div><article><h1>{+9}</h1><p>{+44}<p>{+2}<p>{+30}<p>{+61}</article><footer>{12}</footer>",
+    "<nav><a>{3}</a></nav><div class=ad>{40}</div><article><h1>{+5}</h1><p>{+1}<p>{+4}<p>{+12}</article><footer>{30}</footer>",
+    "<div>{6}</div><div>{45}</div><article><p>{+38}<p>{+3}</article><div>{33}</div><p>{20}</p><div><a>{4}</a></div>",
+    # links that belong to the text: whole paragraphs, lists of sources, headings
+    "<article><h1>{+6}</h1><p>{+20}<p><a>{+12}</a><p>{+5}<a>{+7}</a><p><a>{+3}</a><ul><li><a>{+9}</a><li><a>{+8}</a><li><a>{+2}</a></ul></article><footer><a>{2}</a></footer>",
+    "<article><h2><a>{+6}</a></h2><p>{+70}<h3>{+2}</h3><ol><li><a>{+4}</a> {+9}<li><a>{+1}</a><li>{+1}</ol><table><tr><td>{+2}<td>{+1}<td><a>{+1}</a></table></article>",
+    "<article><p><a>{+1}</a><p><a>{+25}</a><p><a>{+30}</a><p><a>{+4}</a><p>{+60}<p><a>{+5}</a><div><a>{+6}</a></div><div><a>{+14}</a></div><div><a>{+2}</a></div><p>{+20}<div><a>{+9}</a></div></article>",
+    "<article><ul><li><a>{+12}</a><li><a>{+14}</a><li><a>{+11}</a><li><a>{+3}</a></ul><div>{+2}</div><div>{+5}</div><div>{+14}</div><h2>{+2}</h2><div>{+1}</div><h4>{+1}</h4></article><div><a>{4}</a></div><p>{6}</p>",
+    # long links and prose around an article, before and after long paragraphs
+    "<nav><ul><li><a>{9}</a><li><a>{12}</a><li><a>{14}</a></ul><p>{30}</p></nav><article><p>{+95}<p>{+120}</article><aside><a>{12}</a><p>{60}</p><p><a>{11}</a></p><p>{5}</p><h3>{4}</h3></aside><footer><a>{8}</a><p>{70}</p><p>{2}</p></footer>",
+    "<p>{18}</p><p>{60}</p><div><a>{13}</a></div><ul><li>{7}<li>{9}<li><a>{10}</a></ul><article><p>{+70}<p>{+90}</article><p><a>{25}</a></p><p>{3}</p><p>{44}</p><h2>{3}</h2><p>{11}</p><ul><li><a>{9}</a><li><a>{15}</a></ul><h3>{8}</h3><p>{26}</p>",
+    "<article><p>{+110}</article><div><a>{9}</a></div><div><a>{30}</a></div><p><a>{3}</a><p><a>{7}</a></p><p>{30} <a>{14}</a></p><footer><p>{40}</p><ul><li><a>{2}</a><li><a>{16}</a></ul></footer>",
+    "<div><a>{4}</a></div><article><p>{+60}<p>{+20}</article>", "<p><a>{6}</a></p><article><p>{+50}</article>", "<h2><a>{3}</a></h2><article><p>{+90}</article>",
+    # furniture inside an article, told by names alone
+    "<article><h1>{+8}</h1><div class=share><a>{1}</a> <a>{1}</a></div><p>{+52}<div class='ad banner'>{14}</div><p>{+40}<div class=related><h4>{2}</h4><ul><li><a>{6}</a><li><a>{7}</a></ul></div><p>{+9}<p class=notice>{16}</p></article>",
+    "<article><p>{+33}<p>{+60}<section class=comments><h3>{2}</h3><div><p>{3}</p><p>{44}</p><p>{70}</p></div></section></article>",
+    "<article><p>{+25}</p><aside>{18}</aside><p>{+12}</p><form><label>{3}</label></form><footer><p>{15}</p></footer></article><article><p>{+18}</p><article><p>{41}</p><p>{3}</p></article></article>",
+    "<main><h1>{+4}</h1><p>{+80}<article><p>{+30}</article></main><section class=comments><article><p>{36}</article><article><p>{5}</article></section><div class='newsletter signup'>{20}</div>",
+    # no structure: words, links and neighbours tell
+    "<div><a>{1}</a> <a>{2}</a> <a>{1}</a></div><h1>{+6}</h1><p>{+42}<p>{+44}<p>{+5}<p>{+28}<div>{4}</div>",
+    "<div>{3}</div><div><a>{2}</a></div><div><a>{1}</a></div><h1>{+8}</h1><div>{+60}</div><div>{+35}</div><h2>{+3}</h2><div>{+90}</div><div>{+30}</div><div><a>{3}</a></div><div><a>{2}</a></div><div>{5}</div>",
+    "<table><tr><td><a>{2}</a><td><a>{2}</a></table><div><h2>{+7}</h2><p>{+30} <a>{+3}</a><p>{+71}<p>{+12}<p>{+55}<p>{+3}</div><div><a>{3}</a> <a>{4}</a></div><div>{7}</div>",
+    "<h1>{+5}</h1><p>{+26}<p><a>{+9}</a><p>{+50}<ul><li>{+8}<li>{+6}<li>{+11}</ul><p>{+34}<h4>{2}</h4><ul><li><a>{5}</a><li><a>{4}</a><li><a>{6}</a></ul><div>{6}</div>",
+    "<ul><li><a>{1}</a><li><a>{1}</a><li><a>{2}</a></ul><h2>{+9}</h2><p>{+65}<p>{+22}<p>{+2}<p>{+31}<h3>{2}</h3><ul><li><a>{3}</a><li><a>{4}</a></ul><div><a>{2}</a> {4} <a>{2}</a></div>",
+    "<div>{2}</div><ul><li><a>{2}</a><li><a>{1}</a></ul><p>{+16}<p>{+20}<p>{+14}<div>{3}</div>",
+    "<div><a>{9}</a></div><div><a>{11}</a></div><div><a>{10}</a></div><h1>{+6}</h1><p>{+58}<p>{+49}<p>{+33}<div><a>{8}</a></div><div><a>{12}</a></div><div><a>{9}</a></div>",
+    "<div><a>{2}</a> <a>{1}</a></div><p>{+55}<p>{+60}", "<ul><li><a>{3}</a><li><a>{6}</a></ul><p>{+70}<p>{+48}<div><a>{4}</a></div>", "<h2><a>{+6}</a></h2><p>{+50}<h2><a>{+4}</a></h2><p>{+62}<p>{+40}",
+    # a notice, a share bar, names on the furniture only
+    "<article><p>{+60}<div class=promo><a>{9}</a><p><a>{12}</a></p><p>{8}</p></div><p>{+7}</p><ul class=menu><li><a>{8}</a><li><a>{3}</a></ul></article><div class=related-content><p><a>{10}</a></p><p><a>{13}</a></p></div>",
+    "<p>{+44}<p>{+52}<div class='page sidebar'><p>{12}</p><p>{70}</p><p><a>{11}</a></p></div><div class='content comments'><p>{20}</p><p>{9}</p></div><div class=main-notice>{30}</div>",
+    "<div id=cookie>{22}</div><div class=menu><a>{1}</a> <a>{2}</a></div><div><h1>{+5}</h1><p>{+47}<p>{+51}</div><div class=sidebar><p>{38}</p><p>{26}</p></div><div class=comments><p>{31}<p>{48}</div><div>{4}</div>",
+    "<div class=header><h1>{2}</h1></div><div><h2>{+6}</h2><p>{+9}<p>{+41}</div><div class=footer>{11}</div>",
+    "<p>{+60}<p><a>{+10}</a></p><p>{+45}<p>{+25}<div><a>{9}</a></div>", "<h1>{+4}</h1><p>{+38}<p><a>{+12}</a></p><p>{+30}<p>{+41}<div><a>{10}</a></div><div><a>{8}</a></div>",
+    # pages of little text
+    "{+40}", "{+2}", "{+4}", "<p>{+4}</p>", "<p>{+2}<p>{+3}", "<h1>{+3}</h1><p>{+8}</p>", "<p>{+12}</p><p>{+30}</p>", "<div>{+25}</div>",
+    "<ul><li><a>{1}</a><li><a>{2}</a><li><a>{1}</a></ul>", "<div><a>{3}</a></div><div>{2}</div><div><a>{4}</a></div>",
+]
+_STAND_IN = re.compile(r"\{(\+?)(\d+)\}")
+FEATURES = "words density words_before density_before words_after density_after zone heading paragraph named has_article".split()
+MAX_DEPTH, MIN_ROWS = 12, 1
+
+
+def features(found: list[Block]) -> np.ndarray:
+    own = np.array([(b.words, b.linked / b.words) for b in found], float).reshape(-1, 2)
+    none = np.zeros((1, 2))
+    before, after = np.concatenate([none, own[:-1]]), np.concatenate([own[1:], none])
+    article = any(b.zone in (MAIN, NESTED) for b in found)
+    more = np.array([(b.zone, b.heading, b.paragraph, b.named, article) for b in found], float).reshape(-1, 5)
+    return np.concatenate([own, before[: len(own)], after[: len(own)], more], axis=1)
+
+
+def labelled(pages: list[str] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the blocks of the labelled pages."""
+    x, y = [], []
+    for page in PAGES if pages is None else pages:
+        found = blocks(_STAND_IN.sub(lambda m: " ".join([("main" if m[1] else "other")] * int(m[2])), page))
+        x.append(features(found))
+        y += [float(b.text.startswith("main")) for b in found]
+    return np.concatenate(x), np.array(y)
 
 
 def _grown(x: np.ndarray, y: np.ndarray, depth: int):
@@ -384,12 +340,9 @@ def _grown(x: np.ndarray, y: np.ndarray, depth: int):
     return f, cut, _grown(x[left], y[left], depth - 1), _grown(x[~left], y[~left], depth - 1)
 
 
-def grown(table: str = LABELLED, depth: int = MAX_DEPTH):
-    rows = np.array([line.split() for line in table.strip().splitlines()], float)
-    return _grown(rows[:, :FEATURES], rows[:, FEATURES], depth)
-
-
-tree = cache(grown)
+@cache
+def tree():
+    return _grown(*labelled(), MAX_DEPTH)
 
 
 def said_by(node, x: np.ndarray) -> np.ndarray:
@@ -403,13 +356,6 @@ def said_by(node, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def features(found: list[Block]) -> np.ndarray:
-    own = np.array([(b.words, b.linked / b.words) for b in found], float).reshape(-1, 2)
-    none = np.zeros((1, 2))
-    before, after = np.concatenate([none, own[:-1]]), np.concatenate([own[1:], none])
-    return np.concatenate([own, before[: len(own)], after[: len(own)], np.array([(b.zone, b.heading) for b in found], float).reshape(-1, 2)], axis=1)
-
-
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
     return " ".join(b.text for b, keep in zip(found, said_by(tree(), features(found)), strict=True) if keep)
