@@ -1,15 +1,18 @@
 """Language of words and texts by a linear-chain conditional random field.
 
-Each word scores its affixes (one to three letters at either end), character bigrams and trigrams and
-the word itself as hashed features; learned transitions couple neighbouring words, and forward-backward
-gives every word's language distribution. A text's language is the one with the largest summed
+Each word scores its affixes (one to three letters at either end), character bigrams and trigrams, the
+word itself and the languages of the learned lexicon that hold it, as hashed features; learned transitions
+couple neighbouring words, and forward-backward gives every word's language distribution. The lexicon holds
+the words that at least two training texts of a language have, so words of a single text teach the affixes.
+A text's language is the one with the largest summed
 probability over its words with a letter; its score is that sum's share. How sure the field is of a text's
 words, in whatever languages, is the mean of their largest probabilities; a text is accepted by that.
 
 The field is trained on a bounded sample of labelled rows (SAMPLE_ROWS per language, those with the
 least hash of their id), partly cut into stretches and mixed, so that switches between languages occur
-in training. Words are labelled in chains of CHAIN words; a text has as many chains as it needs.
-Emissions are kept per distinct word in a bounded table, so a frequent word is scored once.
+in training. A text is one chain, however long. It is worked off in blocks of BLOCK words: a block's product
+of transitions and emissions carries alpha from the block before and beta from the block after, so memory
+is bounded by blocks and the marginals are those of the uncut chain. Emissions are kept per distinct word in a bounded table, so a frequent word is scored once.
 
 Defined results: ``und`` with score 0 where the text is null or has no letter, or where nothing could be
 learned; ties go to the language first in order; repeated rows are predicted alike; an empty table gives
@@ -31,11 +34,12 @@ from statera.llm.shingles import U64, mixed, powers
 
 UND = "und"
 SAMPLE_ROWS = 120
-CHAIN = 128
+BLOCK = 128
+LEXICON_WORDS = 100_000
 FEATURE_BITS = 18
 TABLE_ENTRIES = 120_000
 SLICE_WORDS = 60_000
-_TAGS = {name: U64((0x51_7C_C1_B7_27_22_0A_95 * (i + 3)) % (1 << 64)) for i, name in enumerate(["two", "three", "prefix1", "prefix2", "prefix3", "suffix1", "suffix2", "suffix3", "word"])}
+_TAGS = {name: U64((0x517CC1B727220A95 * (i + 3)) % (1 << 64)) for i, name in enumerate(["two", "three", "prefix1", "prefix2", "prefix3", "suffix1", "suffix2", "suffix3", "word", "lexicon"])}
 _TRIM = "".join(map(chr, [*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F), 0xA1, 0xAB, 0xBB, 0xBF, *range(0x2010, 0x2027)]))
 
 
@@ -43,8 +47,11 @@ def normalised(word: str) -> str:
     return word.strip(_TRIM).lower()
 
 
-def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Feature buckets of all words one after the other, and where each word's begin."""
+def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Feature buckets of all words one after the other, and where each word's begin.
+
+    The lexicon's feature is the set of languages that hold the word, none among them.
+    """
     marked = "".join([f"\x02{w}\x03" for w in words])
     points = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64)
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
@@ -68,6 +75,8 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     ahead, back = powers(n + 1)
     hashes.append(np.add.reduceat(points * ahead[:n], starts) * back[starts] + _TAGS["word"])
     owners.append(np.arange(len(words)))
+    hashes.append(mixed(np.fromiter((lexicon.get(w, 0) for w in words), U64, len(words))) + _TAGS["lexicon"])
+    owners.append(np.arange(len(words)))
     owner = np.concatenate(owners)
     by = np.argsort(owner, kind="stable")
     buckets = (mixed(np.concatenate(hashes)) >> U64(64 - FEATURE_BITS)).astype(np.int64)[by]
@@ -77,28 +86,65 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Field:
-    """Languages, feature weights (buckets x languages) and transition scores (from x to)."""
+    """Languages, feature weights (buckets x languages), transition scores (from x to) and the lexicon."""
 
     languages: list[str]
     weights: np.ndarray
     transitions: np.ndarray
+    lexicon: dict[str, int]
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        buckets, begins = features(words)
+        buckets, begins = features(words, self.lexicon)
         return np.add.reduceat(self.weights[buckets], begins, axis=0)
 
 
-def forward_backward(emissions: np.ndarray, transitions: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of (chains, steps, languages) and expected transition counts; steps past a chain's length count nothing."""
-    chains, steps, k = emissions.shape
-    local = np.exp(emissions - emissions.max(axis=2, keepdims=True))
-    move = np.exp(transitions - transitions.max())
+def _local(emissions: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.exp(emissions - emissions.max(axis=2, keepdims=True)), np.exp(transitions - transitions.max())
+
+
+def carried(emissions: np.ndarray, transitions: np.ndarray, lengths: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(enter, leave) of every block: alpha at the end of the block before and beta at its own end, up to a factor.
+
+    first: whether a block begins its chain; the others go on where the block before, a full one, ended.
+    """
+    n, _, k = emissions.shape
+    enter, leave = np.full((n, k), 1 / k, emissions.dtype), np.ones((n, k), emissions.dtype)
+    goes_on = np.append(~first[1:], False)
+    held = np.flatnonzero(~first | goes_on)
+    if not len(held):
+        return enter, leave
+    local, move = _local(emissions[held], transitions)
+    through = np.where(first[held, None, None], 1, move[None]) * local[:, :1]
+    for t in range(1, int(lengths[held].max())):
+        now = (through @ move) * local[:, t, None]
+        through = np.where((lengths[held] > t)[:, None, None], now / now.sum(axis=(1, 2), keepdims=True), through)
+    place = np.empty(n, np.int64)
+    place[held] = np.arange(len(held))
+    number = np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    by_number = np.argsort(number[held], kind="stable")
+    cuts = np.searchsorted(number[held][by_number], np.arange(1, int(number.max()) + 1))
+    later = np.split(held[by_number], cuts)[1:]
+    for at in later:
+        out = np.einsum("bi,bij->bj", enter[at - 1], through[place[at - 1]])
+        enter[at] = out / out.sum(axis=1, keepdims=True)
+    for at in reversed(later):
+        back = np.einsum("bij,bj->bi", through[place[at]], leave[at])
+        leave[at - 1] = back / back.sum(axis=1, keepdims=True)
+    return enter, leave
+
+
+def forward_backward(emissions: np.ndarray, transitions: np.ndarray, lengths: np.ndarray, first: np.ndarray, enter: np.ndarray, leave: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of (blocks, steps, languages) and expected transition counts; steps past a block's length count nothing."""
+    _, steps, k = emissions.shape
+    local, move = _local(emissions, transitions)
     alpha = np.empty_like(local)
-    alpha[:, 0] = local[:, 0] / local[:, 0].sum(axis=1, keepdims=True)
+    now = np.where(first[:, None], 1, enter @ move) * local[:, 0]
+    alpha[:, 0] = now / now.sum(axis=1, keepdims=True)
     for t in range(1, steps):
         now = (alpha[:, t - 1] @ move) * local[:, t]
         alpha[:, t] = now / now.sum(axis=1, keepdims=True)
     beta = np.ones_like(local)
+    beta[:, -1] = np.where((lengths == steps)[:, None], leave, 1)
     pairs = np.zeros((k, k))
     for t in range(steps - 2, -1, -1):
         inside = (lengths > t + 1)[:, None]
@@ -107,18 +153,40 @@ def forward_backward(emissions: np.ndarray, transitions: np.ndarray, lengths: np
         total = (alpha[:, t] * now).sum(axis=1, keepdims=True)
         pairs += move * (np.where(inside, alpha[:, t] / total, 0).T @ ahead)
         beta[:, t] = np.where(inside, now / now.sum(axis=1, keepdims=True), 1)
+        # a block that ends before the others of its batch has its own beta there
+        ends = np.flatnonzero(lengths == t + 1)
+        beta[ends, t] = leave[ends]
+    ahead = local[:, 0] * beta[:, 0]
+    total = (enter * (ahead @ move.T)).sum(axis=1, keepdims=True)
+    pairs += move * (np.where(first[:, None], 0, enter / total).T @ ahead)
     both = alpha * beta
     return both / both.sum(axis=2, keepdims=True), pairs
 
 
+def lexicon_of(texts: list[tuple[list[str], int]]) -> dict[str, int]:
+    """Bit set of the languages (the 64th and later share the last bit) of which at least two texts hold a word."""
+    held: dict[tuple[str, int], int] = {}
+    for words, lang in texts:
+        for w in set(words):
+            held[w, lang] = held.get((w, lang), 0) + 1
+    found: dict[str, int] = {}
+    times: dict[str, int] = {}
+    for (w, lang), n in held.items():
+        if n > 1:
+            found[w] = found.get(w, 0) | 1 << min(lang, 63)
+            times[w] = times.get(w, 0) + n
+    return {w: found[w] for w in sorted(found, key=lambda w: (-times[w], w))[:LEXICON_WORDS]}
+
+
 def trained(texts: list[tuple[str, str]], rounds: int = 30, rate: float = 0.5, decay: float = 1e-4, seed: int = 7) -> Field | None:
     """A field for (text, language) pairs; None without a labelled word."""
     languages = sorted({lang for _, lang in texts})
     draw = np.random.default_rng(seed)
     known: dict[str, int] = {}
     stretches: list[tuple[np.ndarray, int]] = []
-    for text, lang in texts:
-        words = [w for w in (normalised(x) for x in text.split()) if any(map(str.isalpha, w))]
+    split = [([w for w in (normalised(x) for x in text.split()) if any(map(str.isalpha, w))], lang) for text, lang in texts]
+    lexicon = lexicon_of([(words, languages.index(lang)) for words, lang in split])
+    for words, lang in split:
         ids = np.array([known.setdefault(w, len(known)) for w in words], np.int64)
         at = 0
         while at < len(ids):
@@ -130,26 +198,25 @@ def trained(texts: list[tuple[str, str]], rounds: int = 30, rate: float = 0.5, d
     draw.shuffle(stretches)
     words = np.concatenate([s for s, _ in stretches])
     labels = np.concatenate([np.full(len(s), k) for s, k in stretches])
-    chains = -(-len(words) // CHAIN)
-    lengths = np.full(chains, CHAIN)
-    lengths[-1] = len(words) - CHAIN * (chains - 1)
-    pad = chains * CHAIN - len(words)
+    n_blocks = -(-len(words) // BLOCK)
+    lengths, first = np.full(n_blocks, BLOCK), np.arange(n_blocks) == 0
+    lengths[-1] = len(words) - BLOCK * (n_blocks - 1)
+    pad = n_blocks * BLOCK - len(words)
+    moves = np.zeros((len(languages), len(languages)))
+    np.add.at(moves, (labels[:-1], labels[1:]), 1)
     words, labels = np.append(words, np.zeros(pad, np.int64)), np.append(labels, np.zeros(pad, np.int64))
-    inside = np.arange(chains * CHAIN) < len(words) - pad
-    buckets, begins = features(list(known))
+    inside = np.arange(n_blocks * BLOCK) < len(words) - pad
+    buckets, begins = features(list(known), lexicon)
     owner = np.repeat(np.arange(len(known)), np.diff(np.append(begins, len(buckets))))
     k = len(languages)
-    field = Field(languages, np.zeros((1 << FEATURE_BITS, k)), np.zeros((k, k)))
+    field = Field(languages, np.zeros((1 << FEATURE_BITS, k)), np.zeros((k, k)), lexicon)
     truth = np.eye(k)[labels]
-    steps = labels.reshape(chains, CHAIN)
-    moves = np.zeros((k, k))
-    follow = (np.arange(CHAIN - 1)[None, :] + 1) < lengths[:, None]
-    np.add.at(moves, (steps[:, :-1][follow], steps[:, 1:][follow]), 1)
     seen_w, seen_t = np.full_like(field.weights, 1e-8), np.full((k, k), 1e-8)
     n = float(inside.sum())
     for _ in range(rounds):
         scores = np.add.reduceat(field.weights[buckets], begins, axis=0)
-        marginals, pairs = forward_backward(scores[words].reshape(chains, CHAIN, k), field.transitions, lengths)
+        scores = scores[words].reshape(n_blocks, BLOCK, k)
+        marginals, pairs = forward_backward(scores, field.transitions, lengths, first, *carried(scores, field.transitions, lengths, first))
         error = (truth - marginals.reshape(-1, k)) * inside[:, None] / n
         per_word = np.stack([np.bincount(words, error[:, j], len(known)) for j in range(k)], axis=1)
         step = np.stack([np.bincount(buckets, per_word[owner, j], 1 << FEATURE_BITS) for j in range(k)], axis=1) - decay / n * field.weights
@@ -163,7 +230,7 @@ def trained(texts: list[tuple[str, str]], rounds: int = 30, rate: float = 0.5, d
 
 
 class Labeller:
-    """Emissions of words seen lately in one table, and chains over whole texts."""
+    """Emissions of words seen lately in one table, and one chain over each whole text."""
 
     def __init__(self, field: Field, entries: int = TABLE_ENTRIES):
         self.field, self.entries = field, entries
@@ -196,25 +263,26 @@ class Labeller:
             return np.zeros((0, k)), np.zeros(0, bool), begins
         get = self.place.__getitem__
         ids = np.fromiter((get(w) for t in texts for w in t), np.int64, int(begins[-1]))
-        per_text = -(-sizes // CHAIN)
-        chain_of = np.repeat(np.arange(len(texts)), per_text)
-        first_chain = np.concatenate(([0], np.cumsum(per_text)))[:-1]
-        number = np.arange(len(chain_of)) - first_chain[chain_of]
-        lengths = np.minimum(CHAIN, sizes[chain_of] - number * CHAIN)
+        per_text = -(-sizes // BLOCK)
+        text_of = np.repeat(np.arange(len(texts)), per_text)
+        first_block = np.concatenate(([0], np.cumsum(per_text)))[:-1]
+        number = np.arange(len(text_of)) - first_block[text_of]
+        lengths, first = np.minimum(BLOCK, sizes[text_of] - number * BLOCK), number == 0
         inside = np.arange(len(ids)) - np.repeat(begins[:-1], sizes)
-        slot = (np.repeat(first_chain, sizes) + inside // CHAIN) * CHAIN + inside % CHAIN
-        scores = np.zeros((len(chain_of) * CHAIN, k), np.float32)
+        slot = (np.repeat(first_block, sizes) + inside // BLOCK) * BLOCK + inside % BLOCK
+        scores = np.zeros((len(text_of) * BLOCK, k), np.float32)
         scores[slot] = self.scores[ids]
-        out = np.empty((len(ids), k), np.float32)
-        # chains of like length together: short texts don't pay for long ones
+        scores = scores.reshape(-1, BLOCK, k)
+        transitions = self.field.transitions.astype(np.float32)
+        enter, leave = carried(scores, transitions, lengths, first)
+        # blocks of like length together: short texts don't pay for long ones
         by = np.argsort(lengths, kind="stable")
-        scores = scores.reshape(-1, CHAIN, k)
         found = np.zeros_like(scores)
         for part in np.array_split(by, 4) if len(by) > 64 else [by]:
             if len(part):
                 most = int(lengths[part].max())
-                found[part, :most] = forward_backward(scores[part, :most], self.field.transitions.astype(np.float32), lengths[part])[0]
-        out[:] = found.reshape(-1, k)[slot]
+                found[part, :most] = forward_backward(scores[part, :most], transitions, lengths[part], first[part], enter[part], leave[part])[0]
+        out = found.reshape(-1, k)[slot]
         return out, self.lettered[ids], begins
 
 

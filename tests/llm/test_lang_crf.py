@@ -4,14 +4,82 @@ import numpy as np
 
 from statera.llm import lang_crf
 from statera.llm.queries import QUERIES
-from tests.llm.cases import documents, texts
+from tests.llm.cases import SF, documents, texts
+
+
+def whole(scores, moves, lengths, first):
+    return lang_crf.forward_backward(scores, moves, lengths, first, *lang_crf.carried(scores, moves, lengths, first))
+
+
+def uncut(scores, moves):
+    """Marginals and expected transitions of one chain, by the plain recursion in logarithms."""
+    n, k = scores.shape
+    alpha, beta = np.zeros((n, k)), np.zeros((n, k))
+    alpha[0] = scores[0]
+    for t in range(1, n):
+        alpha[t] = scores[t] + np.logaddexp.reduce(alpha[t - 1][:, None] + moves, axis=0)
+    for t in range(n - 2, -1, -1):
+        beta[t] = np.logaddexp.reduce(moves + (scores[t + 1] + beta[t + 1])[None, :], axis=1)
+    total = np.logaddexp.reduce(alpha[-1])
+    pairs = sum((np.exp(alpha[t][:, None] + moves + (scores[t + 1] + beta[t + 1])[None, :] - total) for t in range(n - 1)), np.zeros((k, k)))
+    return np.exp(alpha + beta - total), pairs
+
+
+def test_long_chains_equal_the_uncut_recursion():
+    draw = np.random.default_rng(3)
+    moves = draw.normal(size=(3, 3)) * 2
+    sizes = [1000, 5, 128, 129, 256, 300, 1]
+    chains = [draw.normal(size=(n, 3)) for n in sizes]
+    blocks, lengths, first = [], [], []
+    for scores in chains:
+        for at in range(0, len(scores), lang_crf.BLOCK):
+            part = scores[at : at + lang_crf.BLOCK]
+            blocks.append(np.concatenate([part, np.zeros((lang_crf.BLOCK - len(part), 3))]))
+            lengths.append(len(part))
+            first.append(at == 0)
+    marginals, pairs = whole(np.stack(blocks), moves, np.array(lengths), np.array(first))
+    flat = np.concatenate([m[:n] for m, n in zip(marginals, lengths, strict=True)])
+    expected = [uncut(scores, moves) for scores in chains]
+    assert np.allclose(flat, np.concatenate([m for m, _ in expected]))
+    assert np.allclose(pairs, sum(p for _, p in expected))
+
+
+def test_predictions_by_brute_force(spark):
+    """Whole predictions of the query's operator, computed again word by word and chain by chain."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    field = lang_crf.learned(docs, ~lang_crf.held_out("doc_id"))
+    got = {r["doc_id"]: r for r in lang_crf.identified(docs, field, ["doc_id"], with_words=True).collect()}
+    known = {}
+    for r in texts(f"{SF}/documents.parquet", "doc_id", "text"):
+        words = (r["text"] or "").split()
+        shaped = [lang_crf.normalised(w) for w in words]
+        lettered = np.array([any(map(str.isalpha, w)) for w in shaped], bool)
+        for w in {w for w in shaped if w not in known}:
+            known[w] = field.emissions([w])[0].astype(float) if any(map(str.isalpha, w)) else np.zeros(len(field.languages))
+        if not lettered.any():
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        marginals, _ = uncut(np.stack([known[w] for w in shaped]), field.transitions)
+        sums = (marginals * lettered[:, None]).sum(axis=0)
+        row = got[r["doc_id"]]
+        assert row["lang_pred"] == field.languages[sums.argmax()] and abs(row["score"] - sums.max() / sums.sum()) < 1e-4
+        close = np.sort(marginals, axis=1)[:, -1] - np.sort(marginals, axis=1)[:, -2] < 1e-3
+        assert all(x == field.languages[m] or c for x, m, y, c in zip(row["word_langs"], marginals.argmax(axis=1), lettered, close, strict=True) if y)
+
+
+def test_the_lexicon_holds_words_of_two_texts():
+    found = lang_crf.lexicon_of([(["a", "b", "b"], 0), (["a", "c"], 0), (["a", "c"], 1), (["c", "d"], 1)])
+    assert found == {"a": 1, "c": 2}
+    one = lang_crf.features(["a", "x"], {"a": 1})[0]
+    other = lang_crf.features(["a", "x"], {"a": 2})[0]
+    assert (one != other).sum() == 1  # the set of languages is one feature of the word
 
 
 def test_forward_backward_against_all_paths():
     draw = np.random.default_rng(1)
     scores, moves = draw.normal(size=(2, 4, 3)), draw.normal(size=(3, 3))
     lengths = np.array([4, 2])
-    marginals, pairs = lang_crf.forward_backward(scores, moves, lengths)
+    marginals, pairs = whole(scores, moves, lengths, np.ones(2, bool))
     expected = np.zeros((3, 3))
     for c, n in enumerate(lengths):
         weights = {p: np.exp(sum(scores[c, t, y] for t, y in enumerate(p)) + sum(moves[a, b] for a, b in itertools.pairwise(p))) for p in itertools.product(range(3), repeat=int(n))}
