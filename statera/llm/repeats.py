@@ -15,6 +15,11 @@ Matches never cross documents and are judged on the input.
    An anchor with more than MANY distinct contexts (the ends of a very common passage) is split: its
    stretches are grouped as byte strings, with partial aggregation, instead of being sorted in one task.
 4. Each occurrence takes the verdict of its context; intervals of a document are joined and cut out.
+   Verdicts of the few contexts that hold more than 1/HOT of all occurrences are broadcast (there are fewer
+   than HOT of them), so that none of them is one task's.
+
+Contexts go by a 64-bit hash of their bytes. Where two of one anchor are found to share it, which the sort
+and the grouping see, all are named anew under another seed, so the result doesn't hang on it.
 
 Exact copies aren't searched: all stretches of a copy start in the copy with the smallest id.
 
@@ -30,7 +35,8 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statera.llm.common import removed, small_batches, written
@@ -40,10 +46,17 @@ from statera.llm.suffix_sort import sorted_suffixes
 GRAM = 24
 DEPTH = 50
 #: Distinct contexts of one anchor above which its stretches are grouped instead of sorted together.
-MANY = 4096
+MANY = 1024
 #: Anchors that a task holds before it packs and sends them, and most contexts sorted together on average.
 BLOCK_ANCHORS = 700_000
 SHARD_CONTEXTS = 20_000
+#: Text bytes whose anchors (about one in 14 bytes) make up a bucket on average.
+BUCKET_BYTES = 24 << 20
+#: A context with more than this part of all occurrences is hot.
+HOT = 5_000
+#: Tasks that the rows of one group of copies are dealt to.
+SALTS = 16
+SEEDS = 8
 _PLACE = U64((1 << 24) - 1)
 LAST = (1 << 63) - 1
 
@@ -88,7 +101,8 @@ def _packed(batches: Iterable[pa.RecordBatch], depth: int, gram: int, buckets: i
     held: list[tuple[np.ndarray, np.ndarray]] = []
     docs: list[np.ndarray] = []
     n_docs = n_anchors = 0
-    turn = 0
+    # rows of known shared anchors are dealt in turn, each task beginning elsewhere
+    turn = int(mixed(np.array([TaskContext.get().partitionId()], U64))[0] % U64(buckets))
 
     def row(bucket: int, hashes: np.ndarray, places: np.ndarray, ids: np.ndarray) -> tuple:
         return bucket, hashes.tobytes(), places.astype("<i4").tobytes(), ids.tobytes()
@@ -189,7 +203,7 @@ def _contexts(batches: Iterable[pa.RecordBatch], depth: int, gram: int) -> Itera
             )
 
 
-VERDICT = "anchor long, context_id long, least array<bigint>"
+VERDICT = "anchor long, context_id long, least array<bigint>, clash boolean"
 
 
 def _sorted(group: pa.Table, depth: int) -> pa.Table:
@@ -227,7 +241,12 @@ def _sorted(group: pa.Table, depth: int) -> pa.Table:
     inner = np.repeat(sought, sizes)
     take = (np.repeat(bounds[:-1] - cut[:-1], sizes) + np.arange(cut[-1]))[inner]
     values[inner] = least[take]
-    return pa.table({"anchor": group.column("anchor"), "context_id": group.column("context_id"), "least": pa.ListArray.from_arrays(pa.array(cut), pa.array(values))})
+    clash = np.zeros(len(doc), bool)
+    if len(doc) > 1:
+        named = group.column("context_id").to_numpy()
+        by = np.lexsort((named, anchor))
+        clash[by[1:]] = (anchor[by[1:]] == anchor[by[:-1]]) & (named[by[1:]] == named[by[:-1]])
+    return pa.table({"anchor": group.column("anchor"), "context_id": group.column("context_id"), "least": pa.ListArray.from_arrays(pa.array(cut), pa.array(values)), "clash": clash})
 
 
 def _cut(batches: Iterable[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
@@ -253,6 +272,32 @@ def _cut(batches: Iterable[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBat
         )
 
 
+def _name(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "context")
+
+
+def _verdicts(occurrences: DataFrame, depth: int, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """(anchor, context_id, least, clash) and (anchor, context_id, times) of every context."""
+    distinct = occurrences.groupBy("anchor", "context_id", "context").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("times"))
+    distinct = written(distinct, "repeats-contexts", compression="zstd")
+    times = written(distinct.filter("times > 1000").select("anchor", "context_id", "times"), "repeats-times")
+    crowded = written(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MANY).select("anchor"), "repeats-crowded")
+    shards = max(buckets, distinct.count() // SHARD_CONTEXTS)
+    few = distinct.join(crowded, "anchor", "left_anti").select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "anchor", "context_id", "context", "doc")
+    verdicts = few.groupBy("shard").applyInArrow(lambda g: _sorted(g, depth), VERDICT)
+    many = distinct.join(crowded, "anchor", "left_semi")
+    n_stretches = F.octet_length("context") - depth + 1
+    place = F.explode(F.sequence(F.lit(1), n_stretches)).alias("j")
+    stretches = many.select("anchor", "context_id", "doc", "context", n_stretches.alias("n"), place).withColumn("stretch", F.expr(f"substring(context, j, {depth})")).drop("context")
+    # written, so that both sides of the join are dealt anew and Spark can split a stretch that all contexts hold
+    least = written(stretches.groupBy("stretch").agg(F.min("doc").alias("least")), "repeats-stretches")
+    grouped = stretches.join(least, "stretch").groupBy("anchor", "context_id").agg(F.collect_list(F.struct("j", "least")).alias("found"), F.min("n").alias("n"))
+    grouped = grouped.select("anchor", "context_id", F.transform(F.array_sort("found"), lambda x: x["least"]).alias("least"), (F.size("found") != F.col("n")).alias("clash"))
+    verdicts = written(verdicts.union(grouped), "repeats-verdicts")
+    removed(distinct, crowded, least)
+    return verdicts, times
+
+
 def _kept(batches: Iterable[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
     names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * with_text + ["more"]
     for batch in batches:
@@ -291,41 +336,43 @@ def without_repeats(
         raise ValueError("the gram must have 8 to depth bytes")
     spark = docs.sparkSession
     small_batches(spark)
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("mark"), F.col(id_col).cast("long").alias("id"), text.alias("text"), F.struct(*keep).alias("more") if keep else F.lit(None).cast("string").alias("more"))
 
     digests = rows.select("doc", "mark", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.octet_length("text").alias("size"))
     digests = written(digests, "repeats-digests")
-    firsts = digests.groupBy("digest").agg(F.min("doc").alias("least"))
-    copies = written(digests.join(firsts, "digest").filter((F.col("doc") > F.col("least")) & (F.col("size") >= depth)).select("doc", "mark").distinct(), "repeats-copies")
-
+    groups = digests.filter(F.col("size") >= depth).groupBy("digest").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("digest", "least")
+    # the rows of a group of copies are dealt to several tasks, each with the group's row
+    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    copies = digests.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"])
+    copies = written(copies.filter(F.col("doc") > F.col("least")).select("doc", "mark").distinct(), "repeats-copies")
+    n_bytes = digests.agg(F.sum("size")).first()[0] or 0
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // BUCKET_BYTES)
     removed(digests)
 
     packed = rows.select("doc", "mark", "text").mapInArrow(lambda b: _packed(b, depth, gram, buckets), "bucket int, hashes binary, places binary, ids binary")
     shared = written(packed.groupBy("bucket").applyInArrow(_shared, "doc long, mark long, anchor long"), "repeats-shared")
     wanted = shared.groupBy("doc", "mark").agg(F.collect_list("anchor").alias("wanted")).join(copies, ["doc", "mark"], "left_anti")
     found = rows.select("doc", "mark", "text").join(wanted.hint("shuffle_hash"), ["doc", "mark"]).select("doc", "mark", "text", "wanted")
-    occurrences = written(found.mapInArrow(lambda b: _contexts(b, depth, gram), OCCURRENCE).withColumn("context_id", F.xxhash64("context")), "repeats-occurrences", compression="zstd")
+    occurrences = found.mapInArrow(lambda b: _contexts(b, depth, gram), OCCURRENCE).withColumn("context_id", _name(0))
+    occurrences = written(occurrences, "repeats-occurrences", compression="zstd")
     removed(shared)
-
-    distinct = written(occurrences.groupBy("anchor", "context_id", "context").agg(F.min("doc").alias("doc")), "repeats-contexts", compression="zstd")
-    crowded = written(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MANY).select("anchor"), "repeats-crowded")
-    shards = max(buckets, distinct.count() // SHARD_CONTEXTS)
-    few = distinct.join(crowded, "anchor", "left_anti").select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "anchor", "context_id", "context", "doc")
-    verdicts = few.groupBy("shard").applyInArrow(lambda g: _sorted(g, depth), VERDICT)
-    many = distinct.join(crowded, "anchor", "left_semi")
-    place = F.explode(F.sequence(F.lit(1), F.octet_length("context") - depth + 1)).alias("j")
-    stretches = many.select("anchor", "context_id", "doc", "context", place).withColumn("stretch", F.expr(f"substring(context, j, {depth})")).drop("context")
-    # written, so that both sides of the join are dealt anew and Spark can split a stretch that all contexts hold
-    least = written(stretches.groupBy("stretch").agg(F.min("doc").alias("least")), "repeats-stretches")
-    grouped = stretches.join(least, "stretch").groupBy("anchor", "context_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "least"))), lambda x: x["least"]).alias("least"))
-    verdicts = written(verdicts.union(grouped), "repeats-verdicts")
-
-    judged = occurrences.select("anchor", "context_id", "doc", "mark", "start", "stretches").join(verdicts, ["anchor", "context_id"]).select("doc", "mark", "start", "stretches", "least")
+    for seed in range(SEEDS):
+        named = occurrences if not seed else occurrences.withColumn("context_id", _name(seed))
+        verdicts, times = _verdicts(named, depth, buckets)
+        if not verdicts.filter("clash").limit(1).count():
+            break
+    else:
+        raise RuntimeError("contexts share their hashes under every seed")
+
+    light = named.select("anchor", "context_id", "doc", "mark", "start", "stretches")
+    hot = times.filter(F.col("times") > F.lit(max(1000, occurrences.count() // HOT))).select("anchor", "context_id").join(verdicts, ["anchor", "context_id"])
+    hot = F.broadcast(written(hot.select("anchor", "context_id", "least"), "repeats-hot"))
+    cold = light.join(hot, ["anchor", "context_id"], "left_anti").join(verdicts.select("anchor", "context_id", "least"), ["anchor", "context_id"])
+    judged = cold.unionByName(light.join(hot, ["anchor", "context_id"])).select("doc", "mark", "start", "stretches", "least")
     intervals = judged.mapInArrow(lambda b: _cut(b, depth), "doc long, mark long, span long").groupBy("doc", "mark").agg(F.collect_list("span").alias("intervals"))
     intervals = written(intervals, "repeats-intervals")
-    removed(occurrences, distinct, crowded, least, verdicts)
+    removed(occurrences, verdicts, times, hot)
     verdict = intervals.select("doc", "mark", F.lit(False).alias("copy"), "intervals").union(copies.select("doc", "mark", F.lit(True).alias("copy"), F.lit(None).cast(intervals.schema["intervals"].dataType).alias("intervals")))
     whole = rows.join(verdict.hint("shuffle_hash"), ["doc", "mark"], "left").select("id", "text", "copy", "intervals", "more")
     schema = f"id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{', kept_text string' * with_text}, more {whole.schema['more'].dataType.simpleString()}"

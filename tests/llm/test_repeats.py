@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from statera.llm import repeats, suffix_sort
 from tests.llm.cases import documents
@@ -47,6 +48,31 @@ def test_against_brute_force(spark, monkeypatch, many):
     assert sorted((tuple(r) for r in found), key=str) == brute(rows, 50)
 
 
+@pytest.mark.parametrize("many", [4096, 1])
+def test_contexts_that_share_a_hash_are_named_anew(spark, monkeypatch, many):
+    seeds = []
+
+    def name(seed):
+        seeds.append(seed)
+        return F.lit(0).cast("long") if seed < 2 else F.xxhash64(F.lit(seed), "context")
+
+    monkeypatch.setattr(repeats, "MANY", many)
+    monkeypatch.setattr(repeats, "_name", name)
+    draw = random.Random(3)
+    passage = "".join(draw.choice("abcde ") for _ in range(80))
+    rows = [(i, f"{''.join(draw.choice('abc') for _ in range(20))}{passage[i % 7 :]}{i}") for i in range(30)]
+    found = repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((tuple(r) for r in found), key=str) == brute(rows, 50) and max(seeds) == 2
+
+
+def test_hot_contexts_and_groups_of_copies(spark):
+    draw = random.Random(5)
+    passage = "".join(draw.choice("abcde ") for _ in range(80))
+    rows = [(i, f"{passage}") for i in range(1500)] + [(2000 + i, f"{i} {passage} {i * 7}") for i in range(1500)]
+    found = repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((tuple(r) for r in found), key=str) == brute(rows, 50)
+
+
 def test_edge_cases(spark):
     docs = documents(spark)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
