@@ -46,12 +46,12 @@ from statera.llm.suffix_sort import sorted_suffixes
 GRAM = 24
 DEPTH = 50
 #: Distinct contexts of one anchor above which its stretches are grouped instead of sorted together.
-MANY = 1024
+MANY = 4096
 #: Anchors that a task holds before it packs and sends them, and most contexts sorted together on average.
 BLOCK_ANCHORS = 700_000
 SHARD_CONTEXTS = 20_000
 #: Text bytes whose anchors (about one in 14 bytes) make up a bucket on average.
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 8 << 20
 #: A context with more than this part of all occurrences is hot.
 HOT = 5_000
 #: Tasks that the rows of one group of copies are dealt to.
@@ -93,7 +93,8 @@ def anchors(values: np.ndarray, offsets: np.ndarray, depth: int, gram: int) -> t
     named = named[at]
     opens = np.flatnonzero(np.concatenate(([True], named[1:] != named[:-1])))
     first, last = at[opens], at[np.append(opens[1:], len(at)) - 1]
-    return grams[named[opens]], np.searchsorted(offsets, first, "right") - 1, first, last
+    # an anchor is the least of many hashes, so it is mixed once more to be anywhere in their range
+    return mixed(grams[named[opens]] + U64(0x9E3779B97F4A7C15)), np.searchsorted(offsets, first, "right") - 1, first, last
 
 
 def _packed(batches: Iterable[pa.RecordBatch], depth: int, gram: int, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -119,7 +120,7 @@ def _packed(batches: Iterable[pa.RecordBatch], depth: int, gram: int, buckets: i
         sizes = np.diff(np.append(opens, len(hashes)))
         shared = np.repeat(sizes > 1, sizes)
         rows = []
-        for part in np.array_split(np.flatnonzero(shared), max(1, int(shared.sum()) >> 18)):
+        for part in np.array_split(np.flatnonzero(shared), max(1, int(shared.sum()) >> 16)):
             if len(part):
                 used, places = np.unique(of[part], return_inverse=True)
                 rows.append(row(turn % buckets, hashes[part], -2 - places, ids[used]))
@@ -347,7 +348,7 @@ def without_repeats(
     copies = digests.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"])
     copies = written(copies.filter(F.col("doc") > F.col("least")).select("doc", "mark").distinct(), "repeats-copies")
     n_bytes = digests.agg(F.sum("size")).first()[0] or 0
-    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // BUCKET_BYTES)
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // BUCKET_BYTES)
     removed(digests)
 
     packed = rows.select("doc", "mark", "text").mapInArrow(lambda b: _packed(b, depth, gram, buckets), "bucket int, hashes binary, places binary, ids binary")
