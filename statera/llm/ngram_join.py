@@ -1,19 +1,22 @@
 """Jaccard join on word n-gram sets with prefix filters under several global token orders.
 
 Two sets whose Jaccard similarity reaches the threshold share a token among the first n - ceil(t n) + 1
-of each, whatever total order sorts the tokens. Three orders are used, ascending by the document count
-(from a hashed counter table of bounded size over all documents), by its magnitude and by its coarse
-magnitude, and among equals by the token's hash under that order, so tokens of few documents come first. The prefix under the first order
-is the index that proposes pairs; a pair goes on only if the prefixes under the second and the third
-order meet too, and is then verified on the whole sets. The counters decide the order alone: a wrong
-count costs time, never a link.
+of each, whatever total order sorts the tokens. Three orders are used: ascending by the document count
+(from a hashed counter table of bounded size over all documents), ascending by its coarse magnitude, and
+one that doesn't ask counts at all; among equals the token's hash under that order decides. The prefix under
+the first order, tokens of few documents first, is the index that proposes pairs; a pair goes on only if the
+prefixes under the second and the third order meet too, and is then verified on the whole sets. The counters
+decide the order alone: a wrong count costs time, never a link. They are 32 bits wide and at most 2^21, so
+with N tokens in all documents a count is told from chance as long as it is well above N / 2^21.
 
 Equal sets are one class with the smallest id as its representative, so copies meet no one but their
 class. The places of a shared token in both orders bound the overlap and prune most pairs. A token shared
 by many representatives (near copies by the thousand) isn't turned into all pairs: its members are first
 held against two pivots, links join components, and after such rounds only pairs between different
-components are left to enumerate. That loses no link between different components, so components and
-memberships are exact.
+components are left to enumerate. Their members meet by size: the places of the token bound the size that a
+partner can have, so a token's members are joined on bins of sizes, and members that no size in reach could
+link meet nobody. That loses no link between different components, so components and memberships are exact.
+The rows of one class, and the members that meet one pivot, are dealt to several tasks.
 
 Defined results: a null or blank text has an empty set and links with nothing; of rows that share an id
 each keeps its own set size and they count as one document; a null id is its own component (null);
@@ -38,11 +41,14 @@ from statera.llm.shingles import U64, mixed, shingle_sets, text_slices
 #: Bits of a counter's place: at least two counters per document, between these bounds.
 WIDTH_BITS = (16, 21)
 COUNTER_SLICES = 16
-#: How fine an order tells counts apart: exactly, or in steps per doubling.
-FINENESS = (None, 8, 3)
+MOST_COUNT = (1 << 32) - 1
+#: How fine an order tells counts apart: exactly, in steps per doubling, or not at all.
+FINENESS = (None, 3, 0)
 ORDERS = len(FINENESS)
 #: Members of an index token above which pivots are tried before pairs are enumerated, and how often.
 MANY, PIVOT_ROUNDS = 64, 2
+#: Ratio of the sizes that share a bin, and tasks that the rows of a class or the partners of a pivot are dealt to.
+BIN_RATIO, SALTS = 1.08, 16
 _FLUSH = 1 << 21
 
 
@@ -75,26 +81,26 @@ def _counted(batches: Iterable[pa.RecordBatch], k: int, bits: int) -> Iterator[p
     if held:
         flush()
     task = TaskContext.get().partitionId() % 256
-    for c, part in enumerate(np.split(np.minimum(counts, 65535).astype("<u2"), COUNTER_SLICES)):
+    for c, part in enumerate(np.split(np.minimum(counts, MOST_COUNT).astype("<u4"), COUNTER_SLICES)):
         yield pa.RecordBatch.from_pydict({"slot": pa.array([c], pa.int32()), "task": pa.array([task], pa.int32()), "counts": pa.array([part.tobytes()], pa.binary())})
 
 
 def _added(group: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_py(), "<u2").astype(np.int64) for x in group.column("counts"))
-    return pa.table({"slot": group.column("slot")[:1], "task": group.column("task")[:1], "counts": pa.array([np.minimum(total, 65535).astype("<u2").tobytes()], pa.binary())})
+    total = sum(np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in group.column("counts"))
+    return pa.table({"slot": group.column("slot")[:1], "task": group.column("task")[:1], "counts": pa.array([np.minimum(total, MOST_COUNT).astype("<u4").tobytes()], pa.binary())})
 
 
 def document_counts(docs: DataFrame, k: int, text_col: str) -> np.ndarray:
-    """Saturating document counts by hashed token, over all documents; the table's size is bounded by WIDTH_BITS."""
+    """Document counts by hashed token, over all documents; the table's size is bounded by WIDTH_BITS."""
     bits = min(WIDTH_BITS[1], max(WIDTH_BITS[0], (2 * docs.count()).bit_length()))
     schema = "slot int, task int, counts binary"
     per_task = docs.select(text_col).mapInArrow(lambda b: _counted(b, k, bits), schema)
     # tasks are added up in up to 256 groups first, so that no group grows with their number
     rows = per_task.groupBy("slot", "task").applyInArrow(_added, schema).groupBy("slot").applyInArrow(_added, schema).collect()
-    counts = np.zeros(1 << bits, np.uint16)
+    counts = np.zeros(1 << bits, np.uint32)
     step = (1 << bits) // COUNTER_SLICES
     for row in rows:
-        counts[row["slot"] * step : (row["slot"] + 1) * step] = np.frombuffer(row["counts"], "<u2")
+        counts[row["slot"] * step : (row["slot"] + 1) * step] = np.frombuffer(row["counts"], "<u4")
     return counts
 
 
@@ -102,9 +108,14 @@ def _prefixes(tokens: np.ndarray, table: np.ndarray, length: int) -> list[np.nda
     """The first ``length`` tokens under every order."""
     counts, out = table[_counter(tokens, len(table).bit_length() - 1)], []
     for r, steps in enumerate(FINENESS):
-        top = counts if steps is None else (steps * np.log2(1.0 + counts)).astype(np.uint16)
+        hashes = _order_hash(tokens, r)
         # tokens come sorted and the sort is stable, so an order is total even if two keys agree
-        key = (top.astype(U64) << U64(48)) | (_order_hash(tokens, r) >> U64(16))
+        if steps == 0:
+            key = hashes
+        elif steps is None:
+            key = (counts.astype(U64) << U64(32)) | (hashes >> U64(32))
+        else:
+            key = ((steps * np.log2(1.0 + counts)).astype(U64) << U64(48)) | (hashes >> U64(16))
         out.append(tokens[np.argsort(key, kind="stable")[:length]])
     return out
 
@@ -160,11 +171,18 @@ class JaccardJoin:
         small_batches(spark)
         counts = spark.sparkContext.broadcast(document_counts(self.docs, k, "text"))
         profile = written(self.docs.mapInArrow(lambda b: _profiled(b, k, percent, counts), PROFILE), "jaccard-profile")
-        firsts = profile.filter("n > 0 and id is not null").groupBy("class").agg(F.min("id").alias("rep"))
-        self.rows = written(profile.select("id", "n", "class").join(firsts, "class", "left").select("id", "n", "rep"), "jaccard-rows")
+        # only classes of several rows need a representative found; their rows are dealt to several tasks
+        several = profile.filter("n > 0").groupBy("class").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("class", "rep")
+        several = written(several, "jaccard-several")
+        salted = several.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = profile.withColumn("salt", F.pmod(F.xxhash64("id", "n"), F.lit(SALTS)).cast("int"))
+        rep = F.when(F.col("n") > 0, F.coalesce("rep", "id")).alias("rep")
+        self.rows = written(dealt.select("id", "n", "class", "salt").join(salted, ["class", "salt"], "left").select("id", "n", rep), "jaccard-rows")
         self._tables: list[DataFrame] = []
         # a row that occurs twice is its class's first row twice, which the joins below don't mind
-        self.classes = self._kept(profile.join(firsts, (profile["class"] == firsts["class"]) & (profile["id"] == firsts["rep"])).select("rep", "n", "p1", "p2", "p3"), "jaccard-classes")
+        firsts = dealt.filter("n > 0 and id is not null").join(salted, ["class", "salt"], "left").filter(F.col("rep").isNull() | (F.col("rep") == F.col("id")))
+        self.classes = self._kept(firsts.select(F.col("id").alias("rep"), "n", "p1", "p2", "p3"), "jaccard-classes")
+        removed(several)
         removed(profile)
         index = self.classes.select("rep", "n", F.posexplode("p1").alias("place", "token"))
         shared = index.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi")
@@ -178,27 +196,42 @@ class JaccardJoin:
     def _may_link(self, m: str, i: str, n: str, j: str) -> Column:
         """Whether sets of m and n tokens can reach the threshold if their first common token is at places i and j.
 
-        The overlap is at most m - i and at most n - j, and must be t (m + n) / (1 + t). The first common
-        token of a linked pair passes, so asking it of any shared token loses no link.
+        The overlap is at most m - i and at most n - j, and must be t (m + n) / (1 + t). Sets of one size that
+        differ have at most n - 1 in common. The first common token of a linked pair passes, so asking it of any
+        shared token loses no link.
         """
-        least = self.percent * (F.col(m) + F.col(n))
-        return ((F.col(m) - F.col(i)) * (100 + self.percent) >= least) & ((F.col(n) - F.col(j)) * (100 + self.percent) >= least)
+        least, times = self.percent * (F.col(m) + F.col(n)), 100 + self.percent
+        differ = (F.col(m) != F.col(n)) | ((F.col(n) - 1) * times >= least)
+        return ((F.col(m) - F.col(i)) * times >= least) & ((F.col(n) - F.col(j)) * times >= least) & differ
+
+    def _farthest(self) -> Column:
+        """The largest partner of a member with n tokens whose first common one is at ``place``, by the same bound."""
+        return F.floor((F.col("n") - F.col("place")) * (100 + self.percent) / self.percent) - F.col("n")
 
     def _orders_of(self, reps: DataFrame) -> DataFrame:
         """The prefixes under the further orders of the representatives in column id, once for many filters."""
         return self._kept(self.classes.join(reps.select(F.col("id").alias("rep")).distinct(), "rep", "left_semi").select("rep", "p2", "p3"), "jaccard-orders")
 
-    def _filtered(self, pairs: DataFrame, orders: DataFrame, name: str) -> DataFrame:
+    @staticmethod
+    def _with_sides(pairs: DataFrame, table: DataFrame, id_col: str, columns: list[str], hot: bool) -> DataFrame:
+        """The pairs (a, b) with the columns of both. ``hot``: few b have many a, so the pairs of a b are dealt to several tasks."""
+        one = table.select(F.col(id_col).alias("a"), *(F.col(c).alias(f"a_{c}") for c in columns))
+        other = table.select(F.col(id_col).alias("b"), *(F.col(c).alias(f"b_{c}") for c in columns))
+        if not hot:
+            return pairs.join(one, "a").join(other, "b")
+        salted = other.join(pairs.select("b").distinct(), "b", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int"))
+        return dealt.join(one, "a").join(salted, ["b", "salt"])
+
+    def _filtered(self, pairs: DataFrame, orders: DataFrame, name: str, hot: bool = False) -> DataFrame:
         """The pairs (a, b) whose prefixes meet under every further order too."""
-        a = orders.select(F.col("rep").alias("a"), F.col("p2").alias("a2"), F.col("p3").alias("a3"))
-        b = orders.select(F.col("rep").alias("b"), F.col("p2").alias("b2"), F.col("p3").alias("b3"))
-        near = pairs.join(a, "a").join(b, "b").filter(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3"))
+        near = self._with_sides(pairs, orders, "rep", ["p2", "p3"], hot).filter(F.arrays_overlap("a_p2", "b_p2") & F.arrays_overlap("a_p3", "b_p3"))
         return self._kept(near.select("a", "b").distinct(), name)
 
-    def _verified(self, near: DataFrame, sets: DataFrame) -> DataFrame:
+    def _verified(self, near: DataFrame, sets: DataFrame, hot: bool = False) -> DataFrame:
         percent = self.percent
-        both = near.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("left")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("right")), "b")
-        return self._kept(both.select("a", "b", "left", "right").mapInArrow(lambda x: _linked(x, percent), "a long, b long").distinct(), "jaccard-links")
+        both = self._with_sides(near, sets, "id", ["tokens"], hot).select("a", "b", "a_tokens", "b_tokens")
+        return self._kept(both.mapInArrow(lambda x: _linked(x, percent), "a long, b long").distinct(), "jaccard-links")
 
     def links_between_components(self) -> DataFrame:
         """Verified links that connect every component: all of the index's few, and of a crowded token's what joins components."""
@@ -226,16 +259,23 @@ class JaccardJoin:
             pivots = open_.filter("one < other").select("token", F.explode(F.array("x", F.struct("y.place", "y.h", "y.rep", "y.n", "y.component"))).alias("p"))
             pivots = pivots.select("token", F.col("p.rep").alias("pivot"), F.col("p.n").alias("m"), F.col("p.place").alias("i"), F.col("p.component").alias("of_pivot"))
             met = here.join(pivots, "token").filter((F.col("component") != F.col("of_pivot")) & self._may_link("m", "i", "n", "place"))
-            near = self._filtered(met.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct(), orders, "jaccard-pivots")
-            links = links.union(self._verified(near, sets))
-        here = self._kept(self._with_component(crowded, links), "jaccard-open")
-        groups = here.groupBy("token", "component").agg(F.max(F.col("n") - F.col("place")).alias("reach"), F.min("n").alias("least"))
-        one, other = (groups.select("token", F.col("component").alias(x), F.col("reach").alias(f"reach_{x}"), F.col("least").alias(f"least_{x}")) for x in ("one", "other"))
-        reach = F.least("reach_one", "reach_other") * (100 + self.percent) >= self.percent * (F.col("least_one") + F.col("least_other"))
-        meet = one.join(other, "token").filter((F.col("one") < F.col("other")) & reach).select("token", "one", "other")
-        left = here.select("token", F.col("component").alias("one"), F.col("rep").alias("p"), F.col("n").alias("m"), F.col("place").alias("i"))
-        right = here.select("token", F.col("component").alias("other"), F.col("rep").alias("q"), "n", F.col("place").alias("j"))
-        rest = meet.join(left, ["token", "one"]).join(right, ["token", "other"]).filter(self._may_link("m", "i", "n", "j"))
+            met = self._kept(met.select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), "jaccard-met")
+            near = self._filtered(met, orders, "jaccard-pivots", hot=True)
+            links = links.union(self._verified(near, sets, hot=True))
+        bin_of = lambda n: F.floor(F.log(n) / float(np.log(BIN_RATIO))).cast("int")
+        here = self._with_component(crowded, links).withColumn("far", self._farthest()).withColumn("bin", bin_of(F.col("n")))
+        here = self._kept(here.select("token", "rep", "n", "place", "component", "far", "bin"), "jaccard-open")
+        # what could be the smaller of a pair, grouped; and all, grouped: a group's bounds are those of its members
+        key = ["token", "component", "bin"]
+        smaller = here.filter("far >= n").groupBy(*key).agg(F.max("far").alias("far"), F.min("n").alias("least"))
+        smaller = smaller.withColumn("met", F.explode(F.sequence(F.col("bin"), bin_of(F.col("far")))))
+        larger = here.groupBy(*key).agg(F.max("far").alias("far_q"), F.min("n").alias("least_q"))
+        one = smaller.select("token", F.col("component").alias("one"), F.col("bin").alias("bin_p"), F.col("met").alias("bin_q"), "far", "least")
+        other = larger.select("token", F.col("component").alias("other"), F.col("bin").alias("bin_q"), "far_q", "least_q")
+        meet = one.join(other, ["token", "bin_q"]).filter("one <> other and least_q <= far and least <= far_q").select("token", "one", "bin_p", "other", "bin_q")
+        left = here.filter("far >= n").select("token", F.col("component").alias("one"), F.col("bin").alias("bin_p"), F.col("rep").alias("p"), F.col("n").alias("m"), F.col("place").alias("i"))
+        right = here.select("token", F.col("component").alias("other"), F.col("bin").alias("bin_q"), F.col("rep").alias("q"), "n", F.col("place").alias("j"))
+        rest = meet.join(left, ["token", "one", "bin_p"]).join(right, ["token", "other", "bin_q"]).filter((F.col("m") <= F.col("n")) & self._may_link("m", "i", "n", "j"))
         near = self._filtered(rest.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), orders, "jaccard-rest")
         return links.union(self._verified(near, sets))
 

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from statera.llm import graph, ngram_join
@@ -66,3 +67,27 @@ def test_both_ways_to_components(spark):
     draw = random.Random(5)
     edges = spark.createDataFrame([(draw.randrange(200), draw.randrange(200)) for _ in range(150)], "a long, b long")
     assert sorted(map(tuple, graph.components(edges).collect())) == sorted(map(tuple, graph.components(edges, one_task=0).collect()))
+
+
+def test_crowded_tokens_of_many_components(spark):
+    """Templates: all documents share most of their tokens and few link; sizes and places keep them apart."""
+    draw = random.Random(9)
+    rows = []
+    for t in range(3):
+        base = [f"t{t}w{i}" for i in range(30 + t)]
+        for i in range(60):
+            own = base + [f"o{t}x{i}y{j}" for j in range(draw.choice([1, 2, 3, 4]))]
+            rows.append((len(rows), " ".join(own if draw.random() < 0.9 else own[: -draw.randint(1, 3)])))
+    draw.shuffle(rows)
+    for k, percent in ((3, 90), (5, 80)):
+        found = ngram_join.JaccardJoin(spark.createDataFrame(rows, "doc_id long, text string"), k=k, percent=percent, many=4).result().collect()
+        assert {r["id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute(rows, k, percent)
+
+
+def test_saturated_and_missing_counts_lose_no_link(spark, monkeypatch):
+    rows = corpus(7, 20, 10, 4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for counts in (np.zeros(1 << 16, np.uint32), np.full(1 << 16, ngram_join.MOST_COUNT, np.uint32)):
+        monkeypatch.setattr(ngram_join, "document_counts", lambda *_, counts=counts: counts)
+        found = ngram_join.JaccardJoin(docs, k=3, percent=90).result().collect()
+        assert {r["id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute(rows, 3, 90)
