@@ -61,7 +61,7 @@ SECTORS = [
     ("dirigenti", [r"QUALIFICA\s+DIRIGENTE", r"PREVINDAI|FASDAC|MANAGERITALIA", r"INDENNITA\s+DI\s+FUNZIONE\s+DIRIGENZIALE"]),
     ("cessazione-conguaglio", [r"FINE\s+RAPPORTO", r"DATA\s+CESSAZIONE", r"CONGUAGLIO\s+FISCALE", r"INDENNITA\s+SOSTITUTIVA\s+PREAVVISO"]),
 ]
-#: Extras of a month: title and pattern on the folded description, the first that matches takes the line.
+#: Extras of a month, title and pattern on the folded description (hence upper case); the first that matches takes the line.
 EXTRAS = [
     ("Straordinari", r"STRAORDINAR|SUPPLEMENTAR|ORE\s+EXTRA"),
     ("Domeniche e festivi", r"MAGG.*(?:DOMENIC|FESTIV)|(?:DOMENIC|FESTIV).*MAGG|RIPOSO\s+SETTIMANALE"),

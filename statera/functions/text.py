@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 
 from statera.functions.numbers import parse_number
 
-#: Letters with a mark that folding replaces, and what by (ß apart).
-MARKED = "àáâãäåèéêëìíîïòóôõöùúûüñçýÿÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜÑÇÝ"
-UNMARKED = "aaaaaaeeeeiiiiooooouuuuncyyAAAAAAEEEEIIIIOOOOOUUUUNCY"
+#: Marks that fold to nothing, and every letter that canonically decomposes to one without mark and such marks, by rule.
+_MARKS = "".join(map(chr, range(0x300, 0x370)))
+_DECOMPOSED = [(chr(p), d) for p in range(0xA0, 0xFFFF) if not 0xD800 <= p < 0xE000 and len(d := unicodedata.normalize("NFD", chr(p))) > 1 and all(m in _MARKS for m in d[1:])]
+MARKED, UNMARKED = "".join(c for c, _ in _DECOMPOSED) + _MARKS, "".join(d[0] for _, d in _DECOMPOSED)
+#: Names of months, abbreviations that are spelled out, and words that likeness leaves out.
 MONTHS = ["gennaio", "febbraio", "marzo", "aprile", "maggio", "giugno", "luglio", "agosto", "settembre", "ottobre", "novembre", "dicembre"]
 ABBREVIATIONS = {
     "retr": "retribuzione", "magg": "maggiorazione", "ind": "indennità", "straord": "straordinario", "fest": "festività",

@@ -71,22 +71,6 @@ def q_argmax_rules(t):
     return rows.select("o_orderkey", rules.sector(F.col("p")).alias("sector"))
 
 
-_EXTRA = [("Straord. feriale 25%", "Straordinari"), ("magg. lavoro festivo", "Domeniche e festivi"), ("lavoro notturno", "Lavoro di notte"), ("premio presenza", "Premi"), ("rimborso trasferta", "Rimborsi"), ("paga base", None)]
-
-
-@query(
-    "q_line_classify",
-    f"SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 50 = 0 THEN 'manual' WHEN l_partkey % 10 = 7 THEN 'code' WHEN l_linenumber % 6 = 5 THEN CASE WHEN l_discount > 0.05 THEN 'trattenuta' ELSE 'competenza' END ELSE ({_listed([x[1] for x in _EXTRA])})[l_linenumber % 6 + 1] END AS name FROM lineitem",
-)
-def q_line_classify(t):
-    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_discount", _said([x[0] for x in _EXTRA], "l_linenumber").alias("said"))
-    rows = rows.withColumn("p", text.fold(text.expand_abbreviations(F.col("said"))))
-    by_rule = rules.first_match(F.col("p"), rules.EXTRAS)
-    by_side = F.when(F.col("l_discount") > 0.05, "trattenuta").otherwise("competenza")
-    name = F.when(F.col("l_partkey") % 50 == 0, "manual").when(F.col("l_partkey") % 10 == 7, "code").otherwise(F.coalesce(by_rule, by_side))
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", name.alias("name"))
-
-
 @query(
     "q_priority_lookup",
     """SELECT c_custkey, CASE WHEN c_custkey % 97 < 3 THEN 'custom' ELSE n_name END AS name, CASE WHEN c_custkey % 97 < 3 THEN 0 ELSE 1 END AS source
@@ -128,24 +112,6 @@ def q_margin_accept(t):
     return match.accepted(_scored(t), "query", "score", [F.desc("score"), F.asc("entry")], least=0.5).select("query", "entry", "accepted")
 
 
-_CONCEPTS = {"Straordinario": "lavoro straordinario", "Ferie": "ferie godute", "IRPEF": "ritenuta irpef", "TFR": "quota tfr"}
-_SEMANTIC = [("Lavoro straordinari feriale", "Straordinario"), ("ferie god.", "Ferie"), ("ritenuta irpeff", "IRPEF"), ("zzz", None)]
-
-
-@query("q_semantic_match", f"SELECT o_orderkey, ({_listed([x[1] for x in _SEMANTIC])})[o_orderkey % 4 + 1] AS concept FROM orders")
-def q_semantic_match(t):
-    a, g = F.col("ta"), F.col("ga")
-    rows = t.orders.select("o_orderkey", _said([x[0] for x in _SEMANTIC], "o_orderkey").alias("said"))
-    rows = rows.select("o_orderkey", text.semantic_tokens(F.col("said")).alias("ta"), text.trigrams(F.col("said")).alias("ga"))
-    named = t.spark.createDataFrame(list(_CONCEPTS.items()), "concept string, alias string")
-    named = named.select("concept", text.semantic_tokens(F.col("alias")).alias("tb"), text.trigrams(F.col("alias")).alias("gb"))
-    concepts = [(r["concept"], r["tb"], r["gb"]) for r in named.collect()]  # a fixed, small dimension
-    scores = [F.struct(text.similarity(a, F.array(*map(F.lit, tb)), g, F.array(*map(F.lit, gb))).alias("score"), F.lit(-i).alias("prio"), F.lit(c).alias("concept")) for i, (c, tb, gb) in enumerate(concepts)]
-    best = rows.select("o_orderkey", "ta", F.array_max(F.array(*scores)).alias("best"))
-    enough = F.when(F.size("ta") >= 2, 0.46).otherwise(0.68)
-    return best.select("o_orderkey", F.when(F.col("best.score") >= enough, F.col("best.concept")).alias("concept"))
-
-
 @query("q_alias_apply", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 11 = 0 AND l_returnflag = 'R' THEN 'own' WHEN l_partkey % 11 = 0 THEN 'any' ELSE 'none' END AS alias FROM lineitem")
 def q_alias_apply(t):
     rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_returnflag").alias("software"), (F.col("l_partkey") % 11).alias("key"))

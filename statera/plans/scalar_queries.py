@@ -8,9 +8,8 @@ from statera.functions import numbers, tax, text
 from statera.plans.registry import query
 
 _SHOWN = "translate(format('{:,.2f}', CAST(CAST(CAST(l_extendedprice AS DECIMAL(18,6)) AS DECIMAL(18,2)) AS DOUBLE)), ',.', '.,')"
-_FOLD_FROM, _FOLD_TO = text.MARKED, text.UNMARKED
 _NORMAL = r"trim(regexp_replace(regexp_replace(regexp_replace({0}, '([A-Za-zÀ-ù])s([A-ZÀ-ÖØ-Þ])', '\1 \2', 'g'), '[_|]+', ' ', 'g'), '[ \t\n\r\f\x0B]+', ' ', 'g'))"
-_FOLD = "upper(translate(replace(" + _NORMAL + f", 'ß', 'ss'), '{_FOLD_FROM}', '{_FOLD_TO}'))"
+FOLD = "upper(strip_accents(replace(" + _NORMAL + ", 'ß', 'ss')))"
 
 
 def _amount():
@@ -57,12 +56,12 @@ def q_normalize_text(t):
     return t.documents.filter("text is not null").select("doc_id", text.normalize_text(F.col("text")).alias("normal"))
 
 
-@query("q_fold_text", f"SELECT doc_id, {_FOLD.format('text')} AS folded FROM documents WHERE text IS NOT NULL")
+@query("q_fold_text", f"SELECT doc_id, {FOLD.format('text')} AS folded FROM documents WHERE text IS NOT NULL")
 def q_fold_text(t):
     return t.documents.filter("text is not null").select("doc_id", text.fold(F.col("text")).alias("folded"))
 
 
-@query("q_alias_key", f"SELECT doc_id, trim(regexp_replace({_FOLD.format('text')}, '[^A-Z0-9%]+', ' ', 'g')) AS key FROM documents WHERE text IS NOT NULL")
+@query("q_alias_key", f"SELECT doc_id, trim(regexp_replace({FOLD.format('text')}, '[^A-Z0-9%]+', ' ', 'g')) AS key FROM documents WHERE text IS NOT NULL")
 def q_alias_key(t):
     return t.documents.filter("text is not null").select("doc_id", text.alias_key(F.col("text")).alias("key"))
 
@@ -122,22 +121,22 @@ def q_edit_distance(t):
 
 
 _SEM = "trim(regexp_replace(upper({0}), '[^A-Z0-9]+', ' ', 'g'))"
-_TOK = "list_filter(string_split({0}, ' '), lambda x: length(x) >= 3 AND NOT list_contains(['DEL','DELLA','DELLE','PER','CON','ALLA','DAL','NEL','VOCE','IMPORTO','MESE'], x))"
-_TRI = "list_distinct(list_transform(range(1, length({0}) + 3), lambda i: substring('  ' || {0} || '  ', CAST(i AS INTEGER), 3)))"
+TOK = "list_filter(string_split({0}, ' '), lambda x: length(x) >= 3 AND NOT list_contains(['DEL','DELLA','DELLE','PER','CON','ALLA','DAL','NEL','VOCE','IMPORTO','MESE'], x))"
+TRI = "list_distinct(list_transform(range(1, length({0}) + 3), lambda i: substring('  ' || {0} || '  ', CAST(i AS INTEGER), 3)))"
 _TOKEN_SCORE = """CASE WHEN len(ta) = 0 OR len(tb) = 0 THEN 0.0::DOUBLE ELSE list_reduce(list_prepend(0.0::DOUBLE, list_transform(ta, lambda x:
         CASE WHEN list_contains(tb, x) THEN 1.0::DOUBLE
              WHEN len(list_filter(tb, lambda y: length(x) >= 5 AND length(y) >= 5 AND (starts_with(x, substring(y, 1, 5)) OR starts_with(y, substring(x, 1, 5))))) > 0 THEN 0.72::DOUBLE
              WHEN list_min(list_transform(tb, lambda y: levenshtein(x, y)::DOUBLE / greatest(length(x), length(y)))) <= 0.22 THEN 0.78::DOUBLE
              WHEN list_min(list_transform(tb, lambda y: levenshtein(x, y)::DOUBLE / greatest(length(x), length(y)))) <= 0.34 THEN 0.52::DOUBLE
              ELSE 0.0::DOUBLE END)), lambda a, b: a + b) / greatest(len(ta), len(tb)) END"""
-_SIMILARITY = f"CASE WHEN len(ta) = 0 OR len(tb) = 0 THEN 0.0::DOUBLE ELSE ({_TOKEN_SCORE}) * 0.58 + (2.0::DOUBLE * len(list_intersect(ga, gb)) / greatest(1, len(ga) + len(gb))) * 0.42 END"
+SIMILARITY = f"CASE WHEN len(ta) = 0 OR len(tb) = 0 THEN 0.0::DOUBLE ELSE ({_TOKEN_SCORE}) * 0.58 + (2.0::DOUBLE * len(list_intersect(ga, gb)) / greatest(1, len(ga) + len(gb))) * 0.42 END"
 
 
 @query(
     "q_similarity",
     f"""WITH s AS (SELECT p_partkey, {_SEM.format('p_name')} AS a, {_SEM.format('p_type')} AS b FROM part),
-    k AS (SELECT p_partkey, {_TOK.format('a')} AS ta, {_TOK.format('b')} AS tb, {_TRI.format('a')} AS ga, {_TRI.format('b')} AS gb FROM s)
-    SELECT p_partkey, CAST(round(CAST({_SIMILARITY} AS DECIMAL(18,12)), 6) AS DOUBLE) AS score FROM k""",
+    k AS (SELECT p_partkey, {TOK.format('a')} AS ta, {TOK.format('b')} AS tb, {TRI.format('a')} AS ga, {TRI.format('b')} AS gb FROM s)
+    SELECT p_partkey, CAST(round(CAST({SIMILARITY} AS DECIMAL(18,12)), 6) AS DOUBLE) AS score FROM k""",
 )
 def q_similarity(t):
     rows = t.part.select("p_partkey", *(f(F.col(c)).alias(n) for c, f, n in (("p_name", text.semantic_tokens, "ta"), ("p_type", text.semantic_tokens, "tb"), ("p_name", text.trigrams, "ga"), ("p_type", text.trigrams, "gb"))))
