@@ -147,13 +147,24 @@ def q_token_merge(t):
     return extract.unseen_tokens(native, ocr).select("doc_id", "seq", "str", "x", "y")
 
 
+_FREE = [
+    ("F02010 IRPEF lorda 1.000,00 120,50", "F02010", "IRPEF lorda", "trattenuta", 1000.0, None, 120.5), ("rimborso 730 75,00", "", "rimborso 730", "competenza", None, None, 75.0),
+    ("PERIODO 09/2026", None, None, None, None, None, None), ("Totale competenze 12,00", None, None, None, None, None, None), ("Cedolino part time 60%", None, None, None, None, None, None),
+    ("Settembre 2026 cedolino ordinario", None, None, None, None, None, None), ("Z00001 Retribuzione 9,84 153,41 ORE 1.509,76", "Z00001", "Retribuzione", "competenza", 9.84, 153.41, 1509.76),
+    ("Trattenuta sindacale -12,50", "", "Trattenuta sindacale", "trattenuta", None, None, -12.5), ("integrazione salariale 100,00", "", "integrazione salariale", "competenza", None, None, 100.0),
+    ("contributo integrazione salariale 3,00", "", "contributo integrazione salariale", "trattenuta", None, None, 3.0), ("modello 730 rata 1730 8,00", "", "modello 730 rata", "competenza", 1730.0, None, 8.0), ("abc", None, None, None, None, None, None),
+]
+_sql = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v}::DOUBLE"
+_FREE_SQL = ", ".join(f"({i}, {', '.join(map(_sql, row[1:]))})" for i, row in enumerate(_FREE) if row[2] is not None)
+
+
 @query(
     "q_freetext_lines",
-    "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'F02010' WHEN 1 THEN '' END AS code, CASE o_orderkey % 4 WHEN 0 THEN 'IRPEF lorda' WHEN 1 THEN 'rimborso 730' END AS description, CASE o_orderkey % 4 WHEN 0 THEN 120.5::DOUBLE WHEN 1 THEN 75.0::DOUBLE END AS amount FROM orders WHERE o_orderkey % 4 < 2",
+    f"WITH e(way, code, description, side, base, quantity, amount) AS (VALUES {_FREE_SQL}) SELECT o_orderkey, code, description, side, base, quantity, amount FROM orders JOIN e ON o_orderkey % {len(_FREE)} = way",
 )
 def q_freetext_lines(t):
-    said = F.get(F.array(*map(F.lit, ["F02010 IRPEF lorda 120,50", "rimborso 730 75,00", "PERIODO 09/2026", "Totale competenze 12,00"])), (F.col("o_orderkey") % 4).cast("int"))
-    return extract.free_text_lines(t.orders.select("o_orderkey", said.alias("said")), "said").select("o_orderkey", "code", "description", "amount")
+    said = F.get(F.array(*(F.lit(row[0]) for row in _FREE)), (F.col("o_orderkey") % len(_FREE)).cast("int"))
+    return extract.free_text_lines(t.orders.select("o_orderkey", said.alias("said")), "said").select("o_orderkey", "code", "description", "side", "base", "quantity", "amount")
 
 
 @query(

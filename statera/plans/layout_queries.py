@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from statera.operators import layout
@@ -95,12 +96,14 @@ def q_voronoi_bin(t):
 
 @query(
     "q_interval_gap",
-    f"WITH {TOKENS} SELECT a.doc_id, a.line_no, a.seq, greatest(0.0::DOUBLE, b.x - (a.x + a.w), a.x - (b.x + b.w)) AS gap FROM tokens a JOIN tokens b ON b.doc_id = a.doc_id AND b.line_no = a.line_no AND b.seq = a.seq + 2",
+    f"""WITH {TOKENS}, n AS (SELECT doc_id, line_no, seq, x, w, lead(seq, 2) OVER o AS s2, lead(x, 2) OVER o AS bx, lead(w, 2) OVER o AS bw FROM tokens WINDOW o AS (PARTITION BY doc_id, line_no ORDER BY seq))
+    SELECT doc_id, line_no, seq, greatest(0.0::DOUBLE, bx - (x + w), x - (bx + bw)) AS gap FROM n WHERE s2 = seq + 2""",
 )
 def q_interval_gap(t):
-    a = tokens(t)
-    b = a.select("doc_id", "line_no", (F.col("seq") - 2).alias("seq"), F.col("x").alias("bx"), F.col("w").alias("bw"))
-    return a.join(b, ["doc_id", "line_no", "seq"]).select("doc_id", "line_no", "seq", layout.interval_gap(F.col("x"), F.col("w"), F.col("bx"), F.col("bw")).alias("gap"))
+    line = Window.partitionBy("doc_id", "line_no").orderBy("seq")
+    ahead = [F.lead(c, 2).over(line).alias(f"{c}2") for c in ("seq", "x", "w")]
+    a = tokens(t).select("doc_id", "line_no", "seq", "x", "w", *ahead).filter("seq2 = seq + 2")
+    return a.select("doc_id", "line_no", "seq", layout.interval_gap(F.col("x"), F.col("w"), F.col("x2"), F.col("w2")).alias("gap"))
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statera.plans.registry import Tables
@@ -61,13 +61,28 @@ STATEMENTS = (
 )
 
 
+def running_sums(sizes: Column, block: int = 256) -> Column:
+    """The sum of all elements before each, for a non-empty array of integers."""
+    add = lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n))
+    last = F.floor((F.size(sizes) - 1) / block).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda i: F.aggregate(F.slice(sizes, i * block + 1, block), F.array(F.lit(0)), add))
+    none = F.struct(F.lit(0).alias("ahead"), F.array().cast("array<array<int>>").alias("out"))
+
+    def put(state: Column, sums: Column) -> Column:
+        shifted = F.transform(F.slice(sums, F.lit(1), F.size(sums) - 1), lambda v: v + state["ahead"])
+        return F.struct((state["ahead"] + F.element_at(sums, -1)).alias("ahead"), F.concat(state["out"], F.array(shifted)).alias("out"))
+
+    return F.aggregate(blocks, none, put, lambda state: F.flatten(state["out"]))
+
+
 def tokens(t: Tables) -> DataFrame:
     """Words of the documents laid out on a page: x from the place in the line, y from the line's number."""
     rows = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    words = rows.select("doc_id", "line_no", F.posexplode(F.split("line", " ")).alias("seq", "str"))
-    before = Window.partitionBy("doc_id", "line_no").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = F.coalesce(F.sum(F.length("str") + 1).over(before), F.lit(0))
-    placed = words.select("doc_id", "line_no", "seq", "str", (4.5 * ahead).alias("x"), (800.0 - 12 * F.col("line_no")).alias("y")).filter("str <> ''")
+    split = rows.select("doc_id", "line_no", F.split("line", " ").alias("str")).withColumn("size", F.transform("str", lambda s: F.length(s) + 1))
+    # offsets are summed inside the line's array, so that laying out a page moves nothing; in blocks, so that long lines take their time
+    ahead = running_sums(F.col("size")).alias("ahead")
+    words = split.select("doc_id", "line_no", F.posexplode(F.arrays_zip("str", ahead)).alias("seq", "word")).filter("word.str <> ''")
+    placed = words.select("doc_id", "line_no", "seq", "word.str", (4.5 * F.col("word.ahead")).alias("x"), (800.0 - 12 * F.col("line_no")).alias("y"))
     return placed.withColumn("w", F.greatest(F.lit(8.0), 4.5 * F.length("str"))).withColumn("h", F.lit(10.0))
 
 
