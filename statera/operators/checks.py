@@ -90,6 +90,11 @@ def minimum(base: Column, least: Column) -> Column:
     return F.when(least.isNull() | base.isNull(), "info").when(base >= least - 0.5, "ok").otherwise("alert")
 
 
+def absorbable(superminimum: Column) -> Column:
+    """A rise that later ones may use up is told, never judged."""
+    return F.when(superminimum > 0, "info")
+
+
 def net_change(net: Column, previous: Column) -> Column:
     return F.when(F.abs(F.try_divide(net - previous, previous)) * 100 > 15, "info")
 

@@ -29,11 +29,13 @@ def q_check_year(t):
 
 @query(
     "q_check_sums",
-    f"WITH {STATEMENTS}, x AS (SELECT doc_id, gross, gross + CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 0 END AS total FROM st) SELECT doc_id, CASE WHEN gross > 0 THEN CASE WHEN abs(gross - total) <= 0.6 THEN 'ok' ELSE 'info' END END AS level FROM x",
+    f"""WITH {STATEMENTS}, r AS (SELECT doc_id, CAST(sum(CAST(CASE WHEN code % 11 <> 0 THEN earned ELSE 0 END AS DECIMAL(18,2))) AS DOUBLE) AS e FROM lines GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN e > 0 THEN CASE WHEN abs(e - gross) <= 0.6 THEN 'ok' ELSE 'info' END END AS level FROM st JOIN r USING (doc_id)""",
 )
 def q_check_sums(t):
-    total = F.col("gross") + F.when(F.col("doc_id") % 5 == 0, 2).otherwise(0)
-    return statements(t).select("doc_id", checks.line_sum(total, F.col("gross")).alias("level"))
+    read = F.sum(F.when(F.col("code") % 11 != 0, F.col("earned")).otherwise(0.0).cast("decimal(18,2)")).cast("double")
+    rows = statements(t).join(lines(t).groupBy("doc_id").agg(read.alias("e")), "doc_id")
+    return rows.select("doc_id", checks.line_sum(F.col("gross"), F.col("e")).alias("level"))
 
 
 @query(
@@ -68,10 +70,35 @@ def q_check_tax(t):
     return _wide(t).select("doc_id", checks.gross_tax(year, taxable, found).alias("gross_tax"), checks.further_deduction(year, taxable * 12, F.lit(None).cast("double")).alias("bonus"))
 
 
-@query("q_check_tfr", f"WITH {STATEMENTS} SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN 'ok' ELSE 'warn' END AS level FROM st")
+#: The share that each line sets aside, in whole cents; lines of some codes set nothing aside.
+_ASIDE = "CASE WHEN code % 13 <> 0 THEN CAST(round(CAST(earned / 13.5 - earned * 0.005 AS DECIMAL(18,6)), 2) AS DECIMAL(18,2)) ELSE 0 END"
+
+
+@query(
+    "q_check_tfr",
+    f"""WITH {STATEMENTS}, r AS (SELECT doc_id, CAST(sum({_ASIDE}) AS DOUBLE) AS found FROM lines GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN abs(gross / 13.5 - gross * 0.5 / 100 - found) <= 0.6 THEN 'ok' ELSE 'warn' END AS level FROM st JOIN r USING (doc_id)""",
+)
 def q_check_tfr(t):
-    found = F.col("gross") / 13.5 - F.col("gross") * 0.5 / 100 + F.when(F.col("doc_id") % 4 < 2, 0.2).otherwise(3.0)
-    return statements(t).select("doc_id", checks.severance(F.col("gross"), F.lit(None).cast("double"), found).alias("level"))
+    aside = F.round((F.col("earned") / 13.5 - F.col("earned") * 0.005).cast("decimal(18,6)"), 2).cast("decimal(18,2)")
+    found = lines(t).groupBy("doc_id").agg(F.sum(F.when(F.col("code") % 13 != 0, aside).otherwise(0)).cast("double").alias("found"))
+    return statements(t).join(found, "doc_id").select("doc_id", checks.severance(F.col("gross"), F.lit(None).cast("double"), F.col("found")).alias("level"))
+
+
+@query(
+    "q_check_deduction",
+    """WITH c AS (SELECT c_custkey, CAST(c_acctbal AS DOUBLE) * 8 AS income, abs(c_nationkey * 12.0::DOUBLE) AS found FROM customer)
+    SELECT c_custkey, CASE WHEN abs(CASE WHEN income <= 15000 THEN 1955 WHEN income <= 28000 THEN 1910 + 1190 * (28000 - income) / 13000 + CASE WHEN income > 25000 AND income <= 35000 THEN 65 ELSE 0 END
+        WHEN income <= 50000 THEN 1910 * (50000 - income) / 22000 + CASE WHEN income > 25000 AND income <= 35000 THEN 65 ELSE 0 END ELSE 0 END / 12 - found) <= 15 THEN 'ok' ELSE 'info' END AS level FROM c""",
+)
+def q_check_deduction(t):
+    income = F.col("c_acctbal").cast("double") * 8
+    return t.customer.select("c_custkey", checks.deductions(income, F.abs(F.col("c_nationkey") * 12.0)).alias("level"))
+
+
+@query("q_check_superminimum", "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN 'info' END AS level FROM customer")
+def q_check_superminimum(t):
+    return t.customer.select("c_custkey", checks.absorbable(F.col("c_acctbal")).alias("level"))
 
 
 @query("q_check_divisor", f"WITH {STATEMENTS} SELECT doc_id, CASE WHEN gross > 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'ok' ELSE 'info' END END AS level FROM st")
