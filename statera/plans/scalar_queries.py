@@ -28,9 +28,9 @@ def q_format_amount(t):
     SELECT l_orderkey, l_linenumber, l_partkey, CASE way WHEN 1 THEN -n WHEN 2 THEN -n WHEN 3 THEN NULL ELSE n END AS value FROM v""",
 )
 def q_parse_locale_number(t):
-    way = F.col("l_linenumber") % 4
-    spelled = F.when(way == 1, F.concat(F.lit("("), _amount(), F.lit(")"))).when(way == 2, F.concat(F.lit("− "), _amount(), F.lit(" €"))).when(way == 3, F.concat(_amount(), F.lit("x"))).otherwise(_amount())
-    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", spelled.alias("said"))
+    way, shown = F.col("l_linenumber") % 4, F.col("shown")
+    spelled = F.when(way == 1, F.concat(F.lit("("), shown, F.lit(")"))).when(way == 2, F.concat(F.lit("− "), shown, F.lit(" €"))).when(way == 3, F.concat(shown, F.lit("x"))).otherwise(shown)
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", _amount().alias("shown")).select("l_orderkey", "l_linenumber", "l_partkey", spelled.alias("said"))
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", numbers.parse_number(F.col("said")).alias("value"))
 
 
