@@ -8,14 +8,17 @@ left to length buckets and batches. All but the last return the columns of ``doc
 When a stage begins, what the stage before returned has been written; the tables that its operator made on
 the way are then deleted, so disk doesn't add up over the stages.
 
-Defined results: stages keep rows whose other columns are null; a text that the repeat remover empties
-stays as an empty text; empty input gives empty output at every stage.
+Defined results: stages keep rows whose other columns are null, and read the columns of ``documents`` alone,
+so columns of other names, whatever they clash with, are ignored and not returned; ties and repeated rows go
+as each stage says; a text that the repeat remover empties stays as an empty text; empty input gives empty
+output at every stage.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from functools import wraps
+from threading import get_ident
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,17 +33,21 @@ ORACLE_SQL = None
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-_MADE_BEFORE: list[str] = []
+#: Folders of the tables that the stage before has made on the way, by session, thread and input: runs don't meet.
+_MADE_BEFORE: dict[tuple[str, int, str], list[str]] = {}
 
 
 def stage(f: Stage) -> Stage:
+    """The stage, deleting first what the one before made on the way: its result has been written by then."""
+
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _MADE_BEFORE:
-            delete(spark, _MADE_BEFORE.pop())
+        of_run = (spark._jsparkSession.sessionUUID(), get_ident(), sf_dir)
+        for folder in _MADE_BEFORE.pop(of_run, []):
+            delete(spark, folder)
         with collected() as made:
             out = f(spark, docs, sf_dir)
-        _MADE_BEFORE.extend(made)
+        _MADE_BEFORE[of_run] = made
         return out
 
     return run_stage
@@ -48,22 +55,35 @@ def stage(f: Stage) -> Stage:
 
 @stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose words are in some learned language; a text that is null, has no letter or is no language goes.
+
+    Learns from labelled documents whose id's hash isn't held out; repeated rows are judged alike.
+    """
     docs = docs.select(COLUMNS)
     return lang_crf.accepted(docs, lang_crf.learned(docs, ~lang_crf.held_out("doc_id")))
 
 
 @stage
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with identical texts (null counts as empty) the one with the largest id; of repeated rows one."""
     return exact_dedup.deduplicated(docs.select(COLUMNS))
 
 
 @stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a Jaccard similarity of at least 0.8 over five-word shingles the one with the smallest id.
+
+    Repeated rows of that id all stay, as do documents without words and rows without an id.
+    """
     return ngram_join.one_per_group(docs.select(COLUMNS))
 
 
 @stage
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the 50-byte strings that also start in a document with a smaller id; all rows stay, null texts too.
+
+    Bytes that a cut leaves of a divided character go; n_chars is counted anew where something went.
+    """
     marked = docs.withColumn("no_text", F.col("text").isNull())
     cut = repeats.without_repeats(marked, with_text=True, keep=["doc_id", "lang", "source", "n_chars", "no_text"])
     length = F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)
@@ -75,6 +95,7 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 @stage
 def packs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, bucket, bucket_len, batch, slot) of every document, by its words; null texts have none."""
     return packing.packed(docs, packing.words(F.col("text"))).withColumnRenamed("id", "doc_id")
 
 
