@@ -18,7 +18,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import wraps
-from threading import get_ident
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,8 +32,8 @@ ORACLE_SQL = None
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-#: Folders of the tables that the stage before has made on the way, by session, thread and input: runs don't meet.
-_MADE_BEFORE: dict[tuple[str, int, str], list[str]] = {}
+#: Folders of the tables that the stage before has made on the way, by input: runs over other inputs don't meet.
+_MADE_BEFORE: dict[str, list[str]] = {}
 
 
 def stage(f: Stage) -> Stage:
@@ -42,12 +41,11 @@ def stage(f: Stage) -> Stage:
 
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        of_run = (spark._jsparkSession.sessionUUID(), get_ident(), sf_dir)
-        for folder in _MADE_BEFORE.pop(of_run, []):
+        for folder in _MADE_BEFORE.pop(sf_dir, []):
             delete(spark, folder)
         with collected() as made:
             out = f(spark, docs, sf_dir)
-        _MADE_BEFORE[of_run] = made
+        _MADE_BEFORE[sf_dir] = made
         return out
 
     return run_stage
