@@ -30,8 +30,9 @@ def dispatched(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 def archive(spark: SparkSession, path: str) -> DataFrame:
     """Records of JSON lines; broken lines go, missing lists are repaired."""
-    rows = spark.read.schema(RECORD + ", _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return repaired(rows.cache().filter("_corrupt is null").drop("_corrupt"))
+    read = F.from_json("value", RECORD + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    rows = spark.read.text(path).filter("trim(value) <> ''").select(read.alias("r")).select("r.*")
+    return repaired(rows.filter("_corrupt is null").drop("_corrupt"))
 
 
 def repaired(rows: DataFrame) -> DataFrame:
