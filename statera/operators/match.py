@@ -6,6 +6,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: What a deposit's title is worth, and the codes that count.
+TITLES = [(r"(?i)(?<![A-Za-z0-9_])CCNL(?![A-Za-z0-9_])|contratto collettivo nazionale", 30), (r"(?i)rinnovo|ipotesi di accordo", 10), (r"(?i)avviso comune|verbale di incontro|adeguamento dei minimi|covid|proroga", -25)]
+WITH_EXPIRY, CODE = 4, r"^[A-Z][A-Z0-9]{2,4}$"
+MOST_SECTORS, MOST_ALIASES = 3, 4
+
+
+def title_score(title: Column, at_ms: Column, expires: Column) -> Column:
+    """How likely a deposit is the contract itself: newer ones, contracts and renewals before notices and extensions."""
+    score = at_ms / 1e12
+    for pattern, worth in TITLES:
+        score = score + F.when(title.rlike(pattern), worth).otherwise(0)
+    return score + F.when(expires.isNotNull(), WITH_EXPIRY).otherwise(0)
+
+
+def contract_index(deposits: DataFrame) -> DataFrame:
+    """(code, title, sectors, aliases, since, until) per code from deposits (code, title, signed, since, until, sectors, place).
+
+    The deposit with the best title stands for its code; sectors come in the order of the deposits' scores, aliases are
+    the shortest titles. Nothing is gathered per code but what is kept.
+    """
+    clean = lambda c: F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\s+", " "))
+    at = F.coalesce(F.unix_millis(F.coalesce("signed", "since", F.lit("1900-01-01").cast("timestamp"))), F.lit(0))
+    rows = deposits.withColumns({"code": F.upper(clean("code")), "title": clean("title")}).filter(F.col("code").rlike(CODE))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("code").orderBy(F.desc(title_score(F.col("title"), at, F.col("until"))), "place")))
+    best = ranked.filter("rank = 1").select("code", F.coalesce(F.nullif("title", F.lit("")), F.concat(F.lit("CCNL "), "code")).alias("title"), "since", "until")
+
+    def first(values: DataFrame, order: list[str], most: int, name: str) -> DataFrame:
+        kept = values.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy(*order))).filter(F.col("n") <= most)
+        return kept.groupBy("code").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "v"))), lambda x: x["v"]).alias(name))
+
+    named = ranked.select("code", F.posexplode("sectors").alias("i", "s"), "rank").select("code", "rank", "i", F.trim(F.regexp_replace("s", r"\s+", " ")).alias("v")).filter("v <> ''")
+    sectors = first(named.groupBy("code", "v").agg(F.min(F.struct("rank", "i")).alias("at")), ["at"], MOST_SECTORS, "sectors")
+    titles = ranked.filter("title <> ''").groupBy("code", F.col("title").alias("v")).agg(F.min("rank").alias("rank")).withColumn("size", F.length("v"))
+    aliases = first(titles, ["size", "rank"], MOST_ALIASES, "aliases")
+    return best.join(sectors, "code", "left").join(aliases, "code", "left").select("code", "title", "sectors", "aliases", "since", "until")
+
+
 def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """The newest row of each key: a keyed upsert of everything that arrived."""
     last = Window.partitionBy(*key).orderBy(*order)

@@ -171,20 +171,30 @@ def q_backup_merge(t):
     return match.merged(kept, backup, ["id"])
 
 
+_TITLES = ["CCNL Turismo", "Rinnovo del contratto collettivo nazionale", "Ipotesi di accordo", "Verbale di incontro", "Proroga CCNL", "  Avviso   comune ", "Testo vario"]
+_DEPOSITS = f"""d AS (SELECT o_orderkey AS place, CASE WHEN o_orderkey % 17 = 0 THEN '12x' ELSE ' h' || lpad(CAST(o_custkey % 300 AS VARCHAR), 3, '0') END AS code, ({_listed(_TITLES)})[o_orderkey % 7 + 1] || CASE WHEN o_orderkey % 4 = 0 THEN ' ' || (o_orderkey % 9) ELSE '' END AS title,
+        CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate END AS signed, o_orderdate AS since, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate END AS until, [o_orderpriority, 'stato  ' || o_orderstatus] AS sectors FROM orders),
+    c AS (SELECT place, upper(trim(code)) AS code, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS title, coalesce(signed, since) AS moment, since, until, sectors FROM d WHERE regexp_matches(upper(trim(code)), '^[A-Z][A-Z0-9]{{2,4}}$')),
+    s AS (SELECT *, epoch_ms(moment)::DOUBLE / 1e12 + CASE WHEN regexp_matches(title, '(?i)\\bCCNL\\b|contratto collettivo nazionale') THEN 30 ELSE 0 END + CASE WHEN regexp_matches(title, '(?i)rinnovo|ipotesi di accordo') THEN 10 ELSE 0 END
+        + CASE WHEN regexp_matches(title, '(?i)avviso comune|verbale di incontro|adeguamento dei minimi|covid|proroga') THEN -25 ELSE 0 END + CASE WHEN until IS NOT NULL THEN 4 ELSE 0 END AS score FROM c),
+    r AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY score DESC, place) AS rank FROM s),
+    x AS (SELECT code, trim(regexp_replace(unnest(sectors), '\\s+', ' ', 'g')) AS v, rank * 10 + unnest(range(len(sectors))) AS spot FROM r), xs AS (SELECT code, v, min(spot) AS spot FROM x GROUP BY code, v QUALIFY row_number() OVER (PARTITION BY code ORDER BY min(spot)) <= 3),
+    t AS (SELECT code, title AS v, min(rank) AS spot FROM r GROUP BY code, title QUALIFY row_number() OVER (PARTITION BY code ORDER BY length(title), min(rank)) <= 4)"""
+
+
 @query(
     "q_index_etl",
-    """WITH d AS (SELECT p_brand AS code, p_name AS title, p_type AS sector, p_size / 1e3 + CASE WHEN p_name LIKE '%a%' THEN 30 ELSE 0 END + CASE WHEN p_type LIKE 'PROMO%' THEN 10 ELSE 0 END - CASE WHEN p_type LIKE '%TIN' THEN 25 ELSE 0 END AS score, p_partkey FROM part),
-    r AS (SELECT code, title, row_number() OVER (PARTITION BY code ORDER BY score DESC, p_partkey) AS n FROM d),
-    s AS (SELECT code, list_sort(list(DISTINCT sector))[1:3] AS sectors FROM d GROUP BY code)
-    SELECT code, title, array_to_string(sectors, '|') AS sectors FROM r JOIN s USING (code) WHERE n = 1""",
+    f"""WITH {_DEPOSITS} SELECT code, title, (SELECT string_agg(v, '|' ORDER BY spot) FROM xs WHERE xs.code = r.code) AS sectors, (SELECT string_agg(v, '|' ORDER BY length(v), spot) FROM t WHERE t.code = r.code) AS aliases, strftime(since, '%Y-%m-%d') AS since FROM r WHERE rank = 1""",
 )
 def q_index_etl(t):
-    p = t.part
-    score = F.col("p_size") / 1e3 + F.when(F.col("p_name").like("%a%"), 30).otherwise(0) + F.when(F.col("p_type").like("PROMO%"), 10).otherwise(0) - F.when(F.col("p_type").like("%TIN"), 25).otherwise(0)
-    rows = p.select(F.col("p_brand").alias("code"), F.col("p_name").alias("title"), F.col("p_type").alias("sector"), score.alias("score"), "p_partkey")
-    best = match.latest(rows, ["code"], [F.desc("score"), F.asc("p_partkey")]).select("code", "title")
-    sectors = rows.select("code", "sector").distinct().groupBy("code").agg(F.slice(F.array_sort(F.collect_list("sector")), 1, 3).alias("s"))
-    return best.join(sectors, "code").select("code", "title", F.array_join("s", "|").alias("sectors"))
+    k = F.col("o_orderkey")
+    deposits = t.orders.select(
+        k.alias("place"), F.when(k % 17 == 0, "12x").otherwise(F.concat(F.lit(" h"), F.lpad((F.col("o_custkey") % 300).cast("string"), 3, "0"))).alias("code"),
+        F.concat(_said(_TITLES, "o_orderkey"), F.when(k % 4 == 0, F.concat(F.lit(" "), (k % 9).cast("string"))).otherwise("")).alias("title"), F.when(k % 5 != 0, F.col("o_orderdate")).alias("signed"), F.col("o_orderdate").alias("since"),
+        F.when(k % 3 == 0, F.col("o_orderdate")).alias("until"), F.array("o_orderpriority", F.concat(F.lit("stato  "), "o_orderstatus")).alias("sectors"),
+    )
+    found = match.contract_index(deposits)
+    return found.select("code", "title", F.array_join("sectors", "|").alias("sectors"), F.array_join("aliases", "|").alias("aliases"), F.date_format("since", "yyyy-MM-dd").alias("since"))
 
 
 @query("q_archive_order", "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY year(o_orderdate) * 12 + month(o_orderdate), o_orderstatus, o_orderkey) AS INTEGER) AS place FROM orders")
