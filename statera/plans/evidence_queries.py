@@ -32,7 +32,7 @@ def q_attach_evidence(t):
 
 @query(
     "q_adjacent_boxes",
-    """WITH RECURSIVE b AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber * 20 AS DOUBLE) AS y0, CAST(l_quantity * 4 AS DOUBLE) AS x0, l_quantity * 4 + 10 + l_suppkey % 4 AS x1, l_linenumber * 20 + 12 + l_partkey % 3 AS y1, l_tax AS score,
+    """WITH RECURSIVE b AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber * 20 AS DOUBLE) AS y0, CAST(l_quantity * 4 AS DOUBLE) AS x0, l_quantity * 4 + 10 + l_suppkey % 4 AS x1, CAST(l_linenumber * 20 + 12 + l_partkey % 3 AS DOUBLE) AS y1, l_tax AS score,
         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_suppkey % 4, l_partkey % 3, l_tax) AS n FROM lineitem),
     r AS (SELECT doc_id, n, y0, x0, x1, y1, score, 1 AS grp FROM b WHERE n = 1 UNION ALL
         SELECT doc_id, n, CASE WHEN j THEN least(py0, y0) ELSE y0 END, CASE WHEN j THEN least(px0, x0) ELSE x0 END, CASE WHEN j THEN greatest(px1, x1) ELSE x1 END, CASE WHEN j THEN greatest(py1, y1) ELSE y1 END, CASE WHEN j THEN greatest(ps, score) ELSE score END, grp + CASE WHEN j THEN 0 ELSE 1 END
