@@ -18,9 +18,10 @@ from statera.plans.views import LINES, STATEMENTS, TOKENS, lines, statements, to
     SELECT k AS doc_id, 'orario.pagaOraria' AS path, c % 50 + 0.25::DOUBLE AS value, 40 AS line_no, 1 AS seq, 'anchored' AS how FROM o
     UNION ALL SELECT k, 'tfr.retribUtile', c * 100.5::DOUBLE, 25, 0, 'anchored' FROM o WHERE c <> 0
     UNION ALL SELECT k, 'elementi.superminimo', c + 7777777.5::DOUBLE, NULL, NULL, NULL FROM o
-    UNION ALL SELECT k, 'totali.netto', CAST(v AS DOUBLE), 11, 0, 'unique' FROM o WHERE k NOT IN (SELECT l_orderkey FROM lineitem JOIN o ON k = l_orderkey WHERE CAST(l_extendedprice AS DECIMAL(18,2)) = v)""",
+    UNION ALL SELECT k, 'totali.netto', CAST(v AS DOUBLE), CASE WHEN c <> 0 OR k % 3 = 0 THEN 11 END, CASE WHEN c <> 0 OR k % 3 = 0 THEN 0 END, CASE WHEN c <> 0 OR k % 3 = 0 THEN 'unique' END FROM o WHERE k NOT IN (SELECT l_orderkey FROM lineitem JOIN o ON k = l_orderkey WHERE CAST(l_extendedprice AS DECIMAL(18,2)) = v)""",
 )
 def q_attach_evidence(t):
+    # a net amount has no label on these pages: it is found where it stands once, and not where a progressive of customer 0 repeats it
     k, c, v = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_totalprice").cast("decimal(18,2)")
     field = lambda path, value, when=None: F.struct(F.lit(path).alias("path"), value.cast("double").alias("value")) if when is None else F.when(when, F.struct(F.lit(path).alias("path"), value.cast("double").alias("value")))
     clash = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_extendedprice").cast("decimal(18,2)").alias("price"))
