@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -91,6 +91,30 @@ def on_files(df: DataFrame, name: str) -> DataFrame:
         return written(df, name)
 
 
+#: Light rows that a range holds, about; ranges are as many as that asks for, and no fewer than shuffle partitions.
+RANGE_ROWS = 1_000_000
+
+
+def ranges(rows: DataFrame, per_range: int = RANGE_ROWS) -> int:
+    """Into how many ranges the rows of a written table are dealt."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // per_range))
+
+
+def numbered(rows: DataFrame, group: str, order: list[str], number: str, parts: int, name: str) -> DataFrame:
+    """``rows`` with their places from 0 on inside ``group``, by ``order``.
+
+    Rows are dealt to ``parts`` ranges of (group, order), numbered inside each, and shifted by the counts of the ranges
+    before, of which a group has as many as its size asks for; so no group is one task's, and nothing is sorted in one
+    task. Columns of ``rows`` must not be named range, at or shift.
+    """
+    ranged = written(rows.repartitionByRange(parts, group, *order).withColumn("range", F.spark_partition_id()), name)
+    before = Window.partitionBy(group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy(group, "range").agg(F.count(F.lit(1)).alias("c"))
+    shifts = counts.select(group, "range", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("shift"))
+    at = F.row_number().over(Window.partitionBy(group, "range").orderBy(*order)) - 1
+    return ranged.withColumn("at", at).join(shifts, [group, "range"]).withColumn(number, (F.col("at") + F.col("shift")).cast("long")).drop("range", "at", "shift")
+
+
 #: Most rows and bytes of a batch that goes to a Python worker: a task's memory shouldn't follow the length of texts.
 _BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 

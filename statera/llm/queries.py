@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statera.llm import bpe, html_text, lang_crf, ngram_join, packing, quality_rules, repeats, token_orc, warc
+from statera.llm import bpe, filter_audit, html_text, lang_crf, ngram_join, packing, quality_rules, repeats, sharding, token_orc, warc
 from statera.llm.common import table
 from statera.llm.exact_dedup import exact_duplicates
 
@@ -57,6 +57,15 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.grouped(table(spark, sf_dir, "documents"), k=3, percent=90).withColumnRenamed("id", "doc_id")
 
 
+def op11_best_fit_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.sharded(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
@@ -68,6 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_orc": op8_token_orc,
     "op9_bpe": op9_bpe,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_best_fit_sharding": op11_best_fit_sharding,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -79,6 +90,8 @@ ORACLE_SQL: dict[str, str] = {
         FROM d WINDOW w AS (PARTITION BY t)
     """,
     "op6_packing": packing.SQL,
+    "op11_best_fit_sharding": sharding.SQL,
+    "op13_filter_audit": filter_audit.SQL,
     "op10_ngram_jaccard_join": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
