@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statera.llm import bpe, filter_audit, html_text, lang_crf, ngram_join, packing, quality_rules, repeats, sharding, token_orc, warc
+from statera.llm import bpe, filter_audit, html_text, lang_crf, lexical, ngram_join, packing, quality_rules, repeats, sharding, token_orc, warc
 from statera.llm.common import table
 from statera.llm.exact_dedup import exact_duplicates
 
@@ -62,6 +62,10 @@ def op11_best_fit_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_best_fit_sharding": op11_best_fit_sharding,
+    "op12_threshold_search": op12_threshold_search,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -91,6 +96,7 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op6_packing": packing.SQL,
     "op11_best_fit_sharding": sharding.SQL,
+    "op12_threshold_search": lexical.SQL,
     "op13_filter_audit": filter_audit.SQL,
     "op10_ngram_jaccard_join": r"""
         WITH RECURSIVE w AS (
