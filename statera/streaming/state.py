@@ -1,4 +1,4 @@
-"""Streams: records that arrive as files, a keyed archive kept up to date, bounded learning counters."""
+"""Streams: records that arrive as files, a keyed archive kept up to date, counters by window."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from statera.operators import match
+from statera.sources.versioned import Archive
 
 MOST_TIMES = 30
 
@@ -15,18 +15,12 @@ def arriving(spark: SparkSession, path: str, schema: str, files_per_batch: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(path)
 
 
-def kept_up_to_date(stream: DataFrame, key: list[str], newest: list[str], archive: str, checkpoint: str) -> StreamingQuery:
-    """Upsert micro-batches into versions of an archive under ``archive``; a batch that runs again writes the same version.
-
-    Each batch merges the version before it with its own newest rows, so a version is complete by itself.
-    """
-    spark = stream.sparkSession
+def kept_up_to_date(stream: DataFrame, archive: Archive, checkpoint: str) -> StreamingQuery:
+    """Upsert micro-batches into a versioned archive, each into the buckets of its own keys; a batch that runs again
+    changes nothing."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        rows = match.latest(batch, key, [F.desc(c) for c in newest])
-        if number:
-            rows = match.latest(rows.unionByName(spark.read.schema(batch.schema).parquet(f"{archive}/version={number - 1}")), key, [F.desc(c) for c in newest])
-        rows.write.mode("overwrite").parquet(f"{archive}/version={number}")
+        archive.merge(batch, number)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

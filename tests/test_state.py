@@ -4,6 +4,7 @@ import json
 from statera.operators import layout, match
 from statera.schemas import RECORD
 from statera.sources import readers
+from statera.sources.versioned import Archive
 from statera.streaming import state
 
 
@@ -35,12 +36,13 @@ def test_archive_upsert_backup_and_contribution(spark, tmp_path):
 def test_a_stream_keeps_the_newest(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
-    archive, checkpoint = str(tmp_path / "out"), str(tmp_path / "state")
+    archive = Archive(spark, str(tmp_path / "out"), "key string, at long, value long", ["key"], ["at"], buckets=4)
     for number, rows in enumerate(([("a", 1, 10), ("b", 1, 20)], [("a", 2, 11), ("c", 1, 30)])):
         (source / f"{number}.json").write_text("\n".join(json.dumps(dict(zip(("key", "at", "value"), r, strict=True))) for r in rows))
         stream = state.arriving(spark, str(source), "key string, at long, value long")
-        state.kept_up_to_date(stream, ["key"], ["at"], archive, checkpoint).awaitTermination()
-    assert {r["key"]: r["value"] for r in spark.read.parquet(f"{archive}/version=1").collect()} == {"a": 11, "b": 20, "c": 30}
+        state.kept_up_to_date(stream, archive, str(tmp_path / "state")).awaitTermination()
+    assert {r["key"]: r["value"] for r in archive.read().collect()} == {"a": 11, "b": 20, "c": 30}
+    assert {r["key"]: r["value"] for r in archive.read(0).collect()} == {"a": 10, "b": 20}
 
 
 def test_confirmations_are_bounded_by_window(spark, tmp_path):
