@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from statera.plans import check_queries, evidence_queries, extract_queries, layout_queries, learning_queries, match_queries, reconcile_queries, record_queries, scalar_queries, text_queries  # noqa: F401  they register themselves
+from statera.plans import check_queries, contract_queries, evidence_queries, extract_queries, layout_queries, learning_queries, match_queries, reconcile_queries, record_queries, scalar_queries, text_queries  # noqa: F401  they register themselves
 from statera.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
