@@ -242,10 +242,10 @@ def searched(index: DataFrame, n_docs: int, items: DataFrame, k: int = K) -> Dat
     best = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_first("doc_id"))
     found = []
     for rows in _slices(items):
-        asked = sorted({t.decode() for _, terms in rows for t in terms})
+        asked = sorted({t.decode() for _, terms in rows for t in terms})  # a slice's, so small enough to be sent
         if not asked:
             continue
-        seen = by_block.join(spark.createDataFrame([(t,) for t in asked], "term string"), "term").groupBy("term").agg(F.sum("n").alias("df")).collect()
+        seen = by_block.join(F.broadcast(spark.createDataFrame([(t,) for t in asked], "term string")), "term").groupBy("term").agg(F.sum("n").alias("df")).collect()
         weight = {t: math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df + 1))) for t, df in seen}
         weighed = [(item, {w: weight[w] * n for t, n in terms.items() if weight.get(w := t.decode(), 0) > 0}) for item, terms in rows]
         tops = index.mapInArrow(_found(weighed, k, to_arrow_type(kind)), result).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
