@@ -78,6 +78,17 @@ def rate_ratio(extra: Column, ordinary: Column, bad: str) -> Column:
     return graded((extra > 0) & (ordinary > 0), (F.try_divide(extra, ordinary) - 1) * 100 >= 1, bad)
 
 
+def declared_increase(description: Column) -> Column:
+    """The percentage in brackets as an increase: beyond 100 it states the whole rate."""
+    rate = F.replace(F.nullif(F.regexp_extract(description, r"\((\d{2,3}(?:[,.]\d+)?)%\)", 1), F.lit("")), F.lit(","), F.lit(".")).try_cast("double")
+    return F.when(rate > 100, rate - 100).otherwise(rate)
+
+
+def holiday_ratio(holiday: Column, ordinary: Column, declared: Column) -> Column:
+    """Holiday against ordinary pay; where they can't be compared, what the line declares is told."""
+    return F.coalesce(rate_ratio(holiday, ordinary, "warn"), F.when(declared.isNotNull(), "info"))
+
+
 def accrual(accrued: Column, month: Column, expected: Column) -> Column:
     return graded(accrued.isNotNull() & (month > 0), F.try_divide(accrued, month) * 12 >= expected - 1.5, "warn")
 

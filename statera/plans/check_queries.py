@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from statera.operators import checks, match, reconcile
+from statera.operators import brackets, checks, match, reconcile
 from statera.plans.registry import query
 from statera.plans.views import LINES, STATEMENTS, lines, statements
 
@@ -56,18 +56,46 @@ def q_annualize(t):
     return _wide(t).filter("gross > 0").select("doc_id", checks.presumed_income(progressive, F.col("month"), F.col("taxable")).alias("income"))
 
 
+#: The tax that each line holds back, in whole cents; lines of some codes hold nothing back.
+_HELD = "CASE WHEN code % 11 <> 0 THEN CAST(round(CAST(earned / 40 * 0.23 AS DECIMAL(18,6)), 2) AS DECIMAL(18,2)) ELSE 0 END"
+
+
 @query(
     "q_check_tax",
-    f"""WITH {STATEMENTS}, {_WIDE}, x AS (SELECT *, CASE WHEN ty IN (2024, 2025) THEN {_TAX.format(35)} ELSE {_TAX.format(33)} END / 12 AS due FROM w)
-    SELECT doc_id, CASE WHEN abs(due - (due + CASE WHEN doc_id % 3 = 0 THEN 5 ELSE 1 END)) <= 3 THEN 'ok' ELSE 'warn' END AS gross_tax,
-           CASE WHEN ty = 2024 THEN NULL WHEN i <= 20000 THEN 'info' END AS bonus FROM x""",
+    f"""WITH {STATEMENTS}, {_WIDE}, r AS (SELECT doc_id, CAST(sum({_HELD}) AS DOUBLE) AS found, CAST(sum(CASE WHEN flag = 'R' THEN quantity END) AS DOUBLE) AS further FROM lines GROUP BY doc_id),
+    x AS (SELECT *, CASE WHEN ty IN (2024, 2025) THEN {_TAX.format(35)} ELSE {_TAX.format(33)} END / 12 AS due,
+        CASE WHEN i <= 20000 OR i > 40000 THEN 0.0::DOUBLE WHEN i <= 32000 THEN 1000.0::DOUBLE ELSE 1000 * (40000 - i) / 8000 END / 12 AS expected FROM w JOIN r USING (doc_id))
+    SELECT doc_id, CASE WHEN abs(due - found) <= 3 THEN 'ok' ELSE 'warn' END AS gross_tax,
+           CASE WHEN ty = 2024 THEN NULL WHEN further IS NOT NULL THEN CASE WHEN abs(expected - further) <= 8 THEN 'ok' ELSE 'info' END WHEN i <= 20000 THEN 'info' END AS bonus,
+           CASE WHEN ty <> 2024 AND further IS NULL AND i <= 20000 THEN CASE WHEN i <= 8500 THEN 7.1::DOUBLE WHEN i <= 15000 THEN 5.3::DOUBLE ELSE 4.8::DOUBLE END END AS percent FROM x""",
 )
 def q_check_tax(t):
-    from statera.functions import tax
-
     year, taxable = F.col("ty"), F.col("taxable")
-    found = tax.gross_tax(tax.rule_year(year), taxable * 12) / 12 + F.when(F.col("doc_id") % 3 == 0, 5).otherwise(1)
-    return _wide(t).select("doc_id", checks.gross_tax(year, taxable, found).alias("gross_tax"), checks.further_deduction(year, taxable * 12, F.lit(None).cast("double")).alias("bonus"))
+    held = F.round((F.col("earned") / 40 * 0.23).cast("decimal(18,6)"), 2).cast("decimal(18,2)")
+    read = lines(t).groupBy("doc_id").agg(F.sum(F.when(F.col("code") % 11 != 0, held).otherwise(0)).cast("double").alias("found"), F.sum(F.when(F.col("flag") == "R", F.col("quantity"))).alias("further"))
+    rows = _wide(t).join(read, "doc_id").withColumn("income", taxable * 12)
+    low = rows.filter("further is null and income <= 20000")
+    percents = brackets.evaluated(low, year, F.col("income"), brackets.rules(t.spark).filter("rule = 'bonus'"), ["doc_id"]).filter("result > 0").select("doc_id", F.col("result").alias("percent"))
+    checked = rows.select("doc_id", checks.gross_tax(year, taxable, F.col("found")).alias("gross_tax"), checks.further_deduction(year, F.col("income"), F.col("further")).alias("bonus"))
+    return checked.join(percents, "doc_id", "left")
+
+
+@query(
+    "q_yearly_rules",
+    """WITH i AS (SELECT o_orderkey, CAST(2023 + o_orderkey % 5 AS INTEGER) AS y, o_totalprice / 10 AS r FROM orders),
+    b(y, lo, hi, rate) AS (VALUES (2024, 0.0::DOUBLE, 28000.0::DOUBLE, 23.0::DOUBLE), (2024, 28000, 50000, 35), (2024, 50000, 1e18, 43), (2025, 0, 28000, 23), (2025, 28000, 50000, 35), (2025, 50000, 1e18, 43), (2026, 0, 28000, 23), (2026, 28000, 50000, 33), (2026, 50000, 1e18, 43)),
+    v AS (
+        SELECT o_orderkey, 'tax' AS rule, sum(greatest(0, least(r, hi) - lo) * rate / 100) AS result FROM i JOIN b ON b.y = CASE WHEN i.y BETWEEN 2024 AND 2026 THEN i.y ELSE 2026 END GROUP BY o_orderkey
+        UNION ALL SELECT o_orderkey, 'deduction', greatest(0.0::DOUBLE, CASE WHEN r <= 15000 THEN 1955.0::DOUBLE WHEN r <= 28000 THEN 1910 + 1190 * (28000 - r) / 13000 WHEN r <= 50000 THEN 1910 * (50000 - r) / 22000 ELSE 0.0::DOUBLE END
+            + CASE WHEN r > 25000 AND r <= 35000 THEN 65.0::DOUBLE ELSE 0.0::DOUBLE END) FROM i
+        UNION ALL SELECT o_orderkey, 'further', CASE WHEN y = 2024 OR r <= 20000 OR r > 40000 THEN 0.0::DOUBLE WHEN r <= 32000 THEN 1000.0::DOUBLE ELSE 1000 * (40000 - r) / 8000 END FROM i
+        UNION ALL SELECT o_orderkey, 'bonus', CASE WHEN y = 2024 THEN 0.0::DOUBLE WHEN r <= 8500 THEN 7.1::DOUBLE WHEN r <= 15000 THEN 5.3::DOUBLE WHEN r <= 20000 THEN 4.8::DOUBLE ELSE 0.0::DOUBLE END FROM i)
+    SELECT o_orderkey, rule, CAST(round(CAST(result AS DECIMAL(24,8)), 3) AS DOUBLE) AS result FROM v""",
+)
+def q_yearly_rules(t):
+    year = 2023 + F.col("o_orderkey") % 5
+    found = brackets.evaluated(t.orders, year, F.col("o_totalprice") / 10, brackets.rules(t.spark), ["o_orderkey"])
+    return found.select("o_orderkey", "rule", F.round(F.col("result").cast("decimal(24,8)"), 3).cast("double").alias("result"))
 
 
 #: The share that each line sets aside, in whole cents; lines of some codes set nothing aside.
@@ -101,15 +129,38 @@ def q_check_superminimum(t):
     return t.customer.select("c_custkey", checks.absorbable(F.col("c_acctbal")).alias("level"))
 
 
-@query("q_check_divisor", f"WITH {STATEMENTS} SELECT doc_id, CASE WHEN gross > 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'ok' ELSE 'info' END END AS level FROM st")
+#: What each line adds to the hourly pay, in ten-thousandths; lines of some codes aren't elements of it.
+_HOURLY = "CASE WHEN code % 17 <> 0 THEN CAST(round(CAST(earned / 168 AS DECIMAL(18,8)), 4) AS DECIMAL(18,4)) ELSE 0 END"
+
+
+@query(
+    "q_check_divisor",
+    f"""WITH {STATEMENTS}, r AS (SELECT doc_id, CAST(sum({_HOURLY}) AS DOUBLE) AS hourly FROM lines GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN gross > 0 AND hourly > 0 THEN CASE WHEN abs(gross / 168 - hourly) <= 0.02 THEN 'ok' ELSE 'info' END END AS level FROM st JOIN r USING (doc_id)""",
+)
 def q_check_divisor(t):
-    hourly = F.col("gross") / 168 + F.when(F.col("doc_id") % 2 == 0, 0.01).otherwise(0.5)
-    return statements(t).select("doc_id", checks.hourly_divisor(F.col("gross"), F.lit(168), hourly).alias("level"))
+    part = F.round((F.col("earned") / 168).cast("decimal(18,8)"), 4).cast("decimal(18,4)")
+    hourly = lines(t).groupBy("doc_id").agg(F.sum(F.when(F.col("code") % 17 != 0, part).otherwise(0)).cast("double").alias("hourly"))
+    return statements(t).join(hourly, "doc_id").select("doc_id", checks.hourly_divisor(F.col("gross"), F.lit(168), F.col("hourly")).alias("level"))
+
 
+_RATES = """r AS (SELECT doc_id, min(CASE WHEN flag = 'N' THEN amount / quantity END) AS ordinary, max(CASE WHEN flag = 'R' THEN amount / quantity END) AS sunday, max(CASE WHEN flag = 'A' AND quantity > 10 THEN amount / quantity END) AS holiday,
+        max(CASE WHEN flag = 'A' THEN code % 3 * 55 + 30 END) AS said FROM lines GROUP BY doc_id)"""
 
-@query("q_check_ratio", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_extendedprice > 0 AND l_quantity > 0 THEN CASE WHEN ((1 + l_discount / 2) / 1 - 1) * 100 >= 1 THEN 'ok' ELSE 'warn' END END AS level FROM lineitem")
+
+@query(
+    "q_check_ratio",
+    f"""WITH {LINES}, {_RATES} SELECT doc_id, CASE WHEN holiday > 0 AND ordinary > 0 THEN CASE WHEN (holiday / ordinary - 1) * 100 >= 1 THEN 'ok' ELSE 'warn' END WHEN said IS NOT NULL THEN 'info' END AS holiday,
+    CASE WHEN sunday > 0 AND ordinary > 0 THEN CASE WHEN (sunday / ordinary - 1) * 100 >= 1 THEN 'ok' ELSE 'info' END END AS sunday, CASE WHEN said > 100 THEN said - 100 ELSE said END::DOUBLE AS declared FROM r""",
+)
 def q_check_ratio(t):
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.when((F.col("l_extendedprice") > 0) & (F.col("l_quantity") > 0), checks.rate_ratio(1 + F.col("l_discount") / 2, F.lit(1.0), "warn")).alias("level"))
+    of = lambda flag: F.when(F.col("flag") == flag, F.col("amount") / F.col("quantity"))
+    said = F.when(F.col("flag") == "A", F.concat(F.lit("Maggiorazione festiva ("), (F.col("code") % 3 * 55 + 30).cast("string"), F.lit(",0%)")))
+    rates = lines(t).groupBy("doc_id").agg(
+        F.min(of("N")).alias("ordinary"), F.max(of("R")).alias("sunday"), F.max(F.when(F.col("quantity") > 10, of("A"))).alias("holiday"), F.max_by(said, F.when(F.col("flag") == "A", F.col("code") % 3)).alias("said")
+    )
+    declared = checks.declared_increase(F.col("said"))
+    return rates.select("doc_id", checks.holiday_ratio(F.col("holiday"), F.col("ordinary"), declared).alias("holiday"), checks.rate_ratio(F.col("sunday"), F.col("ordinary"), "info").alias("sunday"), declared.alias("declared"))
 
 
 @query(
