@@ -83,7 +83,10 @@ def collected() -> Iterator[list[str]]:
 
 
 def on_files(df: DataFrame, name: str) -> DataFrame:
-    """``df`` itself if it scans files, so that a row has a stable place (file, row index); else a written copy."""
+    """``df`` itself if it scans files, so that a row has a stable place (file, row index); else a written copy.
+
+    ``df`` must have no column _metadata.
+    """
     try:
         df.select(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
         return df
@@ -91,6 +94,33 @@ def on_files(df: DataFrame, name: str) -> DataFrame:
         return written(df, name)
 
 
+def stored_bytes(*tables: DataFrame) -> int:
+    """Bytes of the files of tables made by :func:`written`."""
+    total = 0
+    for df in tables:
+        for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(parent)
+            total += path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return total
+
+
+#: Stored bytes of the built side of a hash join that a task's share may have; in memory they are some four times as many.
+BUILD_BYTES = 16 << 20
+
+
+def build_side(side: DataFrame, stored: int) -> DataFrame:
+    """``side`` of a join, to be built as a hash table if a partition's share of its ``stored`` bytes is small; else
+    Spark sorts both sides, which spills."""
+    return side.hint("shuffle_hash") if stored <= BUILD_BYTES * int(side.sparkSession.conf.get("spark.sql.shuffle.partitions")) else side
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name`` with as many underscores as it takes to clash with no column."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 #: Light rows that a range holds, about; ranges are as many as that asks for, and no fewer than shuffle partitions.
 RANGE_ROWS = 1_000_000
 
@@ -105,14 +135,15 @@ def numbered(rows: DataFrame, group: str, order: list[str], number: str, parts:
 
     Rows are dealt to ``parts`` ranges of (group, order), numbered inside each, and shifted by the counts of the ranges
     before, of which a group has as many as its size asks for; so no group is one task's, and nothing is sorted in one
-    task. Columns of ``rows`` must not be named range, at or shift.
+    task. Columns of ``rows`` must not be named _range, _inside or _shift.
     """
-    ranged = written(rows.repartitionByRange(parts, group, *order).withColumn("range", F.spark_partition_id()), name)
-    before = Window.partitionBy(group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ranged.groupBy(group, "range").agg(F.count(F.lit(1)).alias("c"))
-    shifts = counts.select(group, "range", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("shift"))
-    at = F.row_number().over(Window.partitionBy(group, "range").orderBy(*order)) - 1
-    return ranged.withColumn("at", at).join(shifts, [group, "range"]).withColumn(number, (F.col("at") + F.col("shift")).cast("long")).drop("range", "at", "shift")
+    ranged = written(rows.repartitionByRange(parts, group, *order).withColumn("_range", F.spark_partition_id()), name)
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("c"))
+    shifts = counts.select(group, "_range", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("_shift"))
+    inside = F.row_number().over(Window.partitionBy(group, "_range").orderBy(*order)) - 1
+    placed = ranged.withColumn("_inside", inside).join(shifts, [group, "_range"])
+    return placed.withColumn(number, (F.col("_inside") + F.col("_shift")).cast("long")).drop("_range", "_inside", "_shift")
 
 
 #: Most rows and bytes of a batch that goes to a Python worker: a task's memory shouldn't follow the length of texts.

@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statera.llm.common import delete, new_dir, on_files, removed, written
+from statera.llm.common import build_side, delete, free_name, new_dir, on_files, removed, stored_bytes, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Settings of the keyed state. Memory of all stores of an executor together is bounded; files are not
@@ -28,7 +28,7 @@ STATE = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "400",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
@@ -75,6 +75,8 @@ def exact_duplicates(
 ) -> DataFrame:
     """(id, place, keep_id, keep_place, group_size, kept, sha256) for every row of ``docs``."""
     spark = docs.sparkSession
+    if _hides_places(docs):
+        docs, id_col, text_col = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text"
     docs = on_files(docs, "dedup-docs")
     seen = written(arrivals(docs, id_col, text_col, digest), "dedup-arrivals")
     stream = spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", files_per_batch).parquet(seen.inputFiles()[0].rsplit("/", 1)[0])
@@ -102,21 +104,29 @@ def exact_duplicates(
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, unchanged, that stay."""
+    if _hides_places(docs):
+        names, aside = docs.columns, free_name("metadata", docs.columns)
+        renamed = docs.toDF(*(aside if c.lower() == "_metadata" else c for c in names))
+        return deduplicated(renamed, *(aside if c.lower() == "_metadata" else c for c in (id_col, text_col))).toDF(*names)
     docs = on_files(docs, "dedup-docs")
-    taken = {c.lower() for c in docs.columns}
-    file, row, gone_file, gone_row = (next(n for n in (f"__{x}{i}" for i in range(len(taken) + 1)) if n not in taken) for x in ("file", "row", "gone_file", "gone_row"))
+    file, row, gone_file, gone_row = (free_name(f"__{x}", docs.columns) for x in ("file", "row", "gone_file", "gone_row"))
     gone = exact_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("place.file").alias(gone_file), F.col("place.row").alias(gone_row))
     rows = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
     return rows.join(gone, (F.col(file) == F.col(gone_file)) & (F.col(row) == F.col(gone_row)), "left_anti").drop(file, row)
 
 
+def _hides_places(docs: DataFrame) -> bool:
+    """Whether a column has the name by which Spark tells a row's file and place in it."""
+    return any(c.lower() == "_metadata" for c in docs.columns)
+
+
 def _strays(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
     """Rows that share a digest with the row that stays but differ from it in a byte (none for a sound digest)."""
     content = F.coalesce(F.col(text_col), F.lit(""))
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     hits = groups.filter("group_size > 1").select("digest", F.col("keeper.place").alias("keep_place"))
     rows = docs.select(F.col(id_col).alias("id"), content.alias("text"), digest(content).alias("digest"), place.alias("place"))
-    held = written(rows.join(hits.hint("shuffle_hash"), "digest"), "dedup-held")  # once: both sides below read it
+    held = written(rows.join(build_side(hits, stored_bytes(groups)), "digest"), "dedup-held")  # once: both sides below read it
     first = held.filter(F.col("place") == F.col("keep_place")).select("digest", F.col("text").alias("first_text"))
     rest = held.filter(F.col("place") != F.col("keep_place"))
     strays = written(rest.join(first, "digest").filter("text <> first_text").select("id", "place", "digest", "text"), "dedup-strays")

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statera.llm.common import removed, small_batches, written
+from statera.llm.common import build_side, free_name, removed, small_batches, stored_bytes, written
 from statera.llm.graph import components
 from statera.llm.shingles import U64, mixed, shingle_sets, text_slices
 
@@ -245,7 +245,7 @@ class JaccardJoin:
         near = self._filtered(pairs, orders, "jaccard-pairs")
         needed = ends(near).union(in_crowd).distinct()
         k = self.k
-        sets = self._kept(self.docs.join(needed.hint("shuffle_hash"), "id", "left_semi").mapInArrow(lambda x: _sets(x, k), "id long, tokens binary"), "jaccard-sets")
+        sets = self._kept(self.docs.join(build_side(needed, stored_bytes(near)), "id", "left_semi").mapInArrow(lambda x: _sets(x, k), "id long, tokens binary"), "jaccard-sets")
         links = self._verified(near, sets)
         if not crowded.limit(1).count():
             return links
@@ -297,7 +297,9 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows, unchanged, whose id is the smallest of its component; a row without an id stays."""
+    """The rows, unchanged, whose id is the smallest of its component; a row without an id stays, whatever the names of
+    the other columns."""
     found = grouped(docs, id_col, text_col, k, percent)
-    gone = written(found.filter(F.col("id") != F.col("component_id")).select(F.col("id").alias("__gone")).distinct(), "jaccard-gone")
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    name = free_name("gone", docs.columns)
+    gone = written(found.filter(F.col("id") != F.col("component_id")).select(F.col("id").alias(name)).distinct(), "jaccard-gone")
+    return docs.join(gone, docs[id_col].cast("long") == gone[name], "left_anti")

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statera.llm.common import removed, small_batches, written
+from statera.llm.common import build_side, removed, small_batches, stored_bytes, written
 from statera.llm.shingles import U64, mixed, powers, text_slices
 from statera.llm.suffix_sort import sorted_suffixes
 
@@ -97,6 +97,15 @@ def anchors(values: np.ndarray, offsets: np.ndarray, depth: int, gram: int) -> t
     return mixed(grams[named[opens]] + U64(0x9E3779B97F4A7C15)), np.searchsorted(offsets, first, "right") - 1, first, last
 
 
+NAMES = ["bucket", "hashes", "places", "ids"]
+#: Anchors of a batch of rows that goes to the shuffle: some MB.
+ROWS_ANCHORS = 1 << 17
+
+
+def _binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 def _packed(batches: Iterable[pa.RecordBatch], depth: int, gram: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, hashes, place of each in the ids or -1, ids) and rows (bucket, hashes, -2, ids) of known shared ones."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -108,6 +117,22 @@ def _packed(batches: Iterable[pa.RecordBatch], depth: int, gram: int, buckets: i
     def row(bucket: int, hashes: np.ndarray, places: np.ndarray, ids: np.ndarray) -> tuple:
         return bucket, hashes.tobytes(), places.astype("<i4").tobytes(), ids.tobytes()
 
+    def dealt(one: np.ndarray, place: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Sorted anchors as a row for each bucket that has some, at the cost of the anchors, however many buckets there are."""
+        for low in range(0, len(one), ROWS_ANCHORS):
+            h, p = one[low : low + ROWS_ANCHORS], place[low : low + ROWS_ANCHORS]
+            bucket = ((h >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int32)
+            opens = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+            ends, row_of = np.append(opens[1:], len(h)), np.cumsum(np.concatenate(([0], bucket[1:] != bucket[:-1])))
+            # each row names the documents of its anchors once
+            alone = np.flatnonzero(p >= 0)
+            named, inverse = np.unique(row_of[alone] * len(ids) + p[alone], return_inverse=True)
+            first = np.searchsorted(named, np.arange(len(opens) + 1) * len(ids))
+            out = np.full(len(h), -1, "<i4")
+            out[alone] = inverse - first[row_of[alone]]
+            columns = [_binary(h, np.append(opens, ends[-1]) * 8), _binary(out, np.append(opens, ends[-1]) * 4), _binary(ids[named % len(ids)], first * 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[opens]), *columns], names=NAMES)
+
     def flush() -> Iterator[pa.RecordBatch]:
         nonlocal turn
         hashes, of = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -125,16 +150,9 @@ def _packed(batches: Iterable[pa.RecordBatch], depth: int, gram: int, buckets: i
                 used, places = np.unique(of[part], return_inverse=True)
                 rows.append(row(turn % buckets, hashes[part], -2 - places, ids[used]))
                 turn += 1
-        one, place = hashes[opens], np.where(sizes > 1, -1, of[opens])
-        cuts = np.searchsorted(one, np.array([(b << 64) // buckets for b in range(1, buckets)], dtype=object).astype(U64))
-        for b, (h, p) in enumerate(zip(np.split(one, cuts), np.split(place, cuts), strict=True)):
-            if len(h):
-                used, places = np.unique(p[p >= 0], return_inverse=True)
-                out = np.full(len(p), -1)
-                out[p >= 0] = places
-                rows.append(row(b, h, out, ids[used]))
         for r in rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0]], pa.int32()), *(pa.array([x], pa.binary()) for x in r[1:])], names=["bucket", "hashes", "places", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0]], pa.int32()), *(pa.array([x], pa.binary()) for x in r[1:])], names=NAMES)
+        yield from dealt(hashes[opens], np.where(sizes > 1, -1, of[opens]), ids)
 
     for batch in batches:
         keys = np.stack([batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)], axis=1)
@@ -353,8 +371,9 @@ def without_repeats(
 
     packed = rows.select("doc", "mark", "text").mapInArrow(lambda b: _packed(b, depth, gram, buckets), "bucket int, hashes binary, places binary, ids binary")
     shared = written(packed.groupBy("bucket").applyInArrow(_shared, "doc long, mark long, anchor long"), "repeats-shared")
+    n_shared = stored_bytes(shared)
     wanted = shared.groupBy("doc", "mark").agg(F.collect_list("anchor").alias("wanted")).join(copies, ["doc", "mark"], "left_anti")
-    found = rows.select("doc", "mark", "text").join(wanted.hint("shuffle_hash"), ["doc", "mark"]).select("doc", "mark", "text", "wanted")
+    found = rows.select("doc", "mark", "text").join(build_side(wanted, n_shared), ["doc", "mark"]).select("doc", "mark", "text", "wanted")
     occurrences = found.mapInArrow(lambda b: _contexts(b, depth, gram), OCCURRENCE).withColumn("context_id", _name(0))
     occurrences = written(occurrences, "repeats-occurrences", compression="zstd")
     removed(shared)
@@ -374,8 +393,9 @@ def without_repeats(
     intervals = judged.mapInArrow(lambda b: _cut(b, depth), "doc long, mark long, span long").groupBy("doc", "mark").agg(F.collect_list("span").alias("intervals"))
     intervals = written(intervals, "repeats-intervals")
     removed(occurrences, verdicts, times, hot)
+    n_verdict = stored_bytes(intervals, copies)
     verdict = intervals.select("doc", "mark", F.lit(False).alias("copy"), "intervals").union(copies.select("doc", "mark", F.lit(True).alias("copy"), F.lit(None).cast(intervals.schema["intervals"].dataType).alias("intervals")))
-    whole = rows.join(verdict.hint("shuffle_hash"), ["doc", "mark"], "left").select("id", "text", "copy", "intervals", "more")
+    whole = rows.join(build_side(verdict, n_verdict), ["doc", "mark"], "left").select("id", "text", "copy", "intervals", "more")
     schema = f"id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{', kept_text string' * with_text}, more {whole.schema['more'].dataType.simpleString()}"
     found = whole.mapInArrow(lambda b: _kept(b, with_text), schema)
     return found.select(*(c for c in found.columns if c != "more"), *(F.col("more")[c].alias(c) for c in keep))

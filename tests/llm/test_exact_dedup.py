@@ -57,3 +57,14 @@ def test_clashing_columns(spark):
     got = exact_dedup.deduplicated(docs)
     assert got.columns == docs.columns
     assert sorted(r["doc_id"] for r in got.collect()) == [2, 3]
+
+
+def test_columns_with_the_names_of_places(spark, tmp_path):
+    rows = [(1, "a", "m", "f"), (2, "a", "n", "g"), (3, None, None, None)]
+    schema = "doc_id long, text string, _metadata string, __file string"
+    made = spark.createDataFrame(rows, schema)
+    made.write.parquet(str(tmp_path / "docs"))
+    for docs in (made, spark.read.parquet(str(tmp_path / "docs"))):
+        assert sorted((r["id"], r["keep_id"]) for r in exact_dedup.exact_duplicates(docs).collect()) == [(1, 2), (2, 2), (3, 3)]
+        kept = exact_dedup.deduplicated(docs)
+        assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [(2, "a", "n", "g"), (3, None, None, None)]

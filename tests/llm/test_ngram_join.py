@@ -91,3 +91,10 @@ def test_saturated_and_missing_counts_lose_no_link(spark, monkeypatch):
         monkeypatch.setattr(ngram_join, "document_counts", lambda *_, counts=counts: counts)
         found = ngram_join.JaccardJoin(docs, k=3, percent=90).result().collect()
         assert {r["id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute(rows, 3, 90)
+
+
+def test_one_per_group_with_clashing_names(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, "x", 5, 6), (2, text, "y", 5, 6), (None, text, "z", 5, 6), (3, "other words", "q", 5, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __gone string, gone int, id int")
+    assert sorted((r["__gone"] for r in ngram_join.one_per_group(docs).collect())) == ["q", "x", "z"]

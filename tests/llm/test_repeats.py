@@ -100,3 +100,28 @@ def test_a_lying_hash_is_caught(monkeypatch):
     raw = data.tobytes()
     assert [raw[s : s + 4] for s in order] == sorted(raw[s : s + 4] for s in range(len(data) - 3))
     assert same.sum() == len(order) - len({raw[s : s + 4] for s in order})
+
+
+def test_packing_costs_the_anchors_not_the_buckets(monkeypatch):
+    import types
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(repeats, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 3)))
+    draw = random.Random(9)
+    texts = ["".join(draw.choice("abcdefgh ") for _ in range(300)) for _ in range(60)]
+    texts += [t[:150] for t in texts[:20]]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc", "mark", "text"])
+    found = []
+    for block in (1 << 30, 500):
+        monkeypatch.setattr(repeats, "BLOCK_ANCHORS", block)
+        for buckets in (1, 3, 1000, 1_000_000):
+            packed = pa.Table.from_batches(list(repeats._packed([batch], 50, 16, buckets)))
+            anchors = sum(len(h.as_buffer()) // 8 for h in packed.column("hashes"))
+            assert packed.num_rows <= anchors
+            shared = set()
+            for b in set(packed.column("bucket").to_pylist()):
+                group = packed.filter(pa.compute.equal(packed.column("bucket"), b))
+                shared |= {tuple(r.values()) for r in repeats._shared(group).to_pylist()}
+            found.append(shared)
+    assert found[0] and all(f == found[0] for f in found)
