@@ -9,10 +9,12 @@ probability over its words with a letter; its score is that sum's share. How sur
 words, in whatever languages, is the mean of their largest probabilities; a text is accepted by that.
 
 The field is trained on a bounded sample of labelled rows (SAMPLE_ROWS per language, those with the
-least hash of their id), partly cut into stretches and mixed, so that switches between languages occur
+least hash of their id; the lexicon is what these texts hold), partly cut into stretches and mixed, so that switches between languages occur
 in training. A text is one chain, however long. It is worked off in blocks of BLOCK words: a block's product
-of transitions and emissions carries alpha from the block before and beta from the block after, so memory
-is bounded by blocks and the marginals are those of the uncut chain. Emissions are kept per distinct word in a bounded table, so a frequent word is scored once.
+of transitions and emissions carries alpha from the block before and beta from the block after, so the marginals are
+those of the uncut chain. A text of more than LONG_CHARS characters goes through in stretches: alpha is passed forward
+over all of them, one vector a stretch is kept, and each is worked out again on the way back, so memory is that of one
+stretch and the text. Emissions are kept per distinct word in a bounded table, so a frequent word is scored once.
 
 Defined results: ``und`` with score 0 where the text is null or has no letter, or where nothing could be
 learned; ties go to the language first in order; repeated rows are predicted alike; an empty table gives
@@ -21,6 +23,7 @@ an empty result; columns other than those named are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -35,10 +38,12 @@ from statera.llm.shingles import U64, mixed, powers
 UND = "und"
 SAMPLE_ROWS = 120
 BLOCK = 128
-LEXICON_WORDS = 100_000
 FEATURE_BITS = 18
 TABLE_ENTRIES = 120_000
 SLICE_WORDS = 60_000
+#: Texts of more characters are worked off in stretches of so many.
+LONG_CHARS, STRETCH_CHARS = 1 << 20, 1 << 18
+_WHITE = re.compile(r"\s")
 _TAGS = {name: U64((0x517CC1B727220A95 * (i + 3)) % (1 << 64)) for i, name in enumerate(["two", "three", "prefix1", "prefix2", "prefix3", "suffix1", "suffix2", "suffix3", "word", "lexicon"])}
 _TRIM = "".join(map(chr, [*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F), 0xA1, 0xAB, 0xBB, 0xBF, *range(0x2010, 0x2027)]))
 
@@ -107,12 +112,22 @@ def carried(emissions: np.ndarray, transitions: np.ndarray, lengths: np.ndarray,
 
     first: whether a block begins its chain; the others go on where the block before, a full one, ended.
     """
+    return carried_over(emissions, transitions, lengths, first)[:2]
+
+
+def carried_over(emissions: np.ndarray, transitions: np.ndarray, lengths: np.ndarray, first: np.ndarray, start: np.ndarray | None = None, end: np.ndarray | None = None) -> tuple:
+    """The same for blocks that are a stretch of one chain, with alpha before it and beta after it; two more are
+    returned: alpha at its end and beta before it."""
     n, _, k = emissions.shape
     enter, leave = np.full((n, k), 1 / k, emissions.dtype), np.ones((n, k), emissions.dtype)
+    if start is not None:
+        enter[0] = start
+    if end is not None:
+        leave[-1] = end
     goes_on = np.append(~first[1:], False)
-    held = np.flatnonzero(~first | goes_on)
+    held = np.flatnonzero(~first | goes_on) if end is None else np.arange(n)
     if not len(held):
-        return enter, leave
+        return enter, leave, None, None
     local, move = _local(emissions[held], transitions)
     through = np.where(first[held, None, None], 1, move[None]) * local[:, :1]
     for t in range(1, int(lengths[held].max())):
@@ -130,7 +145,10 @@ def carried(emissions: np.ndarray, transitions: np.ndarray, lengths: np.ndarray,
     for at in reversed(later):
         back = np.einsum("bij,bj->bi", through[place[at]], leave[at])
         leave[at - 1] = back / back.sum(axis=1, keepdims=True)
-    return enter, leave
+    if end is None:
+        return enter, leave, None, None
+    after, before = enter[-1] @ through[-1], through[0] @ leave[0]
+    return enter, leave, after / after.sum(), before / before.sum()
 
 
 def forward_backward(emissions: np.ndarray, transitions: np.ndarray, lengths: np.ndarray, first: np.ndarray, enter: np.ndarray, leave: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +193,7 @@ def lexicon_of(texts: list[tuple[list[str], int]]) -> dict[str, int]:
         if n > 1:
             found[w] = found.get(w, 0) | 1 << min(lang, 63)
             times[w] = times.get(w, 0) + n
-    return {w: found[w] for w in sorted(found, key=lambda w: (-times[w], w))[:LEXICON_WORDS]}
+    return {w: found[w] for w in sorted(found, key=lambda w: (-times[w], w))}
 
 
 def trained(texts: list[tuple[str, str]], rounds: int = 30, rate: float = 0.5, decay: float = 1e-4, seed: int = 7) -> Field | None:
@@ -249,13 +267,55 @@ class Labeller:
         self.place.update(zip(new, range(len(self.lettered), len(self.lettered) + len(new)), strict=True))
         self.scores, self.lettered = np.concatenate([self.scores, scores]), np.concatenate([self.lettered, lettered])
 
-    def marginals(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(words x languages), whether a word has a letter, and where each text's words begin."""
-        distinct = set().union(*texts)
-        if len(self.place) + len(distinct) > self.entries:
+    def _known(self, words: set[str]) -> None:
+        """Scores of all the words are in the table."""
+        if len(self.place) + len(words) > self.entries:
             self._forget()
-        if new := [w for w in distinct if w not in self.place]:
+        if new := [w for w in words if w not in self.place]:
             self._learn(new)
+
+    def stretch(self, words: list[str], first: bool, start: np.ndarray | None, end: np.ndarray) -> tuple:
+        """(marginals, whether a word has a letter, alpha at the end, beta before) of some words of one chain."""
+        self._known(set(words))
+        ids = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        n, k = -(-len(ids) // BLOCK), len(self.field.languages)
+        scores = np.zeros((n * BLOCK, k), np.float32)
+        scores[: len(ids)] = self.scores[ids]
+        scores, transitions = scores.reshape(n, BLOCK, k), self.field.transitions.astype(np.float32)
+        lengths, opens = np.full(n, BLOCK), np.zeros(n, bool)
+        lengths[-1], opens[0] = len(ids) - BLOCK * (n - 1), first
+        enter, leave, after, before = carried_over(scores, transitions, lengths, opens, start, end)
+        found = forward_backward(scores, transitions, lengths, opens, enter, leave)[0]
+        return found.reshape(-1, k)[: len(ids)], self.lettered[ids], after, before
+
+    def long_text(self, text: str, with_words: bool) -> tuple[np.ndarray, float, list[int]]:
+        """(summed probabilities, summed largest ones, language of every word or -1) of a text, stretch by stretch.
+
+        Alpha is passed on over all stretches, of which only the vector at each one's start is kept; on the way back
+        each stretch is worked out anew with the beta of the one behind it. Memory is that of one stretch.
+        """
+        k = len(self.field.languages)
+        bounds = [0]
+        while bounds[-1] < len(text):
+            cut = _WHITE.search(text, bounds[-1] + STRETCH_CHARS)
+            bounds.append(cut.start() if cut else len(text))
+        parts = [(a, b) for a, b in zip(bounds, bounds[1:], strict=False) if text[a:b].strip()]
+        flat, starts = np.ones(k, np.float32), [None]
+        for i, (a, b) in enumerate(parts[:-1]):
+            starts.append(self.stretch(text[a:b].split(), i == 0, starts[-1], flat)[2])
+        sums, tallest, words, end = np.zeros(k), 0.0, [], flat
+        for i in range(len(parts) - 1, -1, -1):
+            a, b = parts[i]
+            found, lettered, _, end = self.stretch(text[a:b].split(), i == 0, starts[i], end)
+            sums += (found * lettered[:, None]).sum(axis=0, dtype=np.float64)
+            tallest += float((found.max(axis=1) * lettered).sum(dtype=np.float64))
+            if with_words:
+                words.append(np.where(lettered, found.argmax(axis=1), -1).astype(np.int16))
+        return sums, tallest, np.concatenate(words[::-1]).tolist() if words else []
+
+    def marginals(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(words x languages), whether a word has a letter, and where each text's words begin."""
+        self._known(set().union(*texts))
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         begins = np.concatenate(([0], np.cumsum(sizes)))
         k = len(self.field.languages)
@@ -286,15 +346,20 @@ class Labeller:
         return out, self.lettered[ids], begins
 
 
-def _slices(column: pa.Array) -> Iterator[list[list[str]]]:
+def _slices(column: pa.Array) -> Iterator[list[list[str]] | str]:
+    """The texts of a column as lists of words, some at a time, and each long one by itself as it is."""
     held, size = [], 0
     for value in column:
-        words = (value.as_py() or "").split()
-        held.append(words)
-        size += len(words)
-        if size >= SLICE_WORDS:
+        text = value.as_py() or ""
+        words = text.split() if len(text) <= LONG_CHARS else []
+        if held and (size >= SLICE_WORDS or len(text) > LONG_CHARS):
             yield held
             held, size = [], 0
+        if len(text) > LONG_CHARS:
+            yield text
+        else:
+            held.append(words)
+            size += len(words)
     if held:
         yield held
 
@@ -315,9 +380,15 @@ def _predicted(batches: Iterable[pa.RecordBatch], field, with_words: bool, with_
     for batch in batches:
         at = 0
         for texts in _slices(batch.column(batch.num_columns - 1)):
-            n = len(texts)
+            n = 1 if isinstance(texts, str) else len(texts)
             langs, scores, words, sure = [UND] * n, [0.0] * n, [[] for _ in range(n)], np.zeros(n)
-            if labeller:
+            if labeller and isinstance(texts, str):
+                sums, tallest, found = labeller.long_text(texts, with_words)
+                total = sums.sum()
+                if total > 0:
+                    langs, scores = [names[int(sums.argmax())]], [min(1.0, float(sums.max() / total))]
+                sure, words = np.array([tallest / max(total, 1)]), [[UND if j < 0 else names[j] for j in found]]
+            elif labeller:
                 marginals, lettered, begins = labeller.marginals(texts)
                 sums = np.zeros((n, len(names)))
                 filled = np.flatnonzero(np.diff(begins))
@@ -343,13 +414,23 @@ def held_out(id_col: str) -> Column:
 
 
 def learned(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> Field | None:
-    """A field from at most ``rows`` labelled rows per language; which rows depends on their ids alone."""
+    """A field from at most ``rows`` labelled texts per language, those with the least hash of their id.
+
+    Rows that agree in id, language and text count once, so the bound holds for the driver too, however often an id
+    is repeated.
+    """
     labelled = docs.filter(learn_from & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    light = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= rows)
-    ids = [r["id"] for r in light.select("id").distinct().collect()]
-    sample = labelled.filter(F.col(id_col).isin(ids)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).collect() if ids else []
-    return trained([(r["text"], r["lang"]) for r in sorted(sample, key=lambda r: (r["id"], r["text"]))])
+    labelled = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    mark = F.xxhash64("text").alias("mark")
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "mark")
+    light = labelled.select("id", "lang", mark).distinct().withColumn("place", F.row_number().over(order)).filter(F.col("place") <= rows)
+    chosen = [(r["id"], r["lang"], r["mark"]) for r in light.collect()]
+    if not chosen:
+        return trained([])
+    keys = F.broadcast(docs.sparkSession.createDataFrame(chosen, light.drop("place").schema))
+    ids = list({i for i, _, _ in chosen})
+    sample = labelled.filter(F.col("id").isin(ids)).select("id", "text", "lang", mark).join(keys, ["id", "lang", "mark"]).groupBy("id", "lang", "mark").agg(F.first("text").alias("text"))
+    return trained([(r["text"], r["lang"]) for r in sorted(sample.collect(), key=lambda r: (r["id"], r["text"]))])
 
 
 def identified(docs: DataFrame, field: Field | None, keep: list[str], text_col: str = "text", with_words: bool = False) -> DataFrame:

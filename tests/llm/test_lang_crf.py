@@ -1,6 +1,8 @@
 import itertools
+import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from statera.llm import lang_crf
 from statera.llm.queries import QUERIES
@@ -129,3 +131,45 @@ def test_held_out_accuracy(spark):
     langs = {r["doc_id"]: r["lang"] for r in texts(f"{folder}/documents.parquet", "doc_id", "lang")}
     rows = [r for r in QUERIES["op2_language_id"](spark, folder).collect() if r["held_out"]]
     assert len(rows) > 200 and sum(langs[r["doc_id"]] == r["lang_pred"] for r in rows) / len(rows) > 0.97
+
+
+def test_a_long_text_goes_through_in_stretches(monkeypatch):
+    """The probabilities of a text that is cut into stretches are those of the whole chain."""
+    draw = random.Random(2)
+    field = lang_crf.trained([("the and that with from", "en"), ("dans pour avec sur les", "fr"), ("und der die das nicht", "de")] * 3)
+    pool = "the and that with dans pour avec sur und der die nicht w1 w2 3 !".split()
+    text = "  " + " ".join(draw.choice(pool) + draw.choice(["", "\n", "  "]) for _ in range(3000)) + " " + "x" * 500 + " "
+    whole_, lettered, _ = lang_crf.Labeller(field).marginals([text.split()])
+    sums = (whole_ * lettered[:, None]).sum(axis=0)
+    for n in (1, 130, 900, 5000, 1 << 20):
+        monkeypatch.setattr(lang_crf, "STRETCH_CHARS", n if n > 1 else 40)
+        found, tallest, words = lang_crf.Labeller(field, 100).long_text(text, True)
+        assert np.allclose(found, sums, rtol=1e-3) and abs(tallest - (whole_.max(axis=1) * lettered).sum()) < 1e-2 * tallest
+        close = np.sort(whole_, axis=1)[:, -1] - np.sort(whole_, axis=1)[:, -2] < 1e-3
+        assert len(words) == len(lettered) and all(w == (m if y else -1) or c for w, m, y, c in zip(words, whole_.argmax(axis=1), lettered, close))
+
+
+def test_long_and_short_texts_of_a_table(spark, monkeypatch):
+    field = lang_crf.trained([("the and that with from", "en"), ("dans pour avec sur les", "fr")] * 3)
+    rows = [(1, "the and that " * 40), (2, "dans pour"), (3, None), (4, "! 1 " * 60), (5, "avec sur " * 50), (6, "the dans " * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    plain = {r["doc_id"]: r for r in lang_crf.identified(docs, field, ["doc_id"], with_words=True).collect()}
+    import pyarrow as pa
+
+    monkeypatch.setattr(lang_crf, "LONG_CHARS", 100)
+    batch = pa.record_batch([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], names=["doc_id", "text"])
+
+    class Shared:
+        value = field
+
+    cut = {r["doc_id"]: r for out in lang_crf._predicted([batch], Shared, True) for r in out.to_pylist()}
+    assert {i: (r["lang_pred"], r["word_langs"]) for i, r in cut.items()} == {i: (r["lang_pred"], r["word_langs"]) for i, r in plain.items()}
+    assert all(abs(cut[i]["score"] - plain[i]["score"]) < 1e-4 for i in cut)
+
+
+def test_a_repeated_id_does_not_grow_the_sample(spark, monkeypatch):
+    rows = [(1, f"the and that with {i}", "en") for i in range(500)] + [(1, "the and that", "en")] * 300 + [(2, "dans pour avec", "fr"), (None, "no id", "fr")]
+    seen = []
+    monkeypatch.setattr(lang_crf, "trained", lambda sample: seen.append(sample))
+    lang_crf.learned(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), rows=20)
+    assert len([1 for _, lang in seen[0] if lang == "en"]) == 20 and ("dans pour avec", "fr") in seen[0] and len(set(seen[0])) == len(seen[0])
