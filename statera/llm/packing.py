@@ -20,10 +20,10 @@ ignored.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statera.llm.common import WORD, written
+from statera.llm.common import WORD, numbered, ranges, written
 
 BUCKETS = 8
 TOKEN_BUDGET = 65_536
@@ -93,16 +93,9 @@ def packed(docs: DataFrame, length: Column, id_col: str = "doc_id", buckets: int
         inside = F.col("n") <= ends[i]
         number, end = F.when(inside, i).otherwise(number), F.when(inside, ends[i]).otherwise(end)
     placed = rows.select("id", "n", number.cast("int").alias("bucket"), end.cast("long").alias("bucket_len"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = written(placed.repartitionByRange(parts, "bucket", "id", "n").withColumn("part", F.spark_partition_id()), "packing-ranges")
-    before = Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ranged.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("c"))
-    shifts = counts.select("bucket", "part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("shift"))
-    inside = Window.partitionBy("bucket", "part").orderBy("id", "n")
-    at = F.col("shift") + F.row_number().over(inside) - 1
     held = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest("bucket_len", F.lit(1)))).cast("long")
-    numbered = ranged.join(shifts, ["bucket", "part"]).select("id", "n", "bucket", "bucket_len", at.alias("at"), held.alias("held"))
-    return numbered.select("id", F.col("n").alias("n_tokens"), "bucket", "bucket_len", F.floor(F.col("at") / F.col("held")).cast("long").alias("batch"), (F.col("at") % F.col("held")).alias("slot"))
+    rows = numbered(placed, "bucket", ["id", "n"], "at", ranges(rows), "packing-ranges").withColumn("held", held)
+    return rows.select("id", F.col("n").alias("n_tokens"), "bucket", "bucket_len", F.floor(F.col("at") / F.col("held")).cast("long").alias("batch"), (F.col("at") % F.col("held")).alias("slot"))
 
 
 def _sql(buckets: int, budget: int) -> str:

@@ -154,11 +154,17 @@ def _encoded(batches: Iterable[pa.RecordBatch], path: str, end_id: int) -> Itera
             at, row = at + len(ids), row + len(ids)
 
 
+#: Bytes of input that a range of document ids has, about.
+RANGE_BYTES = 128 << 20
+
+
 def written_tokens(docs: DataFrame, folder: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, partitions: int | None = None) -> None:
     """Encode every text and write its ids, in ascending order of the document ids."""
     path = path or vocabulary("word_bpe_49k.json")
     small_batches(docs.sparkSession)
-    partitions = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if partitions is None:  # by what Spark knows of the input's size, no fewer than shuffle partitions
+        size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1 << 20, size // RANGE_BYTES))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(lambda batches: _encoded(batches, path, end_id), SCHEMA).write.options(**LAYOUT).orc(folder)
