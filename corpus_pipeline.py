@@ -5,8 +5,8 @@ language ID drops texts without a recognised language, exact and near deduplicat
 each group, the repeat remover cuts long strings that an earlier document holds, packing deals what is
 left to length buckets and batches. All but the last return the columns of ``documents``.
 
-When a stage begins, what the stage before returned has been written; the tables that its operator made on
-the way are then deleted, so disk doesn't add up over the stages.
+A run deletes the tables that an operator made on the way, and the stage's input, as soon as the stage's result is
+written; where stages are called one by one, each deletes what the one before made. So disk doesn't add up.
 
 Defined results: stages keep rows whose other columns are null, and read the columns of ``documents`` alone,
 so columns of other names, whatever they clash with, are ignored and not returned; ties and repeated rows go
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statera.llm import exact_dedup, lang_crf, ngram_join, packing, repeats
-from statera.llm.common import collected, delete, table, written
+from statera.llm.common import collected, delete, removed, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -32,12 +32,12 @@ ORACLE_SQL = None
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-#: Folders of the tables that the stage before has made on the way, by input: runs over other inputs don't meet.
+#: Folders of the tables that a stage called by itself has made on the way, by its input; a run keeps its own.
 _MADE_BEFORE: dict[str, list[str]] = {}
 
 
 def stage(f: Stage) -> Stage:
-    """The stage, deleting first what the one before made on the way: its result has been written by then."""
+    """The stage by itself, deleting first what the one before made on the way: its result has been written by then."""
 
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -101,7 +101,15 @@ STAGES = [("language_id", language_id), ("exact_dedup", exact), ("ngram_jaccard_
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages; what a stage made on the way, and what it read, goes when its result is written."""
+    docs, read = table(spark, sf_dir, "documents"), None
     for name, f in STAGES:
-        docs = written(f(spark, docs, sf_dir), f"pipeline-{name}")
+        with collected() as made:
+            found = f.__wrapped__(spark, docs, sf_dir)
+        docs = written(found, f"pipeline-{name}")
+        for folder in made:
+            delete(spark, folder)
+        if read is not None:
+            removed(read)
+        read = docs
     return docs
