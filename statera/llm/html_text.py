@@ -5,6 +5,9 @@ of words and its link density (share of words inside links) and those of the blo
 beside them stand the structure it is in (an article or main element, an article inside an article, a
 navigation, aside, footer or form element, none of them), whether it is a heading or a paragraph, whether
 something around it or its own words name it as page furniture, and whether the page has an article at all.
+What an element around a block says counts only if it can be furniture: one that holds two thirds of the page's
+prose, and every article of the page, frames it, whatever its name says (a form around a page, a wrapper named after
+a menu), and an article in an article is its body if it holds nearly all of it.
 A decision tree, grown by Gini impurity from the labelled blocks of the small pages below, says which
 blocks are main text. Names are one column among the others: what they are worth is learned. Character
 references are decoded, white space inside a block becomes one space, and the blocks that stay are joined
@@ -81,15 +84,36 @@ class Block:
     named: bool
 
 
+@dataclass(slots=True)
+class Mark:
+    """What an element says about the blocks in it: the element around it that says something, and its own words."""
+
+    outer: int
+    tag: str
+    main: bool
+    furniture: bool
+    comment: bool
+    header: bool
+    #: Words of prose in it, main elements in it (itself too), and whether the page's first heading stands in it.
+    prose: int = 0
+    mains: int = 0
+    heads: bool = False
+
+
 #: (zone, named as furniture, inside comments, inside an article)
 Place = tuple[int, bool, bool, bool]
+PAGE: Place = (NEITHER, False, False, False)
+#: Shares of the prose: an element that holds so much frames the page, and one that speaks of comments must hold more
+#: where no heading tells; an article in an article is its body where it holds so much of it.
+FRAME, FRAME_OF_COMMENTS, BODY = 2 / 3, 0.9, 0.9
+#: Elements that may frame a page whatever they are called; the others around an article are what they say.
+_FRAMING = frozenset(["form"])
 
 
-def _place(tag: str, attributes: str, outer: Place) -> Place:
-    """The place of what an element holds, given that of the element around it."""
-    zone, named, in_comments, in_article = outer
+def _mark(tag: str, attributes: str, outer: int) -> Mark | None:
+    """What an element says, None if nothing."""
     if tag in ("html", "body"):
-        return outer
+        return None
     names: set[str] = set()
     main = tag in ("article", "main")
     if attributes:
@@ -97,28 +121,49 @@ def _place(tag: str, attributes: str, outer: Place) -> Place:
             value = (found[2] or found[3] or found[4] or "").lower()
             main = main or (value in ("main", "article") and found[1].lower() == "role") or value == "articlebody"
             names.update(_NAMES.findall(value))
-    if in_comments or names & _COMMENT_NAMES:
-        return zone, True, True, in_article
-    if main:
-        if tag == "article" and in_article:
-            return NESTED, named or bool(names & _FURNITURE), False, True
-        return MAIN, bool(names & _FURNITURE), False, in_article or tag == "article"
-    if tag in _AROUND_TAGS or (tag == "header" and zone == NEITHER):
-        return AROUND, named, False, in_article
-    return zone, named or bool(names & _FURNITURE) or ("header" in names and zone == NEITHER), False, in_article
+    mark = Mark(outer, tag, main, bool(names & _FURNITURE), bool(names & _COMMENT_NAMES), "header" in names or tag == "header")
+    return mark if main or mark.furniture or mark.comment or mark.header or tag in _AROUND_TAGS else None
+
+
+def _places(marks: list[Mark], prose: int, headed: bool) -> list[Place]:
+    """The place of what each mark's element holds, given the page's words of prose and whether it has a heading.
+
+    An element that holds nearly all of a page's prose, and every article of it, isn't furniture whatever its name
+    says: it frames the page. Marks follow those around them.
+    """
+    mains = sum(m.mains for m in marks if m.outer < 0)
+    out: list[Place] = []
+    articles: list[int] = []  # the innermost article around each
+    for m in marks:
+        zone, named, in_comments, in_article = out[m.outer] if m.outer >= 0 else PAGE
+        around = articles[m.outer] if m.outer >= 0 else -1
+        share = m.prose / prose if prose else 0.0
+        frames = share >= FRAME and m.mains == mains and (not m.comment or m.heads or (not headed and share >= FRAME_OF_COMMENTS))
+        furniture = m.furniture and not frames
+        articles.append(len(out) if m.tag == "article" else around)
+        if in_comments or (m.comment and not frames):
+            out.append((zone, True, True, in_article))
+        elif m.main:
+            nested = m.tag == "article" and in_article and m.prose < BODY * marks[around].prose
+            out.append((NESTED, named or furniture, False, True) if nested else (MAIN, furniture, False, in_article or m.tag == "article"))
+        elif (m.tag in _AROUND_TAGS and not (m.tag in _FRAMING and frames)) or (m.tag == "header" and zone == NEITHER):
+            out.append((AROUND, named, False, in_article))
+        else:
+            out.append((zone, named or furniture or (m.header and m.tag != "header" and zone == NEITHER and not frames), False, in_article))
+    return out
 
 
 class _Open:
-    """The open elements: each with the place outside it, and where the last of every kind stands."""
+    """The open elements: each with the mark outside it, and where the last of every kind stands."""
 
     def __init__(self) -> None:
-        self.place: Place = (NEITHER, False, False, False)
-        self.elements: list[tuple[str, Place]] = []
+        self.place = -1
+        self.elements: list[tuple[str, int]] = []
         self.at: dict[str, list[int]] = {}
         self.blocks: list[int] = []
         self.containers: list[int] = []
 
-    def push(self, tag: str, inner: Place) -> None:
+    def push(self, tag: str, inner: int) -> None:
         n = len(self.elements)
         self.elements.append((tag, self.place))
         self.at.setdefault(tag, []).append(n)
@@ -144,6 +189,8 @@ class _Open:
 
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
+    marks: list[Mark] = []
+    under: list[int] = []  # the mark of each block
     open_ = _Open()
     heading, paragraph, links = False, False, 0
     pieces: list[str] = []
@@ -155,11 +202,19 @@ def blocks(page: str) -> list[Block]:
             words = "".join(pieces).split()
             if words:
                 text = " ".join(words)
-                zone, named, _, _ = open_.place
-                out.append(Block(text, len(words), min(linked, len(words)), zone, heading, paragraph, named or (zone == NEITHER and len(words) <= 30 and bool(_LEGAL.match(text)))))
+                out.append(Block(text, len(words), min(linked, len(words)), NEITHER, heading, paragraph, False))
+                under.append(open_.place)
             pieces.clear()
         linked = 0
 
+    def marked(tag: str, attributes: str) -> int:
+        """The mark of what an element holds: its own, or the one around it if it says nothing."""
+        mark = _mark(tag, attributes, open_.place)
+        if mark is None:
+            return open_.place
+        marks.append(mark)
+        return len(marks) - 1
+
     def said(raw: str) -> None:
         nonlocal linked
         text = html.unescape(raw) if "&" in raw else raw
@@ -223,7 +278,7 @@ def blocks(page: str) -> list[Block]:
                     open_.back(i)
                 continue
             # an inline element counts where its names say so
-            inner = _place(tag, found[3], open_.place)
+            inner = marked(tag, found[3])
             if inner != open_.place or open_.at.get(tag):
                 if inner != open_.place:
                     close()
@@ -243,14 +298,38 @@ def blocks(page: str) -> list[Block]:
             outer = open_.elements[top][0]
             if outer in _ENDS_ITSELF and (tag == outer or outer == "p" or outer in _HEADINGS):
                 open_.back(top)
-        open_.push(tag, _place(tag, found[3], open_.place))
+        open_.push(tag, marked(tag, found[3]))
         links = 0 if tag in ("div", "section", "article", "main") else links
     if at < len(page):
         said(page[at:])
     close()
+    _told(out, marks, under)
     return out
 
 
+def _told(found: list[Block], marks: list[Mark], under: list[int]) -> None:
+    """Give the blocks of a page their places."""
+    prose, headed = 0, False
+    for b, i in zip(found, under, strict=True):
+        if b.heading and not headed:
+            headed = True
+            if i >= 0:
+                marks[i].heads = True
+        if not b.heading and 2 * b.linked < b.words:
+            prose += b.words
+            if i >= 0:
+                marks[i].prose += b.words
+    for m in reversed(marks):  # what is inside comes before what is around it
+        m.mains += m.main
+        if m.outer >= 0:
+            outer = marks[m.outer]
+            outer.prose, outer.mains, outer.heads = outer.prose + m.prose, outer.mains + m.mains, outer.heads or m.heads
+    places = _places(marks, prose, headed)
+    for b, i in zip(found, under, strict=True):
+        b.zone, b.named, _, _ = places[i] if i >= 0 else PAGE
+        b.named = b.named or (b.zone == NEITHER and b.words <= 30 and bool(_LEGAL.match(b.text)))
+
+
 #: The labelled table: blocks of small pages of many shapes. {n} stands for n words, {+n} for n words of main text.
 PAGES = [
     # an article with its page furniture in elements of their own
@@ -289,6 +368,16 @@ PAGES = [
     "<div id=cookie>{22}</div><div class=menu><a>{1}</a> <a>{2}</a></div><div><h1>{+5}</h1><p>{+47}<p>{+51}</div><div class=sidebar><p>{38}</p><p>{26}</p></div><div class=comments><p>{31}<p>{48}</div><div>{4}</div>",
     "<div class=header><h1>{2}</h1></div><div><h2>{+6}</h2><p>{+9}<p>{+41}</div><div class=footer>{11}</div>",
     "<p>{+60}<p><a>{+10}</a></p><p>{+45}<p>{+25}<div><a>{9}</a></div>", "<h1>{+4}</h1><p>{+38}<p><a>{+12}</a></p><p>{+30}<p>{+41}<div><a>{10}</a></div><div><a>{8}</a></div>",
+    # elements around the whole page, whatever they are called; articles in articles
+    "<form><div><a>{1}</a> <a>{1}</a></div><h1>{+5}</h1><p>{+50}<p>{+41}<div><a>{2}</a></div></form>", "<form><article><h1>{+5}</h1><p>{+40}</article><footer>{9}</footer></form>",
+    "<div class='site menu-open'><nav><a>{1}</a></nav><h1>{+6}</h1><p>{+45}<p>{+38}<div class=menu><a>{1}</a> <a>{2}</a></div></div>", "<div class='social science'><h1>{+4}</h1><p>{+60}<p>{+44}<p>{+3}</div><div class=social><a>{1}</a></div>",
+    "<article class='promo story'><h1>{+5}</h1><p>{+40}<p>{+8}</article><div class=promo>{20}</div>", "<article><h1>{+6}</h1><article><p>{+50}<p>{+7}<p>{+31}</article></article><aside>{20}</aside>",
+    # comments and heads of a site that no name tells: small texts between links that name their writers
+    "<h1>{+6}</h1><p>{+52}<p>{+47}<p>{+33}<h3>{2}</h3><div><a>{1}</a></div><div>{18}</div><div><a>{1}</a></div><div>{11}</div><div><a>{2}</a></div><div>{26}</div><div><a>{1}</a></div>",
+    "<div>{2}</div><div><a>{1}</a> <a>{1}</a></div><h2>{+7}</h2><div>{+64}</div><div>{+39}</div><div>{+45}</div><div><a>{2}</a></div><p>{21}</p><div><a>{1}</a></div><div><a>{2}</a></div><p>{30}</p><div><a>{1}</a></div>",
+    "<div>{1}</div><h1>{+5}</h1><p>{+40}<p>{+33}", "<div>{2}</div><h2>{+4}</h2><p>{+50}<p>{+38}", "<p>{+60}<p><a>{+9}</a><p>{+45}", "<p>{+55}<p><a>{+4}</a><p>{+48}<p>{+20}",
+    # headings of pages of short paragraphs
+    "<div><a>{1}</a> <a>{1}</a></div><h1>{+5}</h1><p>{+9}<p>{+12}<p>{+8}<p>{+14}<div><a>{2}</a></div>", "<h1>{+3}</h1><p>{+7}<p>{+10}<p>{+6}", "<ul><li><a>{1}</a><li><a>{1}</a></ul><h2>{+4}</h2><p>{+11}<p>{+6}<p>{+13}<div>{3}</div>",
     # pages of little text
     "{+40}", "{+2}", "{+4}", "<p>{+4}</p>", "<p>{+2}<p>{+3}", "<h1>{+3}</h1><p>{+8}</p>", "<p>{+12}</p><p>{+30}</p>", "<div>{+25}</div>",
     "<ul><li><a>{1}</a><li><a>{2}</a><li><a>{1}</a></ul>", "<div><a>{3}</a></div><div>{2}</div><div><a>{4}</a></div>",

@@ -144,3 +144,81 @@ def test_query_against_the_articles(spark):
         article = re.search(r"<article>(.*?)(</article>|\Z)", r["html"], re.S)[1]
         plain = re.sub(r"</?[bh]1?>", "", re.sub(r"<br>|</?p>|</h1>", " ", article))
         assert got[r["page_id"]] == " ".join(html.unescape(plain).split())
+
+
+TITLED = "<h1>Title one two</h1>"
+WHOLE = f"Title one two {LONG}{MORE}".strip()
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><form><div class=menu><a>Home</a></div>{TITLED}<p>{LONG}</p><p>{MORE}</p><div class=footer>foot</div></form>",
+        f"<form action=x><article>{TITLED}<p>{LONG}</p><p>{MORE}</p></article><footer>Some words of it</footer></form>",
+        f"<div class='site menu-open'>{TITLED}<p>{LONG}</p><p>{MORE}</p></div>",
+        f"<div class='social science'>{TITLED}<p>{LONG}</p><p>{MORE}</p></div>",
+        f"<nav><a>Home</a></nav><article class='promo story'>{TITLED}<p>{LONG}</p><p>{MORE}</p></article>",
+        f"<article>{TITLED}<article><p>{LONG}</p><p>{MORE}</p></article></article>",
+        f"<div class='reply-page'>{TITLED}<p>{LONG}</p><p>{MORE}</p></div>",
+        # comments and the site's name under names in another language, or none
+        f"<div class=kopfzeile>Seitenname</div>{TITLED}<p>{LONG}</p><p>{MORE}</p><div class=kommentare><h3>Zwei Kommentare</h3><div><a>Anna</a></div><p>Das war ein guter Text finde ich sehr</p>"
+        "<div><a>Antworten</a></div><div><a>Bert</a></div><p>Ich finde das nicht so gut wie den anderen Text von gestern</p><div><a>Antworten</a></div></div>",
+        f"{TITLED}<p>{LONG}</p><p>{MORE}</p><h3>Two answers</h3><div><a>Ann</a></div><div>That was a good text I think</div><div><a>Bob</a></div><div>It was not as good as the other one of yesterday</div><div><a>Reply</a></div>",
+    ],
+)
+def test_pages_that_a_name_or_a_form_surrounds(page):
+    assert html_text.main_text(page) == WHOLE
+
+
+def test_what_only_a_part_of_the_page_is_in_stays_furniture():
+    for tag in ("<form>", "<div class=sidebar>", "<div class='user comments'>"):
+        assert html_text.main_text(f"{TITLED}<p>{LONG}</p><p>{MORE}</p>{tag}<p>{MORE}</p></div></form>") == WHOLE
+    # a long thread of comments is more than the article, but the heading isn't in it
+    assert html_text.main_text(f"{TITLED}<p>{MORE}</p><section class=comments><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></section>") == f"Title one two {MORE}".strip()
+    assert html_text.main_text(f"<article>{TITLED}<p>{MORE}</p></article><div class=related><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>") == f"Title one two {MORE}".strip()
+
+
+def test_short_paragraphs_keep_their_heading():
+    page = "<div><a>Home</a> <a>News</a></div><h1>A title of words</h1><p>short para one of some words here</p><p>another short para of words</p><p>a third one that is also short</p>"
+    assert html_text.main_text(page) == "A title of words short para one of some words here another short para of words a third one that is also short"
+
+
+def test_query_by_brute_force(spark):
+    """The query's texts, from the blocks by plain loops: neighbours by index, the tree walked block by block."""
+    got = {r["page_id"]: r for r in QUERIES["op4_html_text"](spark, SF).collect()}
+    for row in texts(f"{SF}/pages.parquet", "page_id", "html"):
+        found = html_text.blocks(row["html"] or "")
+        article, kept = any(b.zone in (html_text.MAIN, html_text.NESTED) for b in found), []
+        for i, b in enumerate(found):
+            around = [found[j] if 0 <= j < len(found) else None for j in (i, i - 1, i + 1)]
+            values = [v for n in around for v in ((n.words, n.linked / n.words) if n else (0, 0))] + [b.zone, b.heading, b.paragraph, b.named, article]
+            node = html_text.tree()
+            while isinstance(node, tuple):
+                f, cut, left, right = node
+                node = left if values[f] <= cut else right
+            if node >= 0.5:
+                kept.append(b.text)
+        text = " ".join(kept)
+        assert (got[row["page_id"]]["text"], got[row["page_id"]]["n_chars"]) == (text, len(text))
+    assert len(got) == len(texts(f"{SF}/pages.parquet", "page_id"))
+
+
+def test_frames_against_sums_over_all_blocks():
+    """What the marks add up to, from each block's own chain of marks."""
+    import random
+
+    draw, seen = random.Random(4), []
+    original = html_text._places
+    html_text._places = lambda marks, prose, headed: seen.append(([(m.outer, m.prose, m.mains, m.heads) for m in marks], prose)) or original(marks, prose, headed)
+    try:
+        for _ in range(60):
+            opens = ["<div class=menu>", "<form>", "<article>", "<section class=comments>", "<div>"]
+            page = "".join(draw.choice([draw.choice(opens), f"<p>{'w ' * draw.randint(1, 9)}</p>", "<h2>head</h2>", "<p><a>x y</a></p>", draw.choice(["</div>", "</form>", "</article>", "</section>"])]) for _ in range(40))
+            found = html_text.blocks(page)
+            marks, prose = seen[-1]
+            assert prose == sum(b.words for b in found if not b.heading and 2 * b.linked < b.words)
+            children = {i: sum(p for o, p, _, _ in marks if o == i) for i in range(len(marks))}
+            assert all(p >= children[i] for i, (_, p, _, _) in enumerate(marks)) and sum(p for o, p, _, _ in marks if o < 0) <= prose
+            assert sum(h for o, _, _, h in marks if o < 0) <= 1
+    finally:
+        html_text._places = original
