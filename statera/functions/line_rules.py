@@ -1,16 +1,18 @@
 """What a pay line is: manual name, code, first of the ordered rules, nearest concept, company cost, empty, side.
 
-The tables are small and stand in the expression, so a line is classified in one projection without a shuffle.
+The tables of codes and rules are small and stand in the expression, so these arms are one projection without a shuffle.
+What they leave open is held against the concepts by way of its distinct words.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statera.functions import text
+from statera.sources import places
 
 #: Name and category by code.
 CODES = {
@@ -174,28 +176,38 @@ def by_rule(description: Column, spelled: Column) -> Column:
     return _first_of([(description.rlike(java(pattern)) | spelled.rlike(java(pattern)), i) for i, (_, _, pattern) in enumerate(LINE_RULES)])
 
 
-def concept_table(spark: SparkSession) -> Column:
-    """The concepts' aliases with their tokens and trigrams as an array literal; the fixed table is some fifty rows."""
+def concept_table(spark: SparkSession) -> DataFrame:
+    """(alias, i, name, tokens, grams) of every alias of the concepts; the fixed table is some fifty rows."""
     rows = [(i, name, alias) for i, (name, aliases) in enumerate(CONCEPTS) for alias in aliases]
-    shaped = spark.createDataFrame(rows, "i int, name string, alias string").select("i", "name", text.semantic_tokens(F.col("alias")).alias("tokens"), text.trigrams(F.col("alias")).alias("grams"))
-    strings = lambda xs: F.array(*map(F.lit, xs))
-    return F.array(*(F.struct(F.lit(r["i"]).alias("i"), F.lit(r["name"]).alias("name"), strings(r["tokens"]).alias("tokens"), strings(r["grams"]).alias("grams")) for r in shaped.collect()))
+    said = F.col("alias")
+    return spark.createDataFrame(rows, "i int, name string, alias string").select("alias", "i", "name", text.semantic_tokens(said).alias("tokens"), text.trigrams(said).alias("grams"))
 
 
-def nearest_concept(tokens: Column, grams: Column, concepts: Column) -> Column:
-    """struct(score, name) of the concept most like a description; of equal ones the first in the table."""
-    scored = F.transform(concepts, lambda c: F.struct(text.similarity(tokens, c["tokens"], grams, c["grams"]).alias("score"), (-c["i"]).alias("place"), c["name"].alias("name")))
-    best = F.array_max(scored)
-    return F.struct(best["score"].alias("score"), best["name"].alias("name"))
+def nearest_concepts(descriptions: DataFrame, concepts: DataFrame) -> DataFrame:
+    """(description, concept): of distinct descriptions the concept that is like enough, in the table's order if several are.
 
-
-def concept_of(description: Column, tokens: Column, best: Column) -> Column:
-    """The concept's name where the likeness is enough: more is asked of a single word."""
-    enough = F.when(F.size(tokens) >= 2, ENOUGH).otherwise(ENOUGH_OF_ONE_WORD)
-    return F.when((F.length(text.semantic_text(description)) >= LEAST_LETTERS) & (best["score"] >= enough), best["name"])
-
-
-def classified(rows, concepts: Column):
+    Each distinct word is held against the aliases once, however many descriptions and however long ones have it, and
+    only words that are like one are joined back. A description without such a word is like none: likeness of
+    spelling alone weighs less than what is asked.
+    """
+    said = F.col("description")
+    rows = descriptions.select("description", text.semantic_tokens(said).alias("ta"), text.trigrams(said).alias("ga"), F.length(text.semantic_text(said)).alias("letters")).filter(F.size("ta") > 0)
+    rows = places.written(rows, "lines-descriptions")
+    words = rows.select(F.explode("ta").alias("word")).distinct()
+    aliases = [(r["alias"], r["tokens"]) for r in concepts.select("alias", "tokens").collect()]
+    known = F.array(*(F.struct(F.lit(a).alias("alias"), F.array(*map(F.lit, ts)).alias("tokens")) for a, ts in aliases))
+    scored = F.transform(known, lambda c: F.struct(c["alias"].alias("alias"), text.word_score(F.col("word"), c["tokens"]).cast("decimal(4,2)").alias("s")))
+    like = places.written(words.select("word", F.explode(F.filter(scored, lambda x: x["s"] > 0)).alias("x")).select("word", "x.alias", "x.s"), "lines-words")
+    sums = rows.select("description", F.explode("ta").alias("word")).join(like, "word").groupBy("description", "alias").agg(F.sum("s").cast("double").alias("total"))
+    pairs = sums.join(rows, "description").join(F.broadcast(concepts), "alias")  # a fixed table
+    share = F.col("total") / F.greatest(F.size("ta"), F.size("tokens"))
+    score = share * 0.58 + text.dice(F.col("ga"), F.col("grams")) * 0.42
+    enough = F.when(F.size("ta") >= 2, ENOUGH).otherwise(ENOUGH_OF_ONE_WORD)
+    near = pairs.withColumn("score", score).filter((F.col("score") >= enough) & (F.col("letters") >= LEAST_LETTERS))
+    return near.groupBy("description").agg(F.max_by("name", F.struct("score", -F.col("i"))).alias("concept"))
+
+
+def classified(rows: DataFrame, concepts: DataFrame) -> DataFrame:
     """``rows`` (code, description, own_name, own_category, credit, deduction, company, base, quantity) with a struct ``line``.
 
     Arms in order: what a reader set by hand, the code, the rules, the nearest concept, the company's cost, no
@@ -214,9 +226,10 @@ def classified(rows, concepts: Column):
     ruled = _numbered([(name, category) for name, category, _ in LINE_RULES], F.col("_r"), "rule")
     rows = rows.withColumn("_rule", F.coalesce(F.when(manual, F.struct(F.lit("manual").alias("arm"), own_name.alias("name"), own_category.alias("category"))), coded, ruled))
     open_ = F.col("_rule").isNull() & (F.col("_d") != "")
-    rows = rows.withColumns({"_t": F.when(open_, text.semantic_tokens(F.col("_d"))), "_g": F.when(open_, text.trigrams(F.col("_d")))})
-    rows = rows.withColumn("_best", F.when(open_, nearest_concept(F.col("_t"), F.col("_g"), concepts)))
-    rows = rows.withColumn("_concept", F.when(open_, concept_of(F.col("_d"), F.col("_t"), F.col("_best"))))
+    rows = places.written(rows.withColumn("_open", open_), "lines-ruled")  # once: descriptions, and the rows themselves
+    told = nearest_concepts(rows.filter("_open").select(F.col("_d").alias("description")).distinct(), concepts)
+    found = rows.filter("_open").join(told.select(F.col("description").alias("_d"), F.col("concept").alias("_concept")), "_d", "left")
+    rows = found.unionByName(rows.filter(~F.col("_open")).withColumn("_concept", F.lit(None).cast("string")))
     categories = {name: category for name, category, _ in reversed(LINE_RULES)}
     known = F.when(F.col("_concept").isin([c for c, _ in CONCEPTS if categories.get(c) == "competenza"]), "competenza").when(F.col("_concept").isin([c for c, _ in CONCEPTS if categories.get(c) == "trattenuta"]), "trattenuta").otherwise("dato")
     concept = F.when(F.col("_concept").isNotNull(), F.struct(F.lit("concept").alias("arm"), F.col("_concept").alias("name"), F.when(known == "dato", side("dato")).otherwise(known).alias("category")))
@@ -230,4 +243,4 @@ def classified(rows, concepts: Column):
         )
         .otherwise(_found(PLAIN_DATUM, "dato", "datum"))
     )
-    return rows.withColumn("line", F.coalesce("_rule", concept, last)).drop("_d", "_code", "_e", "_c", "_r", "_rule", "_t", "_g", "_best", "_concept")
+    return rows.withColumn("line", F.coalesce("_rule", concept, last)).drop("_d", "_code", "_e", "_c", "_r", "_rule", "_open", "_concept")

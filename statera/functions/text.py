@@ -58,7 +58,7 @@ def semantic_tokens(text: Column) -> Column:
 def trigrams(text: Column) -> Column:
     """Distinct trigrams of the semantic text between two spaces on either side."""
     s = F.concat(F.lit("  "), semantic_text(text), F.lit("  "))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - 2), lambda i: F.substring(s, i, F.lit(3))))
+    return F.array_distinct(F.regexp_extract_all(s, F.lit("(?=(.{3}))"), F.lit(1)))
 
 
 def dice(a: Column, b: Column) -> Column:
@@ -66,15 +66,16 @@ def dice(a: Column, b: Column) -> Column:
     return 2 * F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.size(a) + F.size(b))
 
 
-def token_score(a: Column, b: Column) -> Column:
-    """Share of a's tokens found in b: equal 1, common beginning .72, near spelling .78 or .52."""
+def word_score(t: Column, b: Column) -> Column:
+    """How well a token is found among others: equal 1, common beginning .72, near spelling .78 or .52."""
+    near = F.array_min(F.transform(b, lambda u: F.levenshtein(t, u) / F.greatest(F.length(t), F.length(u))))
+    begins = F.exists(b, lambda u: (F.length(t) >= 5) & (F.length(u) >= 5) & (F.startswith(t, F.substring(u, 1, 5)) | F.startswith(u, F.substring(t, 1, 5))))
+    return F.when(F.array_contains(b, t), 1.0).when(begins, 0.72).when(near <= 0.22, 0.78).when(near <= 0.34, 0.52).otherwise(0.0)
 
-    def one(t: Column) -> Column:
-        near = F.array_min(F.transform(b, lambda u: F.levenshtein(t, u) / F.greatest(F.length(t), F.length(u))))
-        begins = F.exists(b, lambda u: (F.length(t) >= 5) & (F.length(u) >= 5) & (F.startswith(t, F.substring(u, 1, 5)) | F.startswith(u, F.substring(t, 1, 5))))
-        return F.when(F.array_contains(b, t), 1.0).when(begins, 0.72).when(near <= 0.22, 0.78).when(near <= 0.34, 0.52).otherwise(0.0)
 
-    total = F.aggregate(F.transform(a, one), F.lit(0.0), lambda x, y: x + y)
+def token_score(a: Column, b: Column) -> Column:
+    """Share of a's tokens found in b."""
+    total = F.aggregate(F.transform(a, lambda t: word_score(t, b)), F.lit(0.0), lambda x, y: x + y)
     return F.when((F.size(a) > 0) & (F.size(b) > 0), total / F.greatest(F.size(a), F.size(b))).otherwise(0.0)
 
 

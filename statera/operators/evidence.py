@@ -27,7 +27,9 @@ ROWS_ABOVE, ROWS_BELOW, HIGHEST = 2, 6, 96.0
 SHORT_WORDS, LETTERS = r"(?i)^(?:\d{1,2}|%|€|GG|gg\.?|h|N\.?)$", "[0-9A-Za-zÀ-ù]"
 READ_NUMBER, READ_CODE = r"^\(?-?\d{1,3}(?:\.\d{3})*(?:,\d+)?\)?%?€?$", r"(?i)^(?=.{1,12}$)(?=.*\d)[A-Z0-9][A-Z0-9./_-]*$"
 LEAST_CONFIDENCE, LEAST_GAP, GAP_OF_HEIGHT = 30.0, 14.0, 0.9
-SAME_PLACE, SAME_LINE, PLACE_BIN = 0.25, 0.58, 64.0
+SAME_PLACE, SAME_LINE = 0.25, 0.58
+#: A tile of the grid on which boxes meet: some words wide, a line high.
+TILE_WIDTH, TILE_HEIGHT = 64.0, 16.0
 SPECIALIST_LEAST, SPECIALIST_ADDS, SPECIALIST_OVERLAP, SPECIALIST_LONGEST = 55.0, 68.0, 0.32, 80
 BETTER_BY = 0.12
 #: Labels of checks.
@@ -110,12 +112,17 @@ def _boxed(side: str) -> dict[str, Column]:
 
 
 def _met(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Pairs of words of two readings whose centres are less than a bin apart, as (a.*, b.*, overlap)."""
-    cell = lambda c: F.floor(c / PLACE_BIN)
-    near = F.explode(F.array(*(F.lit(i) for i in (-1, 0, 1))))
-    a = first.withColumn("dx", near).withColumn("dy", near).withColumns({"bx": cell(centre()) + F.col("dx"), "by": cell(F.col("y") + F.col("h") / 2) + F.col("dy")}).alias("a")
-    b = second.withColumns({"bx": cell(centre()), "by": cell(F.col("y") + F.col("h") / 2)}).alias("b")
-    joined = a.join(b, [F.col("a.doc_id") == F.col("b.doc_id"), F.col("a.bx") == F.col("b.bx"), F.col("a.by") == F.col("b.by")])
+    """Pairs of words of two readings whose boxes overlap, as (a.*, b.*, overlap).
+
+    A word lies in every tile of a grid that its box touches, a few as a rule, and a pair is found in the one tile that
+    holds the corner where the overlap begins, so it is found once, however large the boxes are.
+    """
+    tile = lambda c, size: F.floor(c / size)
+    spread = lambda c, more, size: F.explode(F.sequence(tile(c, size), tile(c + F.greatest(more, F.lit(0.0)), size)))
+    laid = lambda rows: rows.withColumn("tx", spread(F.col("x"), F.col("w"), TILE_WIDTH)).withColumn("ty", spread(F.col("y"), F.col("h"), TILE_HEIGHT))
+    a, b = laid(first).alias("a"), laid(second).alias("b")
+    corner = (tile(F.greatest("a.x", "b.x"), TILE_WIDTH) == F.col("a.tx")) & (tile(F.greatest("a.y", "b.y"), TILE_HEIGHT) == F.col("a.ty"))
+    joined = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("doc_id", "tx", "ty")]).filter(corner)
     return joined.withColumn("overlap", overlap_ratio(_boxed("a"), _boxed("b")))
 
 
@@ -137,7 +144,7 @@ def merged_passes(first: DataFrame, second: DataFrame) -> DataFrame:
     """(doc_id, seq, str, confidence, origin) of two passes of one reader: at one place the surer word stays, other words are added.
 
     A word's place is that of the first word of the other pass whose centre is within its height, and of which they
-    share a quarter of the smaller box. Heights are taken to be less than a bin.
+    share a quarter of the smaller box.
     """
     tolerance = F.greatest(F.lit(8.0), F.col("b.h"))
     near = (F.abs(F.col("a.x") + F.col("a.w") / 2 - F.col("b.x") - F.col("b.w") / 2) <= tolerance) & (F.abs(F.col("a.y") + F.col("a.h") / 2 - F.col("b.y") - F.col("b.h") / 2) <= tolerance)

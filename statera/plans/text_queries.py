@@ -91,7 +91,7 @@ def _lines(t):
     name, alias, way = F.lower(pick(_NAMES, d * 7 + n)), pick(_ALIASES, d * 5 + n), (d + n) % 8
     cut = (d % 4 + 3).cast("int")
     misspelt = F.concat(F.substring(alias, F.lit(1), cut), F.substring(alias, cut + 2, F.lit(60)))
-    said = F.when(way == 0, F.substring("line", 1, 60)).when(way <= 4, F.concat(name, F.lit(" "), F.substring("line", 1, 12))).when(way == 5, misspelt).when(way == 6, "").otherwise(name)
+    said = F.when(way == 0, F.col("line")).when(way <= 4, F.concat(name, F.lit(" "), F.col("line"))).when(way == 5, misspelt).when(way == 6, "").otherwise(name)
     amount = lambda when, value: F.when(when, F.lit(value))
     return rows.select(
         "doc_id", "line_no", said.alias("description"), F.when((d * 3 + n) % 29 == 0, F.lower(pick(_CODES, d))).when(n % 2 == 0, F.concat(F.lit("x"), (n % 10).cast("string"))).alias("code"),
@@ -108,8 +108,8 @@ def _picked(values, at: str) -> str:
 
 
 _ROWS = f"""{_SPLIT}, m AS (SELECT *, lower({_picked(_NAMES, 'doc_id * 7 + line_no')}) AS name, {_picked(_ALIASES, 'doc_id * 5 + line_no')} AS alias, (doc_id + line_no) % 8 AS way, CAST(doc_id % 4 + 3 AS INTEGER) AS cut FROM l),
-    r AS (SELECT doc_id, line_no, trim(CASE WHEN way = 0 THEN substring(line, 1, 60) WHEN way <= 4 THEN name || ' ' || substring(line, 1, 12) WHEN way = 5 THEN substring(alias, 1, cut) || substring(alias, cut + 2, 60) WHEN way = 6 THEN '' ELSE name END) AS d,
-          CASE WHEN way = 0 THEN substring(line, 1, 60) WHEN way <= 4 THEN name || ' ' || substring(line, 1, 12) WHEN way = 5 THEN substring(alias, 1, cut) || substring(alias, cut + 2, 60) WHEN way = 6 THEN '' ELSE name END AS raw,
+    r AS (SELECT doc_id, line_no, trim(CASE WHEN way = 0 THEN line WHEN way <= 4 THEN name || ' ' || line WHEN way = 5 THEN substring(alias, 1, cut) || substring(alias, cut + 2, 60) WHEN way = 6 THEN '' ELSE name END) AS d,
+          CASE WHEN way = 0 THEN line WHEN way <= 4 THEN name || ' ' || line WHEN way = 5 THEN substring(alias, 1, cut) || substring(alias, cut + 2, 60) WHEN way = 6 THEN '' ELSE name END AS raw,
           CASE WHEN (doc_id * 3 + line_no) % 29 = 0 THEN {_picked(_CODES, 'doc_id')} WHEN line_no % 2 = 0 THEN 'X' || (line_no % 10) ELSE '' END AS code,
           (doc_id + 2 * line_no) % 31 = 0 AS own, (doc_id + 2 * line_no) % 62 = 0 AS taken, line_no % 3 = 0 AS deduction, line_no % 3 = 1 AS credit, (doc_id + line_no) % 13 = 0 AS company, line_no % 2 = 0 AND line_no % 4 = 0 AS counted FROM m)"""
 _SPELLED = "d"

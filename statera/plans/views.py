@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,29 +64,35 @@ STATEMENTS = (
 )
 
 
-def running_sums(sizes: Column, block: int = 256) -> Column:
-    """The sum of all elements before each, for a non-empty array of integers."""
-    add = lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n))
-    last = F.floor((F.size(sizes) - 1) / block).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), last), lambda i: F.aggregate(F.slice(sizes, i * block + 1, block), F.array(F.lit(0)), add))
-    none = F.struct(F.lit(0).alias("ahead"), F.array().cast("array<array<int>>").alias("out"))
-
-    def put(state: Column, sums: Column) -> Column:
-        shifted = F.transform(F.slice(sums, F.lit(1), F.size(sums) - 1), lambda v: v + state["ahead"])
-        return F.struct((state["ahead"] + F.element_at(sums, -1)).alias("ahead"), F.concat(state["out"], F.array(shifted)).alias("out"))
-
-    return F.aggregate(blocks, none, put, lambda state: F.flatten(state["out"]))
+def _laid_out(batches: Iterator[Any]) -> Iterator[Any]:
+    """(doc_id, text) to words with their places; offsets are summed line by line, and nothing is moved for it."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        pages = []
+        for i, text in enumerate(batch.column("text").to_pylist()):
+            if text is None:
+                continue
+            lines = [line.split(" ") for line in text.split("\n")]
+            counts = np.fromiter(map(len, lines), np.int64, len(lines))
+            words = [w for line in lines for w in line]
+            sizes = np.fromiter(map(len, words), np.int64, len(words))
+            line_no, first = np.repeat(np.arange(len(lines)), counts), np.cumsum(counts) - counts
+            ends = np.cumsum(sizes + 1)
+            ahead = ends - (sizes + 1) - np.repeat((ends - (sizes + 1))[first], counts)
+            kept = np.flatnonzero(sizes)
+            columns = [
+                batch.column("doc_id").take(pa.array(np.full(len(kept), i))), pa.array(line_no[kept], pa.int32()), pa.array((np.arange(len(words)) - np.repeat(first, counts))[kept], pa.int32()),
+                pa.array(words, pa.string()).take(pa.array(kept)), pa.array(4.5 * ahead[kept]), pa.array(800.0 - 12 * line_no[kept]), pa.array(np.maximum(8.0, 4.5 * sizes[kept])), pa.array(np.full(len(kept), 10.0)),
+            ]
+            pages.append(pa.RecordBatch.from_arrays(columns, names=["doc_id", "line_no", "seq", "str", "x", "y", "w", "h"]))
+        yield from pa.Table.from_batches(pages).combine_chunks().to_batches() if pages else []
 
 
 def tokens(t: Tables) -> DataFrame:
     """Words of the documents laid out on a page: x from the place in the line, y from the line's number."""
-    rows = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    split = rows.select("doc_id", "line_no", F.split("line", " ").alias("str")).withColumn("size", F.transform("str", lambda s: F.length(s) + 1))
-    # offsets are summed inside the line's array, so that laying out a page moves nothing; in blocks, so that long lines take their time
-    ahead = running_sums(F.col("size")).alias("ahead")
-    words = split.select("doc_id", "line_no", F.posexplode(F.arrays_zip("str", ahead)).alias("seq", "word")).filter("word.str <> ''")
-    placed = words.select("doc_id", "line_no", "seq", "word.str", (4.5 * F.col("word.ahead")).alias("x"), (800.0 - 12 * F.col("line_no")).alias("y"))
-    return placed.withColumn("w", F.greatest(F.lit(8.0), 4.5 * F.length("str"))).withColumn("h", F.lit(10.0))
+    return t.documents.select("doc_id", "text").mapInArrow(_laid_out, "doc_id long, line_no int, seq int, str string, x double, y double, w double, h double")
 
 
 TOKENS = """split_lines AS (
