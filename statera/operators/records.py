@@ -13,7 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statera.functions import numbers, text
+from statera.functions import numbers, rules, text
+from statera.operators.labels import spans as label_spans
 from statera.operators.layout import centre
 
 #: Labels on folded text (upper case, without marks), in the order in which they are tried.
@@ -70,6 +71,13 @@ IDENTITY = [
     ("name", 0, r"COGNOME\s+E\s+NOME", 180.0, r"CODICE|FISCALE"), ("name", 1, r"^DIPENDENTE$", 180.0, r"CODICE|FISCALE"), ("name", 2, r"NOMINATIVO", 180.0, r"CODICE|FISCALE"), ("name", 3, r"^LAVORATORE$", 180.0, r"CODICE|FISCALE"),
     ("contract", 0, r"CODICE\s*CNEL", 85.0, None), ("hired", 0, r"(?:DATA\s+)?ASSUNZIONE", 85.0, None), ("level", 0, r"^LIVELLO$", 85.0, None), ("qualification", 0, r"QUALIFICA", 85.0, None),
 ]
+#: The words of those labels where they stand in several cells: rule above, words, whether they must be all that the cells hold.
+IDENTITY_WORDS = [
+    (0, "RAGIONE SOCIALE", False), (2, "DATORE DI LAVORO", False), (3, "COGNOME E NOME", False), (7, "CODICE CNEL", False), (8, "DATA ASSUNZIONE", False),
+]
+#: One vendor's layout: where the company and the person stand, and the line of labels below the person.
+VENDOR, VENDOR_COMPANY_X, VENDOR_NAME_X, VENDOR_LABELS, VENDOR_NO_NAME, VENDOR_DX = "Jet HR", 220.0, 330.0, r"COD\.?\s*DIP.*LIVELLO", "RIFERIMENTI|BANCA", 65.0
+LETTER, TWO_LETTERS = "[A-Za-zÀ-ù]", "[A-Za-zÀ-ù]{2}"
 QUALIFICATIONS = r"(?<![A-Z0-9_])(IMPIEGAT[OA]|OPERAI[OA]?|QUADRO|DIRIGENTE|APPRENDISTA|SOCI[OA]|COADIUVANTE|DOMESTIC[OA])(?![A-Z0-9_])"
 LEVEL_BEFORE, LEVEL_AFTER = r"(?<![A-Z0-9_])([A-Z]?\d[A-Z0-9.-]{0,7})\s*(?:['°ª^]\s*)?LIVELLO(?![A-Z0-9_])", r"(?<![A-Z0-9_])(?:LIVELLO|INQUADRAMENTO)[ \t]*[:.-]?[ \t]*([A-Z]?\d[A-Z0-9.-]{0,7})(?![A-Z0-9_])"
 DAY = r"(?<![A-Z0-9_])\d{1,2}[/-]\d{1,2}[/-]\d{2,4}(?![A-Z0-9_])"
@@ -272,16 +280,47 @@ def _clean(field: str, value: Column) -> Column:
     return F.when(value.rlike("[A-Za-zÀ-ù]{2}"), F.trim(value)) if field == "name" else F.trim(value)
 
 
+def _vendor(page: DataFrame, lines: DataFrame) -> DataFrame:
+    """(doc_id, v_company, v_name, v_level, v_qualification) of pages in one vendor's layout.
+
+    The company is the first cell at the left of the first line; the person stands in the line above the labels.
+    """
+    whole = Window.partitionBy("doc_id")
+    told = lines.withColumn("at", F.row_number().over(whole.orderBy("line_no"))).withColumn("before", F.lag("cells").over(whole.orderBy("line_no")))
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "said")).over(whole)), lambda x: x["said"]), " ")
+    mine = told.withColumn("software", rules.software(texts)).filter(F.col("software") == VENDOR)
+    labels = mine.withColumn("labels", F.min(F.when(F.col("said").rlike(VENDOR_LABELS), F.col("at"))).over(whole))
+    company = F.trim(_first(F.col("cells"), lambda c: (c["x"] < VENDOR_COMPANY_X) & c["str"].rlike(LETTER))["str"])
+    named = F.trim(F.array_join(F.transform(F.filter("before", lambda c: (c["x"] < VENDOR_NAME_X) & c["str"].rlike(TWO_LETTERS)), lambda c: c["str"]), " "))
+    name = F.when((named != "") & ~F.upper(named).rlike(VENDOR_NO_NAME), named)
+    heads = labels.groupBy("doc_id").agg(F.max(F.when(F.col("at") == 1, company)).alias("v_company"), F.max(F.when(F.col("at") == F.col("labels"), name)).alias("v_name"))
+    row = labels.filter("at = labels").select("doc_id", "line_no", F.explode("cells").alias("cell"))
+    of = lambda word: F.col("cell.said").contains(word)
+    heading = row.filter(of("LIVELLO") | of("QUALIFICA")).select("doc_id", "line_no", F.col("cell.seq").alias("seq"), F.col("cell.x").alias("x"), F.col("cell.c").alias("c"), F.when(of("LIVELLO"), "level").otherwise("qualification").alias("key"))
+    first = Window.partitionBy("doc_id", "key").orderBy("x", "seq")
+    heading = heading.withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n")
+    met = _below(heading, page, 2).filter(F.col("dx") < VENDOR_DX)
+    near = met.groupBy("doc_id", "key").agg(F.trim(F.min_by("v_str", F.struct("below", "dx", "v_x", "v_seq"))).alias("v"))
+    level = F.try_element_at(F.regexp_extract_all("v", F.lit("[A-Za-z0-9][A-Za-z0-9.-]{0,7}"), F.lit(0)), F.lit(-1))
+    read = near.groupBy("doc_id").agg(F.max(F.when(F.col("key") == "level", level)).alias("v_level"), F.max(F.when(F.col("key") == "qualification", F.col("v"))).alias("v_qualification"))
+    return heads.join(read, "doc_id", "left")
+
+
 def identity(cells: DataFrame) -> DataFrame:
     """(doc_id, tax_code, vat, company, name, contract, hired, level, qualification) of every document with cells.
 
-    A field is the cell nearest to its label in the next line, or the one after, that has one near. Level,
+    A field is the cell nearest to its label in the next line, or the one after, that has one near; a label may stand in
+    one cell or its words in several. One vendor's pages have places of their own for some fields. Level,
     qualification and contract code are else sought in the document's text; the last tax code and the first
     number of eleven digits are the employee's and the company's.
     """
     page = prepared(cells)
     fields = ["company", "name", "contract", "hired", "level", "qualification"]
+    lines = lines_of(page)
     labels = _labelled(page, [(f, label) for f, _, label, _, _ in IDENTITY])
+    keys = F.array(*(F.lit(f) for f, *_ in IDENTITY))
+    split = label_spans(lines, IDENTITY_WORDS).filter("n > 1")
+    labels = labels.unionByName(split.select("doc_id", "line_no", "seq", "x", "c", "rule", F.get(keys, F.col("rule")).alias("key")))
     limits = F.array(*(F.struct(F.lit(rank).alias("rank"), F.lit(dx).alias("within"), F.lit(bad).cast("string").alias("bad")) for _, rank, _, dx, bad in IDENTITY))
     met = _below(labels.withColumn("r", F.get(limits, F.col("rule"))), page, 2).filter(F.col("dx") < F.col("r.within"))
     near = met.groupBy("doc_id", "key", "line_no", "seq", "r").agg(F.min_by("v_str", F.struct("below", "dx", "v_x", "v_seq")).alias("v"))
@@ -289,14 +328,14 @@ def identity(cells: DataFrame) -> DataFrame:
     bad = F.col("r.bad").isNotNull() & F.regexp_like(F.upper("v"), F.coalesce("r.bad", F.lit("^$")))
     good = near.withColumn("value", F.when(~bad, value)).filter("value is not null")
     found = good.groupBy("doc_id").agg(*(F.min_by(F.when(F.col("key") == f, F.col("value")), F.when(F.col("key") == f, F.struct("r.rank", "line_no", "seq"))).alias(f) for f in fields))
-    whole = lines_of(page).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "said"))), lambda x: x["said"]), "\n").alias("t"))
+    whole = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "said"))), lambda x: x["said"]), "\n").alias("t"))
     sought = whole.select(
         "doc_id", F.try_element_at(text.tax_codes(F.col("t")), F.lit(-1)).alias("tax_code"), F.nullif(F.regexp_extract("t", r"(?<![A-Z0-9_])\d{11}(?![A-Z0-9_])", 0), F.lit("")).alias("vat"),
         F.nullif(F.regexp_extract("t", LEVEL_BEFORE, 1), F.lit("")).alias("level_before"), F.nullif(F.regexp_extract("t", LEVEL_AFTER, 1), F.lit("")).alias("level_after"),
         F.nullif(F.regexp_extract("t", QUALIFICATIONS, 1), F.lit("")).alias("said_qualification"), text.extract_code(F.col("t")).alias("said_contract"),
     )
-    rows = sought.join(found, "doc_id", "left")
+    rows = sought.join(found, "doc_id", "left").join(_vendor(page, lines), "doc_id", "left")
     return rows.select(
-        "doc_id", "tax_code", "vat", "company", "name", F.coalesce("contract", "said_contract").alias("contract"), "hired",
-        F.coalesce("level_before", "level", "level_after").alias("level"), F.coalesce("qualification", "said_qualification").alias("qualification"),
+        "doc_id", "tax_code", "vat", F.coalesce("v_company", "company").alias("company"), F.coalesce("v_name", "name").alias("name"), F.coalesce("contract", "said_contract").alias("contract"), "hired",
+        F.coalesce("level_before", "v_level", "level", "level_after").alias("level"), F.coalesce("v_qualification", "qualification", "said_qualification").alias("qualification"),
     )

@@ -132,3 +132,31 @@ def q_hours(t):
 )
 def q_identity(t):
     return records.identity(sheets(t))
+
+
+def forms(t: Tables) -> DataFrame:
+    """Heads of pages: labels whose words stand in several cells, and one vendor's layout."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    said = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    split, vendor, nameless = k % 2 == 0, k % 2 == 1, k % 5 == 0
+    cells = [
+        _cell(1, 0, "LIBRO UNICO DEL LAVORO", 10, 120, split), _cell(2, 0, "Ragione", 10, 40, split & (k % 6 != 0)), _cell(2, 1, "sociale", 54, 40, split & (k % 6 != 0)), _cell(2, 0, "DATORE", 10, 36, split & (k % 6 == 0)),
+        _cell(2, 1, "DI LAVORO", 50, 50, split & (k % 6 == 0)), _cell(2, 2, "COGNOME E", 200, 50, split), _cell(2, 3, "NOME", 254, 30, split), _cell(2, 4, "DATA", 330, 25, split), _cell(2, 5, "ASSUNZIONE", 360, 60, split),
+        _cell(2, 6, "QUALIFICA", 480, 60, split),
+        _cell(3, 0, said("7 Ditta N", c), 20, 70, split), _cell(3, 1, said("Persona N", c), 205, 90, split), _cell(3, 2, F.date_format("o_orderdate", "dd/MM/yyyy"), 340, 70, split),
+        _cell(1, 0, "2025", 5, 20, vendor), _cell(1, 1, said("Impresa N", c), 30, 80, vendor), _cell(3, 0, "Persona", 10, 50, vendor), _cell(3, 1, said("Cognome", c), 70, 60, vendor), _cell(3, 2, "Altro", 400, 60, vendor),
+        _cell(3, 3, "RIFERIMENTI", 200, 60, vendor & nameless), _cell(5, 0, "COD. DIP.", 10, 50, vendor), _cell(5, 1, "LIVELLO", 120, 40, vendor), _cell(5, 2, "QUALIFICA", 230, 60, vendor),
+        _cell(6, 0, said("gruppo ", k % 7 + 1, "S"), 118, 50, vendor), _cell(7, 0, "IMPIEGATO", 235, 60, vendor), _cell(9, 0, "mese di retribuzione", 10, 90, vendor), _cell(10, 0, "ti rimangono", 10, 60, vendor),
+    ]
+    heads = t.orders.select(k.alias("doc_id"), F.inline(F.filter(F.array(*cells), lambda x: x.isNotNull())))
+    return heads.withColumn("y", 800.0 - 12 * F.col("line_no"))
+
+
+@query(
+    "q_identity_spans",
+    """SELECT o_orderkey AS doc_id, CAST(NULL AS VARCHAR) AS tax_code, CAST(NULL AS VARCHAR) AS vat, CASE WHEN o_orderkey % 2 = 0 THEN 'Ditta N' ELSE 'Impresa N' END || o_custkey AS company,
+        CASE WHEN o_orderkey % 2 = 0 THEN 'Persona N' || o_custkey WHEN o_orderkey % 5 <> 0 THEN 'Persona Cognome' || o_custkey END AS name, CAST(NULL AS VARCHAR) AS contract,
+        CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%d/%m/%Y') END AS hired, CASE WHEN o_orderkey % 2 = 1 THEN (o_orderkey % 7 + 1) || 'S' END AS level, CASE WHEN o_orderkey % 2 = 1 THEN 'IMPIEGATO' END AS qualification FROM orders""",
+)
+def q_identity_spans(t):
+    return records.identity(forms(t))
