@@ -163,7 +163,7 @@ def written_tokens(docs: DataFrame, folder: str, path: str | None = None, id_col
     path = path or vocabulary("word_bpe_49k.json")
     small_batches(docs.sparkSession)
     if partitions is None:  # by what Spark knows of the input's size, no fewer than shuffle partitions
-        size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1 << 20, size // RANGE_BYTES))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
