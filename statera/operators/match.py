@@ -99,3 +99,11 @@ def as_of(rows: DataFrame, key: list[str], at: str, value: str, tie: str, name:
 
 def lagged(rows: DataFrame, key: list[str], order: list[str], value: str, name: str = "previous") -> DataFrame:
     return rows.withColumn(name, F.lag(value).over(Window.partitionBy(*key).orderBy(*order)))
+
+
+def archive_order(rows: DataFrame, owner: list[str], tie: str) -> DataFrame:
+    """``rows`` (year, month, employer, kind) with their place in their owner's archive: by period, then by name and kind
+    as a reader sorts them, marked letters beside plain ones and small before capital ones; nulls come first."""
+    by_name = [F.collate(F.col(c), "UNICODE").asc_nulls_first() for c in ("employer", "kind")]
+    order = Window.partitionBy(*owner).orderBy((F.col("year") * 12 + F.col("month")).asc_nulls_first(), *by_name, tie)
+    return rows.withColumn("place", F.row_number().over(order))

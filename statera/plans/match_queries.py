@@ -205,6 +205,19 @@ def q_archive_order(t):
     return t.orders.select("o_orderkey", F.row_number().over(w).alias("place"))
 
 
+_EMPLOYERS = ["Àlfa", "alfa", "Alfa", "Beta", "béta", "Zeta", "äcme", "Acme", "Étoile", "etoile", "Niño", "nino", "Ninos", "ôle", "Ole"]
+
+
+@query(
+    "q_archive_collated",
+    f"""WITH x AS (SELECT o_orderkey, o_custkey % 40 AS owner, year(o_orderdate) AS year, ({_listed(_EMPLOYERS)})[o_custkey % {len(_EMPLOYERS)} + 1] AS employer, lower(o_orderpriority) AS kind FROM orders)
+    SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY owner ORDER BY year, employer COLLATE it, kind COLLATE it, o_orderkey) AS INTEGER) AS place FROM x""",
+)
+def q_archive_collated(t):
+    rows = t.orders.select("o_orderkey", (F.col("o_custkey") % 40).alias("owner"), F.year("o_orderdate").alias("year"), F.lit(1).alias("month"), _said(_EMPLOYERS, "o_custkey").alias("employer"), F.lower("o_orderpriority").alias("kind"))
+    return match.archive_order(rows, ["owner"], "o_orderkey").select("o_orderkey", "place")
+
+
 @query("q_prev_next", "SELECT o_orderkey, lag(o_orderkey) OVER w AS previous, lead(o_orderkey) OVER w AS next FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
 def q_prev_next(t):
     from pyspark.sql import Window

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statera.functions import text
+from statera.functions import numbers, text
 from statera.operators import extract, match
 from statera.schemas import RECORD
 
@@ -35,6 +35,29 @@ def archive(spark: SparkSession, path: str) -> DataFrame:
     return repaired(rows.filter("_corrupt is null").drop("_corrupt"))
 
 
+def unshaped(lines: DataFrame, text_col: str = "value") -> DataFrame:
+    """(record variant) of JSON lines of any shape; broken and empty lines go, and so do those that are no object."""
+    read = lines.select(F.try_parse_json(F.trim(text_col)).alias("record"))
+    return read.filter(F.col("record").isNotNull() & F.schema_of_variant("record").startswith("OBJECT"))
+
+
+def at_path(record: Column, path: str, kind: str) -> Column:
+    """The value at a dotted path of a record of any shape, null where it is missing or of another kind."""
+    return F.try_variant_get(record, f"$.{path}", kind)
+
+
+def shaped(records: DataFrame) -> DataFrame:
+    """Unshaped records in the archive's shape, repaired: a number may come as text with a decimal comma, a field that is
+    missing or of another kind is null."""
+    number = lambda path: F.coalesce(at_path(F.col("record"), path, "double"), numbers.flexible_number(at_path(F.col("record"), path, "string")))
+    said = lambda path: F.nullif(F.trim(at_path(F.col("record"), path, "string")), F.lit(""))
+    return records.select(
+        said("id").alias("id"), F.coalesce(said("documento.tipo"), F.lit("ordinario")).alias("kind"), number("periodo.anno").cast("int").alias("year"), number("periodo.mese").cast("int").alias("month"),
+        F.coalesce(said("azienda.cf"), said("azienda.nome")).alias("employer"), number("totali.competenze").alias("gross"), number("totali.trattenute").alias("deductions"), number("totali.netto").alias("net"),
+        F.coalesce(F.size(at_path(F.col("record"), "voci", "array<variant>")), F.lit(0)).alias("n_lines"),
+    )
+
+
 def repaired(rows: DataFrame) -> DataFrame:
     """Default sections, and no calendar artefacts among the pay lines; applying it again changes nothing."""
     values = lambda v: F.array_compact(F.array(v["codice"].try_cast("double"), v["base"], v["rifQta"], v["trattenuta"], v["competenza"]))
