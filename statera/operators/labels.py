@@ -45,7 +45,7 @@ def _words(cells: Column, gap: float) -> Column:
 
 
 def spans(lines: DataFrame, labels: list[Label], gap: float = GAP) -> DataFrame:
-    """(doc_id, line_no, rule, seq, x, c, n) of labels in lines (doc_id, line_no, cells): the first cell's seq and left
+    """(doc_id, line_no, rule, seq, x, c, n) of labels in lines (doc_id, line_no, said, cells): the first cell's seq and left
     edge, the centre of all its cells, and how many they are."""
     edges, ends = trie(labels)
     literal = lambda pairs: F.create_map(*(F.lit(v) for pair in pairs for v in pair))
@@ -63,7 +63,9 @@ def spans(lines: DataFrame, labels: list[Label], gap: float = GAP) -> DataFrame:
         return F.struct(moved.cast(f"array<{walk}>").alias("walks"), F.concat(state["found"], ended.cast(f"array<{hit}>")).alias("found"))
 
     nothing = F.struct(F.array().cast(f"array<{walk}>").alias("walks"), F.array().cast(f"array<{hit}>").alias("found"))
-    found = lines.withColumn("words", _words(F.col("cells"), gap)).withColumn("hits", F.aggregate("words", nothing, read, lambda s: F.array_distinct(s["found"])))
+    # a label's words follow one another in the line's text too, so few lines are walked
+    told = "|".join("[^A-Z0-9]+".join(words.split()) for _, words, _ in labels)
+    found = lines.filter(F.col("said").rlike(told)).withColumn("words", _words(F.col("cells"), gap)).withColumn("hits", F.aggregate("words", nothing, read, lambda s: F.array_distinct(s["found"])))
     rows = found.select("doc_id", "line_no", "cells", F.explode("hits").alias("h"))
     left, right = F.get("cells", F.col("h.first")), F.get("cells", F.col("h.last"))
     return rows.select(

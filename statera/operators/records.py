@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from statera.functions import numbers, rules, text
 from statera.operators.labels import spans as label_spans
 from statera.operators.layout import centre
+from statera.sources import places
 
 #: Labels on folded text (upper case, without marks), in the order in which they are tried.
 CONTRIBUTIONS, CONTRIBUTIONS_END = r"^CONTRIBUTI(?![A-Z0-9_])", r"^(?:IRPEF|RITENUTE\s+FISCALI|TOTALI)(?![A-Z0-9_])"
@@ -280,16 +281,15 @@ def _clean(field: str, value: Column) -> Column:
     return F.when(value.rlike("[A-Za-zÀ-ù]{2}"), F.trim(value)) if field == "name" else F.trim(value)
 
 
-def _vendor(page: DataFrame, lines: DataFrame) -> DataFrame:
+def _vendor(page: DataFrame, lines: DataFrame, texts: DataFrame) -> DataFrame:
     """(doc_id, v_company, v_name, v_level, v_qualification) of pages in one vendor's layout.
 
     The company is the first cell at the left of the first line; the person stands in the line above the labels.
     """
     whole = Window.partitionBy("doc_id")
-    told = lines.withColumn("at", F.row_number().over(whole.orderBy("line_no"))).withColumn("before", F.lag("cells").over(whole.orderBy("line_no")))
-    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "said")).over(whole)), lambda x: x["said"]), " ")
-    mine = told.withColumn("software", rules.software(texts)).filter(F.col("software") == VENDOR)
-    labels = mine.withColumn("labels", F.min(F.when(F.col("said").rlike(VENDOR_LABELS), F.col("at"))).over(whole))
+    mine = lines.join(texts.filter(rules.software(F.col("t")) == VENDOR).select("doc_id"), "doc_id", "left_semi")
+    told = mine.withColumn("at", F.row_number().over(whole.orderBy("line_no"))).withColumn("before", F.lag("cells").over(whole.orderBy("line_no")))
+    labels = told.withColumn("labels", F.min(F.when(F.col("said").rlike(VENDOR_LABELS), F.col("at"))).over(whole))
     company = F.trim(_first(F.col("cells"), lambda c: (c["x"] < VENDOR_COMPANY_X) & c["str"].rlike(LETTER))["str"])
     named = F.trim(F.array_join(F.transform(F.filter("before", lambda c: (c["x"] < VENDOR_NAME_X) & c["str"].rlike(TWO_LETTERS)), lambda c: c["str"]), " "))
     name = F.when((named != "") & ~F.upper(named).rlike(VENDOR_NO_NAME), named)
@@ -314,9 +314,9 @@ def identity(cells: DataFrame) -> DataFrame:
     qualification and contract code are else sought in the document's text; the last tax code and the first
     number of eleven digits are the employee's and the company's.
     """
-    page = prepared(cells)
+    page = places.written(prepared(cells), "identity-cells")  # once: labels, values and whole texts are read from it
     fields = ["company", "name", "contract", "hired", "level", "qualification"]
-    lines = lines_of(page)
+    lines = places.written(lines_of(page), "identity-lines")
     labels = _labelled(page, [(f, label) for f, _, label, _, _ in IDENTITY])
     keys = F.array(*(F.lit(f) for f, *_ in IDENTITY))
     split = label_spans(lines, IDENTITY_WORDS).filter("n > 1")
@@ -334,7 +334,7 @@ def identity(cells: DataFrame) -> DataFrame:
         F.nullif(F.regexp_extract("t", LEVEL_BEFORE, 1), F.lit("")).alias("level_before"), F.nullif(F.regexp_extract("t", LEVEL_AFTER, 1), F.lit("")).alias("level_after"),
         F.nullif(F.regexp_extract("t", QUALIFICATIONS, 1), F.lit("")).alias("said_qualification"), text.extract_code(F.col("t")).alias("said_contract"),
     )
-    rows = sought.join(found, "doc_id", "left").join(_vendor(page, lines), "doc_id", "left")
+    rows = sought.join(found, "doc_id", "left").join(_vendor(page, lines, whole), "doc_id", "left")
     return rows.select(
         "doc_id", "tax_code", "vat", F.coalesce("v_company", "company").alias("company"), F.coalesce("v_name", "name").alias("name"), F.coalesce("contract", "said_contract").alias("contract"), "hired",
         F.coalesce("level_before", "v_level", "level", "level_after").alias("level"), F.coalesce("v_qualification", "qualification", "said_qualification").alias("qualification"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import functions as F
 
 from statera.operators import contracts, phrases
@@ -78,12 +80,12 @@ def q_contract_lookup(t):
 @query(
     "q_custom_phrases",
     f"""WITH x AS (SELECT item_id, {_WORDS} AS w, text FROM benchmark),
-    p AS (SELECT DISTINCT item_id, unnest([w[3] || ' ' || upper(w[4]), substring(text, 6, 12), w[-1] || '.', substring(text, 1, 40)]) AS phrase FROM x)
+    p AS (SELECT DISTINCT item_id, unnest([w[3] || ' ' || translate(w[4], 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), substring(text, 6, 12), w[-1] || '.', substring(text, 1, 40)]) AS phrase FROM x)
     SELECT doc_id, item_id AS contract, count(*) AS phrases FROM documents JOIN p ON regexp_matches(text, '(?i)' || regexp_escape(phrase)) GROUP BY ALL""",
 )
 def q_custom_phrases(t):
     w = F.split(F.regexp_replace("text", "[.,]", ""), " ")
-    said = F.array(F.concat(F.get(w, 2), F.lit(" "), F.upper(F.get(w, 3))), F.substring("text", 6, 12), F.concat(F.element_at(w, -1), F.lit(".")), F.substring("text", 1, 40))
+    said = F.array(F.concat(F.get(w, 2), F.lit(" "), F.translate(F.get(w, 3), ascii_lowercase, ascii_uppercase)), F.substring("text", 6, 12), F.concat(F.element_at(w, -1), F.lit(".")), F.substring("text", 1, 40))
     rows = t.benchmark.select(F.col("item_id").alias("phrase_id"), F.explode(F.array_distinct(said)).alias("phrase"))
     hits = phrases.found(t.documents, "text", ["doc_id"], rows)
     return hits.groupBy("doc_id", F.col("phrase_id").alias("contract")).agg(F.count(F.lit(1)).alias("phrases"))
