@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statera.plans.registry import Tables
@@ -64,35 +61,15 @@ STATEMENTS = (
 )
 
 
-def _laid_out(batches: Iterator[Any]) -> Iterator[Any]:
-    """(doc_id, text) to words with their places; offsets are summed line by line, and nothing is moved for it."""
-    import numpy as np
-    import pyarrow as pa
-
-    for batch in batches:
-        pages = []
-        for i, text in enumerate(batch.column("text").to_pylist()):
-            if text is None:
-                continue
-            lines = [line.split(" ") for line in text.split("\n")]
-            counts = np.fromiter(map(len, lines), np.int64, len(lines))
-            words = [w for line in lines for w in line]
-            sizes = np.fromiter(map(len, words), np.int64, len(words))
-            line_no, first = np.repeat(np.arange(len(lines)), counts), np.cumsum(counts) - counts
-            ends = np.cumsum(sizes + 1)
-            ahead = ends - (sizes + 1) - np.repeat((ends - (sizes + 1))[first], counts)
-            kept = np.flatnonzero(sizes)
-            columns = [
-                batch.column("doc_id").take(pa.array(np.full(len(kept), i))), pa.array(line_no[kept], pa.int32()), pa.array((np.arange(len(words)) - np.repeat(first, counts))[kept], pa.int32()),
-                pa.array(words, pa.string()).take(pa.array(kept)), pa.array(4.5 * ahead[kept]), pa.array(800.0 - 12 * line_no[kept]), pa.array(np.maximum(8.0, 4.5 * sizes[kept])), pa.array(np.full(len(kept), 10.0)),
-            ]
-            pages.append(pa.RecordBatch.from_arrays(columns, names=["doc_id", "line_no", "seq", "str", "x", "y", "w", "h"]))
-        yield from pa.Table.from_batches(pages).combine_chunks().to_batches() if pages else []
-
-
 def tokens(t: Tables) -> DataFrame:
     """Words of the documents laid out on a page: x from the place in the line, y from the line's number."""
-    return t.documents.select("doc_id", "text").mapInArrow(_laid_out, "doc_id long, line_no int, seq int, str string, x double, y double, w double, h double")
+    rows = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    words = rows.select("doc_id", "line_no", F.posexplode(F.split("line", " ")).alias("seq", "str"))
+    before = Window.partitionBy("doc_id", "line_no").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.coalesce(F.sum(F.length("str") + 1).over(before), F.lit(0))
+    placed = words.withColumn("ahead", ahead).filter("str <> ''")
+    cells = placed.select("doc_id", "line_no", "seq", "str", (4.5 * F.col("ahead")).alias("x"), (800.0 - 12 * F.col("line_no")).alias("y"))
+    return cells.withColumn("w", F.greatest(F.lit(8.0), 4.5 * F.length("str"))).withColumn("h", F.lit(10.0))
 
 
 TOKENS = """split_lines AS (
