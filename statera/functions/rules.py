@@ -70,6 +70,23 @@ EXTRAS = [
     ("Pezzi di tredicesima e quattordicesima", r"13.?M|TREDICESIM|14.?M|QUATTORDICESIM|GRATIFICA\s+NATALIZIA"),
     ("Rimborsi", r"RIMBORSO|TRASFERTA|PIE.*LISTA|CHILOMETR"),
 ]
+#: What the heading of a table of pay lines says, patterns that must all be found; any of the rows makes one.
+_SIDES, _EDGE = r"COMPETENZE|TRATTENUTE|RITENUTE", r"(?<![A-Z0-9_])"
+HEADINGS = [
+    [r"VOCI\s+VARIABILI"],
+    [_EDGE + r"VOCE(?![A-Z0-9_]).*" + _EDGE + r"DESCRIZIONE(?![A-Z0-9_])", _SIDES + "|IMPORTO"],
+    [_EDGE + r"CODICE(?![A-Z0-9_]).*" + _EDGE + r"DESCRIZIONE(?![A-Z0-9_])", _SIDES + "|IMPORTO"],
+    [r"(?:^|\s)COD\.?(?:\s|$).*" + _EDGE + r"DESCRIZIONE(?![A-Z0-9_])", _SIDES],
+    [r"COMPETENZE\s+(?:FISSE|ACCESSORIE)", r"TRATTENUTE|RITENUTE"],
+    [r"DESCRIZIONE", r"Q(?:UA)?NTIT[AÀ]|ORE|GIORNI", r"IMPORTO|TOTALE"],
+    [_EDGE + r"TEMPO(?![A-Z0-9_])", _EDGE + r"BASE(?![A-Z0-9_])", r"FIGURATIV", r"COMPETENZE", r"TRATTENUTE"],
+]
+
+
+def heading(normalized: Column) -> Column:
+    """Whether a line, its white space normalised, heads a table of pay lines; letters match in either case."""
+    said = F.upper(normalized)
+    return reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [said.rlike(p) for p in patterns]) for patterns in HEADINGS])
 
 
 def first_match(text: Column, rules: list[tuple[str, str]], otherwise: str | None = None) -> Column:

@@ -89,6 +89,11 @@ def holiday_ratio(holiday: Column, ordinary: Column, declared: Column) -> Column
     return F.coalesce(rate_ratio(holiday, ordinary, "warn"), F.when(declared.isNotNull(), "info"))
 
 
+def contract(found: Column, note: Column) -> Column:
+    """A statement without a contract can't be held against one; a contract's note is told."""
+    return F.when(found.isNull(), "warn").when(F.coalesce(note, F.lit("")) != "", "info")
+
+
 def accrual(accrued: Column, month: Column, expected: Column) -> Column:
     return graded(accrued.isNotNull() & (month > 0), F.try_divide(accrued, month) * 12 >= expected - 1.5, "warn")
 

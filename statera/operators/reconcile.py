@@ -68,6 +68,18 @@ def ranked_totals(given: DataFrame, most: int = 6) -> DataFrame:
     return scored.select("doc_id", "rank", g.alias("gross"), d.alias("deductions"), n.alias("net"), r.alias("rounding"), "score")
 
 
+def alternatives(ranked: DataFrame, most: int = 3) -> DataFrame:
+    """(doc_id, rank, gross, deductions, net, rounding, score): of ``ranked_totals`` the best ``most`` that differ in a value.
+
+    Candidates of several readers repeat a value, so a combination may be ranked several times: its best place counts.
+    Both windows lie inside a document's rows, which its ranking has brought together.
+    """
+    same = Window.partitionBy("doc_id", "gross", "deductions", "net", "rounding").orderBy("rank")
+    firsts = ranked.withColumn("_n", F.row_number().over(same)).filter(F.col("_n") == 1)
+    placed = firsts.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("rank")))
+    return placed.filter(F.col("rank") <= most).select("doc_id", "rank", "gross", "deductions", "net", "rounding", "score")
+
+
 def votes(readings: DataFrame) -> DataFrame:
     """Winner of the readers' values per document: most readers, then confidence; two readers agree, else a conflict."""
     cents = F.round(F.col("value").cast("decimal(18,6)") * 100).cast("bigint")
