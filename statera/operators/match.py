@@ -107,3 +107,11 @@ def archive_order(rows: DataFrame, owner: list[str], tie: str) -> DataFrame:
     by_name = [F.collate(F.col(c), "UNICODE").asc_nulls_first() for c in ("employer", "kind")]
     order = Window.partitionBy(*owner).orderBy((F.col("year") * 12 + F.col("month")).asc_nulls_first(), *by_name, tie)
     return rows.withColumn("place", F.row_number().over(order))
+
+
+def flattened_hints(packs: DataFrame) -> DataFrame:
+    """(name, aliases, sector) of every hint of packs (sector, hints): a hint's first word names it and is an alias too.
+
+    A pack without hints gives no row, and so does a hint without words.
+    """
+    return packs.select("sector", F.explode("hints").alias("aliases")).filter(F.size("aliases") > 0).select(F.get("aliases", F.lit(0)).alias("name"), "aliases", "sector")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from statera.functions import explain, line_rules, rules, text
-from statera.operators import checks, contracts, derived, evidence, match, reconcile
+from statera.operators import checks, contracts, derived, layout, match, reconcile
 from statera.plans.contract_queries import _records, _tables
 from statera.plans.reconcile_queries import _CANDIDATES
 from statera.plans.registry import ORACLE, query
@@ -164,3 +164,24 @@ def q_explained_lines(t):
     what = F.when(six == 0, F.concat("line", F.lit(" perché  compare qui"))).when(six == 1, "").otherwise(F.col("line"))
     category = F.when(F.col("credit").isNotNull(), "competenza").when(F.col("deduction").isNotNull(), "trattenuta").otherwise("dato")
     return pay_lines(t).select("doc_id", "line_no", explain.completed(F.col("description"), category, what, _REASONS, _DEFAULTS, _ELSE).alias("what"))
+
+
+@query("q_document_hints", "SELECT doc_id AS sector, string_split(line, ' ')[1] AS name, string_split(line, ' ') AS aliases FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)")
+def q_document_hints(t):
+    """Every document as a pack, every line of it as a hint."""
+    return match.flattened_hints(t.documents.select(F.col("doc_id").alias("sector"), F.transform(F.split("text", "\n"), lambda line: F.split(line, " ")).alias("hints")))
+
+
+_STEPS, _CLASSES, _LETTERS = 8, 8, "abcdef"
+
+
+@query(
+    "q_ctc_vectors",
+    f"""WITH e AS (SELECT vec_id, embedding, unnest(range({_STEPS})) AS i FROM embeddings), s AS (SELECT vec_id, i, embedding[i * {_CLASSES} + 1 : i * {_CLASSES} + {_CLASSES}] AS v FROM e), b AS (SELECT vec_id, i, list_position(v, list_max(v)) - 1 AS k FROM s),
+    c AS (SELECT *, lag(k) OVER (PARTITION BY vec_id ORDER BY i) AS p FROM b)
+    SELECT vec_id, trim(regexp_replace(coalesce(string_agg(CASE WHEN k = {_CLASSES - 1} THEN ' ' ELSE substring('{_LETTERS}', k, 1) END, '' ORDER BY i) FILTER (WHERE k <> 0 AND (p IS NULL OR p <> k)), ''), '\s+', ' ', 'g')) AS said FROM c GROUP BY vec_id""",
+)
+def q_ctc_vectors(t):
+    """Every vector read as eight steps of scores over a blank, six letters and the space."""
+    steps = F.transform(F.sequence(F.lit(0), F.lit(_STEPS - 1)), lambda i: F.slice("embedding", i * _CLASSES + 1, _CLASSES))
+    return t.embeddings.select("vec_id", layout.ctc_decoded(steps, F.array(*map(F.lit, _LETTERS))).alias("said"))
