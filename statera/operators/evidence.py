@@ -6,6 +6,8 @@ equality; what must be worked off in order is folded over a page's own array.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -219,3 +221,16 @@ def rejected(records: DataFrame, kind: str, in_scope: str, fields: list[str]) ->
     out = F.coalesce(~F.col(in_scope), F.lit(False))
     rows = records.withColumns({f: F.when(~out, F.col(f)) for f in fields})
     return rows.withColumns({kind: F.when(out, "non-cedolino").otherwise(F.col(kind)), "quality": F.when(out, "fuori-ambito").otherwise(F.lit("da-valutare"))})
+
+
+def package_report(records: DataFrame, lines: DataFrame, aliases: DataFrame) -> DataFrame:
+    """One row (fixtures, aliases, voices, custom): how many records, corrections and lines a package holds, and how many
+    lines are a company's own: without a code, or described as such. Empty tables count nothing.
+
+    Each table is reduced to ones where it lies and all are summed by one aggregate, so nothing is joined.
+    """
+    own = (F.coalesce("code", F.lit("")) == "") | F.coalesce("description", F.lit("")).rlike("(?i)gestionale|aziendale")
+    names = ["fixtures", "aliases", "voices", "custom"]
+    counted = [(records, {"fixtures": F.lit(1)}), (aliases, {"aliases": F.lit(1)}), (lines, {"voices": F.lit(1), "custom": own.cast("int")})]
+    ones = [table.select(*(counts.get(c, F.lit(0)).alias(c) for c in names)) for table, counts in counted]
+    return reduce(DataFrame.unionByName, ones).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names))

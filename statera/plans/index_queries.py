@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from statera.functions import explain, line_rules, rules, text
-from statera.operators import checks, contracts, derived, layout, match, reconcile
+from statera.operators import checks, contracts, derived, evidence, layout, match, reconcile
 from statera.plans.contract_queries import _records, _tables
 from statera.plans.reconcile_queries import _CANDIDATES
 from statera.plans.registry import ORACLE, query
@@ -185,3 +185,14 @@ def q_ctc_vectors(t):
     """Every vector read as eight steps of scores over a blank, six letters and the space."""
     steps = F.transform(F.sequence(F.lit(0), F.lit(_STEPS - 1)), lambda i: F.slice("embedding", i * _CLASSES + 1, _CLASSES))
     return t.embeddings.select("vec_id", layout.ctc_decoded(steps, F.array(*map(F.lit, _LETTERS))).alias("said"))
+
+
+@query(
+    "q_package_counts",
+    f"""WITH {PAY_LINES}, w AS (SELECT code, CASE WHEN line_no % 9 = 4 THEN description || ' AZIENDALE' ELSE description END AS d FROM pay)
+    SELECT (SELECT count(*) FROM documents) AS fixtures, (SELECT count(*) FROM benchmark) AS aliases, count(*) AS voices, count(CASE WHEN coalesce(code, '') = '' OR regexp_matches(coalesce(d, ''), '(?i)gestionale|aziendale') THEN 1 END) AS custom FROM w""",
+)
+def q_package_counts(t):
+    """Every document as a record with its lines, the passages of ``benchmark`` as corrections."""
+    lines = pay_lines(t).withColumn("description", F.when(F.col("line_no") % 9 == 4, F.concat("description", F.lit(" AZIENDALE"))).otherwise(F.col("description")))
+    return evidence.package_report(t.documents, lines, t.benchmark)

@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from statera.functions import explain, rules
-from statera.operators import checks, derived, reconcile
+from statera.operators import checks, derived, evidence, match, reconcile
 
 SCHEMA = "doc_id long, line_no int, code string, description string, base double, quantity double, unit string, credit double, deduction double, hourly_pay double, daily_pay double"
 
@@ -68,6 +68,14 @@ def test_headings(spark):
     assert [r[0] for r in rows] == [True] * len(good) + [False] * len(bad)
 
 
+def test_package_report_and_hints(spark):
+    lines = spark.createDataFrame([(None, "x"), ("", None), ("a", "Voce AZIENDALE"), ("a", None), ("b", "azienda")], "code string, description string")
+    assert tuple(evidence.package_report(spark.range(3), lines, spark.range(2)).first()) == (3, 2, 5, 3)
+    assert tuple(evidence.package_report(spark.range(0), lines.limit(0), spark.range(0)).first()) == (0, 0, 0, 0)
+    packs = spark.createDataFrame([("p", [["a", "b"], ["c"], []]), ("q", []), ("r", None)], "sector string, hints array<array<string>>")
+    assert [tuple(r) for r in match.flattened_hints(packs).collect()] == [("a", ["a", "b"], "p"), ("c", ["c"], "p")]
+
+
 @settings(max_examples=20, deadline=None)
 @given(st.lists(st.sampled_from(["IMPONIBILE IRPEF", " TASS", " ", "imponibile  fiscale", "x"]), max_size=7))
 def test_taxable_pattern_looks_behind_its_last_occurrence(parts):
