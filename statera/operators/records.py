@@ -97,6 +97,50 @@ def lines_of(cells: DataFrame) -> DataFrame:
     return rows.withColumn("said", F.array_join(F.transform("cells", lambda c: c["said"]), " "))
 
 
+def _once(rows: DataFrame, **named: Column) -> DataFrame:
+    """``rows`` with more columns that are worked out once a row: the planner doesn't copy what a generator makes into filters and lambdas."""
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in named.items())))))
+
+
+def paged(cells: DataFrame) -> DataFrame:
+    """(doc_id, lines) of cells, a row per document: lines (line_no, y, said, cells) from top to bottom, cells as in ``lines_of`` without values.
+
+    Text is folded before the one shuffle; whatever follows is told from the row.
+    """
+    rows = cells.select("doc_id", "line_no", "seq", "str", "x", "y", centre().alias("c"), text.fold(F.col("str")).alias("said")).repartition("doc_id")
+    lines = rows.groupBy("doc_id", "line_no").agg(F.max("y").alias("y"), F.array_sort(F.collect_list(F.struct("x", "seq", "c", "said", "str"))).alias("cells"))
+    line = F.struct("line_no", "y", F.array_join(F.transform("cells", lambda c: c["said"]), " ").alias("said"), "cells")
+    return lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+
+
+def _told(cells: DataFrame, hits: Column) -> DataFrame:
+    """(doc_id, labels, values), a row per document with labels: cells with ``hits``, each hit as h, and cells that are numbers.
+
+    Cells that are neither stay where they are; the others are shuffled once.
+    """
+    rows = cells.select("doc_id", "line_no", "seq", "x", centre().alias("c"), "str")
+    rows = _once(_once(rows, said=text.fold(F.col("str")), value=numbers.parse_number(F.col("str"))), hits=F.array_compact(hits)).filter((F.size("hits") > 0) | F.col("value").isNotNull())
+    rows = rows.select("doc_id", "line_no", "seq", "x", "c", "value", "hits").repartition("doc_id")
+    at = [F.col(c) for c in ("line_no", "seq", "x", "c")]
+    labels = F.collect_list(F.when(F.size("hits") > 0, F.struct(*at, "hits")))
+    page = rows.groupBy("doc_id").agg(labels.alias("labels"), F.collect_list(F.when(F.col("value").isNotNull(), F.struct(*at, "value"))).alias("values"))
+    one = F.explode(F.flatten(F.transform("labels", lambda a: F.transform(a["hits"], lambda h: F.struct(a["line_no"], a["seq"], a["x"], a["c"], h.alias("h"))))))
+    return page.select("doc_id", "values", one.alias("l")).select("doc_id", "values", "l.*")
+
+
+def _rules(rules: list[tuple]) -> Column:
+    """The rules (key, pattern, ...) that a cell's folded text matches, with nulls between them."""
+    return F.array(*(F.when(F.col("said").rlike(r[1]), F.struct(F.lit(i).alias("rule"), F.lit(r[0]).alias("key"))) for i, r in enumerate(rules)))
+
+
+def _numbers_near(first: int, rows: int, near) -> Column:
+    """The numbers (below, dx, v_x, v_seq, value) on the label's next lines for which ``near`` (below, dx, cell) holds."""
+    low, high = F.col("line_no") + first, F.col("line_no") + rows
+    here = F.filter("values", lambda v: (v["line_no"] >= low) & (v["line_no"] <= high))
+    met = F.transform(here, lambda v: F.struct((v["line_no"] - F.col("line_no")).alias("below"), F.abs(v["c"] - F.col("c")).alias("dx"), v["x"].alias("v_x"), v["seq"].alias("v_seq"), v["value"].alias("value")))
+    return F.filter(met, near)
+
+
 def _first(cells: Column, test) -> Column:
     return F.get(F.filter(cells, test), F.lit(0))
 
@@ -110,7 +154,8 @@ def _says(label: str):
 
 
 def _numbers(cells: Column) -> Column:
-    return F.filter(cells, lambda c: c["value"].isNotNull())
+    """The cells that are numbers, with their value; only what is asked for is parsed."""
+    return F.filter(F.transform(cells, lambda c: c.withField("value", numbers.parse_number(c["str"]))), lambda c: c["value"].isNotNull())
 
 
 def _nearest(cells: Column, at: Column, within: float, other: Column) -> Column:
@@ -119,32 +164,30 @@ def _nearest(cells: Column, at: Column, within: float, other: Column) -> Column:
     return F.when(best["dx"] < within, best["v"])
 
 
-def _number_at(cells: Column, at: Column, within: float) -> Column:
-    return _nearest(_numbers(cells), at, within, lambda c: c["value"])
-
-
 def contribution_table(cells: DataFrame) -> DataFrame:
     """(doc_id, line_no, description, rate, base, amount, confidence) of the contributions' section.
 
     It runs from its title to the next section, or a number of lines; the first line under the title that names all
     columns is the header, else the title itself. Columns follow one another from left to right.
     """
-    rows, page = lines_of(prepared(cells)), Window.partitionBy("doc_id")
-    rows = rows.withColumn("start", F.min(F.when(F.col("said").rlike(CONTRIBUTIONS), F.col("line_no"))).over(page)).filter("start is not null")
-    stop = F.min(F.when((F.col("line_no") > F.col("start")) & F.col("said").rlike(CONTRIBUTIONS_END), F.col("line_no"))).over(page)
-    rows = rows.withColumn("end", F.coalesce(stop, F.col("start") + CONTRIBUTION_ROWS)).filter("line_no >= start and line_no < end")
-    named = F.when((F.col("line_no") < F.col("start") + 3) & F.col("said").rlike(CONTRIBUTION_HEADER), F.col("line_no"))
-    rows = rows.withColumn("header", F.coalesce(F.min(named).over(page), F.col("start")))
-    rows = rows.withColumn("heads", F.max(F.when(F.col("line_no") == F.col("header"), F.col("cells"))).over(page))
-    rows = rows.withColumn("h_desc", _first(F.col("heads"), lambda c: c["said"].contains("DESCRIZIONE")))
+    page = _once(paged(cells), start=F.get(F.filter("lines", lambda r: r["said"].rlike(CONTRIBUTIONS)), F.lit(0))["line_no"])
+    stop = F.get(F.filter("lines", lambda r: (r["line_no"] > F.col("start")) & r["said"].rlike(CONTRIBUTIONS_END)), F.lit(0))["line_no"]
+    page = _once(page, end=F.coalesce(stop, F.col("start") + CONTRIBUTION_ROWS))
+    page = _once(page, part=F.filter("lines", lambda r: (r["line_no"] >= F.col("start")) & (r["line_no"] < F.col("end")))).drop("lines")
+    named = F.get(F.filter("part", lambda r: (r["line_no"] < F.col("start") + 3) & r["said"].rlike(CONTRIBUTION_HEADER)), F.lit(0))
+    page = _once(page, heads=F.coalesce(named, F.get("part", F.lit(0)))["cells"])
+    page = _once(page, h_desc=_first(F.col("heads"), lambda c: c["said"].contains("DESCRIZIONE")))
     before = "h_desc"
     for name, label in CONTRIBUTION_COLUMNS:
-        rows = rows.withColumn(f"h_{name}", _first(F.col("heads"), _right_of(before, label)))
+        page = _once(page, **{f"h_{name}": _first(F.col("heads"), _right_of(before, label))})
         before = f"h_{name}"
-    rows = rows.filter("line_no > start and h_desc is not null and h_rate is not null and h_base is not null and h_amount is not null")
-    said = F.filter("cells", lambda c: (c["c"] >= F.col("h_desc.x") - 12) & (c["c"] < F.col("h_rate.c") - 8) & c["str"].rlike("[A-Za-zÀ-ù]"))
-    at = {name: _number_at(F.col("cells"), F.col(f"h_{name}.c"), 34.0) for name, _ in CONTRIBUTION_COLUMNS}
-    found = rows.select("doc_id", "line_no", text.normalize_text(F.array_join(F.transform(said, lambda c: c["str"]), " ")).alias("description"), *(v.alias(k) for k, v in at.items()))
+    page = page.filter("h_desc is not null and h_rate is not null and h_base is not null and h_amount is not null")
+    places_of = [F.col("h_desc.x").alias("left"), *(F.col(f"h_{n}.c").alias(f"at_{n}") for n, _ in CONTRIBUTION_COLUMNS)]
+    rows = page.select("doc_id", *places_of, F.inline(F.filter("part", lambda r: r["line_no"] > F.col("start"))))
+    said = F.filter("cells", lambda c: (c["c"] >= F.col("left") - 12) & (c["c"] < F.col("at_rate") - 8) & c["str"].rlike("[A-Za-zÀ-ù]"))
+    rows = _once(rows, numbers=_numbers(F.col("cells")))
+    at = {name: _nearest(F.col("numbers"), F.col(f"at_{name}"), 34.0, lambda c: c["value"]) for name, _ in CONTRIBUTION_COLUMNS}
+    found = _once(rows, description=text.normalize_text(F.array_join(F.transform(said, lambda c: c["str"]), " ")), **at).select("doc_id", "line_no", "description", *at)
     found = found.filter("description <> '' and amount is not null").withColumn("amount", F.abs("amount"))
     return found.withColumn("confidence", F.when(F.col("rate").isNotNull() & F.col("base").isNotNull(), 0.9).otherwise(0.8))
 
@@ -164,10 +207,8 @@ def _below(labels: DataFrame, cells: DataFrame, rows: int, first: int = 1) -> Da
 
 def fiscal_summary(cells: DataFrame, rows: int = 2, within: float = 65.0) -> DataFrame:
     """(doc_id, line_no, code, description, field, value) of labelled fiscal amounts: the number nearest below in the first line that has one."""
-    page = prepared(cells)
-    labels = _labelled(page, [(f"{code}|{described}|{field}", label) for code, described, field, label in FISCAL])
-    met = _below(labels, page.filter("value is not null"), rows).filter(F.col("dx") < within)
-    best = met.groupBy("doc_id", "line_no", "seq", "key").agg(F.min_by("value", F.struct("below", "dx", "v_x", "v_seq")).alias("value"))
+    labels = _told(cells, _rules([(f"{code}|{described}|{field}", label) for code, described, field, label in FISCAL]))
+    best = labels.select("doc_id", "line_no", "h.key", F.array_min(_numbers_near(1, rows, lambda v: v["dx"] < within))["value"].alias("value")).filter("value is not null")
     part = lambda i: F.split_part("key", F.lit("|"), F.lit(i))
     return best.select("doc_id", "line_no", part(1).alias("code"), part(2).alias("description"), part(3).alias("field"), "value")
 
@@ -178,10 +219,9 @@ def label_groups(cells: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     Labels are worked off down the page, and one whose key has a value takes part no more; a page's labels and the
     numbers near them are few, and are folded as one array.
     """
-    page = prepared(cells)
-    met = _below(_labelled(page, rules), page.filter("value is not null"), GROUP_ROWS).filter(F.col("dx") <= GROUP_DX)
-    pair = F.struct("dx", (F.col("seq") * 64 + F.col("rule")).alias("label"), "v_seq", "below", "key", "value")
-    per_line = met.groupBy("doc_id", "line_no").agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
+    told = _told(cells, _rules(rules))
+    near = F.transform(_numbers_near(1, GROUP_ROWS, lambda v: v["dx"] <= GROUP_DX), lambda v: F.struct(v["dx"], (F.col("seq") * 64 + F.col("h.rule")).alias("label"), v["v_seq"], v["below"], F.col("h.key").alias("key"), v["value"]))
+    per_line = told.select("doc_id", "line_no", near.alias("pairs")).groupBy("doc_id", "line_no").agg(F.array_sort(F.flatten(F.collect_list("pairs"))).alias("pairs"))
     per_page = per_line.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "pairs"))).alias("lines"))
     kind = dict(per_line.dtypes)["pairs"]
     none = F.array().cast(kind)
@@ -203,37 +243,40 @@ def accruals(cells: DataFrame) -> DataFrame:
     The header is the line under the title that names most columns. A row's numbers go to their nearest column; with
     fewer than three columns its last four numbers are the balance before, accrued, used and the balance.
     """
-    rows, page = lines_of(prepared(cells)), Window.partitionBy("doc_id")
-    rows = rows.withColumn("start", F.min(F.when(F.col("said").rlike(ACCRUALS), F.col("line_no"))).over(page))
-    rows = rows.filter((F.col("line_no") >= F.col("start")) & (F.col("line_no") <= F.col("start") + ACCRUAL_ROWS))
-    heads = F.array(*(F.struct(F.lit(k).alias("key"), _first(F.col("cells"), _says(label))["c"].alias("c")) for k, label in ACCRUAL_COLUMNS))
-    heads = F.filter(heads, lambda h: h["c"].isNotNull())
-    used = _first(F.col("cells"), lambda c: c["said"].rlike(USED))["c"]
-    plain = ~F.exists(heads, lambda h: h["key"].isin("goduto", "godutoAp")) & used.isNotNull()
-    heads = F.when(plain, F.concat(heads, F.array(F.struct(F.lit("goduto").alias("key"), used.alias("c"))))).otherwise(heads)
-    rows = rows.withColumn("heads", F.when(F.col("line_no") < F.col("start") + ACCRUAL_HEADER_ROWS, heads))
-    rows = rows.withColumn("heads", F.max_by("heads", F.struct(F.size("heads"), "line_no")).over(page))
-    stop = F.min(F.when((F.col("line_no") > F.col("start")) & F.col("said").rlike(ACCRUALS_END), F.col("line_no"))).over(page)
-    rows = rows.withColumn("end", F.least(F.coalesce(stop, F.lit(1 << 30)), F.col("start") + ACCRUAL_ROWS))
-    down = Window.partitionBy("doc_id").orderBy("line_no")
-    opens = F.get("cells", F.lit(0))["said"]
-    rows = rows.withColumn("opens", opens).withColumn("after", F.struct(F.lead("line_no").over(down).alias("line_no"), F.lead("y").over(down).alias("y"), F.lead("cells").over(down).alias("cells"), F.lead("opens").over(down).alias("opens")))
-    rows = rows.filter((F.col("line_no") > F.col("start")) & (F.col("line_no") < F.col("end")) & F.col("opens").rlike(ACCRUAL_ROW))
+    page = _once(paged(cells), start=F.get(F.filter("lines", lambda r: r["said"].rlike(ACCRUALS)), F.lit(0))["line_no"]).withColumnRenamed("lines", "all_lines")
+    page = _once(page, lines=F.filter("all_lines", lambda r: (r["line_no"] >= F.col("start")) & (r["line_no"] <= F.col("start") + ACCRUAL_ROWS))).drop("all_lines")
+
+    def heads_of(cells: Column) -> Column:
+        at = lambda label: _first(cells, _says(label))["c"]
+        heads = F.filter(F.array(*(F.struct(F.lit(k).alias("key"), at(label).alias("c")) for k, label in ACCRUAL_COLUMNS)), lambda h: h["c"].isNotNull())
+        plain = ~F.exists(heads, lambda h: h["key"].isin("goduto", "godutoAp")) & at(USED).isNotNull()
+        return F.when(plain, F.concat(heads, F.array(F.struct(F.lit("goduto").alias("key"), at(USED).alias("c"))))).otherwise(heads)
+
+    titles = F.transform(F.filter("lines", lambda r: r["line_no"] < F.col("start") + ACCRUAL_HEADER_ROWS), lambda r: F.struct(r["line_no"], heads_of(r["cells"]).alias("heads")))
+    heads = F.array_max(F.transform(titles, lambda r: F.struct(F.size(r["heads"]).alias("n"), r["line_no"], r["heads"])))["heads"]
+    stop = F.get(F.filter("lines", lambda r: (r["line_no"] > F.col("start")) & r["said"].rlike(ACCRUALS_END)), F.lit(0))["line_no"]
+    page = _once(page, heads=heads, end=F.least(F.coalesce(stop, F.lit(1 << 30)), F.col("start") + ACCRUAL_ROWS))
+    opens = lambda r: F.get(r["cells"], F.lit(0))["said"]
+    told = F.transform("lines", lambda r, i: F.struct(r["line_no"], r["y"], r["said"], r["cells"], opens(r).alias("opens"), F.get("lines", i + 1).alias("next")))
+    told = F.filter(told, lambda r: (r["line_no"] > F.col("start")) & (r["line_no"] < F.col("end")) & r["opens"].rlike(ACCRUAL_ROW))
+    rows = page.select("doc_id", "heads", F.inline(told))
+    after = F.col("next")
+    rows = rows.withColumn("after", F.struct(after["y"].alias("y"), after["cells"].alias("cells"), opens(after).alias("opens")))
     goes_on = (F.abs(F.col("y") - F.col("after.y")) <= SAME_ROW) & ~F.col("after.opens").rlike(ACCRUAL_ROW)
     least = F.array_min(F.transform("heads", lambda h: h["c"]))
-    more = F.when(goes_on, F.filter(_numbers(F.col("after.cells")), lambda c: c["c"] >= least - LEFT_OF_HEADERS)).otherwise(F.array().cast(dict(rows.dtypes)["cells"]))
-    own = _numbers(F.col("cells"))
-    rows = rows.withColumn("own", own).withColumn("nums", F.concat(own, more))
+    rows = _once(rows, own=_numbers(F.col("cells")))
+    more = F.when(goes_on, F.filter(_numbers(F.col("after.cells")), lambda c: c["c"] >= least - LEFT_OF_HEADERS)).otherwise(F.array().cast(dict(rows.dtypes)["own"]))
+    rows = _once(rows, nums=F.concat("own", more))
     nearest = lambda c: F.array_min(F.transform("heads", lambda h, i: F.struct(F.abs(h["c"] - c["c"]).alias("dx"), i.alias("i"), h["key"].alias("key"))))
     dealt = F.transform("nums", lambda c: F.struct(nearest(c).alias("at"), c["value"].alias("value")))
-    rows = rows.withColumn("dealt", dealt).withColumn("headed", F.size("heads") >= 3)
+    rows = _once(rows, dealt=dealt).withColumn("headed", F.size("heads") >= 3)
     by_column = lambda k: F.try_element_at(F.filter("dealt", lambda d: (d["at"]["dx"] < ACCRUAL_DX) & (d["at"]["key"] == k)), F.lit(-1))["value"]
     tail = {"residuoAp": -4, "maturato": -3, "goduto": -2, "saldo": -1}
     by_place = lambda k: F.when(F.size("own") >= 4, F.element_at("own", tail[k])["value"]) if k in tail else F.lit(None).cast("double")
-    values = [F.when(F.col("headed"), by_column(k)).otherwise(by_place(k)).alias(k) for k, _ in ACCRUAL_COLUMNS]
+    values = [F.when(F.col("headed"), by_column(k)).otherwise(by_place(k)) for k, _ in ACCRUAL_COLUMNS]
     kind = F.when(F.col("opens").contains("FERIE"), "ferie").when(F.col("opens").rlike(r"EX\s*FEST"), "exFestivita").otherwise("permessi")
     unit = F.when(F.col("said").rlike(r"(?<![A-Z0-9_])GG(?![A-Z0-9_])|GIORNI"), "GG").when(F.col("said").rlike(r"(?<![A-Z0-9_])ORE(?![A-Z0-9_])"), "ORE").otherwise("")
-    found = rows.select("doc_id", "line_no", kind.alias("kind"), unit.alias("unit"), *values)
+    found = _once(rows.select("doc_id", "line_no", "opens", "said", "headed", "dealt", "own"), kind=kind, unit=unit, **{k: v for (k, _), v in zip(ACCRUAL_COLUMNS, values, strict=True)})
     names = [k for k, _ in ACCRUAL_COLUMNS]
     found = found.filter(reduce(lambda a, b: a | b, [F.col(k).isNotNull() for k in names]))
     last = found.groupBy("doc_id", "kind").agg(F.max_by(F.struct("unit", *names), "line_no").alias("r"))
@@ -242,23 +285,23 @@ def accruals(cells: DataFrame) -> DataFrame:
 
 def hours(cells: DataFrame) -> DataFrame:
     """(doc_id, field, value) of hourly and daily pay, days and hours worked: on the label's line, else below it; the last label counts."""
-    page = prepared(cells)
-    values = page.filter("value is not null")
-    first = F.coalesce(*(F.when(F.col("said").rlike(r[1]), F.lit(i)) for i, r in enumerate(HOURS)))
-    limits = F.array(*(F.struct(F.lit(f).alias("field"), F.lit(rows).alias("rows"), F.lit(below).alias("below_dx"), F.lit(same).alias("same_dx")) for f, _, rows, below, same in HOURS))
-    labels = page.withColumn("rule", first).filter("rule is not null").select("doc_id", "line_no", "seq", "x", "c", F.get(limits, F.col("rule")).alias("r"))
-    labels = labels.select("doc_id", "line_no", "seq", "x", "c", "r.field", "r.below_dx", "r.same_dx")
-    met = _below(labels, values, max(r[2] for r in HOURS), first=0)
-    same = (F.col("below") == 0) & (F.col("v_seq") != F.col("seq")) & (F.col("v_x") >= F.col("x") - 8) & (F.col("dx") < F.col("same_dx"))
-    met = met.filter(same | ((F.col("below") > 0) & (F.col("dx") < F.col("below_dx"))))
-    one = met.groupBy("doc_id", "field", "line_no", "seq").agg(F.min_by("value", F.struct("below", "dx", "v_x", "v_seq")).alias("value"))
-    worked = page.filter(F.col("said").rlike(WORKED) & first.isNull()).select("doc_id", "line_no", "seq", "x", "c", F.lit("oreOrdinarie").alias("field"))
-    met = _below(worked, values, WORKED_ROWS, first=0)
-    met = met.filter(((F.col("below") == 0) & (F.col("v_x") > F.col("x"))) | ((F.col("below") > 0) & (F.col("dx") < WORKED_DX)))
+    first = F.coalesce(*(F.when(F.col("said").rlike(r[1]), F.lit(i)) for i, r in enumerate(HOURS)), F.when(F.col("said").rlike(WORKED), F.lit(len(HOURS))))
+    labels = _told(cells, F.array(first)).withColumnRenamed("h", "rule")
+    limits = F.array(*(F.struct(F.lit(f).alias("field"), F.lit(float(below)).alias("below_dx"), F.lit(float(same)).alias("same_dx")) for f, _, _, below, same in HOURS))
+    r = F.get(limits, F.col("rule"))
+
+    def beside(v: Column) -> Column:
+        same = (v["below"] == 0) & (v["v_seq"] != F.col("seq")) & (v["v_x"] >= F.col("x") - 8) & (v["dx"] < F.col("r.same_dx"))
+        return same | ((v["below"] > 0) & (v["dx"] < F.col("r.below_dx")))
+
+    first = F.array_min(_numbers_near(0, max(h[2] for h in HOURS), beside))["value"]
+    worked = _numbers_near(0, WORKED_ROWS, lambda v: ((v["below"] == 0) & (v["v_x"] > F.col("x"))) | ((v["below"] > 0) & (v["dx"] < WORKED_DX)))
     # on the label's line the last number counts, below it the nearest
-    order = F.struct("below", F.when(F.col("below") == 0, -F.col("v_x")).otherwise(F.col("dx")).alias("d"), F.when(F.col("below") == 0, -F.col("v_seq")).otherwise(F.col("v_seq")).alias("s"))
-    other = met.groupBy("doc_id", "field", "line_no", "seq").agg(F.min_by("value", order).alias("value"))
-    return one.unionByName(other).groupBy("doc_id", "field").agg(F.max_by("value", F.struct("line_no", "seq")).alias("value"))
+    order = lambda v: F.struct(v["below"], F.when(v["below"] == 0, -v["v_x"]).otherwise(v["dx"]).alias("d"), F.when(v["below"] == 0, -v["v_seq"]).otherwise(v["v_seq"]).alias("s"), v["value"])
+    other = F.array_min(F.transform(worked, order))["value"]
+    own = F.col("rule") < len(HOURS)
+    found = labels.withColumn("r", r).select("doc_id", "line_no", "seq", F.when(own, F.col("r.field")).otherwise("oreOrdinarie").alias("field"), F.when(own, first).otherwise(other).alias("value"))
+    return found.filter("value is not null").groupBy("doc_id", "field").agg(F.max_by("value", F.struct("line_no", "seq")).alias("value"))
 
 
 def next_step(said: Column) -> Column:
