@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from statera.operators import records
+from statera.operators import layout, records
 from statera.plans.record_queries import sheets
 from statera.plans.registry import Tables
 
@@ -26,3 +26,10 @@ def test_cells_are_read_and_dealt_once(spark, tmp_path):
     assert [plan(f).count("FileScan") for f in found] == [1] * 5
     assert [plan(f).count("Exchange hashpartitioning(doc_id") for f in found] == [1] * 5
     assert [tuple(r) for r in found[0].collect()] == [(1, "pagaOraria", 7.5)]
+
+
+def test_rows_of_a_page_come_from_its_places(spark):
+    # a page of many tokens and few places; one without a place is in no row
+    page = spark.range(20_000).selectExpr("1L AS doc_id", "CAST(id AS INT) AS seq", "CAST(id % 3 * 3 AS DOUBLE) AS y").union(spark.sql("SELECT 1L, 20000, CAST(NULL AS DOUBLE)"))
+    rows = layout.row_clusters(page).groupBy("row").count().collect()
+    assert sorted(map(tuple, rows), key=str) == [(1, 13_334), (2, 6_666), (None, 1)]
