@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from statera.operators import layout, records
+from statera.plans.layout_queries import q_spans_ngram
 from statera.plans.record_queries import sheets
 from statera.plans.registry import Tables
 
@@ -19,6 +20,10 @@ def test_cells_of_one_file_are_drawn_by_several_tasks(spark):
     assert heads.count() > 1
 
 
+def test_words_of_a_document_are_dealt_once(spark):
+    assert plan(q_spans_ngram(Tables(spark, SF))).count("Exchange hashpartitioning") == 1
+
+
 def test_cells_are_read_and_dealt_once(spark, tmp_path):
     spark.createDataFrame([(1, 40, 0, "PAGA ORARIA", 10.0, 0.0, 80.0), (1, 40, 1, "7,50", 100.0, 0.0, 40.0)], CELLS).write.parquet(str(tmp_path / "cells"))
     cells = spark.read.parquet(str(tmp_path / "cells"))
