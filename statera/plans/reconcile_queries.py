@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from statera.operators import reconcile
-from statera.plans.registry import query
+from statera.plans.registry import dealt, query
 from statera.plans.views import LINES, READINGS, STATEMENTS, lines, readings, statements
 
 _MODES = """m AS (SELECT *, gross - deductions AS base, abs(gross - deductions + rounding - net) AS dr, abs(gross - deductions - net) AS db FROM st)"""
@@ -46,7 +45,7 @@ _CANDIDATES = """c AS (SELECT doc_id, v AS cv, k AS ck, o AS co FROM st, LATERAL
 
 
 def _candidates(t):
-    st = statements(t)
+    st = dealt(statements(t), "doc_id", t.orders)
     pair = lambda v, c: F.struct(v.alias("value"), F.lit(c).alias("confidence"))
     lists = {
         "gross": F.array(pair(F.col("gross"), 0.9), pair(F.col("gross") + 100, 0.68), pair(F.col("deductions"), 0.5)),
@@ -67,8 +66,7 @@ def q_totals_resolution(t):
     f"WITH {STATEMENTS}, {_CANDIDATES} SELECT doc_id, CAST(max(CASE WHEN rank = 1 THEN score END) - max(CASE WHEN rank = 2 THEN score END) < 0.9 AS BOOLEAN) AS ambiguous FROM k GROUP BY doc_id",
 )
 def q_ambiguous_totals(t):
-    ranked = _candidates(t).withColumn("next", F.lead("score").over(Window.partitionBy("doc_id").orderBy("rank")))
-    return ranked.filter("rank = 1").select("doc_id", (F.col("score") - F.col("next") < 0.9).alias("ambiguous"))
+    return _candidates(t).filter("rank = 1").select("doc_id", (F.col("score") - F.col("next") < 0.9).alias("ambiguous"))
 
 
 @query(
