@@ -49,8 +49,8 @@ def _found(phrases: list[tuple[Any, str]], columns: list[str]) -> Any:
         names = [n for n, _ in phrases]
         for batch in batches:
             rows, hits = [], []
-            for i, text in enumerate(batch.column("_text")):
-                found = {p for _, ps in automaton.iter((text.as_py() or "").lower()) for p in ps}
+            for i, text in enumerate(batch.column("_text").to_pylist()):
+                found = {p for _, ps in automaton.iter((text or "").lower()) for p in ps}
                 rows += [i] * len(found)
                 hits += [names[p] for p in sorted(found)]
             out = batch.select(columns).take(pa.array(rows, pa.int64()))

@@ -117,3 +117,28 @@ def test_forms_of_custom_contracts(spark):
     assert set(got) == {1, 3}
     assert (got[1]["name"], got[1]["codes"], got[1]["phrases"], got[1]["minimums"]) == ("Own (personalizzato)", ["H1", "B2"], ["a.b", "c"], {"A": 2.0})
     assert tuple(got[1])[5:] == (26.0, 0.0, 13.0, 173.0) and tuple(got[3])[2:] == ([], [], {}, 20.0, 0.0, 13.0, None)
+
+
+def test_texts_are_dealt_once_as_their_best(spark, monkeypatch):
+    # small slices and blocks: words meet the contracts in the task that reads the text, whose best alone are dealt
+    monkeypatch.setattr(phrases, "SLICE_BYTES", 200)
+    curated, official, records = tables()
+    index = contracts.build(spark.createDataFrame(curated, CURATED), spark.createDataFrame(official, OFFICIAL))
+    rows = spark.createDataFrame(records, "id long, code string, said string")
+    ids = {r["entry"]: r["id"] for r in index.entries.collect()}
+    best = contracts.suggested(rows, index)
+    assert best._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(id") == 1
+    got = {}
+    for r in best.orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append((ids[r["entry"]], round(r["score"], 9)))
+    assert got == {r[0]: b for r in records if (b := [(b[3], round(-b[0], 9)) for b in plain(r, curated, official)[:3]])}
+
+
+def test_counts_in_blocks_equal_plain_loops(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(contracts, "CELLS", 3)
+    monkeypatch.setattr(contracts, "MOST_KNOWN", 2)
+    listed, lists = [(7, ["ABCDEF", "WXYZ"]), (-1, ["BCDE"]), (3, ["ABCD"])], [["ABCD", "BCDE", "ABCD", "NONE"], [], None, ["XYZ", "WXYZ", "BCDE"]]
+    counts = contracts._counted(pa.array(lists, pa.list_(pa.string())), contracts._holders(listed), 3)
+    assert counts.tolist() == [sum(any(w in x for x in words) for w in said or [] if len(w) >= 4) for said in lists for _, words in listed]
