@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ NUMBER_TOKEN = r"^\(?\s*[+\-]?\s*(?:\d{1,3}(?:[.\s]\d{3})+(?:,\d{1,5})?|\d+(?:[,
 NUMBER_ANY = r"[+\-]?\s*(?:\d{1,3}(?:[.\s]\d{3})+(?:,\d{1,5})?|\d+(?:[,.]\d{1,5})?)"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def plain_signs(text: Column) -> Column:
     """No-break spaces become spaces, the minus sign U+2212 becomes a hyphen."""
     return F.translate(text, " −", " -")
@@ -21,16 +28,14 @@ def parse_number(text: Column) -> Column:
     A comma is the decimal mark; several dots, or one before exactly three digits with at most three
     ahead of it, are thousands marks; a minus sign or an opening parenthesis makes it negative.
     """
-    s = F.trim(plain_signs(text))
-    bare = F.regexp_replace(s, r"[()€+\-\s]", "")
-    thousands = (F.regexp_count(bare, F.lit(r"\.")) > 1) | bare.rlike(r"^\d{0,3}\.\d{3}$")
-    spelled = (
-        F.when(F.instr(bare, ",") > 0, F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
-        .when(thousands, F.replace(bare, F.lit("."), F.lit("")))
-        .otherwise(bare)
-    )
-    value = spelled.try_cast("double")
-    return F.when(s.rlike(NUMBER_TOKEN), F.when(s.rlike(r"^\(|-"), -F.abs(value)).otherwise(value))
+    return once(F.trim(plain_signs(text)), _spelled)
+
+
+def _spelled(s: Column) -> Column:
+    bare = F.translate(s, "()€+- \t\n\x0b\f\r", "")
+    marked = bare.rlike(r",|\..*\.|^\d{0,3}\.\d{3}$")  # dots are thousands marks, a comma is the decimal one
+    value = F.when(marked, F.translate(bare, ",.", ".")).otherwise(bare).try_cast("double")
+    return F.when(s.rlike(NUMBER_TOKEN), value * F.when(s.rlike(r"^\(|-"), -1.0).otherwise(1.0))
 
 
 def numeric_tokens(text: Column) -> Column:

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from statera.functions import numbers, rules, tax, text
+from statera.functions import line_rules, numbers, rules, tax, text
 from statera.operators import reconcile
 
 
@@ -66,3 +66,25 @@ def test_taxes(spark):
     ).first()
     assert (row["new"], row["old"]) == (28000 * 0.23 + 22000 * 0.33 + 4300, 28000 * 0.23 + 22000 * 0.35 + 4300)
     assert row["d"] == pytest.approx(1910 + 1190 * 2000 / 13000 + 65) and (row["f"], row["b"], row["n"]) == (500.0, 5.3, 0.0)
+
+
+def test_a_value_named_often_is_worked_out_once(spark):
+    plan = spark.createDataFrame([("1.234,50ore",)], "x string").select(text.quantity_unit(F.col("x")).alias("q"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract") == 2
+    assert [tuple(q) for q in values(spark, ["1.234,50ore", "-3 Giorni", "x", "", None, "7 km", ".5"], text.quantity_unit)] == [(1234.5, "ORE"), (-3.0, "GG"), (None, None), (None, None), (None, None), (7.0, "KM"), (None, None)]
+
+
+def test_literals_stand_in_every_match(spark):
+    assert rules.literals(r"(?:BUSTA|CEDOLINO)\s+PAGA|x{0,2}") == [] and rules.literals(r"A(?:BC|DEF)?\s+GH") == ["GH"]
+    assert rules.literals(r"(?<![A-Z0-9_])NOIPA(?![A-Z0-9_])|RATA DI") == ["NOIPA", "RATA DI"]
+    assert all(rules.literals(p) for p in [*rules.POSITIVE, *(p for _, p, _ in rules.NEGATIVE), *(p for _, _, p in line_rules.LINE_RULES)])
+    # every character that a pattern takes for an ASCII letter in either case stands as that letter
+    chars = spark.createDataFrame([(chr(i),) for i in range(1, 0xD800)], "c string")
+    met = chars.select(F.explode(F.array(*(F.when(F.col("c").rlike(f"(?iu){x}"), F.struct("c", F.lit(x).alias("x"))) for x in "abcdefghijklmnopqrstuvwxyz"))).alias("m")).filter("m is not null").select("m.*")
+    assert met.count() > 52 and met.filter(~F.contains(rules.caseless(F.col("c")), F.col("x"))).count() == 0
+
+
+def test_patterns_are_tried_only_where_a_literal_stands(spark):
+    plan = spark.createDataFrame([("x",)], "x string").select(rules.scope(F.col("x"))["kind"].alias("k"))._jdf.queryExecution().optimizedPlan().toString()
+    assert all("Contains(x#" in plan and x in plan for x in ("CEDOLINO", "IRREVOCABILE"))
+    assert values(spark, ["none of it", None, "LA BUSTA"], lambda x: rules.held(x, "BUSTA|PAGA")) == [False, None, True]
