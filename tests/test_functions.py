@@ -88,3 +88,10 @@ def test_patterns_are_tried_only_where_a_literal_stands(spark):
     plan = spark.createDataFrame([("x",)], "x string").select(rules.scope(F.col("x"))["kind"].alias("k"))._jdf.queryExecution().optimizedPlan().toString()
     assert all("Contains(x#" in plan and x in plan for x in ("CEDOLINO", "IRREVOCABILE"))
     assert values(spark, ["none of it", None, "LA BUSTA"], lambda x: rules.held(x, "BUSTA|PAGA")) == [False, None, True]
+
+
+def test_line_rules_are_tried_where_a_literal_stands(spark):
+    rows = spark.createDataFrame([("STRAORDİNARı ſera",), ("magg. festıva",), ("nulla",)], "d string").withColumn("e", text.expand_abbreviations(F.col("d")))
+    rows = rows.select("d", "e", rules.caseless(F.concat("d", F.lit("\n"), "e")).alias("said")).select("d", line_rules.by_rule(F.col("d"), F.col("e"), F.col("said")).alias("r"))
+    assert "Contains(" in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["r"] is not None and line_rules.LINE_RULES[r["r"]][0] for r in rows.collect()] == ["Straordinario", "Maggiorazione per lavoro festivo", False]
