@@ -1,7 +1,9 @@
 import random
+from pathlib import Path
 
 import pytest
 
+from statera.sources import places
 from statera.sources.versioned import Archive, Conflict
 from statera.streaming import learning
 
@@ -58,6 +60,35 @@ def test_a_correction_is_renewed_in_its_place(spark, tmp_path):
     assert [(r["description"], r["category"]) for r in held if r["key"] in ("k25", "k0")] == [("new", "pay"), ("back", None)]
 
 
+def ranges(spark):
+    return {str(f) for f in Path(places.shared_dir(spark).removeprefix("file://")).glob("statera/ranges-*")}
+
+
+def test_corrections_of_one_owner_are_met_by_many_tasks(spark, tmp_path):
+    # lists that are soon alike, lists that stay apart (a key more than entries), nothing pushed out; equal seq and none
+    draw = random.Random(5)
+    owners = [("many", 3000, 6000), ("close", learning.MOST_ALIASES + 1, 6000), ("few", 400, 4000), (None, 700, 1500)]
+    drawn = [(o, draw.choice([None, *range(3000)]), f"k{draw.randrange(keys)}") for o, keys, n in owners for _ in range(n)]
+    rows = [(o, at, k, f"d{i}", draw.choice(["pay", None]), None) for i, (o, at, k) in enumerate(drawn)]
+    expected = {}
+    for o, at, k, *said in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3])):
+        held = expected.setdefault(o, {})
+        held[k] = said
+        if len(held) > learning.MOST_ALIASES:
+            del held[next(iter(held))]
+    schema = "owner string, seq long, key string, description string, category string, name string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in" / "0"))
+    before = ranges(spark)
+    learning.learn(spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "*")), learning.Corrections(), str(tmp_path / "state"), range_rows=1000)
+    got = {}
+    for r in sorted(learning.learned(spark, str(tmp_path / "state")).collect(), key=lambda r: r["place"]):
+        got.setdefault(r["owner"], []).append((r["key"], [r["description"], r["category"], r["name"]]))
+    assert got == {o: list(held.items()) for o, held in expected.items()}
+    (folder,) = ranges(spark) - before
+    sizes = [r["count"] for r in spark.read.parquet(folder).groupBy("chunk").count().collect()]
+    assert len(sizes) > 12 and max(sizes) < 3000  # an owner has up to 6,000 rows
+
+
 def archive(spark, tmp_path, **more):
     return Archive(spark, str(tmp_path / "archive"), "k string, at long, v string", ["k"], ["at"], buckets=8, **more)
 
