@@ -89,6 +89,23 @@ def test_corrections_of_one_owner_are_met_by_many_tasks(spark, tmp_path):
     assert len(sizes) > 12 and max(sizes) < 3000  # an owner has up to 6,000 rows
 
 
+def test_profiles_of_one_owner_are_met_by_many_tasks(spark, tmp_path):
+    draw = random.Random(7)
+    owners = [("many", 400), ("close", learning.MOST_PROFILES + 1), ("few", 60), (None, 300)]
+    rows = [(o, i, f"k{draw.randrange(keys)}", draw.choice([None, [], ["x", "x", None], ["y", "z"]])) for i in range(1500) for o, keys in owners]
+    rows += [("few", 2000 + i, "k1", ["x"]) for i in range(120)]
+    before, cut = ranges(spark), 2400
+    for number, part in enumerate((rows[:cut], rows[cut:])):
+        spark.createDataFrame(part, PROFILES).coalesce(1).write.parquet(str(tmp_path / "in" / str(number)))
+        learning.learn(stream(spark, tmp_path / "in"), learning.Profiles(), str(tmp_path / "state"), range_rows=600)
+    got = {}
+    for r in sorted(learning.learned(spark, str(tmp_path / "state")).collect(), key=lambda r: r["place"]):
+        got.setdefault(r["owner"], []).append([r["key"], r["samples"], dict(r["fields"])])
+    assert got == plain([(o, at, k, set(f or []) - {None}) for o, at, k, f in rows], learning.MOST_PROFILES)
+    sizes = [[r["count"] for r in spark.read.parquet(f).groupBy("chunk").count().collect()] for f in ranges(spark) - before]
+    assert len(sizes) == 2 and all(len(s) > 3 and max(s) < 1500 for s in sizes)  # an owner has up to 1,620 rows
+
+
 def archive(spark, tmp_path, **more):
     return Archive(spark, str(tmp_path / "archive"), "k string, at long, v string", ["k"], ["at"], buckets=8, **more)
 
