@@ -6,7 +6,7 @@ meet across the border, which is a join on (plane, border, place). What is then
 borders, never pixels, and the regions' sums are added up by what they are linked to.
 
 Defined results: pixels meet at sides, not at corners; a tile that occurs twice counts twice; planes without bright
-pixels have no boxes; the first 260 boxes of a plane are kept, from top to bottom and left to right, as the format asks.
+pixels have no boxes; every box of a plane is kept.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statera.operators.layout import BOX_THRESHOLD, LEAST_PIXELS, MAX_BOXES, THRESHOLD
+from statera.operators.layout import BOX_THRESHOLD, LEAST_PIXELS, THRESHOLD
 from statera.sources import places
 
 #: (doc_id, width and height of the plane, column and row of the tile, side of a whole tile, width of this one, values row by row)
@@ -123,9 +123,7 @@ def connected_boxes(tiles: DataFrame) -> DataFrame:
     w, h, score = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.col("total") / F.col("n")
     large = whole.filter((F.col("n") >= LEAST_PIXELS) & (w >= 3) & (h >= 3) & (score >= BOX_THRESHOLD))
     px, py = F.greatest(F.lit(2), F.floor(w * 0.08 + 0.5)), F.greatest(F.lit(2), F.floor(h * 0.18 + 0.5))
-    boxes = large.select(
+    return large.select(
         "doc_id", F.greatest(F.lit(0), F.col("x0") - px).cast("int").alias("x0"), F.greatest(F.lit(0), F.col("y0") - py).cast("int").alias("y0"),
         F.least(F.col("width"), F.col("x1") + px).cast("int").alias("x1"), F.least(F.col("height"), F.col("y1") + py).cast("int").alias("y1"), score.alias("score"),
     )
-    order = Window.partitionBy("doc_id").orderBy("y0", "x0", "x1", "y1")
-    return boxes.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= MAX_BOXES).drop("_n")

@@ -1,6 +1,6 @@
 import numpy as np
 
-from statera.operators import planes
+from statera.operators import layout, planes
 from tests.test_layout_brute_force import flooded
 
 SIDE = 8
@@ -43,3 +43,9 @@ def test_runs_of_rows():
     row, first, end = planes.runs_of(on)
     assert list(zip(row.tolist(), first.tolist(), end.tolist())) == [(0, 0, 2), (0, 3, 4), (1, 3, 4), (2, 0, 1), (2, 2, 4), (3, 0, 3)]
     assert planes.labelled_runs(row, first, end).tolist() == [0, 1, 1, 1, 1, 1]
+
+
+def test_planes_of_many_boxes_keep_all_of_them(spark):
+    plane = np.kron(np.indices((40, 40)).sum(0) % 2 == 0, np.ones((4, 4))) * 0.9  # 800 squares that meet at corners
+    rows = list(tiles_of(1, plane))
+    assert planes.connected_boxes(spark.createDataFrame(rows, planes.TILES)).count() == 800 == len(layout.text_boxes(plane))
