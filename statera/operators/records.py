@@ -1,22 +1,25 @@
 """Parts of a statement read from positioned cells: contributions, fiscal summary, progressives, accruals, hours, identity.
 
-Cells (doc_id, line_no, seq, str, x, y, w) go to their document's task once; what follows groups, joins and
-windows on that partitioning. A label is a cell whose folded text matches; what it means is looked up by an
-equality on document and line offset, and a distance is a filter inside it. A cell without a number, a label
+Cells (doc_id, line_no, seq, str, x, y, w) go to their document's task once, or pages are drawn there (``pages``); each
+page is read whole by the task that has it. A label is a cell whose folded text matches; the numbers on the lines that it
+reaches are looked up by page and line, and a distance is a filter among them. A cell without a number, a label
 without a value or a page without a section gives no row; ties of distance go to the cell first in its line.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statera.functions import numbers, rules, text
-from statera.operators.labels import spans as label_spans
+from statera.operators import pages
+from statera.operators.labels import GAP, trie
 from statera.operators.layout import centre
-from statera.sources import places
+from statera.operators.pages import Cells, Pages, pattern
 
 #: Labels on folded text (upper case, without marks), in the order in which they are tried.
 CONTRIBUTIONS, CONTRIBUTIONS_END = r"^CONTRIBUTI(?![A-Z0-9_])", r"^(?:IRPEF|RITENUTE\s+FISCALI|TOTALI)(?![A-Z0-9_])"
@@ -97,211 +100,234 @@ def lines_of(cells: DataFrame) -> DataFrame:
     return rows.withColumn("said", F.array_join(F.transform("cells", lambda c: c["said"]), " "))
 
 
-def _once(rows: DataFrame, **named: Column) -> DataFrame:
-    """``rows`` with more columns that are worked out once a row: the planner doesn't copy what a generator makes into filters and lambdas."""
-    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in named.items())))))
-
-
-def paged(cells: DataFrame) -> DataFrame:
-    """(doc_id, lines) of cells, a row per document: lines (line_no, y, said, cells) from top to bottom, cells as in ``lines_of`` without values.
-
-    Text is folded before the one shuffle; whatever follows is told from the row.
-    """
-    rows = cells.select("doc_id", "line_no", "seq", "str", "x", "y", centre().alias("c"), text.fold(F.col("str")).alias("said")).repartition("doc_id")
-    lines = rows.groupBy("doc_id", "line_no").agg(F.max("y").alias("y"), F.array_sort(F.collect_list(F.struct("x", "seq", "c", "said", "str"))).alias("cells"))
-    line = F.struct("line_no", "y", F.array_join(F.transform("cells", lambda c: c["said"]), " ").alias("said"), "cells")
-    return lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(line)).alias("lines"))
-
-
-def _told(cells: DataFrame, hits: Column) -> DataFrame:
-    """(doc_id, labels, values), a row per document with labels: cells with ``hits``, each hit as h, and cells that are numbers.
+def _table(schema: str, rows: list[tuple]) -> Any:
+    """An Arrow table of rows; schema: names and kinds as Spark writes them."""
+    import pyarrow as pa
+
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+    named = [f.split() for f in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(named)
+    return pa.table({n: pa.array(list(c), kinds[k]) for (n, k), c in zip(named, columns, strict=True)})
+
+
+def _cell_lists(cells: Cells) -> tuple[list, ...]:
+    """(x, seq, c, folded text, text) of the cells as lists."""
+    code = cells.code.tolist()
+    return cells.x.tolist(), cells.seq.tolist(), cells.c.tolist(), [cells.said[i] for i in code], [cells.words[i] for i in code]
+
+
+_LETTERS = pattern("[A-Za-zÀ-ù]")
+_CONTRIBUTIONS = "doc_id long, line_no int, description string, rate double, base double, amount double, confidence double"
+
+
+def _sections(cells: Cells, title: str, over: str) -> Any:
+    """(page, place of its first line with the title, one past its last line, line_no of the next line that is over or None) of pages with a section."""
+    page, line_no = cells.lines
+    begun = np.array(cells.lines_like(pattern(title)), np.int64)
+    begun = begun[np.diff(page[begun], prepend=-1) != 0]
+    ends = np.array(cells.lines_like(pattern(over)), np.int64)
+    nearest = np.searchsorted(ends, begun, "right")
+    for first, stop, at in zip(begun.tolist(), np.searchsorted(page, page[begun], "right").tolist(), nearest.tolist(), strict=True):
+        yield int(page[first]), first, stop, int(line_no[ends[at]]) if at < len(ends) and ends[at] < stop else None
+
+
+def _contributions(cells: Cells) -> Any:
+    header = pattern(CONTRIBUTION_HEADER)
+    x, seq, c, said, word = _cell_lists(cells)
+    value, docs, found, bounds, line_of = cells.values.tolist(), cells.doc.to_pylist(), [], cells.bounds.tolist(), cells.lines[1].tolist()
+    for page, first, stop, end in _sections(cells, CONTRIBUTIONS, CONTRIBUTIONS_END):
+        start = line_of[first]
+        end = start + CONTRIBUTION_ROWS if end is None else end
+        while line_of[stop - 1] >= end:
+            stop -= 1
+        top = next((i for i in range(first, stop) if line_of[i] >= start + 3 or header.search(cells.text_of(i))), stop)
+        top = first if top == stop or line_of[top] >= start + 3 else top
+        low, high = bounds[top], bounds[top + 1]
+        heads = [next((i for i in range(low, high) if "DESCRIZIONE" in said[i]), None)]
+        for _, label in CONTRIBUTION_COLUMNS:
+            heads.append(None if heads[-1] is None else next((i for i in range(low, high) if x[i] > x[heads[-1]] and label in said[i]), None))
+        if None in heads:
+            continue
+        left, centres = x[heads[0]], [c[i] for i in heads[1:]]
+        for line in range(first + 1, stop):
+            low, high = bounds[line], bounds[line + 1]
+            numbers_at = [i for i in range(low, high) if value[i] == value[i]]
+            read = []
+            for centre in centres:
+                best = (34.0,)
+                for i in numbers_at:
+                    if abs(c[i] - centre) <= best[0]:
+                        best = min(best, (abs(c[i] - centre), x[i], seq[i], value[i]))
+                read.append(best[3] if best[0] < 34.0 else None)
+            if read[2] is None:
+                continue
+            description = pages.normalized(" ".join([word[i] for i in range(low, high) if left - 12 <= c[i] < centres[0] - 8 and word[i] and _LETTERS.search(word[i])]))
+            if description:
+                found.append((docs[page], line_of[line], description, read[0], read[1], abs(read[2]), 0.8 if read[0] is None or read[1] is None else 0.9))
+    return _table(_CONTRIBUTIONS, found)
+
+
+def contribution_table(cells: DataFrame | Pages) -> DataFrame:
+    """(doc_id, line_no, description, rate, base, amount, confidence) of the contributions' section.
 
-    Cells that are neither stay where they are; the others are shuffled once.
+    It runs from its title to the next section, or a number of lines; the first line under the title that names all
+    columns is the header, else the title itself. Columns follow one another from left to right.
     """
-    rows = cells.select("doc_id", "line_no", "seq", "x", centre().alias("c"), "str")
-    rows = _once(_once(rows, said=text.fold(F.col("str")), value=numbers.parse_number(F.col("str"))), hits=F.array_compact(hits)).filter((F.size("hits") > 0) | F.col("value").isNotNull())
-    rows = rows.select("doc_id", "line_no", "seq", "x", "c", "value", "hits").repartition("doc_id")
-    at = [F.col(c) for c in ("line_no", "seq", "x", "c")]
-    labels = F.collect_list(F.when(F.size("hits") > 0, F.struct(*at, "hits")))
-    page = rows.groupBy("doc_id").agg(labels.alias("labels"), F.collect_list(F.when(F.col("value").isNotNull(), F.struct(*at, "value"))).alias("values"))
-    one = F.explode(F.flatten(F.transform("labels", lambda a: F.transform(a["hits"], lambda h: F.struct(a["line_no"], a["seq"], a["x"], a["c"], h.alias("h"))))))
-    return page.select("doc_id", "values", one.alias("l")).select("doc_id", "values", "l.*")
-
-
-def _rules(rules: list[tuple]) -> Column:
-    """The rules (key, pattern, ...) that a cell's folded text matches, with nulls between them."""
-    return F.array(*(F.when(F.col("said").rlike(r[1]), F.struct(F.lit(i).alias("rule"), F.lit(r[0]).alias("key"))) for i, r in enumerate(rules)))
+    return pages.of(cells).read(_contributions, _CONTRIBUTIONS)
 
 
-def _numbers_near(first: int, rows: int, near) -> Column:
-    """The numbers (below, dx, v_x, v_seq, value) on the label's next lines for which ``near`` (below, dx, cell) holds."""
-    low, high = F.col("line_no") + first, F.col("line_no") + rows
-    here = F.filter("values", lambda v: (v["line_no"] >= low) & (v["line_no"] <= high))
-    met = F.transform(here, lambda v: F.struct((v["line_no"] - F.col("line_no")).alias("below"), F.abs(v["c"] - F.col("c")).alias("dx"), v["x"].alias("v_x"), v["seq"].alias("v_seq"), v["value"].alias("value")))
-    return F.filter(met, near)
+_FISCAL = "doc_id long, line_no int, code string, description string, field string, value double"
 
 
-def _first(cells: Column, test) -> Column:
-    return F.get(F.filter(cells, test), F.lit(0))
-
-
-def _right_of(head: str, label: str):
-    return lambda c: (c["x"] > F.col(f"{head}.x")) & c["said"].contains(label)
-
-
-def _says(label: str):
-    return lambda c: c["said"].rlike(label)
-
-
-def _numbers(cells: Column) -> Column:
-    """The cells that are numbers, with their value; only what is asked for is parsed."""
-    return F.filter(F.transform(cells, lambda c: c.withField("value", numbers.parse_number(c["str"]))), lambda c: c["value"].isNotNull())
-
-
-def _nearest(cells: Column, at: Column, within: float, other: Column) -> Column:
-    """``other`` (a function of a cell) of the cell nearest to ``at`` closer than ``within``."""
-    best = F.array_min(F.transform(cells, lambda c: F.struct(F.abs(c["c"] - at).alias("dx"), c["x"].alias("x"), c["seq"].alias("seq"), other(c).alias("v"))))
-    return F.when(best["dx"] < within, best["v"])
+def fiscal_summary(cells: DataFrame | Pages, rows: int = 2, within: float = 65.0) -> DataFrame:
+    """(doc_id, line_no, code, description, field, value) of labelled fiscal amounts: the number nearest below in the first line that has one."""
 
+    def read(cells: Cells) -> Any:
+        import pyarrow as pa
 
-def contribution_table(cells: DataFrame) -> DataFrame:
-    """(doc_id, line_no, description, rate, base, amount, confidence) of the contributions' section.
+        label, rule = cells.hits([(i, pattern(r[3])) for i, r in enumerate(FISCAL)])
+        owner, v = cells.numbers_near(label, 1, rows)
+        dx = np.abs(cells.c[v] - cells.c[label[owner]])
+        owner, v, dx = owner[dx < within], v[dx < within], dx[dx < within]
+        best = pages.first_of(owner, cells.line[v], dx, cells.x[v], cells.seq[v], cells.values[v])
+        label, rule, v = label[owner[best]], pa.array(rule[owner[best]]), v[best]
+        named = {n: pa.array([r[i] for r in FISCAL], pa.string()).take(rule) for i, n in enumerate(("code", "description", "field"))}
+        return pa.table({"doc_id": cells.doc.take(pa.array(cells.page[label])), "line_no": pa.array(cells.line[label], pa.int32()), **named, "value": pa.array(cells.values[v], pa.float64())})
 
-    It runs from its title to the next section, or a number of lines; the first line under the title that names all
-    columns is the header, else the title itself. Columns follow one another from left to right.
-    """
-    page = _once(paged(cells), start=F.get(F.filter("lines", lambda r: r["said"].rlike(CONTRIBUTIONS)), F.lit(0))["line_no"])
-    stop = F.get(F.filter("lines", lambda r: (r["line_no"] > F.col("start")) & r["said"].rlike(CONTRIBUTIONS_END)), F.lit(0))["line_no"]
-    page = _once(page, end=F.coalesce(stop, F.col("start") + CONTRIBUTION_ROWS))
-    page = _once(page, part=F.filter("lines", lambda r: (r["line_no"] >= F.col("start")) & (r["line_no"] < F.col("end")))).drop("lines")
-    named = F.get(F.filter("part", lambda r: (r["line_no"] < F.col("start") + 3) & r["said"].rlike(CONTRIBUTION_HEADER)), F.lit(0))
-    page = _once(page, heads=F.coalesce(named, F.get("part", F.lit(0)))["cells"])
-    page = _once(page, h_desc=_first(F.col("heads"), lambda c: c["said"].contains("DESCRIZIONE")))
-    before = "h_desc"
-    for name, label in CONTRIBUTION_COLUMNS:
-        page = _once(page, **{f"h_{name}": _first(F.col("heads"), _right_of(before, label))})
-        before = f"h_{name}"
-    page = page.filter("h_desc is not null and h_rate is not null and h_base is not null and h_amount is not null")
-    places_of = [F.col("h_desc.x").alias("left"), *(F.col(f"h_{n}.c").alias(f"at_{n}") for n, _ in CONTRIBUTION_COLUMNS)]
-    rows = page.select("doc_id", *places_of, F.inline(F.filter("part", lambda r: r["line_no"] > F.col("start"))))
-    said = F.filter("cells", lambda c: (c["c"] >= F.col("left") - 12) & (c["c"] < F.col("at_rate") - 8) & c["str"].rlike("[A-Za-zÀ-ù]"))
-    rows = _once(rows, numbers=_numbers(F.col("cells")))
-    at = {name: _nearest(F.col("numbers"), F.col(f"at_{name}"), 34.0, lambda c: c["value"]) for name, _ in CONTRIBUTION_COLUMNS}
-    found = _once(rows, description=text.normalize_text(F.array_join(F.transform(said, lambda c: c["str"]), " ")), **at).select("doc_id", "line_no", "description", *at)
-    found = found.filter("description <> '' and amount is not null").withColumn("amount", F.abs("amount"))
-    return found.withColumn("confidence", F.when(F.col("rate").isNotNull() & F.col("base").isNotNull(), 0.9).otherwise(0.8))
-
-
-def _labelled(cells: DataFrame, rules: list[tuple]) -> DataFrame:
-    """A row (..., key, rule) for each rule (key, pattern, ...) that a cell's folded text matches."""
-    hits = F.array(*(F.when(F.col("said").rlike(r[1]), F.struct(F.lit(i).alias("rule"), F.lit(r[0]).alias("key"))) for i, r in enumerate(rules)))
-    return cells.select("doc_id", "line_no", "seq", "x", "c", F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h")).select("doc_id", "line_no", "seq", "x", "c", "h.rule", "h.key")
-
-
-def _below(labels: DataFrame, cells: DataFrame, rows: int, first: int = 1) -> DataFrame:
-    """Labels with the cells of the next lines: below (lines down), dx, v_seq, v_x, value, v_str."""
-    here = labels.withColumn("below", F.explode(F.sequence(F.lit(first), F.lit(rows)))).withColumn("on_line", (F.col("line_no") + F.col("below")).cast(labels.schema["line_no"].dataType))
-    there = cells.select("doc_id", F.col("line_no").alias("on_line"), F.col("seq").alias("v_seq"), F.col("x").alias("v_x"), F.col("c").alias("v_c"), "value", F.col("str").alias("v_str"))
-    return here.join(there, ["doc_id", "on_line"]).withColumn("dx", F.abs(F.col("v_c") - F.col("c")))
-
-
-def fiscal_summary(cells: DataFrame, rows: int = 2, within: float = 65.0) -> DataFrame:
-    """(doc_id, line_no, code, description, field, value) of labelled fiscal amounts: the number nearest below in the first line that has one."""
-    labels = _told(cells, _rules([(f"{code}|{described}|{field}", label) for code, described, field, label in FISCAL]))
-    best = labels.select("doc_id", "line_no", "h.key", F.array_min(_numbers_near(1, rows, lambda v: v["dx"] < within))["value"].alias("value")).filter("value is not null")
-    part = lambda i: F.split_part("key", F.lit("|"), F.lit(i))
-    return best.select("doc_id", "line_no", part(1).alias("code"), part(2).alias("description"), part(3).alias("field"), "value")
+    return pages.of(cells).read(read, _FISCAL)
 
 
-def label_groups(cells: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+def label_groups(cells: DataFrame | Pages, rules: list[tuple[str, str]]) -> DataFrame:
     """(doc_id, key, value): labels of one line share out the numbers of the next line that has one near, nearest first.
 
     Labels are worked off down the page, and one whose key has a value takes part no more; a page's labels and the
-    numbers near them are few, and are folded as one array.
+    numbers near them are few, and are folded in order.
     """
-    told = _told(cells, _rules(rules))
-    near = F.transform(_numbers_near(1, GROUP_ROWS, lambda v: v["dx"] <= GROUP_DX), lambda v: F.struct(v["dx"], (F.col("seq") * 64 + F.col("h.rule")).alias("label"), v["v_seq"], v["below"], F.col("h.key").alias("key"), v["value"]))
-    per_line = told.select("doc_id", "line_no", near.alias("pairs")).groupBy("doc_id", "line_no").agg(F.array_sort(F.flatten(F.collect_list("pairs"))).alias("pairs"))
-    per_page = per_line.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "pairs"))).alias("lines"))
-    kind = dict(per_line.dtypes)["pairs"]
-    none = F.array().cast(kind)
-
-    def shared_out(given: Column, line: Column) -> Column:
-        free = F.filter(line["pairs"], lambda p: ~F.exists(given, lambda g: g["key"] == p["key"]))
-        nearest = F.array_min(F.transform(free, lambda p: p["below"]))
-        here = F.filter(free, lambda p: p["below"] == nearest)
-        taken = F.aggregate(here, none, lambda t, p: F.when(F.exists(t, lambda q: (q["label"] == p["label"]) | (q["v_seq"] == p["v_seq"])), t).otherwise(F.concat(t, F.array(p))))
-        return F.concat(given, taken)
-
-    out = per_page.select("doc_id", F.posexplode(F.aggregate("lines", none, shared_out)).alias("at", "p"))
-    return out.groupBy("doc_id", F.col("p.key").alias("key")).agg(F.max_by("p.value", "at").alias("value"))
 
-
-def accruals(cells: DataFrame) -> DataFrame:
+    def read(cells: Cells) -> Any:
+        label, rule = cells.hits([(k, pattern(p)) for k, p in rules])
+        owner, v = cells.numbers_near(label, 1, GROUP_ROWS)
+        dx = np.abs(cells.c[v] - cells.c[label[owner]])
+        owner, v, dx = owner[dx <= GROUP_DX], v[dx <= GROUP_DX], dx[dx <= GROUP_DX]
+        line, name = cells.at[label[owner]], cells.seq[label[owner]] * 64 + rule[owner]
+        by = np.lexsort((cells.values[v], cells.line[v], cells.seq[v], name, dx, line))
+        line, key, page = line[by].tolist(), rule[owner[by]].tolist(), cells.page[v[by]].tolist()
+        pairs = list(zip(cells.line[v[by]].tolist(), name[by].tolist(), cells.seq[v[by]].tolist(), key, cells.values[v[by]].tolist(), strict=True))
+        given: dict[tuple[int, str], float] = {}
+        at = 0
+        while at < len(pairs):
+            end = at
+            while end < len(pairs) and line[end] == line[at]:
+                end += 1
+            free = [p for p in pairs[at:end] if (page[at], rules[p[3]][0]) not in given]
+            nearest, labels, numbers_taken = min((p[0] for p in free), default=0), set(), set()
+            for below, which, seq, r, value in free:
+                if below == nearest and which not in labels and seq not in numbers_taken:
+                    labels.add(which), numbers_taken.add(seq)
+                    given[page[at], rules[r][0]] = value
+            at = end
+        docs = cells.doc.to_pylist()
+        return _table("doc_id long, key string, value double", [(docs[p], k, value) for (p, k), value in given.items()])
+
+    return pages.of(cells).read(read, "doc_id long, key string, value double")
+
+
+_ACCRUALS = "doc_id long, kind string, unit string, " + ", ".join(f"{k} double" for k, _ in ACCRUAL_COLUMNS)
+_DAYS, _HOURS, _FORMER = map(pattern, (r"(?<![A-Z0-9_])GG(?![A-Z0-9_])|GIORNI", r"(?<![A-Z0-9_])ORE(?![A-Z0-9_])", r"EX\s*FEST"))
+
+
+def _accruals(cells: Cells) -> Any:
+    opening = pattern(ACCRUAL_ROW)
+    names = [k for k, _ in ACCRUAL_COLUMNS]
+    x, seq, c, said, word = _cell_lists(cells)
+    value, y, docs, found, bounds, line_of = cells.values.tolist(), cells.y.tolist(), cells.doc.to_pylist(), {}, cells.bounds.tolist(), cells.lines[1].tolist()
+    says: dict[int, list[str]] = {}
+    for i, rule in zip(*(a.tolist() for a in cells.hits([*((k, pattern(label)) for k, label in ACCRUAL_COLUMNS), (USED, pattern(USED))])), strict=True):
+        says.setdefault(i, []).append([*names, USED][rule])
+
+    def heads_of(low: int, high: int) -> list[tuple[str, float]]:
+        first: dict[str, float] = {}
+        for i in range(low, high):
+            for k in says.get(i, ()):
+                first.setdefault(k, c[i])
+        heads = [(k, first[k]) for k in names if k in first]
+        return heads if USED not in first or "goduto" in first or "godutoAp" in first else [*heads, ("goduto", first[USED])]
+
+    for page, first, stop, end in _sections(cells, ACCRUALS, ACCRUALS_END):
+        start = line_of[first]
+        while line_of[stop - 1] > start + ACCRUAL_ROWS:
+            stop -= 1
+        heads: list[tuple[str, float]] = []
+        for i in range(first, stop):
+            if line_of[i] < start + ACCRUAL_HEADER_ROWS and len(named := heads_of(bounds[i], bounds[i + 1])) >= len(heads):
+                heads = named
+        end = start + ACCRUAL_ROWS if end is None else min(end, start + ACCRUAL_ROWS)
+        for line in range(first + 1, stop):
+            low, high = bounds[line], bounds[line + 1]
+            opens = said[low]
+            if line_of[line] >= end or not opening.search(opens):
+                continue
+            own = nums = [i for i in range(low, high) if value[i] == value[i]]
+            if line + 1 < stop and heads:
+                high2 = bounds[line + 2]
+                if abs(max(y[low:high]) - max(y[high:high2])) <= SAME_ROW and not opening.search(said[high]):
+                    least = min(h for _, h in heads) - LEFT_OF_HEADERS
+                    nums = own + [i for i in range(high, high2) if value[i] == value[i] and c[i] >= least]
+            dealt: dict[str, float] = {}
+            if len(heads) >= 3:
+                for i in nums:
+                    least, key = ACCRUAL_DX, None
+                    for k, h in heads:
+                        if abs(h - c[i]) < least:
+                            least, key = abs(h - c[i]), k
+                    if key:
+                        dealt[key] = value[i]
+            elif len(own) >= 4:
+                dealt = dict(zip(("residuoAp", "maturato", "goduto", "saldo"), (value[i] for i in own[-4:]), strict=True))
+            if dealt:
+                kind = "ferie" if "FERIE" in opens else "exFestivita" if _FORMER.search(opens) else "permessi"
+                s = cells.text_of(line)
+                unit = "GG" if _DAYS.search(s) else "ORE" if _HOURS.search(s) else ""
+                found[page, kind] = (docs[page], kind, unit, *(dealt.get(k) for k in names))
+    return _table(_ACCRUALS, list(found.values()))
+
+
+def accruals(cells: DataFrame | Pages) -> DataFrame:
     """(doc_id, kind, unit, residuoAp, maturato, godutoAp, goduto, saldo) of leave and permits.
 
     The header is the line under the title that names most columns. A row's numbers go to their nearest column; with
     fewer than three columns its last four numbers are the balance before, accrued, used and the balance.
     """
-    page = _once(paged(cells), start=F.get(F.filter("lines", lambda r: r["said"].rlike(ACCRUALS)), F.lit(0))["line_no"]).withColumnRenamed("lines", "all_lines")
-    page = _once(page, lines=F.filter("all_lines", lambda r: (r["line_no"] >= F.col("start")) & (r["line_no"] <= F.col("start") + ACCRUAL_ROWS))).drop("all_lines")
-
-    def heads_of(cells: Column) -> Column:
-        at = lambda label: _first(cells, _says(label))["c"]
-        heads = F.filter(F.array(*(F.struct(F.lit(k).alias("key"), at(label).alias("c")) for k, label in ACCRUAL_COLUMNS)), lambda h: h["c"].isNotNull())
-        plain = ~F.exists(heads, lambda h: h["key"].isin("goduto", "godutoAp")) & at(USED).isNotNull()
-        return F.when(plain, F.concat(heads, F.array(F.struct(F.lit("goduto").alias("key"), at(USED).alias("c"))))).otherwise(heads)
-
-    titles = F.transform(F.filter("lines", lambda r: r["line_no"] < F.col("start") + ACCRUAL_HEADER_ROWS), lambda r: F.struct(r["line_no"], heads_of(r["cells"]).alias("heads")))
-    heads = F.array_max(F.transform(titles, lambda r: F.struct(F.size(r["heads"]).alias("n"), r["line_no"], r["heads"])))["heads"]
-    stop = F.get(F.filter("lines", lambda r: (r["line_no"] > F.col("start")) & r["said"].rlike(ACCRUALS_END)), F.lit(0))["line_no"]
-    page = _once(page, heads=heads, end=F.least(F.coalesce(stop, F.lit(1 << 30)), F.col("start") + ACCRUAL_ROWS))
-    opens = lambda r: F.get(r["cells"], F.lit(0))["said"]
-    told = F.transform("lines", lambda r, i: F.struct(r["line_no"], r["y"], r["said"], r["cells"], opens(r).alias("opens"), F.get("lines", i + 1).alias("next")))
-    told = F.filter(told, lambda r: (r["line_no"] > F.col("start")) & (r["line_no"] < F.col("end")) & r["opens"].rlike(ACCRUAL_ROW))
-    rows = page.select("doc_id", "heads", F.inline(told))
-    after = F.col("next")
-    rows = rows.withColumn("after", F.struct(after["y"].alias("y"), after["cells"].alias("cells"), opens(after).alias("opens")))
-    goes_on = (F.abs(F.col("y") - F.col("after.y")) <= SAME_ROW) & ~F.col("after.opens").rlike(ACCRUAL_ROW)
-    least = F.array_min(F.transform("heads", lambda h: h["c"]))
-    rows = _once(rows, own=_numbers(F.col("cells")))
-    more = F.when(goes_on, F.filter(_numbers(F.col("after.cells")), lambda c: c["c"] >= least - LEFT_OF_HEADERS)).otherwise(F.array().cast(dict(rows.dtypes)["own"]))
-    rows = _once(rows, nums=F.concat("own", more))
-    nearest = lambda c: F.array_min(F.transform("heads", lambda h, i: F.struct(F.abs(h["c"] - c["c"]).alias("dx"), i.alias("i"), h["key"].alias("key"))))
-    dealt = F.transform("nums", lambda c: F.struct(nearest(c).alias("at"), c["value"].alias("value")))
-    rows = _once(rows, dealt=dealt).withColumn("headed", F.size("heads") >= 3)
-    by_column = lambda k: F.try_element_at(F.filter("dealt", lambda d: (d["at"]["dx"] < ACCRUAL_DX) & (d["at"]["key"] == k)), F.lit(-1))["value"]
-    tail = {"residuoAp": -4, "maturato": -3, "goduto": -2, "saldo": -1}
-    by_place = lambda k: F.when(F.size("own") >= 4, F.element_at("own", tail[k])["value"]) if k in tail else F.lit(None).cast("double")
-    values = [F.when(F.col("headed"), by_column(k)).otherwise(by_place(k)) for k, _ in ACCRUAL_COLUMNS]
-    kind = F.when(F.col("opens").contains("FERIE"), "ferie").when(F.col("opens").rlike(r"EX\s*FEST"), "exFestivita").otherwise("permessi")
-    unit = F.when(F.col("said").rlike(r"(?<![A-Z0-9_])GG(?![A-Z0-9_])|GIORNI"), "GG").when(F.col("said").rlike(r"(?<![A-Z0-9_])ORE(?![A-Z0-9_])"), "ORE").otherwise("")
-    found = _once(rows.select("doc_id", "line_no", "opens", "said", "headed", "dealt", "own"), kind=kind, unit=unit, **{k: v for (k, _), v in zip(ACCRUAL_COLUMNS, values, strict=True)})
-    names = [k for k, _ in ACCRUAL_COLUMNS]
-    found = found.filter(reduce(lambda a, b: a | b, [F.col(k).isNotNull() for k in names]))
-    last = found.groupBy("doc_id", "kind").agg(F.max_by(F.struct("unit", *names), "line_no").alias("r"))
-    return last.select("doc_id", "kind", "r.*")
-
-
-def hours(cells: DataFrame) -> DataFrame:
+    return pages.of(cells).read(_accruals, _ACCRUALS)
+
+
+def _hours(cells: Cells) -> Any:
+    import pyarrow as pa
+
+    label, rule = cells.hits([(i, pattern(r[1])) for i, r in enumerate(HOURS)] + [(len(HOURS), pattern(WORKED))])
+    best = pages.first_of(label, rule)
+    label, rule = label[best], rule[best]
+    owner, v = cells.numbers_near(label, 0, max(WORKED_ROWS, *(r[2] for r in HOURS)))
+    a = label[owner]
+    r, below, dx = rule[owner], cells.line[v] - cells.line[a], np.abs(cells.c[v] - cells.c[a])
+    worked = r == len(HOURS)
+    under, beside = np.array([*(h[3] for h in HOURS), WORKED_DX])[r], np.array([*(h[4] for h in HOURS), 0.0])[r]
+    same = np.where(worked, cells.x[v] > cells.x[a], (cells.seq[v] != cells.seq[a]) & (cells.x[v] >= cells.x[a] - 8) & (dx < beside))
+    near = np.where(below == 0, same, dx < under) & (below <= np.where(worked, WORKED_ROWS, max(r[2] for r in HOURS)))
+    owner, v, below, dx, last = owner[near], v[near], below[near], dx[near], (worked & (below == 0))[near]
+    # of hours worked on the label's line the last number counts, else the nearest
+    best = pages.first_of(owner, below, np.where(last, -cells.x[v], dx), np.where(last, -cells.seq[v], np.where(worked[near], cells.seq[v], cells.x[v])), cells.seq[v], cells.values[v])
+    owner, v = owner[best], v[best]
+    a = label[owner]
+    # the last label that gives a value counts
+    by = pages.first_of(cells.page[a] * (len(HOURS) + 1) + rule[owner], -cells.line[a], -cells.seq[a])
+    field = pa.array([*(h[0] for h in HOURS), "oreOrdinarie"]).take(pa.array(rule[owner[by]]))
+    return pa.table({"doc_id": cells.doc.take(pa.array(cells.page[a[by]])), "field": field, "value": pa.array(cells.values[v[by]], pa.float64())})
+
+
+def hours(cells: DataFrame | Pages) -> DataFrame:
     """(doc_id, field, value) of hourly and daily pay, days and hours worked: on the label's line, else below it; the last label counts."""
-    first = F.coalesce(*(F.when(F.col("said").rlike(r[1]), F.lit(i)) for i, r in enumerate(HOURS)), F.when(F.col("said").rlike(WORKED), F.lit(len(HOURS))))
-    labels = _told(cells, F.array(first)).withColumnRenamed("h", "rule")
-    limits = F.array(*(F.struct(F.lit(f).alias("field"), F.lit(float(below)).alias("below_dx"), F.lit(float(same)).alias("same_dx")) for f, _, _, below, same in HOURS))
-    r = F.get(limits, F.col("rule"))
-
-    def beside(v: Column) -> Column:
-        same = (v["below"] == 0) & (v["v_seq"] != F.col("seq")) & (v["v_x"] >= F.col("x") - 8) & (v["dx"] < F.col("r.same_dx"))
-        return same | ((v["below"] > 0) & (v["dx"] < F.col("r.below_dx")))
-
-    first = F.array_min(_numbers_near(0, max(h[2] for h in HOURS), beside))["value"]
-    worked = _numbers_near(0, WORKED_ROWS, lambda v: ((v["below"] == 0) & (v["v_x"] > F.col("x"))) | ((v["below"] > 0) & (v["dx"] < WORKED_DX)))
-    # on the label's line the last number counts, below it the nearest
-    order = lambda v: F.struct(v["below"], F.when(v["below"] == 0, -v["v_x"]).otherwise(v["dx"]).alias("d"), F.when(v["below"] == 0, -v["v_seq"]).otherwise(v["v_seq"]).alias("s"), v["value"])
-    other = F.array_min(F.transform(worked, order))["value"]
-    own = F.col("rule") < len(HOURS)
-    found = labels.withColumn("r", r).select("doc_id", "line_no", "seq", F.when(own, F.col("r.field")).otherwise("oreOrdinarie").alias("field"), F.when(own, first).otherwise(other).alias("value"))
-    return found.filter("value is not null").groupBy("doc_id", "field").agg(F.max_by("value", F.struct("line_no", "seq")).alias("value"))
+    return pages.of(cells).read(_hours, "doc_id long, field string, value double")
 
 
 def next_step(said: Column) -> Column:
@@ -309,76 +335,153 @@ def next_step(said: Column) -> Column:
     return F.nullif(F.regexp_extract(text.fold(said), NEXT_STEP, 1), F.lit(""))
 
 
-def _clean(field: str, value: Column) -> Column:
-    """What a found value is worth as a field; null if nothing."""
-    upper = F.upper(value)
+_OFFICIAL, _DAY, _LEVEL, _TWO, _NUMBERED = map(pattern, (r"(?<![A-Z0-9_])[A-Z][A-Z0-9]{3}(?![A-Z0-9_])", DAY, "[A-Za-z0-9][A-Za-z0-9.-]{0,7}", TWO_LETTERS, r"^\d+\s+"))
+_LABELLED_CODE = pattern(r"(?<![A-Z0-9_])(?:CODICE\s*)?CNEL(?![A-Z0-9_])(?=(.{0,140}))")
+_TAX_CODE, _VAT = pattern(r"(?<![A-Z0-9_])[A-Z]{6}\d{2}[A-Z]\d{2}[A-Z]\d{3}[A-Z](?![A-Z0-9_])"), pattern(r"(?<![A-Z0-9_])\d{11}(?![A-Z0-9_])")
+
+
+def _with_digit(codes: list[str]) -> str | None:
+    return next((c for c in codes if any(d in c for d in "0123456789")), None)
+
+
+def _clean(field: str, value: str) -> str | None:
+    """What a found value is worth as a field; none if nothing."""
+    upper = value.upper()
     if field == "contract":
-        codes = F.regexp_extract_all(upper, F.lit(r"(?<![A-Z0-9_])[A-Z][A-Z0-9]{3}(?![A-Z0-9_])"), F.lit(0))
-        return F.get(F.filter(codes, lambda c: c.rlike(r"\d")), F.lit(0))
+        return _with_digit(_OFFICIAL.findall(upper))
     if field == "hired":
-        return F.nullif(F.regexp_extract(upper, DAY, 0), F.lit(""))
+        return m[0] if (m := _DAY.search(upper)) else None
     if field == "level":
-        return F.when(~upper.rlike(DAY), F.try_element_at(F.regexp_extract_all(value, F.lit("[A-Za-z0-9][A-Za-z0-9.-]{0,7}"), F.lit(0)), F.lit(-1)))
+        return None if _DAY.search(upper) else next(reversed(_LEVEL.findall(value)), None)
     if field == "company":
-        return F.when(value.rlike("[A-Za-zÀ-ù]{2}"), F.trim(F.regexp_replace(value, r"^\d+\s+", "")))
-    return F.when(value.rlike("[A-Za-zÀ-ù]{2}"), F.trim(value)) if field == "name" else F.trim(value)
-
-
-def _vendor(page: DataFrame, lines: DataFrame, texts: DataFrame) -> DataFrame:
-    """(doc_id, v_company, v_name, v_level, v_qualification) of pages in one vendor's layout.
-
-    The company is the first cell at the left of the first line; the person stands in the line above the labels.
-    """
-    whole = Window.partitionBy("doc_id")
-    mine = lines.join(texts.filter(rules.software(F.col("t")) == VENDOR).select("doc_id"), "doc_id", "left_semi")
-    told = mine.withColumn("at", F.row_number().over(whole.orderBy("line_no"))).withColumn("before", F.lag("cells").over(whole.orderBy("line_no")))
-    labels = told.withColumn("labels", F.min(F.when(F.col("said").rlike(VENDOR_LABELS), F.col("at"))).over(whole))
-    company = F.trim(_first(F.col("cells"), lambda c: (c["x"] < VENDOR_COMPANY_X) & c["str"].rlike(LETTER))["str"])
-    named = F.trim(F.array_join(F.transform(F.filter("before", lambda c: (c["x"] < VENDOR_NAME_X) & c["str"].rlike(TWO_LETTERS)), lambda c: c["str"]), " "))
-    name = F.when((named != "") & ~F.upper(named).rlike(VENDOR_NO_NAME), named)
-    heads = labels.groupBy("doc_id").agg(F.max(F.when(F.col("at") == 1, company)).alias("v_company"), F.max(F.when(F.col("at") == F.col("labels"), name)).alias("v_name"))
-    row = labels.filter("at = labels").select("doc_id", "line_no", F.explode("cells").alias("cell"))
-    of = lambda word: F.col("cell.said").contains(word)
-    heading = row.filter(of("LIVELLO") | of("QUALIFICA")).select("doc_id", "line_no", F.col("cell.seq").alias("seq"), F.col("cell.x").alias("x"), F.col("cell.c").alias("c"), F.when(of("LIVELLO"), "level").otherwise("qualification").alias("key"))
-    first = Window.partitionBy("doc_id", "key").orderBy("x", "seq")
-    heading = heading.withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n")
-    met = _below(heading, page, 2).filter(F.col("dx") < VENDOR_DX)
-    near = met.groupBy("doc_id", "key").agg(F.trim(F.min_by("v_str", F.struct("below", "dx", "v_x", "v_seq"))).alias("v"))
-    level = F.try_element_at(F.regexp_extract_all("v", F.lit("[A-Za-z0-9][A-Za-z0-9.-]{0,7}"), F.lit(0)), F.lit(-1))
-    read = near.groupBy("doc_id").agg(F.max(F.when(F.col("key") == "level", level)).alias("v_level"), F.max(F.when(F.col("key") == "qualification", F.col("v"))).alias("v_qualification"))
-    return heads.join(read, "doc_id", "left")
-
-
-def identity(cells: DataFrame) -> DataFrame:
+        return _NUMBERED.sub("", value).strip(" ") if _TWO.search(value) else None
+    return value if field != "name" or _TWO.search(value) else None
+
+
+_IDENTITY = "doc_id long, " + ", ".join(f"{f} string" for f in ("tax_code", "vat", "company", "name", "contract", "hired", "level", "qualification"))
+_SIGNS_OF = {label: [pattern(p) for p in patterns] for label, patterns in rules.SOFTWARE}
+
+
+def _identities(cells: Cells) -> Any:
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    x, seq, c, said, word = _cell_lists(cells)
+    docs, found, bounds, code = cells.doc.to_pylist(), [], cells.bounds.tolist(), cells.code.tolist()
+    page_of, line_of = cells.page.tolist(), cells.line.tolist()
+    line_pages, line_numbers = cells.lines
+    line_starts = {at: (low, high) for at, low, high in zip(cells.at[cells.bounds[:-1]].tolist(), bounds, bounds[1:], strict=False)}
+    bad = [b and pattern(b) for *_, b in IDENTITY]
+    edges, ends = trie(IDENTITY_WORDS)
+    before, after, qualified, vendor_labels, no_name = map(pattern, (LEVEL_BEFORE, LEVEL_AFTER, QUALIFICATIONS, VENDOR_LABELS, VENDOR_NO_NAME))
+    of_words, rule = cells.hits([(r[0], pattern(r[2])) for r in IDENTITY])
+    labels: dict[int, dict[tuple[int, int, int], list[float]]] = {}
+    for i, r in zip(of_words.tolist(), rule.tolist(), strict=True):
+        labels.setdefault(page_of[i], {}).setdefault((r, line_of[i], seq[i]), []).append(c[i])
+
+    # codes lie inside a word, so each distinct word is asked once
+    def places(p: re.Pattern, likely: str, kept: int) -> dict[int, str]:
+        """What a page's words hold: the first match of the first such word, or the last of the last."""
+        able = np.flatnonzero(pc.match_substring_regex(pa.array(cells.said), likely).to_numpy(zero_copy_only=False))
+        holds = {int(i): m[kept] for i in able if (m := p.findall(cells.said[i]))}
+        at = np.flatnonzero(np.isin(cells.code, list(holds))).tolist()
+        return {page_of[i]: holds[code[i]] for i in (at if kept else reversed(at))}
+
+    tax = places(_TAX_CODE, "[A-Z]{6}[0-9]{2}[A-Z][0-9]{2}[A-Z][0-9]{3}[A-Z]", -1)
+    vat = places(_VAT, "[0-9]{11}", 0)
+    # a level before its label, and one vendor's pages, are sought where their words are
+    levelled = set()
+    for i in np.flatnonzero(cells.words_holding(pattern("LIVELLO"))[cells.code]).tolist():
+        ahead = " ".join(said[max(0, i - 4) : i] + [said[i][: said[i].rindex("LIVELLO")]]) if said[i].count("LIVELLO") == 1 and i >= 4 else "0"
+        if not (tail := ahead.rstrip(" '°ª^")) or any(d in tail[-9:] for d in "0123456789"):
+            levelled.add(page_of[i])
+    vendors = set.intersection(*(set(cells.page[np.flatnonzero(cells.words_holding(p)[cells.code])].tolist()) for p in _SIGNS_OF[VENDOR]))
+
+    def walked(low: int, high: int) -> set[tuple[int, int, int]]:
+        """(rule, first and last cell) of labels whose words stand in several cells of a line."""
+        walks: list[tuple[int, int, bool]] = []
+        out: set[tuple[int, int, int]] = set()
+        for i in range(low, high):
+            words = [w for w in _PARTS.split(said[i]) if w]
+            for j, w in enumerate(words):
+                if j == 0 and (i == low or not x[i] - (2 * c[i - 1] - x[i - 1]) <= GAP):
+                    walks = []
+                walks = [(n, first, clean) for node, first, clean in [*walks, (0, i, j == 0)] if (n := edges.get(f"{node} {w}")) is not None]
+                out |= {(r, first, i) for node, first, clean in walks for r, _, whole in ends.get(node, []) if not whole or (clean and j == len(words) - 1)}
+        return out
+
+    def nearest(centres: list[float], page: int, line_no: int, within: float) -> tuple | None:
+        """(lines below, distance, x, seq, cell) of the cell nearest to a label among the next two lines."""
+        met = []
+        for below in (1, 2):
+            low, high = line_starts.get((page << 34) + line_no + below + (1 << 32), (0, 0))
+            met += [(below, dx, x[i], seq[i], i) for i in range(low, high) for at in centres if (dx := abs(c[i] - at)) < within]
+        return min(met, default=None)
+
+    def vendor(page: int, lines: range) -> tuple[str | None, ...]:
+        cells_of = lambda line: range(bounds[line], bounds[line + 1])
+        company = next((word[i].strip(" ") for i in cells_of(lines[0]) if x[i] < VENDOR_COMPANY_X and word[i] and _LETTERS.search(word[i])), None)
+        row = next((line for line in lines if vendor_labels.search(cells.text_of(line))), None)
+        if row is None:
+            return company, None, None, None
+        named = " ".join(word[i] for i in cells_of(row - 1) if x[i] < VENDOR_NAME_X and word[i] and _TWO.search(word[i])).strip(" ") if row > lines[0] else ""
+        heads: dict[str, int] = {}
+        for i in cells_of(row):
+            if "LIVELLO" in said[i] or "QUALIFICA" in said[i]:
+                heads.setdefault("level" if "LIVELLO" in said[i] else "qualification", i)
+        near = {k: m[4] for k, i in heads.items() if (m := nearest([c[i]], page, int(line_numbers[row]), VENDOR_DX))}
+        read = {k: word[i].strip(" ") for k, i in near.items() if word[i] is not None}
+        level = next(reversed(_LEVEL.findall(read["level"])), None) if "level" in read else None
+        return company, named if named and not no_name.search(named.upper()) else None, level, read.get("qualification")
+
+    for line in cells.lines_like(pattern("|".join("[^A-Z0-9]+".join(words.split()) for _, words, _ in IDENTITY_WORDS))):
+        if bounds[line + 1] > bounds[line] + 1:
+            for r, first, last in walked(bounds[line], bounds[line + 1]):
+                if last > first:
+                    labels.setdefault(page_of[first], {}).setdefault((r, line_of[first], seq[first]), []).append((x[first] + 2 * c[last] - x[last]) / 2)
+    earlier = list(_SIGNS_OF)[: list(_SIGNS_OF).index(VENDOR)]
+    starts = np.flatnonzero(np.diff(line_pages, prepend=-1)).tolist()
+    for low, high in zip(starts, [*starts[1:], len(line_pages)], strict=True):
+        page, lines = int(line_pages[low]), range(low, high)
+        best: dict[str, tuple] = {}
+        for (r, line_no, s), centres in labels.get(page, {}).items():
+            field, rank, _, within, _ = IDENTITY[r]
+            m = nearest(centres, page, line_no, within)
+            if m is None or word[m[4]] is None or (bad[r] and bad[r].search(word[m[4]].upper())):
+                continue
+            value = _clean(field, word[m[4]].strip(" "))
+            if value is not None and (field not in best or (rank, line_no, s) < best[field][0]):
+                best[field] = ((rank, line_no, s), value)
+        got = {f: v for f, (_, v) in best.items()}
+        own: list[str | None] = [None] * 4
+        whole = None
+        if page in vendors:
+            whole = "\n".join(map(cells.text_of, lines))
+            if all(p.search(whole) for p in _SIGNS_OF[VENDOR]) and not any(all(p.search(whole) for p in _SIGNS_OF[label]) for label in earlier):
+                own = list(vendor(page, lines))
+        company, name, level, qualification = (v if v is not None else got.get(f) for v, f in zip(own, ("company", "name", "level", "qualification"), strict=True))
+        contract = got.get("contract")
+        if page in levelled or level is None or qualification is None or contract is None:
+            whole = whole or "\n".join(map(cells.text_of, lines))
+            level = m[1] if page in levelled and (m := before.search(whole)) else level
+            level = m[1] if level is None and (m := after.search(whole)) else level
+            qualification = m[1] if qualification is None and (m := qualified.search(whole)) else qualification
+            if contract is None and "CNEL" in whole:
+                contract = _with_digit([o for near in _LABELLED_CODE.findall(pages.normalized(whole).upper()) for o in _OFFICIAL.findall(near)])
+        found.append((docs[page], tax.get(page), vat.get(page), company, name, contract, got.get("hired"), level, qualification))
+    return _table(_IDENTITY, found)
+
+
+_PARTS = pattern("[^A-Z0-9]+")
+
+
+def identity(cells: DataFrame | Pages) -> DataFrame:
     """(doc_id, tax_code, vat, company, name, contract, hired, level, qualification) of every document with cells.
 
     A field is the cell nearest to its label in the next line, or the one after, that has one near; a label may stand in
-    one cell or its words in several. One vendor's pages have places of their own for some fields. Level,
+    one cell or its words in several. One vendor's pages have places of their own for some fields: the company is the
+    first cell at the left of the first line, the person stands in the line above the labels. Level,
     qualification and contract code are else sought in the document's text; the last tax code and the first
     number of eleven digits are the employee's and the company's.
     """
-    page = places.written(prepared(cells), "identity-cells")  # once: labels, values and whole texts are read from it
-    fields = ["company", "name", "contract", "hired", "level", "qualification"]
-    lines = places.written(lines_of(page), "identity-lines")
-    labels = _labelled(page, [(f, label) for f, _, label, _, _ in IDENTITY])
-    keys = F.array(*(F.lit(f) for f, *_ in IDENTITY))
-    split = label_spans(lines, IDENTITY_WORDS).filter("n > 1")
-    labels = labels.unionByName(split.select("doc_id", "line_no", "seq", "x", "c", "rule", F.get(keys, F.col("rule")).alias("key")))
-    limits = F.array(*(F.struct(F.lit(rank).alias("rank"), F.lit(dx).alias("within"), F.lit(bad).cast("string").alias("bad")) for _, rank, _, dx, bad in IDENTITY))
-    met = _below(labels.withColumn("r", F.get(limits, F.col("rule"))), page, 2).filter(F.col("dx") < F.col("r.within"))
-    near = met.groupBy("doc_id", "key", "line_no", "seq", "r").agg(F.min_by("v_str", F.struct("below", "dx", "v_x", "v_seq")).alias("v"))
-    value = reduce(lambda rest, f: F.when(F.col("key") == f, _clean(f, F.trim("v"))).otherwise(rest), fields, F.lit(None).cast("string"))
-    bad = F.col("r.bad").isNotNull() & F.regexp_like(F.upper("v"), F.coalesce("r.bad", F.lit("^$")))
-    good = near.withColumn("value", F.when(~bad, value)).filter("value is not null")
-    found = good.groupBy("doc_id").agg(*(F.min_by(F.when(F.col("key") == f, F.col("value")), F.when(F.col("key") == f, F.struct("r.rank", "line_no", "seq"))).alias(f) for f in fields))
-    whole = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "said"))), lambda x: x["said"]), "\n").alias("t"))
-    sought = whole.select(
-        "doc_id", F.try_element_at(text.tax_codes(F.col("t")), F.lit(-1)).alias("tax_code"), F.nullif(F.regexp_extract("t", r"(?<![A-Z0-9_])\d{11}(?![A-Z0-9_])", 0), F.lit("")).alias("vat"),
-        F.nullif(F.regexp_extract("t", LEVEL_BEFORE, 1), F.lit("")).alias("level_before"), F.nullif(F.regexp_extract("t", LEVEL_AFTER, 1), F.lit("")).alias("level_after"),
-        F.nullif(F.regexp_extract("t", QUALIFICATIONS, 1), F.lit("")).alias("said_qualification"), text.extract_code(F.col("t")).alias("said_contract"),
-    )
-    rows = sought.join(found, "doc_id", "left").join(_vendor(page, lines, whole), "doc_id", "left")
-    return rows.select(
-        "doc_id", "tax_code", "vat", F.coalesce("v_company", "company").alias("company"), F.coalesce("v_name", "name").alias("name"), F.coalesce("contract", "said_contract").alias("contract"), "hired",
-        F.coalesce("level_before", "v_level", "level", "level_after").alias("level"), F.coalesce("v_qualification", "qualification", "said_qualification").alias("qualification"),
-    )
+    return pages.of(cells).read(_identities, _IDENTITY)
