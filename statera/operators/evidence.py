@@ -7,12 +7,16 @@ equality; what must be worked off in order is folded over a page's own array.
 from __future__ import annotations
 
 from functools import reduce
+from typing import Any
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statera.functions import numbers, text
-from statera.operators.layout import centre, overlap_ratio
+from statera.operators import pages
+from statera.operators.layout import overlap_ratio
+from statera.operators.pages import Cells, Pages
 
 #: Fields and their labels on folded text.
 FIELD_LABELS = [
@@ -41,24 +45,51 @@ CHECKS = {
 }
 
 
-def attached(fields: DataFrame, cells: DataFrame) -> DataFrame:
+_ATTACHED = "doc_id long, path string, value double, line_no int, seq int, how string"
+
+
+def _attached(cells: Cells) -> Any:
+    import pyarrow as pa
+
+    listed = cells.more["fields"]
+    page, flat = np.repeat(np.arange(len(listed)), listed.value_lengths().fill_null(0).to_numpy()), listed.flatten()
+    paths, values = flat.field("path").to_pylist(), flat.field("value")
+    able = np.flatnonzero(~np.isnan(cells.values))
+    owner, place = pages.expanded(np.searchsorted(cells.page[able], page), np.searchsorted(cells.page[able], page, "right"))
+    alike = cells.values[able[place]] == values.to_numpy(zero_copy_only=False)[owner]
+    met: dict[tuple[int, str], list[int]] = {}
+    for f, i in zip(owner[alike].tolist(), able[place[alike]].tolist(), strict=True):
+        met.setdefault((int(page[f]), paths[f]), []).append(i)
+    labels: dict[tuple[int, str], list[int]] = {}
+    for i, r in zip(*(a.tolist() for a in cells.hits([(path, pages.pattern(label)) for path, label in FIELD_LABELS])), strict=True):
+        labels.setdefault((int(cells.page[i]), FIELD_LABELS[r][0]), []).append(i)
+    found: dict[tuple[int, str], tuple[int, int, str]] = {}
+    for key, shown in met.items():
+        costs = []
+        for a in labels.get(key, ()):
+            line, x, y = int(cells.line[a]), float(cells.x[a]), float(cells.y[a])
+            for i in shown:
+                below, high = int(cells.line[i]) - line, abs(float(cells.y[i]) - y)
+                if -ROWS_ABOVE <= below <= ROWS_BELOW and high <= HIGHEST:
+                    costs.append((high * 1.5 + abs(float(cells.x[i]) - x) * 0.35 + (20 if below < 0 else 0), int(cells.line[i]), int(cells.seq[i])))
+        if costs:
+            found[key] = (*min(costs)[1:], "anchored")
+        elif len(shown) == 1:
+            found[key] = (int(cells.line[shown[0]]), int(cells.seq[shown[0]]), "unique")
+    line, seq, how = zip(*(found.get(key, (None,) * 3) for key in zip(page.tolist(), paths, strict=True)), strict=True) if paths else ((), (), ())
+    return pa.table({"doc_id": cells.doc.take(pa.array(page)), "path": pa.array(paths, pa.string()), "value": values, "line_no": pa.array(line, pa.int32()), "seq": pa.array(seq, pa.int32()), "how": pa.array(how, pa.string())})
+
+
+def attached(fields: DataFrame | None, cells: DataFrame | Pages) -> DataFrame:
     """(doc_id, path, value, line_no, seq, how) of fields (doc_id, path, value) with the cell that shows their value.
 
     Of the cells that show it near one of the path's labels the cheapest counts (``anchored``: lines away weigh more
     than places, and more upward); without such a cell the page's only one that shows it (``unique``); else none.
+    Pages may carry their fields (path, value) themselves, as an array.
     """
-    page = cells.withColumns({"said": text.fold(F.col("str")), "number": numbers.parse_number(F.col("str"))})
-    hits = F.filter(F.array(*(F.when(F.col("said").rlike(label), F.lit(path)) for path, label in FIELD_LABELS)), lambda p: p.isNotNull())
-    labels = page.select("doc_id", F.explode(hits).alias("path"), F.col("line_no").alias("l_line"), F.col("x").alias("lx"), F.col("y").alias("ly"))
-    shown = page.filter("number is not null").select("doc_id", "line_no", "seq", "x", "y", F.col("number").alias("value"))
-    met = fields.select("doc_id", "path", "value").join(shown, ["doc_id", "value"])
-    cost = F.abs(F.col("y") - F.col("ly")) * 1.5 + F.abs(F.col("x") - F.col("lx")) * 0.35 + F.when(F.col("line_no") < F.col("l_line"), 20).otherwise(0)
-    near = F.col("line_no").between(F.col("l_line") - ROWS_ABOVE, F.col("l_line") + ROWS_BELOW) & (F.abs(F.col("y") - F.col("ly")) <= HIGHEST)
-    costs = met.join(labels, ["doc_id", "path"]).filter(near).groupBy("doc_id", "path").agg(F.min(F.struct(cost.alias("cost"), "line_no", "seq")).alias("a"))
-    only = met.groupBy("doc_id", "path").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("line_no", "seq")).alias("u")).filter("n = 1").drop("n")
-    found = fields.select("doc_id", "path", "value").join(costs, ["doc_id", "path"], "left").join(only, ["doc_id", "path"], "left")
-    at = lambda f: F.coalesce(F.col(f"a.{f}"), F.col(f"u.{f}")).alias(f)
-    return found.select("doc_id", "path", "value", at("line_no"), at("seq"), F.when(F.col("a").isNotNull(), "anchored").when(F.col("u").isNotNull(), "unique").alias("how"))
+    if not isinstance(cells, Pages):
+        cells = pages.gathered(cells, fields.groupBy("doc_id").agg(F.collect_list(F.struct("path", "value")).alias("fields")))
+    return cells.read(_attached, _ATTACHED)
 
 
 def adjacent_boxes(boxes: DataFrame) -> DataFrame:
