@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from statera.functions import numbers, text
 from statera.operators import pages
-from statera.operators.layout import overlap_ratio
+from statera.operators import words as placed
 from statera.operators.pages import Cells, Pages
+from statera.operators.words import Words
 
 #: Fields and their labels on folded text.
 FIELD_LABELS = [
@@ -140,69 +141,74 @@ def read_cells(words: DataFrame) -> DataFrame:
     return cells.select("doc_id", "line_no", "str", "x", (F.col("right") - F.col("x")).alias("w"), "n")
 
 
-def _boxed(side: str) -> dict[str, Column]:
-    return {"x0": F.col(f"{side}.x"), "x1": F.col(f"{side}.x") + F.col(f"{side}.w"), "y0": F.col(f"{side}.y"), "y1": F.col(f"{side}.y") + F.col(f"{side}.h")}
+MERGED = "doc_id long, seq int, str string, confidence double, origin string"
 
 
-def _met(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Pairs of words of two readings whose boxes overlap, as (a.*, b.*, overlap).
-
-    A word lies in every tile of a grid that its box touches, a few as a rule, and a pair is found in the one tile that
-    holds the corner where the overlap begins, so it is found once, however large the boxes are.
-    """
-    tile = lambda c, size: F.floor(c / size)
-    spread = lambda c, more, size: F.explode(F.sequence(tile(c, size), tile(c + F.greatest(more, F.lit(0.0)), size)))
-    laid = lambda rows: rows.withColumn("tx", spread(F.col("x"), F.col("w"), TILE_WIDTH)).withColumn("ty", spread(F.col("y"), F.col("h"), TILE_HEIGHT))
-    a, b = laid(first).alias("a"), laid(second).alias("b")
-    corner = (tile(F.greatest("a.x", "b.x"), TILE_WIDTH) == F.col("a.tx")) & (tile(F.greatest("a.y", "b.y"), TILE_HEIGHT) == F.col("a.ty"))
-    joined = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("doc_id", "tx", "ty")]).filter(corner)
-    return joined.withColumn("overlap", overlap_ratio(_boxed("a"), _boxed("b")))
-
-
-_WORD = ["doc_id", "seq", "str", "x", "y", "w", "h", "confidence"]
-
+def _merged(first: Words, second: Words, i: np.ndarray, j: np.ndarray, others: dict[str, np.ndarray]) -> Any:
+    """The words of the first reading, each by the surest of its better words (i, j) where it has one, and others of the second by their origin."""
+    import pyarrow as pa
 
-def _replaced(first: DataFrame, better: DataFrame) -> DataFrame:
-    """The words of the first reading, each by its better word where there is one."""
-    best = better.groupBy("doc_id", "seq").agg(F.max_by(F.struct("b_str", "b_confidence"), F.struct("b_confidence", (-F.col("b_seq")).alias("s"))).alias("r"))
-    rows = first.join(best, ["doc_id", "seq"], "left")
-    return rows.select("doc_id", "seq", F.coalesce("r.b_str", "str").alias("str"), F.coalesce("r.b_confidence", "confidence").alias("confidence"), F.when(F.col("r").isNotNull(), "replaced").otherwise("kept").alias("origin"))
+    best = pages.first_of(i, -second.confidence[j], second.seq[j])
+    place, sure, origin = np.arange(len(first.x)), first.confidence.copy(), np.zeros(len(first.x), np.int64)
+    place[i[best]], sure[i[best]], origin[i[best]] = len(first.x) + j[best], second.confidence[j[best]], 1
+    more = np.concatenate(list(others.values()))
+    named = pa.array(["kept", "replaced", *others])
+    origin = np.concatenate([origin, *(np.full(len(a), n) for n, a in enumerate(others.values(), 2))])
+    return pa.table({
+        "doc_id": pa.concat_arrays([first.docs(), second.docs(more)]), "seq": pa.array(np.concatenate([first.seq, second.seq[more]]), pa.int32()),
+        "str": pa.concat_arrays([first.said, second.said]).take(pa.array(np.concatenate([place, len(first.x) + more]))),
+        "confidence": np.concatenate([sure, second.confidence[more]]), "origin": named.take(pa.array(origin)),
+    })
 
 
-def _columns(*more: Column) -> list[Column]:
-    return [F.col("a.doc_id").alias("doc_id"), F.col("a.seq").alias("seq"), F.col("a.str").alias("a_str"), F.col("a.confidence").alias("a_confidence"), F.col("b.seq").alias("b_seq"), F.col("b.str").alias("b_str"), F.col("b.confidence").alias("b_confidence"), *more]
+def _unmet(second: Words, j: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(~np.isin(np.arange(len(second.x)), j))
 
 
-def merged_passes(first: DataFrame, second: DataFrame) -> DataFrame:
+def merged_passes(first: Words, second: Words) -> Any:
     """(doc_id, seq, str, confidence, origin) of two passes of one reader: at one place the surer word stays, other words are added.
 
     A word's place is that of the first word of the other pass whose centre is within its height, and of which they
     share a quarter of the smaller box.
     """
-    tolerance = F.greatest(F.lit(8.0), F.col("b.h"))
-    near = (F.abs(F.col("a.x") + F.col("a.w") / 2 - F.col("b.x") - F.col("b.w") / 2) <= tolerance) & (F.abs(F.col("a.y") + F.col("a.h") / 2 - F.col("b.y") - F.col("b.h") / 2) <= tolerance)
-    met = _met(first, second).filter(near & (F.col("overlap") >= SAME_PLACE)).select(*_columns())
-    place = met.groupBy("doc_id", "b_seq", "b_str", "b_confidence").agg(F.min(F.struct("seq", "a_confidence")).alias("p"))
-    better = place.filter(F.col("b_confidence") > F.col("p.a_confidence")).select("doc_id", F.col("p.seq").alias("seq"), "b_seq", "b_str", "b_confidence")
-    added = second.join(place.select("doc_id", F.col("b_seq").alias("seq")), ["doc_id", "seq"], "left_anti")
-    return _replaced(first, better).unionByName(added.select("doc_id", "seq", "str", "confidence", F.lit("added").alias("origin")))
+    i, j = placed.met_in_tiles(first, second, TILE_WIDTH, TILE_HEIGHT)
+    tolerance = np.maximum(8.0, second.h[j])
+    near = (np.abs(first.x[i] + first.w[i] / 2 - second.x[j] - second.w[j] / 2) <= tolerance) & (np.abs(first.y[i] + first.h[i] / 2 - second.y[j] - second.h[j] / 2) <= tolerance)
+    near &= placed.overlap_ratio(first, i, second, j) >= SAME_PLACE
+    i, j = i[near], j[near]
+    best = pages.first_of(j, first.seq[i], first.confidence[i])
+    i, j = i[best], j[best]
+    better = second.confidence[j] > first.confidence[i]
+    return _merged(first, second, i[better], j[better], {"added": _unmet(second, j)})
+
 
+_MARKS = pages.pattern("[^A-Z0-9]")
 
-def merged_specialist(first: DataFrame, second: DataFrame) -> DataFrame:
+
+def merged_specialist(first: Words, second: Words) -> Any:
     """(doc_id, seq, str, confidence, origin) of a reader and another one: the same word may gain its confidence, a different one never
     replaces a word, and a word where none stands is added if it is sure enough.
 
     Words are the same where their letters and digits are. The other's differing words are ``alternative`` rows.
     """
-    able = second.filter((F.col("confidence") >= SPECIALIST_LEAST) & (F.length("str") <= SPECIALIST_LONGEST) & (F.col("str") != ""))
-    plain = lambda c: F.regexp_replace(text.fold(F.col(c)), "[^A-Z0-9]", "")
-    met = _met(first, able).filter(F.col("overlap") >= SPECIALIST_OVERLAP).select(*_columns(F.col("overlap")))
-    best = met.groupBy("doc_id", "b_seq", "b_str", "b_confidence").agg(F.max_by(F.struct("seq", "a_str", "a_confidence"), F.struct("overlap", (-F.col("seq")).alias("s"))).alias("p"))
-    best = best.select("doc_id", "b_seq", "b_str", "b_confidence", "p.seq", "p.a_str", "p.a_confidence").withColumn("same", plain("a_str") == plain("b_str"))
-    better = best.filter(F.col("same") & (F.col("b_confidence") > F.col("a_confidence")))
-    other = best.filter(~F.col("same")).select("doc_id", F.col("b_seq").alias("seq"), F.col("b_str").alias("str"), F.col("b_confidence").alias("confidence"), F.lit("alternative").alias("origin"))
-    added = able.filter(F.col("confidence") >= SPECIALIST_ADDS).join(best.select("doc_id", F.col("b_seq").alias("seq")), ["doc_id", "seq"], "left_anti")
-    return _replaced(first, better).unionByName(other).unionByName(added.select("doc_id", "seq", "str", "confidence", F.lit("added").alias("origin")))
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    length = pc.utf8_length(second.said).to_numpy()
+    second = second.of(np.flatnonzero((second.confidence >= SPECIALIST_LEAST) & (length <= SPECIALIST_LONGEST) & (length > 0)))
+    i, j = placed.met_in_tiles(first, second, TILE_WIDTH, TILE_HEIGHT)
+    shared = placed.overlap_ratio(first, i, second, j)
+    i, j, shared = i[shared >= SPECIALIST_OVERLAP], j[shared >= SPECIALIST_OVERLAP], shared[shared >= SPECIALIST_OVERLAP]
+    best = pages.first_of(j, -shared, first.seq[i])
+    i, j = i[best], j[best]
+    # each distinct word is folded once
+    held = pa.concat_arrays([first.said, second.said]).dictionary_encode()
+    plain: dict[str, int] = {}
+    bare = np.array([plain.setdefault(_MARKS.sub("", s), len(plain)) for s in pages.folds(held.dictionary.to_pylist())], np.int64)[held.indices.to_numpy()]
+    same = bare[i] == bare[len(first.x) + j]
+    better = same & (second.confidence[j] > first.confidence[i])
+    added = _unmet(second, j)
+    return _merged(first, second, i[better], j[better], {"alternative": j[~same], "added": added[second.confidence[added] >= SPECIALIST_ADDS]})
 
 
 def extraction_score(lines: Column, coded: Column, based: Column, totals: list[Column], parts: list[Column]) -> Column:
