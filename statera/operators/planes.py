@@ -3,7 +3,8 @@
 A plane lies in tiles, a row each; dark tiles needn't be there. Inside a tile the bright pixels of every row are runs,
 and runs of neighbouring rows that overlap are one region. Regions of neighbouring tiles are one where bright pixels
 meet across the border, which is a join on (plane, border, place). What is then linked per plane are regions at
-borders, never pixels, and the regions' sums are added up by what they are linked to.
+borders, never pixels, and the regions' sums are added up by what they are linked to. Planes that a task draws whole are
+read there: the runs of all their rows are linked at once (``boxes_of_runs``), and only boxes leave the task.
 
 Defined results: pixels meet at sides, not at corners; a tile that occurs twice counts twice; planes without bright
 pixels have no boxes; every box of a plane is kept.
@@ -12,6 +13,7 @@ pixels have no boxes; every box of a plane is kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statera.operators.layout import BOX_THRESHOLD, LEAST_PIXELS, THRESHOLD
+from statera.operators.pages import expanded
 from statera.sources import places
 
 #: (doc_id, width and height of the plane, column and row of the tile, side of a whole tile, width of this one, values row by row)
@@ -106,6 +109,56 @@ def _linked(group: Any) -> Any:
     return pa.table({"doc_id": pa.array([group.column("doc_id")[0].as_py()] * len(nodes), pa.int64()), "region": nodes, "root": roots})
 
 
+@dataclass
+class Runs:
+    """Runs of bright pixels of some planes, in the order of planes, rows and places. doc: the planes' ids (an Arrow array), with their width and height; plane: the place there."""
+
+    doc: Any
+    width: np.ndarray
+    height: np.ndarray
+    plane: np.ndarray
+    row: np.ndarray
+    first: np.ndarray
+    end: np.ndarray
+    total: np.ndarray
+
+
+def linked(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """The least of those that each of n things is linked with, itself included, by links (i, j)."""
+    root = np.arange(n)
+    while True:
+        a, b = root[i], root[j]
+        if (a == b).all():
+            return root
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def boxes_of_runs(runs: Runs) -> Any:
+    """An Arrow table (doc_id, x0, y0, x1, y1, score) of the regions that are large and bright enough, padded."""
+    import pyarrow as pa
+
+    n = len(runs.row)
+    base = np.concatenate([[0], np.cumsum(runs.height.astype(np.int64) + 1)])  # planes lie below one another, a row apart
+    wide = int(runs.width.max(initial=0)) + 1
+    row = (base[runs.plane] + runs.row) * wide
+    i, j = expanded(np.searchsorted(row + runs.end, row + wide + runs.first, "right"), np.searchsorted(row + runs.first, row + wide + runs.end))
+    by = np.argsort(root := linked(i, j, n), kind="stable")
+    starts = np.flatnonzero(np.diff(root[by], prepend=-1))
+    of = lambda how, what: how.reduceat(what[by], starts) if len(starts) else what[by]
+    pixels, total = of(np.add, runs.end - runs.first), of(np.add, runs.total)
+    x0, x1, y0, y1 = of(np.minimum, runs.first), of(np.maximum, runs.end), of(np.minimum, runs.row), of(np.maximum, runs.row) + 1
+    w, h, score, plane = x1 - x0, y1 - y0, total / np.maximum(pixels, 1), runs.plane[by][starts]
+    px, py = np.maximum(2, np.floor(w * 0.08 + 0.5)).astype(np.int64), np.maximum(2, np.floor(h * 0.18 + 0.5)).astype(np.int64)
+    large = (pixels >= LEAST_PIXELS) & (w >= 3) & (h >= 3) & (score >= BOX_THRESHOLD)
+    box = {"x0": np.maximum(0, x0 - px), "y0": np.maximum(0, y0 - py), "x1": np.minimum(runs.width[plane], x1 + px), "y1": np.minimum(runs.height[plane], y1 + py)}
+    return pa.table({"doc_id": runs.doc.take(pa.array(plane[large])), **{k: pa.array(v[large], pa.int32()) for k, v in box.items()}, "score": score[large]})
+
+
+BOXES = "doc_id long, x0 int, y0 int, x1 int, y1 int, score double"
+
+
 def connected_boxes(tiles: DataFrame) -> DataFrame:
     """(doc_id, x0, y0, x1, y1, score) of every plane's regions that are large and bright enough, padded."""
     regions = places.written(tiles.mapInArrow(_regions, REGIONS), "planes-regions")
