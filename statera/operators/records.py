@@ -113,29 +113,34 @@ def _table(schema: str, rows: list[tuple]) -> Any:
 def _cell_lists(cells: Cells) -> tuple[list, ...]:
     """(x, seq, c, folded text, text) of the cells as lists."""
     code = cells.code.tolist()
-    return cells.x.tolist(), cells.seq.tolist(), cells.c.tolist(), [cells.said[i] for i in code], [cells.words[i] for i in code]
+    return cells.x.tolist(), cells.seq.tolist(), cells.c.tolist(), cells.told[0], [cells.words[i] for i in code]
 
 
 _LETTERS = pattern("[A-Za-zÀ-ù]")
 _CONTRIBUTIONS = "doc_id long, line_no int, description string, rate double, base double, amount double, confidence double"
 
 
-def _sections(cells: Cells, title: str, over: str) -> Any:
-    """(page, place of its first line with the title, one past its last line, line_no of the next line that is over or None) of pages with a section."""
+def _sections(cells: Cells, over: str) -> Any:
+    """(page, place of its first line, one past its last line, line_no of the next line that is over or None) of pages, which begin with their title."""
     page, line_no = cells.lines
-    begun = np.array(cells.lines_like(pattern(title)), np.int64)
-    begun = begun[np.diff(page[begun], prepend=-1) != 0]
-    ends = np.array(cells.lines_like(pattern(over)), np.int64)
-    nearest = np.searchsorted(ends, begun, "right")
-    for first, stop, at in zip(begun.tolist(), np.searchsorted(page, page[begun], "right").tolist(), nearest.tolist(), strict=True):
-        yield int(page[first]), first, stop, int(line_no[ends[at]]) if at < len(ends) and ends[at] < stop else None
+    begun = np.flatnonzero(np.diff(page, prepend=-1))
+    ends, line_of, over = cells.likely(pattern(over)), line_no.tolist(), pattern(over)
+    nearest, stops = np.searchsorted(ends, begun, "right").tolist(), np.searchsorted(page, page[begun], "right").tolist()
+    ends = ends.tolist()
+    for of, first, stop, at in zip(page[begun].tolist(), begun.tolist(), stops, nearest, strict=True):
+        end = None
+        while end is None and at < len(ends) and ends[at] < stop:
+            end = line_of[ends[at]] if over.search(cells.text_of(ends[at])) else None
+            at += 1
+        yield of, first, stop, end
 
 
 def _contributions(cells: Cells) -> Any:
     header = pattern(CONTRIBUTION_HEADER)
+    cells = cells.from_title(pattern(CONTRIBUTIONS), 1 << 32)
     x, seq, c, said, word = _cell_lists(cells)
     value, docs, found, bounds, line_of = cells.values.tolist(), cells.doc.to_pylist(), [], cells.bounds.tolist(), cells.lines[1].tolist()
-    for page, first, stop, end in _sections(cells, CONTRIBUTIONS, CONTRIBUTIONS_END):
+    for page, first, stop, end in _sections(cells, CONTRIBUTIONS_END):
         start = line_of[first]
         end = start + CONTRIBUTION_ROWS if end is None else end
         while line_of[stop - 1] >= end:
@@ -239,6 +244,7 @@ _DAYS, _HOURS, _FORMER = map(pattern, (r"(?<![A-Z0-9_])GG(?![A-Z0-9_])|GIORNI",
 def _accruals(cells: Cells) -> Any:
     opening = pattern(ACCRUAL_ROW)
     names = [k for k, _ in ACCRUAL_COLUMNS]
+    cells = cells.from_title(pattern(ACCRUALS), ACCRUAL_ROWS)
     x, seq, c, said, word = _cell_lists(cells)
     value, y, docs, found, bounds, line_of = cells.values.tolist(), cells.y.tolist(), cells.doc.to_pylist(), {}, cells.bounds.tolist(), cells.lines[1].tolist()
     says: dict[int, list[str]] = {}
@@ -253,10 +259,8 @@ def _accruals(cells: Cells) -> Any:
         heads = [(k, first[k]) for k in names if k in first]
         return heads if USED not in first or "goduto" in first or "godutoAp" in first else [*heads, ("goduto", first[USED])]
 
-    for page, first, stop, end in _sections(cells, ACCRUALS, ACCRUALS_END):
+    for page, first, stop, end in _sections(cells, ACCRUALS_END):
         start = line_of[first]
-        while line_of[stop - 1] > start + ACCRUAL_ROWS:
-            stop -= 1
         heads: list[tuple[str, float]] = []
         for i in range(first, stop):
             if line_of[i] < start + ACCRUAL_HEADER_ROWS and len(named := heads_of(bounds[i], bounds[i + 1])) >= len(heads):
